@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, pii, toxicity
+from . import decontam, langid, lines, mixing, pii, topk, toxicity
 from .shared import fold, materialise
 
 
@@ -22,12 +22,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return marked.filter("leak_item is not null").select("doc_id", F.col("leak_item").alias("item_id"), "leak_matches", "leak_start", "leak_end")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.drop_repeated_lines(docs)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(langid.training_rows(docs))
@@ -52,10 +62,73 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_exact_topk": op5_exact_topk,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), often AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT doc_id, pos, line, coalesce(doc_id <> last, false) AS gone FROM keyed LEFT JOIN often USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op5_exact_topk": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS d FROM good
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+            FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
+    "op1_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                md5(coalesce('=' || CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM sources
+        ), run AS (
+            SELECT *, 3 * sum(source_size) OVER () AS whole,
+                2 * coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+                sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+            FROM weighed
+        ), level AS (
+            SELECT *, cap * open * 2 <= weight * (whole - gone) AS filled FROM run
+        ), first_open AS (
+            SELECT whole AS w, gone AS g, open AS o FROM level WHERE NOT filled ORDER BY cap / weight, place LIMIT 1
+        ), targets AS (
+            SELECT source, source_size, CASE WHEN filled THEN CAST(cap AS DOUBLE) ELSE CAST(weight * (w - g) AS DOUBLE) / CAST(o * 2 AS DOUBLE) END AS target,
+                CAST(CAST('0x' || substr(md5('offset' || coalesce('=' || source, 'null')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS off
+            FROM level LEFT JOIN first_open ON true
+        ), classed AS (
+            SELECT *, len(bin(size)) * 16 + CASE WHEN len(bin(size)) > 5 THEN (size >> (len(bin(size)) - 5)) & 15 ELSE size % 16 END AS class,
+                CAST('0x' || substr(digest, 1, 2) AS BIGINT) % 64 AS salt FROM sized
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY class, salt, size, digest, doc_id) AS DOUBLE) AS rank FROM classed
+        )
+        SELECT doc_id, size, source_size, target,
+            CAST(floor(each * rank + off) - floor(each * (rank - 1) + off) AS BIGINT) AS copies,
+            CAST(floor(each * rank + off) - floor(each * (rank - 1) + off) AS BIGINT) * size AS taken
+        FROM (SELECT r.*, t.source_size, t.target, t.off, CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0.0::DOUBLE END AS each
+              FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+    """.replace("\\\\", "\\"),
+}

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +92,31 @@ class WordHashes(dict):
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
+
+
+_TOKEN, _GAP = re.compile(r"\w+"), re.compile(r"\W")
+
+
+def token_pieces(text: str | None, size: int = 1 << 20) -> Iterator[list[str]]:
+    """Lower-cased runs of word characters of a whole text, in lists of bounded size; no run is cut."""
+    low, at = (text or "").lower(), 0
+    while at < len(low):
+        gap = _GAP.search(low, at + size) if len(low) > at + size else None
+        end = gap.start() if gap else len(low)
+        if found := _TOKEN.findall(low, at, end):
+            yield found
+        at = end
+
+
+def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes of a text's tokens."""
+    parts = [np.fromiter(map(hashes.__getitem__, p), dtype=np.uint64, count=len(p)) for p in token_pieces(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
