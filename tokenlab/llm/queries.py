@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, pii, topk, toxicity
+from . import decontam, langid, lines, mixing, neardup, pii, topk, toxicity
 from .shared import fold, materialise
 
 
@@ -38,6 +38,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(langid.training_rows(docs))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": op5_exact_topk,
+    "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
