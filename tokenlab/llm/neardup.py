@@ -232,14 +232,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, row
     return sketched.select("id", "node").join(of.select("node", "label"), "node", "left").join(classes, "label", "left").select("id", "node", "class_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group of near_duplicates(): that with the smallest id stays.
 
     Of rows that repeat an id that stays, one stays (the first by hash of its text). Rows with a null id all stay.
     """
     stay = groups.filter("id = class_id").select(F.col("id").alias("stay_id")).distinct()
     own = docs.filter(F.col(id_col).isNotNull())
-    packed = own.select(F.col(id_col).cast("long").alias("stay_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = Window.partitionBy("stay_id").orderBy(F.xxhash64(F.to_json("row")))
+    packed = own.select(F.col(id_col).cast("long").alias("stay_id"), F.xxhash64(text_col).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = Window.partitionBy("stay_id").orderBy("hash")
     kept = packed.join(stay, "stay_id").withColumn("place", F.row_number().over(first)).filter("place = 1")
     return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
