@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, neardup, pii, topk, toxicity, warc
+from . import decontam, langid, lines, mixing, neardup, ngramlm, pii, topk, toxicity, warc
 from .shared import fold, materialise
 
 
@@ -28,6 +28,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.filter("leak_item is not null").select("doc_id", F.col("leak_item").alias("item_id"), "leak_matches", "leak_start", "leak_end")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngramlm.learn(docs.filter(fold(F.col("doc_id")) != 1))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(True))
+    return ngramlm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = lines.drop_repeated_lines(docs)
@@ -73,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_topk": op5_exact_topk,
     "op6_minhash": op6_minhash,
