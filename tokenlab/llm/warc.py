@@ -22,6 +22,8 @@ from .shared import materialise, new_folder
 
 #: An archive is closed when it has this many bytes.
 ROLL_BYTES = 64 << 20
+#: Tasks that read archives, at most; beyond that a task reads several.
+MOST_TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/index.cdxj"
 _ID = "urn:x-page:"
@@ -209,7 +211,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         if rows:
             yield out(rows)
 
-    spread = archives.select("path").repartition("path")
+    # A stated number of partitions, or so few bytes of names would be put into one task.
+    spread = archives.select("path").repartition(max(1, min(archives.count(), MOST_TASKS)), "path")
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
