@@ -65,11 +65,12 @@ def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 
     Rows are summed by score first, so the ordered pass sees distinct scores only.
     """
-    tally = frame.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = tally.select(*by, "p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won"))
-    out = won.groupBy(*by) if by else won.groupBy()
-    return out.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("won").alias("__w")).select(*by, "n_pos", "n_neg", F.round(F.col("__w") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0)), 6).alias("auc"))
+    rows = frame.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("__s"), F.col(label).alias("__y"))
+    tally = rows.groupBy(*by, "__s").agg(F.count_if(F.col("__y") == 1).alias("__p"), F.count_if(F.col("__y") == 0).alias("__n"))
+    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = tally.select(*by, "__p", "__n", (F.col("__p") * (below + F.col("__n") / 2)).alias("__w"))
+    out = won.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
+    return out.select(*by, "n_pos", "n_neg", F.round(F.col("__w") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0)), 6).alias("auc"))
 
 
 def correlations(frame: DataFrame, features: list[str], label: str) -> DataFrame:

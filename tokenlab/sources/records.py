@@ -33,16 +33,20 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     reader = spark.read.option("ignoreLeadingWhiteSpace", True)
     if strict:
         return reader.schema(schema).option("mode", "FAILFAST").json(path)
+    parsed = _lines(spark, path, schema).filter(F.col("r")[CORRUPT].isNull())
+    return parsed.select(*[F.col("r")[f].alias(f) for f in schema.names])
+
+
+def _lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """file, line and r: the line read leniently, with what can't be read in a column of its own."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, S)])
-    rows = reader.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    return lines.withColumn("r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
 
 
 def malformed(spark: SparkSession, path: str | list[str], schema: T.StructType = RUN) -> DataFrame:
     """The lines that the lenient reader leaves out, with their file."""
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, S)])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.select(*rows.columns, F.col("_metadata.file_path").alias("file")).filter(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("line"))
+    return _lines(spark, path, schema).filter(F.col("r")[CORRUPT].isNotNull()).select("file", "line")
 
 
 def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
