@@ -32,23 +32,45 @@ def _counts(spark, sf_dir):
     return at.over_all(v, ["math_level"], F.count(F.lit(1)).alias("n"), at.count(F.col("vote_c.correct")).alias("k"))
 
 
-@query()
+def _duck_cdf(k: str, n: str, p: str) -> str:
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
+    return f"least(1, list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: {term})))"
+
+
+def _bisected(counts: str, keys: str, columns: str) -> str:
+    """DuckDB: exact bounds of k of n by 42 halvings of [0, 1]; counts is a CTE prefix that ends in a relation k."""
+    lower, upper = f"1 - {_duck_cdf('k - 1', 'n', '((lo + hi) / 2)')} > 0.025::DOUBLE", f"{_duck_cdf('k', 'n', '((lo2 + hi2) / 2)')} > {{alpha}}::DOUBLE"
+    upper = upper.format(alpha="{alpha}")
+    steps = f"""bis AS (SELECT {keys}, n, k, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2 FROM k UNION ALL
+    SELECT {keys}, n, k, step + 1, CASE WHEN {lower} THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {lower} THEN (lo + hi) / 2 ELSE hi END,
+    CASE WHEN {upper} THEN (lo2 + hi2) / 2 ELSE lo2 END, CASE WHEN {upper} THEN hi2 ELSE (lo2 + hi2) / 2 END FROM bis WHERE step < 42)"""
+    return counts.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + steps + f" SELECT {columns} FROM bis WHERE step = 42"
+
+
+_LOW = "CASE WHEN n = 0 OR k = 0 THEN 0.0::DOUBLE ELSE (lo + hi) / 2 END"
+_HIGH = "CASE WHEN n = 0 OR k = n THEN 1.0::DOUBLE ELSE (lo2 + hi2) / 2 END"
+
+
+@query(_bisected(_TREE, "dataset, math_level", f"dataset, math_level, n, k, {r6(_LOW)} AS ci_low, {r6(_HIGH)} AS ci_high").replace("{alpha}", "0.025"))
 def cp_interval(spark, sf_dir):
     """Exact two-sided intervals; golden arithmetic is in the tests."""
     c = _counts(spark, sf_dir).withColumn("ci", stats.interval_udf(F.col("k"), F.col("n")))
-    return c.select("dataset", "math_level", "n", "k", F.round("ci.low", 9).alias("ci_low"), F.round("ci.high", 9).alias("ci_high"))
+    return c.select("dataset", "math_level", "n", "k", F.round("ci.low", 6).alias("ci_low"), F.round("ci.high", 6).alias("ci_high"))
 
 
-@query()
+_HARM_COUNTS = _HARM + f", k AS (SELECT {ALL}, contrast, definition, {n_if('eligible')} AS n, {n_if('harm')} AS k, {n_if('certain_harm')} AS ch, {n_if('possible_harm')} AS ph FROM harm GROUP BY GROUPING SETS ((contrast, definition), (contrast, definition, dataset)))"
+
+
+@query(_bisected(_HARM_COUNTS, "dataset, contrast, definition, ch, ph", f"contrast, definition, dataset, n AS n_eligible, k AS harm_count, {ratio('k', 'n')} AS harm_rate, {r6(_LOW)} AS ci95_low, {r6(_HIGH)} AS ci95_high, ch AS certain_harm_count, ph AS possible_harm_count").replace("{alpha}", "0.025"))
 def harm_summary_ci(spark, sf_dir):
     h = at.harm_summary(at.harm_detail(adapter.paired(spark, sf_dir))).withColumn("ci", stats.interval_udf(F.col("harm_count"), F.col("n_eligible")))
-    return h.select("contrast", "definition", "dataset", "n_eligible", "harm_count", "harm_rate", F.round("ci.low", 9).alias("ci95_low"), F.round("ci.high", 9).alias("ci95_high"), "certain_harm_count", "possible_harm_count")
+    return h.select("contrast", "definition", "dataset", "n_eligible", "harm_count", "harm_rate", F.round("ci.low", 6).alias("ci95_low"), F.round("ci.high", 6).alias("ci95_high"), "certain_harm_count", "possible_harm_count")
 
 
-@query()
+@query(_bisected(_TREE.replace(n_if("c_ok"), n_if("NOT c_ok")), "dataset, math_level", f"dataset, math_level, n, n - k AS k, {r6(_HIGH)} AS error_upper95").replace("{alpha}", "0.05"))
 def upper_bound_exact(spark, sf_dir):
     c = _counts(spark, sf_dir)
-    return c.select("dataset", "math_level", "n", "k", F.round(stats.upper_udf(F.col("n") - F.col("k"), F.col("n")), 9).alias("error_upper95"))
+    return c.select("dataset", "math_level", "n", "k", F.round(stats.upper_udf(F.col("n") - F.col("k"), F.col("n")), 6).alias("error_upper95"))
 
 
 @query(_TREE + f" SELECT dataset, math_level, n, {r6('1 - pow(0.05::DOUBLE, 1.0::DOUBLE / n)')} AS upper_zero, {r6('1 - pow(0.025::DOUBLE, 1.0::DOUBLE / n)')} AS planned_upper FROM k")
@@ -70,11 +92,6 @@ def wilson_ci(spark, sf_dir):
     return c.select("dataset", "math_level", "n", "k", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
-def _duck_cdf(k: str, n: str, p: str) -> str:
-    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
-    return f"least(1, list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: {term})))"
-
-
 @query(
     _HARM
     + f", s AS (SELECT contrast, definition, {n_if('eligible')} AS n, {n_if('harm')} AS k FROM harm GROUP BY ALL) SELECT contrast, definition, n, k, "
