@@ -140,7 +140,7 @@ def sampling_repair_summary(detail: DataFrame) -> DataFrame:
 
 def same_budget_control(arms: DataFrame, base: str = "a", extended: str = "c", cap: int = 35) -> DataFrame:
     """Real repairs of the extended run beside those of a control in which chains beyond the base cap are censored."""
-    kept = lambda c: (c["token_count"] < cap) | ((c["token_count"] == cap) & (c["finish_reason"] == "stop"))
+    kept = lambda c: F.coalesce((c["token_count"] < cap) | ((c["token_count"] == cap) & (c["finish_reason"] == "stop")), F.lit(False))
     controlled = arms.withColumn(
         "control",
         F.transform(extended, lambda c: c.withField("answer", F.when(kept(c), c["answer"])).withField("correct", c["correct"] & kept(c)).withField("complete", c["complete"] & kept(c)).withField("finish_reason", F.when(kept(c), c["finish_reason"]).otherwise("length"))),

@@ -18,19 +18,30 @@ def plurality(chains: Column | str, drop_empty: bool = False) -> Column:
     """
     chains = F.col(chains) if isinstance(chains, str) else chains
     valid = F.filter(chains, lambda c: c["answer"].isNotNull() & ((c["answer"] != "") if drop_empty else F.lit(True)))
-    answers = F.transform(valid, lambda c: c["answer"])
-    counts = F.transform(F.array_distinct(answers), lambda a: F.struct((-F.size(F.filter(answers, lambda x: x == a))).alias("n"), a.alias("a")))
-    winners = F.transform(F.filter(counts, lambda w: w["n"] == F.array_min(counts)["n"]), lambda w: w["a"])
-    right = lambda a: F.exists(valid, lambda c: (c["answer"] == a) & c["correct"])
-    winner = F.array_min(winners)
-    some = F.coalesce(F.size(winners) > 0, F.lit(False))
-    return F.struct(
-        winner.alias("winner"),
-        F.coalesce(some & right(winner), F.lit(False)).alias("correct"),
-        F.coalesce(F.size(winners) > 1, F.lit(False)).alias("tie"),
-        F.coalesce(some & F.forall(winners, right), F.lit(False)).alias("lower"),
-        F.coalesce(some & F.exists(winners, right), F.lit(False)).alias("upper"),
-    )
+
+    def tally(v: Column) -> Column:
+        answers = F.array_distinct(F.transform(v, lambda c: c["answer"]))
+        return F.transform(answers, lambda a: F.struct((-F.size(F.filter(v, lambda c: c["answer"] == a))).alias("n"), a.alias("a"), F.exists(v, lambda c: (c["answer"] == a) & c["correct"]).alias("ok")))
+
+    def result(best: Column) -> Column:
+        first = F.array_min(best)
+        return F.struct(
+            first["a"].alias("winner"),
+            F.coalesce(first["ok"], F.lit(False)).alias("correct"),
+            (F.size(best) > 1).alias("tie"),
+            ((F.size(best) > 0) & F.forall(best, lambda w: F.coalesce(w["ok"], F.lit(False)))).alias("lower"),
+            F.coalesce(F.exists(best, lambda w: w["ok"]), F.lit(False)).alias("upper"),
+        )
+
+    # Every intermediate result is bound once; Spark would work it out again wherever it is named.
+    none = F.array().cast("array<struct<n:int,a:string,ok:boolean>>")
+    counts = F.coalesce(let(valid, tally), none)
+    return let(counts, lambda cs: let(F.array_min(cs)["n"], lambda most: let(F.filter(cs, lambda w: w["n"] == most), result)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def plurality_by_rows(chains: DataFrame, keys: list[str], drop_empty: bool = False) -> DataFrame:

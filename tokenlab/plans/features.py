@@ -174,8 +174,8 @@ _TRIM = "list_filter(list_transform({x}, lambda x: trim(x, ' ' || chr(9) || chr(
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_T} AS t FROM documents), p AS (SELECT doc_id, t, {_TRIM.format(x="regexp_split_to_array(t, '\n\s*\n')")} AS paragraphs, {_TRIM.format(x="string_split(t, chr(10))")} AS lines,
-    list_filter({_TRIM.format(x="string_split(regexp_replace(t, '([.?!;])\s+', '\1' || chr(1), 'g'), chr(1))")}, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4) AS sentences FROM d),
+    rf"""WITH d AS (SELECT doc_id, {_T} AS t FROM documents), p AS (SELECT doc_id, t, {_TRIM.format(x=r"regexp_split_to_array(t, '\n\s*\n')")} AS paragraphs, {_TRIM.format(x=r"string_split(t, chr(10))")} AS lines,
+    list_filter({_TRIM.format(x=r"string_split(regexp_replace(t, '([.?!;])\s+', '\1' || chr(1), 'g'), chr(1))")}, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4) AS sentences FROM d),
     s AS (SELECT doc_id, CASE WHEN len(paragraphs) > 1 THEN paragraphs WHEN len(lines) > 1 THEN lines WHEN len(sentences) > 1 THEN sentences WHEN t = '' THEN [] ELSE [t] END AS s FROM p)
     SELECT doc_id, len(s) AS n_steps, sha256(coalesce(array_to_string(s, chr(10)), '')) AS steps_sha256 FROM s"""
 )

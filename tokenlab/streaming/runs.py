@@ -33,9 +33,14 @@ def append_new(stream: DataFrame, keys: list[str], target: str, checkpoint: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _watermarked(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """A stream with its watermark, which needs an instant rather than a time without a zone; else the rows as they are."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late and events.isStreaming else events
+
+
 def window_votes(events: DataFrame, window: Column, answer: str = "event_type", late: str | None = "1 hour", ts: str = "ts") -> DataFrame:
     """Votes by window and answer. With a stream, rows later than `late` behind the latest are left out."""
-    rows = events.withWatermark(ts, late) if late and events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     out = rows.groupBy(window.alias("w"), F.col(answer).alias("answer")).agg(F.count(F.lit(1)).alias("votes"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "answer", "votes", F.round("total", 4).alias("total"))
 
@@ -50,11 +55,11 @@ def sliding(events: DataFrame, size: str = "1 day", step: str = "12 hours", **kw
 
 def sessions(events: DataFrame, gap: str = "1 hour", by: str = "user_id", late: str | None = "1 hour") -> DataFrame:
     """Events of one user without a gap: start, end, number."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = _watermarked(events, "ts", late)
     out = rows.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
     return out.select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
 def without_repeats(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return _watermarked(stream, ts, late).dropDuplicatesWithinWatermark([key])
