@@ -11,8 +11,6 @@ import numpy as np
 from pyarrow import fs
 
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Every so many ones or zeros, the place of one is kept.
-STEP = 32
 
 
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -28,21 +26,14 @@ def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     return place
 
 
-def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """Place of the k-th one, or zero with flip (from 0), in a bit vector."""
-    at = samples[k // STEP].astype(np.int64)
-    left = k % STEP
-    word = at >> 6
-    first = (words[word] ^ _ALL if flip else words[word]) & (_ALL << (at & 63).astype(np.uint64))
-    n = np.bitwise_count(first).astype(np.int64)
-    on = np.flatnonzero(left >= n)
-    while len(on):
-        left[on] -= n[on]
-        word[on] += 1
-        first[on] = words[word[on]] ^ _ALL if flip else words[word[on]]
-        n[on] = np.bitwise_count(first[on])
-        on = on[left[on] >= n[on]]
-    return (word << 6) + _in_word(first, left)
+def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+    """Place of the k-th one, or zero with flip (from 0), in a bit vector; before: how many there are before each word.
+
+    The word is found by halving, so long runs of either kind cost nothing more.
+    """
+    word = np.searchsorted(before, k.astype(before.dtype), side="right") - 1
+    own = words[word]
+    return (word << 6) + _in_word(own ^ _ALL if flip else own, k - before[word].astype(np.int64))
 
 
 @dataclass
@@ -53,8 +44,8 @@ class EliasFano:
     bits: int  # low bits of each
     low: np.ndarray
     high: np.ndarray
-    ones: np.ndarray  # places of every STEP-th one in high
-    zeros: np.ndarray  # and zero
+    ones: np.ndarray  # ones before each word of high
+    zeros: np.ndarray  # and zeros
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
@@ -72,11 +63,12 @@ class EliasFano:
             over = np.flatnonzero(shift + np.uint64(bits) > 64)
             low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        length = (int(places[-1]) if n else 0) + 2
-        mark = np.zeros((length + 64 >> 6) * 64 + 64, dtype=np.uint8)
+        mark = np.zeros(((int(places[-1]) if n else 0) // 64 + 2) * 64, dtype=np.uint8)
         mark[places] = 1
         high = np.packbits(mark, bitorder="little").view(np.uint64)
-        return EliasFano(n, bits, low, high, places[::STEP].astype(np.uint64), np.flatnonzero(mark == 0)[::STEP].astype(np.uint64))
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]))
+        kind = np.uint32 if len(mark) < 1 << 32 else np.uint64
+        return EliasFano(n, bits, low, high, ones.astype(kind), (np.arange(len(ones)) * 64 - ones).astype(kind))
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.meta": np.array([self.n, self.bits], dtype=np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros}
@@ -100,7 +92,7 @@ class EliasFano:
         i = np.asarray(i, dtype=np.int64)
         if not len(i):
             return np.zeros(0, dtype=np.uint64)
-        high = (_select(self.high, self.ones, i.copy(), False) - i).astype(np.uint64)
+        high = (_select(self.high, self.ones, i, False) - i).astype(np.uint64)
         return high << np.uint64(self.bits) | self._low(i)
 
     def all(self) -> np.ndarray:
@@ -117,18 +109,24 @@ class EliasFano:
         inside = np.flatnonzero(top <= last)
         bucket = top[inside].astype(np.int64)
         want = x[inside] & np.uint64((1 << self.bits) - 1)
-        # Bit places: a bucket's ones stand after the zero that ends the bucket before it.
+        # A bucket's numbers stand between the zero that ends the one before it and its own; they are searched by halving.
         at = np.where(bucket > 0, _select(self.high, self.zeros, np.maximum(bucket - 1, 0), True) + 1, 0)
-        index = at - bucket
-        on = np.arange(len(inside))
+        low = at - bucket
+        # The next zero is mostly in the same word.
+        free = (self.high[at >> 6] ^ _ALL) & (_ALL << (at & 63).astype(np.uint64))
+        end = (at & ~63) + np.bitwise_count((free & (~free + _ONE)) - _ONE) - bucket
+        far = np.flatnonzero(free == 0)
+        end[far] = _select(self.high, self.zeros, bucket[far], True) - bucket[far]
+        high, on = end.copy(), np.flatnonzero(low < end)
         while len(on):
-            bit = self.high[at[on] >> 6] >> (at[on] & 63).astype(np.uint64) & _ONE
-            on = on[(bit == 1) & (index[on] < self.n)]
-            own = self._low(index[on])
-            same[inside[on[own == want[on]]]] = True
-            on = on[own < want[on]]
-            at[on] += 1
-            index[on] += 1
+            middle = low[on] + high[on] >> 1
+            less = self._low(middle) < want[on]
+            low[on[less]] = middle[less] + 1
+            high[on[~less]] = middle[~less]
+            on = on[low[on] < high[on]]
+        some = np.flatnonzero(low < end)
+        same[inside[some[self._low(low[some]) == want[some]]]] = True
+        index = low
         place[inside] = np.minimum(index, self.n)
         return place, same
 
@@ -168,4 +166,5 @@ def load(path: str) -> dict[str, np.ndarray]:
         os.unlink(copy)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
-    return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t) for k, (t, at, n) in head.items()}
+    # Plain arrays over the mapping: the subclass would make each access dearer.
+    return {k: raw[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t).view(np.ndarray) for k, (t, at, n) in head.items()}

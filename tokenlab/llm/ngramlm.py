@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 from .eliasfano import EliasFano, load, save
 from .shared import materialise, new_folder
 
-#: Shards of the vocabulary, by the top bits of the words' hashes.
-WORD_SHARDS = 64
+#: Documents for one shard of the vocabulary, which is cut by the top bits of the words' hashes; shards at most.
+SHARD_DOCS, WORD_SHARDS = 65_536, 4096
 #: Tokens of training text for one shard of a higher level.
 SHARD_TOKENS = 6_000_000
 #: Numbers that a task gathers before it sorts and emits or merges them.
-CHUNK, MERGE = 1 << 21, 1 << 23
+CHUNK, MERGE = 1 << 20, 1 << 20
+#: Tokens that are looked up together.
+STRETCH = 1 << 18
 #: Trigrams seen less often are left to the levels below.
 LEAST_TRIGRAM = 2
 #: Logarithms are stored in 16 bits, as multiples of this below zero.
@@ -75,28 +77,34 @@ def _unique(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 
 
 class Lexicon(dict):
-    """word -> a number of this task's own; remembers each number's rank in the vocabulary (-1: not in it)."""
+    """word -> a number of this task's own; what is known of each word is looked up once and kept by number.
 
-    def __init__(self, find: Callable[[np.ndarray], np.ndarray] | None, most: int = 1 << 20):
+    facts: from hashes of new words to arrays, the first of which holds their ranks (or hashes, without a vocabulary).
+    """
+
+    def __init__(self, facts: Callable[[np.ndarray], list[np.ndarray]], most: int = 1 << 19):
         super().__init__()
-        self.find, self.most, self.new, self.ranks = find, most, [], np.zeros(0, dtype=np.int64)
+        self.facts, self.most, self.new, self.kept = facts, most, [], None
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(xxhash.xxh3_64_intdigest(word))
         n = self[word] = len(self)
         return n
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        """Ranks of tokens; hashes, if there is no vocabulary yet."""
-        if len(self) > self.most:
-            self.clear()
-            self.ranks = self.ranks[:0]
-        own = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if self.new:
-            fresh = np.array(self.new, dtype=np.uint64)
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def resolve(self, numbers: np.ndarray) -> list[np.ndarray]:
+        """The facts of numbers; all new words are looked up together here."""
+        if self.new or self.kept is None:
+            fresh = self.facts(np.array(self.new, dtype=np.uint64))
             self.new = []
-            self.ranks = np.concatenate((self.ranks, fresh.view(np.int64) if self.find is None else self.find(fresh)))
-        return self.ranks[own]
+            self.kept = fresh if self.kept is None else [np.concatenate(x) for x in zip(self.kept, fresh, strict=True)]
+        out = [x[numbers] for x in self.kept]
+        if len(self) > self.most:  # numbers given so far end here
+            self.clear()
+            self.kept = None
+        return out
 
 
 @dataclass
@@ -125,7 +133,8 @@ class Level:
     def _split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         if not len(shard):
             return
-        order = np.argsort(shard, kind="stable")
+        # Few shards: 16 bits sort by radix.
+        order = np.argsort(shard.astype(np.uint16) if len(self.paths) < 1 << 16 else shard, kind="stable")
         cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
         for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
             for k in range(a, b, 1 << 16):
@@ -133,11 +142,20 @@ class Level:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys among all entries, -1 for those that aren't there."""
+        places, back = self.find_distinct(keys)
+        return places[back]
+
+    def find_distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the distinct keys, which are looked up in order, and for each key which of them it is."""
+        keys, back = np.unique(keys, return_inverse=True)
         out = np.full(len(keys), -1, dtype=np.int64)
-        for s, at in self._split(np.searchsorted(self.bounds, keys, side="right") - 1):
-            own = self.coded(s, "keys").find(keys[at])
-            out[at] = np.where(own >= 0, own + self.starts[s], -1)
-        return out
+        cuts = np.append(np.searchsorted(keys, self.bounds), len(keys))
+        for s in np.flatnonzero(np.diff(cuts)):
+            for k in range(cuts[s], cuts[s + 1], 1 << 15):
+                at = slice(k, min(k + (1 << 15), cuts[s + 1]))
+                own = self.coded(int(s), "keys").find(keys[at])
+                out[at] = np.where(own >= 0, own + self.starts[s], -1)
+        return out, back
 
     def take(self, name: str, places: np.ndarray) -> np.ndarray:
         """An array's values at places of entries."""
@@ -192,38 +210,49 @@ class Model:
             out[at] = self.bigrams.coded(s, "pointers").access(ranks[at] - self.ranks[s]).astype(np.int64) + self.bigrams.starts[s]
         return out
 
-    def bigram_places(self, ranks: np.ndarray) -> np.ndarray:
-        """For each token but the first, the place of the bigram that ends there, -1 if it has none."""
+    def facts(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """Of words: rank, log10 probability alone, log10 weight of unseen successors, first bigram."""
+        ranks = self.vocabulary.find(hashes)
+        back, first, known = np.zeros(len(ranks)), np.zeros(len(ranks), dtype=np.int64), ranks >= 0
+        if self.bigrams is not None and known.any():
+            back[known] = -QUANTUM * self.bigrams.by_range(self.ranks, "backoff", ranks[known])
+            first[known] = self.first(ranks[known])
+        return [ranks, self.word_logs(ranks), back, first]
+
+    def bigram_places(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the distinct bigrams of a stretch (-1: not there; the first stands for those with an unknown word),
+        and for each token but the first which of them ends there."""
         a, b = ranks[:-1], ranks[1:]
-        out = np.full(len(a), -1, dtype=np.int64)
+        which = np.zeros(len(a), dtype=np.int64)
         both = np.flatnonzero((a >= 0) & (b >= 0))
-        out[both] = self.bigrams.find(a[both].astype(np.uint64) * np.uint64(self.V) + b[both].astype(np.uint64))
-        return out
+        places, which[both] = self.bigrams.find_distinct(a[both].astype(np.uint64) * np.uint64(self.V) + b[both].astype(np.uint64))
+        which[both] += 1
+        return np.append(-1, places), which
 
-    def trigram_keys(self, context: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Keys from the places of the bigrams (1, 2) and (2, 3) and the rank of 2: pointer plus relative place."""
-        return self.bigrams.access("base", context, self.bases) + (last - self.first(middle)).astype(np.uint64)
-
-    def score(self, ranks: np.ndarray) -> np.ndarray:
-        """log10 probability of each token but the first, given the two before."""
-        single = self.word_logs(ranks[1:])
+    def score(self, ranks: np.ndarray, alone: np.ndarray, back: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each token but the first, given the two before; facts() of all tokens."""
         if self.bigrams is None:
-            return single
-        place = self.bigram_places(ranks)
-        out, seen = single, place >= 0
-        back = np.flatnonzero(~seen & (ranks[:-1] >= 0))
-        out[back] -= QUANTUM * self.bigrams.by_range(self.ranks, "backoff", ranks[:-1][back])
-        out[seen] = -QUANTUM * self.bigrams.take("logs", place[seen])
+            return alone[1:].copy()
+        places, which = self.bigram_places(ranks)
+        there = np.flatnonzero(places >= 0)
+        logs = np.zeros(len(places))
+        logs[there] = -QUANTUM * self.bigrams.take("logs", places[there])
+        seen = places[which] >= 0
+        out = np.where(seen, logs[which], alone[1:] + back[:-1])
         if self.trigrams is None:
             return out
-        context = np.append(-1, place[:-1])  # the bigram before, whose second word is this one's first
-        has = np.flatnonzero(context >= 0)
-        third = np.full(len(has), -1, dtype=np.int64)
-        both = np.flatnonzero(place[has] >= 0)
-        third[both] = self.trigrams.find(self.trigram_keys(context[has[both]], ranks[:-1][has[both]], place[has[both]]))
+        # A trigram's key: the pointer of its first two words plus the place of the third among the second's successors.
+        base, more = np.zeros(len(places), dtype=np.uint64), np.zeros(len(places))
+        more[there] = -QUANTUM * self.trigrams.by_range(self.nodes, "backoff", places[there])
+        some = np.flatnonzero(more < 0)
+        base[some] = self.bigrams.access("base", places[some], self.bases)
+        context = np.append(0, which[:-1])  # the bigram before, which ends in this one's first word
+        has = more[context] < 0
+        out = out + more[context]
+        both = np.flatnonzero(has & seen)
+        third = self.trigrams.find(base[context[both]] + (places[which[both]] - first[:-1][both]).astype(np.uint64))
         found = third >= 0
-        out[has[found]] = -QUANTUM * self.trigrams.take("logs", third[found])
-        out[has[~found]] -= QUANTUM * self.trigrams.by_range(self.nodes, "backoff", context[has[~found]])
+        out[both[found]] = -QUANTUM * self.trigrams.take("logs", third[found])
         return out
 
 
@@ -236,26 +265,38 @@ def _emit(keys: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([_planes(np.diff(own, prepend=np.uint64(0)))], pa.binary()), pa.array([_planes(n)], pa.binary())], names=["shard", "keys", "counts"])
 
 
-def _count(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[[np.ndarray], np.ndarray], model: Model | None, before: int = 1) -> DataFrame:
+def _count(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[..., np.ndarray], facts: Callable[[np.ndarray], list[np.ndarray]], before: int = 1) -> DataFrame:
     """Keys of all texts, counted by chunk and shard.
 
-    keys_of gets the ranks (or hashes) of end, tokens, end; of a long text in stretches, with `before` tokens again.
+    keys_of gets the facts of stretches of end, tokens, end, tokens, end ...; each repeats the last `before`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, parts, size = Lexicon(model.vocabulary.find if model else None), [], 0
+        lexicon, keys, size = Lexicon(facts), [], 0
+        tail = [_END]
+        parts, length = [lexicon.numbers(tail)], 0
+
+        def flush() -> None:
+            nonlocal parts, length, size
+            keys.append(keys_of(*lexicon.resolve(np.concatenate(parts))))
+            size += len(keys[-1])
+            parts, length = [lexicon.numbers(tail)], 0
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                last = [_END]
                 for piece in pieces(text):
-                    parts.append(keys_of(lexicon.of(last + piece)))
-                    size += len(parts[-1])
-                    last = (last + piece)[-before:]
-                    if size >= CHUNK:
-                        yield from _emit(np.concatenate(parts), bounds)
-                        parts, size = [], 0
+                    parts.append(lexicon.numbers(piece))
+                    length += len(piece)
+                    tail = (tail + piece[-before:])[-before:]
+                    if length >= STRETCH:
+                        flush()
+                        if size >= CHUNK:
+                            yield from _emit(np.concatenate(keys), bounds)
+                            keys, size = [], 0
+        if length:
+            flush()
         if size:
-            yield from _emit(np.concatenate(parts), bounds)
+            yield from _emit(np.concatenate(keys), bounds)
 
     return texts.mapInArrow(run, "shard int, keys binary, counts binary")
 
@@ -283,9 +324,9 @@ def _build(counted: DataFrame, shards: int, folder: str, make: Callable[[int, np
                 keys.append(np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64))
                 counts.append(_unplanes(n, np.uint32).astype(np.int64))
                 size += len(keys[-1])
-                if size >= MERGE:
+                if size >= max(MERGE, len(keys[0])):  # as much again as is merged already
                     k, n = _unique(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, size = [k], [n], len(k) // 2
+                    keys, counts, size = [k], [n], 0
         if shard is not None:
             yield close()
 
@@ -316,12 +357,13 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
     spark = docs.sparkSession
     folder = new_folder(spark, "trie")
     texts = docs.select(F.col(text_col).alias("text"))
-    bounds = (np.arange(WORD_SHARDS, dtype=np.uint64) << np.uint64(58)) if WORD_SHARDS == 64 else np.array([i * ((1 << 64) // WORD_SHARDS) for i in range(WORD_SHARDS)], dtype=np.uint64)
+    size = min(WORD_SHARDS, 4 << max(0, texts.count() // SHARD_DOCS).bit_length())
+    bounds = np.array([i * ((1 << 64) // size) for i in range(size)], dtype=np.uint64)
 
     def make_words(_, keys, counts):
         return EliasFano.build(keys).arrays("keys") | {"counts": counts}, 0
 
-    made = _build(_count(texts, bounds, lambda x: x[1:].view(np.uint64), None), WORD_SHARDS, folder, make_words, "words")
+    made = _build(_count(texts, bounds, lambda x: x[1:].view(np.uint64), lambda h: [h.view(np.int64)]), size, folder, make_words, "words")
     vocabulary, _ = _level(made, bounds)
     V, total = int(vocabulary.starts[-1]), sum(m[3] for m in made)
     model = Model(vocabulary, V, total, -1)
@@ -348,14 +390,17 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         context[some] = own.vocabulary.take("counts", some + firsts[s])
         kept = np.bincount(of, weights=counts, minlength=width)
         spare, whole = context - kept + number, np.maximum(context + number, 1)
-        logs = np.log10((counts + spare[of] * 10.0 ** own.word_logs(b)) / whole[of])
+        logs = np.empty(len(keys), dtype=np.uint16)
+        for k in range(0, len(keys), CHUNK):
+            at = slice(k, k + CHUNK)
+            logs[at] = quantise(np.log10((counts[at] + spare[of[at]] * 10.0 ** own.word_logs(b[at])) / whole[of[at]]))
         backoff = np.zeros(width)
         backoff[some] = np.log10(spare[some] / whole[some])
         pointers = np.concatenate(([0], np.cumsum(number))).astype(np.uint64)
-        return EliasFano.build(keys).arrays("keys") | EliasFano.build(pointers).arrays("pointers") | {"logs": quantise(logs), "backoff": quantise(backoff), "counts": counts.astype(np.uint32), "second": b.astype(np.uint32 if V < 1 << 32 else np.uint64)}, 0
+        return EliasFano.build(keys).arrays("keys") | EliasFano.build(pointers).arrays("pointers") | {"logs": logs, "backoff": quantise(backoff), "counts": counts.astype(np.uint32), "second": b.astype(np.uint32 if V < 1 << 32 else np.uint64)}, 0
 
     pairs = lambda x: x[:-1].astype(np.uint64) * np.uint64(V) + x[1:].astype(np.uint64)
-    made = _build(_count(texts, bounds, pairs, model), shards, folder, make_bigrams, "bigrams")
+    made = _build(_count(texts, bounds, pairs, lambda h: [below.value.vocabulary.find(h)]), shards, folder, make_bigrams, "bigrams")
     model.bigrams, at = _level(made, bounds)
     model.ranks = np.append(firsts[at], V)
     model.ranks[0] = 0
@@ -390,12 +435,16 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
     nodes[0], bounds[0] = 0, 0
     both = spark.sparkContext.broadcast(model)
 
-    def triples(x):
+    def triples(x, first):
         own = both.value
-        place = own.bigram_places(x)
-        often = own.bigrams.take("counts", place) >= LEAST_TRIGRAM
-        at = np.flatnonzero(often[:-1] & often[1:])
-        return own.trigram_keys(place[at], x[1:-1][at], place[at + 1])
+        places, which = own.bigram_places(x)
+        often = np.zeros(len(places), dtype=bool)
+        often[1:] = own.bigrams.take("counts", places[1:]) >= LEAST_TRIGRAM
+        at = np.flatnonzero(often[which[:-1]] & often[which[1:]] & (x[1:-1] != own.end))  # nothing goes on over an end
+        used = np.unique(which[at])
+        base = np.zeros(len(places), dtype=np.uint64)
+        base[used] = own.bigrams.access("base", places[used], own.bases)
+        return base[which[at]] + (places[which[at + 1]] - first[1:-1][at]).astype(np.uint64)
 
     def make_trigrams(s, keys, counts):
         own = both.value
@@ -412,9 +461,11 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         logs = np.log10((counts + spare * 10.0 ** (-QUANTUM * own.bigrams.take("logs", last))) / whole)
         backoff = np.zeros(width)
         backoff[of] = np.log10(spare / whole)
-        return EliasFano.build(keys).arrays("keys") | {"logs": quantise(logs), "backoff": quantise(backoff)}, 0
+        backoff = quantise(backoff)
+        backoff[of] = np.maximum(backoff[of], 1)  # 0 stands for a bigram that no trigram continues
+        return EliasFano.build(keys).arrays("keys") | {"logs": quantise(logs), "backoff": backoff}, 0
 
-    made = _build(_count(texts, bounds, triples, model, 2), shards, folder, make_trigrams, "trigrams")
+    made = _build(_count(texts, bounds, triples, lambda h: [(r := both.value.vocabulary.find(h)), both.value.first(r)], 2), shards, folder, make_trigrams, "trigrams")
     model.trigrams, at = _level(made, bounds)
     if not made:
         model.trigrams = None
@@ -448,7 +499,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        lexicon = Lexicon(own.vocabulary.find)
+        lexicon = Lexicon(own.facts)
         for batch in batches:
             texts = batch.column(column).to_pylist()
             sums = np.zeros((len(texts), 4))
@@ -456,14 +507,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             # that the first token of the next has.
             k = 0
             while k < len(texts):
-                parts, sizes, first = [], [], k
-                while k < len(texts) and sum(sizes) < CHUNK // 8:
-                    parts.append(np.concatenate([lexicon.of(p) for p in pieces(texts[k])]))
-                    sizes.append(len(parts[-1]))
+                parts, sizes, first, length = [lexicon.numbers([_END])], [], k, 0
+                while k < len(texts) and length < STRETCH:
+                    own_parts = [lexicon.numbers(p) for p in pieces(texts[k])]
+                    parts += own_parts
+                    sizes.append(sum(map(len, own_parts)))
+                    length += sizes[-1]
                     k += 1
-                ranks = np.concatenate(([own.end], *parts))
-                base = own.word_logs(ranks[1:])
-                full = np.concatenate([_scored(own, ranks, at) for at in range(0, len(ranks) - 1, CHUNK // 8)])
+                facts = lexicon.resolve(np.concatenate(parts))
+                ranks, base = facts[0], facts[1][1:]
+                full = np.concatenate([_scored(own, facts, at, STRETCH) for at in range(0, len(ranks) - 1, STRETCH)])
                 starts = np.cumsum([0, *sizes[:-1]])
                 for c, values in enumerate((np.ones(len(base)), ranks[1:] >= 0, base, full)):
                     sums[first:k, c] = np.add.reduceat(values.astype(float), starts)
@@ -474,7 +527,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(new, kinds, strict=True))]))
 
 
-def _scored(model: Model, ranks: np.ndarray, at: int) -> np.ndarray:
-    """Scores of a bounded number of tokens after place `at`, with the two tokens before each as context."""
+def _scored(model: Model, facts: list[np.ndarray], at: int, n: int) -> np.ndarray:
+    """Scores of n tokens after place `at`, with the two tokens before each as context."""
     back = min(at, 1)
-    return model.score(ranks[at - back : at + 1 + CHUNK // 8])[back:]
+    return model.score(*[x[at - back : at + 1 + n] for x in facts])[back:]
