@@ -19,8 +19,8 @@ from .shared import materialise
 MOST_LABELLED = 12_000
 #: Features of the classifier, and voters of the label model, at most (what the driver holds).
 MOST_FEATURES, MOST_VOTERS = 4096, 256
-#: Documents that must hold a feature before it counts.
-LEAST_DOCS = 5
+#: Documents that must hold a feature before it counts, and its least bound of the log-odds ratio.
+LEAST_DOCS, LEAST_BOUND = 5, 2.0
 PREFIXES = (4, 5, 6)
 ANCHOR_ACCURACY = 0.9
 _WORD = re.compile(r"\w+")
@@ -73,10 +73,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
 
 
 def mine(sample: DataFrame, toxic_docs: int, clean_docs: int) -> list[tuple[str, float]]:
-    """Features whose documents are toxic far more or less often than others, best first.
+    """Features whose documents are toxic far more often than others, best first.
 
-    Ranked by the bound of the log-odds ratio two standard errors towards none, which has to be 1 at least: so a
-    common word with a slight tilt, of which there are many by chance, falls behind a rare one that decides.
+    Ranked by the log-odds ratio less two standard errors, which has to be LEAST_BOUND at least: so a common word with a slight
+    tilt, of which there are many by chance, falls behind a rare one that decides. Words that speak against toxicity
+    are left out: those of a clean text that has many copies would outvote insults in yet another copy of it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +97,8 @@ def mine(sample: DataFrame, toxic_docs: int, clean_docs: int) -> list[tuple[str,
     good = F.col("n") - F.col("bad")
     odds = F.log((F.col("bad") + 0.5) / (F.lit(toxic_docs) - F.col("bad") + 0.5)) - F.log((good + 0.5) / (F.lit(clean_docs) - good + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (good + 0.5))
-    bound = F.signum(odds) * (F.abs(odds) - 2 * error)
-    best = counts.filter(F.col("n") >= LEAST_DOCS).filter(F.abs(odds) - 2 * error >= 1.0).select("f", bound.alias("z"))
-    return [(r["f"], r["z"]) for r in best.orderBy(F.abs("z").desc(), "f").limit(MOST_FEATURES).collect()]
+    best = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("bad") > 0)).select("f", (odds - 2 * error).alias("z")).filter(F.col("z") >= LEAST_BOUND)
+    return [(r["f"], r["z"]) for r in best.orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES).collect()]
 
 
 def cliques(votes: np.ndarray, likely: np.ndarray) -> np.ndarray:
@@ -121,18 +121,21 @@ def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> tupl
 
     votes: rows x voters, 1 for a vote. anchor: the given labels: EM starts from them, and they vote too, with an
     accuracy of ANCHOR_ACCURACY, which keeps the latent classes from drifting to another split of the texts. A clique
-    votes if one of its voters does; given the label, cliques are taken as independent.
+    votes if one of its voters does; given the label, cliques are taken as independent. That one of them is silent
+    says nothing, as each knows few words; that all are silent is the vote of one more, against toxicity.
     """
     of = cliques(votes, anchor)
     joint = np.zeros((len(votes), of.max() + 1))
     for j in range(votes.shape[1]):
         joint[:, of[j]] = np.maximum(joint[:, of[j]], votes[:, j])
+    silent = (joint.sum(axis=1) == 0).astype(float)
     q = np.clip(anchor, 0.01, 0.99)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 0.999)
         hit = (q @ joint + 0.1) / (q.sum() + 0.2)
         alarm = ((1 - q) @ joint + 0.1) / ((1 - q).sum() + 0.2)
-        logit = (2 * anchor - 1) * np.log(ANCHOR_ACCURACY / (1 - ANCHOR_ACCURACY)) + np.log(prior / (1 - prior)) + joint @ np.log(hit / alarm) + (1 - joint) @ np.log((1 - hit) / (1 - alarm))
+        logit = (2 * anchor - 1) * np.log(ANCHOR_ACCURACY / (1 - ANCHOR_ACCURACY)) + np.log(prior / (1 - prior)) + joint @ np.log(hit / alarm)
+        logit += silent * np.log((q @ silent + 0.1) / (q.sum() + 0.2) / (((1 - q) @ silent + 0.1) / ((1 - q).sum() + 0.2)))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-6:
             break
@@ -171,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col:
         return Model({}, float(np.log(rate / (1 - rate))) if bad else -5.0, [], np.zeros(0), np.zeros(0), np.zeros(0, dtype=int))
     mined = mine(sample, bad, good)
     number = {f: i for i, (f, _) in enumerate(mined)}
-    voters = [f for f, z in mined if z > 0][:MOST_VOTERS]
+    voters = [f for f, _ in mined[:MOST_VOTERS]]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
