@@ -74,18 +74,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
     # The size's bit length and its next four bits, in whole numbers: the same on every machine.
     size_class = bits * 16 + F.when(bits > 5, F.expr("shiftright(size, length(bin(size)) - 5) & 15")).otherwise(F.col("size") % 16)
     own = docs.select(row_struct(docs, OUT).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("size"))
-    own = own.select("*", size_class.cast("int").alias("class"), digest.alias("digest"))
+    # A key without nulls, so that ranks and the join with the bins can share one shuffle of the rows.
+    own = own.select("*", size_class.cast("int").alias("class"), digest.alias("digest"), _key(F.col("source")).alias("from"))
     own = own.select("*", (F.conv(F.substring("digest", 1, 2), 16, 10).cast("int") % 64).alias("salt"))
-    bins = own.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    bins = own.groupBy("from", "source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     sources = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     order = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("source", "class", "salt", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    bins = bins.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(
-        F.col("b.source").alias("b_source"), F.col("class").alias("b_class"), F.col("salt").alias("b_salt"), "before", "source_size", "target", "offset"
-    )
-    inside = Window.partitionBy("source", "class", "salt").orderBy("size", "digest", "id")
-    ranked = own.withColumn("rank", F.row_number().over(inside))
-    placed = ranked.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
+    bins = bins.select("from", "source", "class", "salt", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    bins = bins.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("from", "class", "salt", "before", "source_size", "target", "offset")
+    inside = Window.partitionBy("from", "class", "salt").orderBy("size", "digest", "id")
+    placed = own.withColumn("rank", F.row_number().over(inside)).join(bins, ["from", "class", "salt"])
     rank = (F.col("rank") + F.col("before")).cast("double")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     placed = placed.select("row", "size", "source_size", "target", "offset", rank.alias("rank"), each.alias("each"))
