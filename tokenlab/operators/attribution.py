@@ -231,3 +231,24 @@ def paired_counts(rows: DataFrame, reference: str, target: str, *keys: str) -> D
     """The 2x2 table of two flags."""
     r, t = F.col(reference), F.col(target)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count(r & t).alias("both"), count(r & ~t).alias("reference_only"), count(~r & t).alias("target_only"), count(~r & ~t).alias("neither"))
+
+
+def relaxed(chains: Column, gold: Column) -> Column:
+    """Chains under the relaxed verifier: one without a strict answer counts by its fallback (a last number)."""
+    instead = lambda c: c["answer"].isNull() & c["fallback"].isNotNull()
+    return F.transform(chains, lambda c: c.withField("answer", F.coalesce(c["answer"], c["fallback"])).withField("correct", c["correct"] | F.coalesce(instead(c) & (c["fallback"] == gold), F.lit(False))))
+
+
+def strict_relaxed_summary(arms: DataFrame, base: str = "b", extended: str = "c") -> DataFrame:
+    """Accuracy, help and harm by setting (strict, relaxed) for each data set and all."""
+    own = voted(arms.withColumn("rb", relaxed(F.col(base), F.col("gold"))).withColumn("rx", relaxed(F.col(extended), F.col("gold"))), base, extended, "rb", "rx")
+    rows = own.select("dataset", F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.col(f"vote_{p}.correct").alias("p"), F.col(f"vote_{q}.correct").alias("q")) for n, p, q in (("strict", base, extended), ("relaxed", "rb", "rx"))])).alias("s")).select("dataset", "s.*")
+    p, q, n = F.col("p"), F.col("q"), F.count(F.lit(1))
+    return over_all(rows, ["setting"], n.alias("n"), rate(count(p), n).alias("base_acc"), rate(count(q), n).alias("ext_acc"), count(~p & q).alias("helpful"), count(p & ~q).alias("harmful"))
+
+
+def hidden_repairs(arms: DataFrame, base: str = "a", extended: str = "c") -> DataFrame:
+    """Among problems that the strict verifier finds all wrong: repairs it sees, and those only the relaxed one sees."""
+    own = voted(arms.withColumn("rx", relaxed(F.col(extended), F.col("gold"))), extended, "rx").withColumn("e", vote.eligibility(F.col(base))["strict_all_wrong"])
+    e, s, r = F.col("e"), F.col(f"vote_{extended}.correct"), F.col("vote_rx.correct")
+    return over_all(own, [], count(e).alias("n_eligible"), count(e & s).alias("strict_repairs"), count(e & r).alias("relaxed_repairs"), count(e & ~s & r).alias("hidden_repairs"), count(e & s & ~r).alias("lost_repairs"))

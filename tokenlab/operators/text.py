@@ -135,3 +135,9 @@ def lower_cap(chain: Column, cap: int) -> Column:
     ends = F.size(chain["token_ids"]) <= cap
     cut = chain.withField("token_ids", F.slice(chain["token_ids"], 1, cap)).withField("token_count", F.lit(cap)).withField("finish_reason", F.lit("length")).withField("stop_reason", F.lit(None).cast("string"))
     return F.when(ends, chain).otherwise(cut)
+
+
+def logprob_summary(best: Column, second: Column) -> Column:
+    """Struct of the mean of the best log-probability per token and of its margin over the second; nulls without tokens."""
+    mean = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    return F.struct(mean(best).alias("avg_logprob"), mean(F.zip_with(best, second, lambda a, b: a - b)).alias("avg_logprob_margin"))

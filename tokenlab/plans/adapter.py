@@ -31,6 +31,7 @@ def _chains(lines: Column, status: str, cap: int) -> Column:
             complete.alias("complete"),
             answer.alias("answer"),
             F.coalesce(answer == F.col("gold"), F.lit(False)).alias("correct"),
+            F.when(complete, x["l_returnflag"]).alias("fallback"),
         )
 
     return F.transform(own, chain)
@@ -69,14 +70,14 @@ WITH problems AS (
     SELECT o_orderkey AS problem_id, o_orderstatus AS dataset, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS math_level,
         CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS gold FROM orders
 ), lines AS (
-    SELECT l_orderkey AS problem_id, l_linestatus AS status, CAST(l_quantity AS INTEGER) AS tokens, CASE WHEN l_discount > 0 THEN l_returnflag END AS flag,
+    SELECT l_orderkey AS problem_id, l_linestatus AS status, CAST(l_quantity AS INTEGER) AS tokens, CASE WHEN l_discount > 0 THEN l_returnflag END AS flag, l_returnflag AS raw,
         CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag) - 1 AS INTEGER) AS chain_index
     FROM lineitem
 ), caps AS (
     SELECT * FROM (VALUES ('A', 'F', 35), ('B', 'O', 35), ('C', 'O', 50)) v(arm, status, cap)
 ), chains AS (
     SELECT p.problem_id, dataset, math_level, gold, arm, chain_index, least(tokens, cap) AS token_count, tokens <= cap AS complete,
-        CASE WHEN tokens <= cap THEN flag END AS answer, coalesce(CASE WHEN tokens <= cap THEN flag END = gold, false) AS correct
+        CASE WHEN tokens <= cap THEN flag END AS answer, coalesce(CASE WHEN tokens <= cap THEN flag END = gold, false) AS correct, CASE WHEN tokens <= cap THEN raw END AS fallback
     FROM lines JOIN caps USING (status) JOIN problems p USING (problem_id)
 ), tally AS (
     SELECT problem_id, arm, answer, count(*) AS n, bool_or(correct) AS ok FROM chains WHERE answer IS NOT NULL GROUP BY ALL

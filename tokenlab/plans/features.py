@@ -211,6 +211,19 @@ def auc_rank(spark, sf_dir):
     return learn.auc(f, "s", "label", "feature")
 
 
+@query(
+    "WITH f AS (SELECT lang, quality AS label, n_chars AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), k AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY s) + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0::DOUBLE AS r FROM f), "
+    f"a AS (SELECT lang, {n_if('label = 1')} AS p, {n_if('label = 0')} AS n, sum(r) FILTER (WHERE label = 1) AS rs FROM k GROUP BY ALL) SELECT 'n_chars' AS feature, "
+    + ", ".join(f"max({r6('(rs - p * (p + 1) / 2.0::DOUBLE) / nullif(p * n, 0)')}) FILTER (WHERE lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr"))
+    + " FROM a"
+)
+def auc_pivot(spark, sf_dir):
+    """AUC of a feature by language, languages as columns."""
+    d = adapter.table(spark, sf_dir, "documents").join(adapter.table(spark, sf_dir, "labels").filter("quality is not null"), "doc_id")
+    areas = learn.auc(d.select("lang", F.col("quality").alias("label"), F.col("n_chars").alias("s")), "s", "label", "lang")
+    return areas.withColumn("feature", F.lit("n_chars")).groupBy("feature").pivot("lang", ["de", "en", "es", "fr"]).agg(F.max("auc"))
+
+
 @query("SELECT doc_id, quality AS label, CAST((row_number() OVER (PARTITION BY quality ORDER BY sha256('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels WHERE quality IS NOT NULL")
 def stratified_folds(spark, sf_dir):
     rows = adapter.table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", F.col("quality").alias("label"))

@@ -335,3 +335,22 @@ def chr_rate(spark, sf_dir):
 def paired_2x2(spark, sf_dir):
     v = at.voted(adapter.paired(spark, sf_dir), "a", "c")
     return at.paired_counts(v.select("dataset", F.col("vote_a.correct").alias("r"), F.col("vote_c.correct").alias("t")), "r", "t", "dataset")
+
+
+_RELAXED = (
+    adapter.SQL
+    + """, rl AS (SELECT problem_id, arm, coalesce(answer, fallback) AS answer, correct OR coalesce(answer IS NULL AND fallback = gold, false) AS correct FROM chains),
+    rt AS (SELECT problem_id, arm, answer, count(*) AS n, bool_or(correct) AS ok FROM rl WHERE answer IS NOT NULL GROUP BY ALL), rm AS (SELECT *, max(n) OVER (PARTITION BY problem_id, arm) AS most FROM rt),
+    rw AS (SELECT problem_id, arm, arg_min(ok, answer) AS ok FROM rm WHERE n = most GROUP BY ALL),
+    r3 AS (SELECT t.problem_id, t.dataset, t.strict_all_wrong AS e, b_ok, c_ok, coalesce(b.ok, false) AS rb, coalesce(c.ok, false) AS rc FROM three t LEFT JOIN rw b ON b.problem_id = t.problem_id AND b.arm = 'B' LEFT JOIN rw c ON c.problem_id = t.problem_id AND c.arm = 'C')"""
+)
+
+
+@query(_RELAXED + f", s AS (SELECT dataset, 'strict' AS setting, b_ok AS p, c_ok AS q FROM r3 UNION ALL SELECT dataset, 'relaxed', rb, rc FROM r3) SELECT {ALL}, setting, count(*) AS n, {ratio(n_if('p'), 'count(*)')} AS base_acc, {ratio(n_if('q'), 'count(*)')} AS ext_acc, {n_if('NOT p AND q')} AS helpful, {n_if('p AND NOT q')} AS harmful FROM s GROUP BY GROUPING SETS ((setting), (setting, dataset))")
+def strict_relaxed_summary(spark, sf_dir):
+    return at.strict_relaxed_summary(adapter.paired(spark, sf_dir))
+
+
+@query(_RELAXED + f" SELECT {ALL}, {n_if('e')} AS n_eligible, {n_if('e AND c_ok')} AS strict_repairs, {n_if('e AND rc')} AS relaxed_repairs, {n_if('e AND NOT c_ok AND rc')} AS hidden_repairs, {n_if('e AND c_ok AND NOT rc')} AS lost_repairs FROM r3 GROUP BY GROUPING SETS ((), (dataset))")
+def hidden_repair_audit(spark, sf_dir):
+    return at.hidden_repairs(adapter.paired(spark, sf_dir))
