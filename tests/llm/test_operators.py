@@ -168,6 +168,10 @@ def test_language_on_held_out_rows(spark):
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
 
 
+def test_letters():
+    assert not langid.has_letter("½ ² _ 1 !") and langid.has_letter("½a") and langid.has_letter("漢")
+
+
 def test_language_odd_and_empty(odd, empty):
     model = langid.learn(odd)
     got = rows(langid.identify(odd, model))

@@ -25,7 +25,8 @@ _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether one character is a letter; the pattern also finds fractions and superscripts."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def buckets(text: str) -> np.ndarray:
