@@ -13,17 +13,19 @@ from pyarrow import fs
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+# By byte and rank: the place of the byte's one of that rank.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.uint8)
+
+
 def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th one (from 0) of each word."""
-    place = np.zeros(len(word), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = word & np.uint64((1 << width) - 1)
-        n = np.bitwise_count(low).astype(np.int64)
-        up = r >= n
-        r = r - np.where(up, n, 0)
-        word = np.where(up, word >> np.uint64(width), low)
-        place += np.where(up, width, 0)
-    return place
+    """Place of the r-th one (from 0) of each word: first its byte, then within that by table."""
+    parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+    sums = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    at = (sums <= r.astype(np.uint8)[:, None]).sum(axis=1, dtype=np.int64)
+    flat = np.arange(len(word)) * 8 + at
+    byte = parts.reshape(-1)[flat]
+    rest = r - np.where(at > 0, sums.reshape(-1)[np.maximum(flat - 1, 0)], 0)
+    return at * 8 + _IN_BYTE[byte, rest]
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
@@ -101,34 +103,45 @@ class EliasFano:
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first number that isn't below x (n if none), and whether it equals x."""
         x = np.asarray(x, dtype=np.uint64)
+        if self.n and len(x) and int(x.max()) >> self.bits <= len(self.high) * 64 - self.n - 2:
+            return self._search(x)
         place, same = np.full(len(x), self.n, dtype=np.int64), np.zeros(len(x), dtype=bool)
-        if not self.n or not len(x):
-            return place, same
-        top = x >> np.uint64(self.bits)
-        last = np.uint64(len(self.high) * 64 - self.n - 2)
-        inside = np.flatnonzero(top <= last)
-        bucket = top[inside].astype(np.int64)
-        want = x[inside] & np.uint64((1 << self.bits) - 1)
+        if self.n and len(x):
+            inside = np.flatnonzero(x >> np.uint64(self.bits) <= np.uint64(len(self.high) * 64 - self.n - 2))
+            if len(inside):
+                place[inside], same[inside] = self._search(x[inside])
+        return place, same
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """successor() for numbers whose buckets the high bits reach."""
+        bucket = (x >> np.uint64(self.bits)).astype(np.int64)
+        want = x & np.uint64((1 << self.bits) - 1)
         # A bucket's numbers stand between the zero that ends the one before it and its own; they are searched by halving.
-        at = np.where(bucket > 0, _select(self.high, self.zeros, np.maximum(bucket - 1, 0), True) + 1, 0)
+        at = _select(self.high, self.zeros, np.maximum(bucket - 1, 0), True) + 1
+        at[bucket == 0] = 0
         low = at - bucket
         # The next zero is mostly in the same word.
         free = (self.high[at >> 6] ^ _ALL) & (_ALL << (at & 63).astype(np.uint64))
         end = (at & ~63) + np.bitwise_count((free & (~free + _ONE)) - _ONE) - bucket
         far = np.flatnonzero(free == 0)
-        end[far] = _select(self.high, self.zeros, bucket[far], True) - bucket[far]
-        high, on = end.copy(), np.flatnonzero(low < end)
-        while len(on):
-            middle = low[on] + high[on] >> 1
-            less = self._low(middle) < want[on]
-            low[on[less]] = middle[less] + 1
-            high[on[~less]] = middle[~less]
-            on = on[low[on] < high[on]]
+        if len(far):
+            end[far] = _select(self.high, self.zeros, bucket[far], True) - bucket[far]
         some = np.flatnonzero(low < end)
-        same[inside[some[self._low(low[some]) == want[some]]]] = True
-        index = low
-        place[inside] = np.minimum(index, self.n)
-        return place, same
+        # Those still searched: first, behind the last, and the wanted low bits.
+        on, a, b, w = some, low[some], end[some], want[some]
+        while len(on):
+            middle = a + b >> 1
+            less = self._low(middle) < w
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            going = a < b
+            if not going.all():
+                done = ~going
+                low[on[done]] = a[done]
+                on, a, b, w = on[going], a[going], b[going], w[going]
+        same = np.zeros(len(x), dtype=bool)
+        some = some[low[some] < end[some]]
+        same[some] = self._low(low[some]) == want[some]
+        return low, same
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Places of x, -1 where it isn't there."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ SHARD_TOKENS = 6_000_000
 #: Numbers that a task gathers before it sorts and emits or merges them.
 CHUNK, MERGE = 1 << 20, 1 << 20
 #: Tokens that are looked up together.
-STRETCH = 1 << 18
+STRETCH = 1 << 20
 #: Trigrams seen less often are left to the levels below.
 LEAST_TRIGRAM = 2
 #: Logarithms are stored in 16 bits, as multiples of this below zero.
@@ -76,34 +78,33 @@ def _unique(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts], sums.astype(np.int64)
 
 
-class Lexicon(dict):
+class Lexicon:
     """word -> a number of this task's own; what is known of each word is looked up once and kept by number.
 
     facts: from hashes of new words to arrays, the first of which holds their ranks (or hashes, without a vocabulary).
     """
 
     def __init__(self, facts: Callable[[np.ndarray], list[np.ndarray]], most: int = 1 << 19):
-        super().__init__()
-        self.facts, self.most, self.new, self.kept = facts, most, [], None
+        self.facts, self.most = facts, most
+        self._clear()
 
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(xxhash.xxh3_64_intdigest(word))
-        n = self[word] = len(self)
-        return n
+    def _clear(self) -> None:
+        self.number, self.known, self.kept = defaultdict(count().__next__), 0, None
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        return np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def resolve(self, numbers: np.ndarray) -> list[np.ndarray]:
-        """The facts of numbers; all new words are looked up together here."""
-        if self.new or self.kept is None:
-            fresh = self.facts(np.array(self.new, dtype=np.uint64))
-            self.new = []
+        """The facts of numbers; all new words, the last in the dictionary, are looked up together here."""
+        new = len(self.number) - self.known
+        if new or self.kept is None:
+            words = list(islice(reversed(self.number), new))[::-1]
+            fresh = self.facts(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=new))
             self.kept = fresh if self.kept is None else [np.concatenate(x) for x in zip(self.kept, fresh, strict=True)]
+            self.known += new
         out = [x[numbers] for x in self.kept]
-        if len(self) > self.most:  # numbers given so far end here
-            self.clear()
-            self.kept = None
+        if self.known > self.most:  # numbers given so far end here
+            self._clear()
         return out
 
 
@@ -441,7 +442,9 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         often = np.zeros(len(places), dtype=bool)
         often[1:] = own.bigrams.take("counts", places[1:]) >= LEAST_TRIGRAM
         at = np.flatnonzero(often[which[:-1]] & often[which[1:]] & (x[1:-1] != own.end))  # nothing goes on over an end
-        used = np.unique(which[at])
+        used = np.zeros(len(places), dtype=bool)
+        used[which[at]] = True
+        used = np.flatnonzero(used)
         base = np.zeros(len(places), dtype=np.uint64)
         base[used] = own.bigrams.access("base", places[used], own.bases)
         return base[which[at]] + (places[which[at + 1]] - first[1:-1][at]).astype(np.uint64)
