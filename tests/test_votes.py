@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,23 @@ def test_subsets_of_all_chains_are_the_vote(spark):
         resample.subsets(9, 4)
 
 
+def test_subsets_of_many_chains_are_all_counted(spark):
+    """More than 8 chains; votes of every subset, formed one by one."""
+    rng = random.Random(5)
+    sets = [[chain(rng.choice(["A", "B", "", None]), rng.random() < 0.4) for _ in range(n)] for n in (9, 9, 10, 12, 3, 0)]
+    f = frame(spark, [("x", s, [], []) for s in sets])
+    got = {(r["problem_id"], r["k"]): tuple(r)[3:] for r in resample.subset_audit(f, "a", (1, 2, 4)).collect()}
+    want = {}
+    for i, s in enumerate(sets):
+        for k in (1, 2, 4):
+            if each := [plain_vote(c)[1:] for c in combinations(s, k)]:
+                want[i, k] = (len(each), *(sum(v) / len(each) for v in zip(*each, strict=True)))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and want[3, 4][0] == 495
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=6e-7)
+    assert resample.subset_counts(((90, 0), (0, 110)), 0, 2) == (19900, 110 * 109 // 2, 9900, 110 * 109 // 2, 110 * 109 // 2 + 9900)
+
+
 def test_split_null_counts_splits(spark):
     f = frame(spark, [("x", [chain("A"), chain("A"), chain("B", True), chain("B", True)], [], [])])
     rows = {r["selector_indices"]: (r["n_eligible"], r["repair_count"]) for r in resample.split_null(f, "a", 2).collect()}

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 from . import vote
 from .attribution import over_all, rate
 
-#: 2**n subsets are formed for n chains.
+#: Lists of subsets are formed for so many chains at most; audits count subsets and have no limit.
 MOST_CHAINS = 8
 
 
@@ -24,31 +29,62 @@ def subsets(n: int, k: int) -> list[list[int]]:
     return [list(c) for c in combinations(range(n), k)]
 
 
-def _literal(sets: list[list[int]]) -> Column:
-    return F.array(*[F.array(*[F.lit(i) for i in s]) for s in sets]) if sets else F.array().cast("array<array<int>>")
+def subset_counts(wrong_right: tuple[tuple[int, int], ...], silent: int, k: int) -> tuple[int, int, int, int, int]:
+    """All k-subsets of chains, and those whose vote is correct, a tie, lower, upper (see vote.plurality).
 
-
-def all_subsets(size: Column, k: int) -> Column:
-    """Array of the k-subsets for arrays of 0..MOST_CHAINS elements; empty if the array is shorter than k or longer."""
-    out = F.array().cast("array<array<int>>")
-    for n in range(k, MOST_CHAINS + 1):
-        out = F.when(size == n, _literal(subsets(n, k))).otherwise(out)
-    return out
+    wrong_right: numbers of wrong and of right chains per answer, in order of the answers; silent: chains without an
+    answer. Subsets are counted answer by answer, by what decides the vote, so none is formed and n has no limit.
+    """
+    # Chains taken, votes of the leading answers, the first of them right, all, one, several of them -> subsets.
+    ways = {(0, 0, False, False, False, False): 1}
+    for wrong, right in wrong_right:
+        new: dict[tuple[int, int, bool, bool, bool, bool], int] = {}
+        for (taken, most, first, low, high, tie), n in ways.items():
+            for t in range(min(wrong + right, k - taken) + 1):
+                failed = comb(wrong, t)
+                for ok, m in ((False, failed), (True, comb(wrong + right, t) - failed)):
+                    if m:
+                        led = (first, low, high, tie) if t < most or not t else (first, low and ok, high or ok, True) if t == most else (ok, ok, ok, False)
+                        key = (taken + t, max(most, t), *led)
+                        new[key] = new.get(key, 0) + n * m
+        ways = new
+    out = [0] * 5
+    for (taken, _, first, low, high, tie), n in ways.items():
+        n *= comb(silent, k - taken)
+        for i, holds in enumerate((True, first, tie, low, high)):
+            out[i] += n * holds
+    return tuple(out)
 
 
 def subset_audit(frame: DataFrame, chains: str, ks: tuple[int, ...]) -> DataFrame:
     """Per problem and k: means over all C(n, k) subsets of the vote's correct, tie, lower, upper.
 
-    A row per subset is formed and summed map-side per problem; problems with more than MOST_CHAINS chains are left
-    out, as are k above a problem's number of chains.
+    Exact for any number of chains, without a shuffle; k above a problem's number of chains give no row.
     """
-    rows = frame.filter(F.size(chains) <= MOST_CHAINS)
-    each = F.array(*[F.struct(F.lit(k).alias("k"), all_subsets(F.size(chains), k).alias("sets")) for k in ks])
-    rows = rows.select("problem_id", "dataset", chains, F.explode(each).alias("e")).select("problem_id", "dataset", chains, "e.k", F.col("e.sets").alias("sets")).filter(F.size("sets") > 0)
-    votes = F.transform("sets", lambda s: vote.plurality(F.transform(s, lambda i: F.col(chains)[i])))
-    rows = rows.select("problem_id", "dataset", "k", votes.alias("v"))
-    mean = lambda field: F.size(F.filter("v", lambda x: x[field])).cast("double") / F.size("v")
-    return rows.select("problem_id", "dataset", "k", F.size("v").cast("long").alias("n_subsets"), *[F.round(mean(f), 6).alias(name) for f, name in (("correct", "accuracy"), ("tie", "tie_rate"), ("lower", "acc_lower"), ("upper", "acc_upper"))])
+    rows = frame.select("problem_id", "dataset", F.transform(chains, lambda c: c["answer"].cast("string")).alias("answers"), F.transform(chains, lambda c: c["correct"]).alias("right"))
+    names = ("accuracy", "tie_rate", "acc_lower", "acc_upper")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("k", T.IntegerType(), False), T.StructField("n_subsets", T.LongType(), False), *(T.StructField(c, T.DoubleType(), False) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = lru_cache(1 << 16)(subset_counts)
+        for batch in batches:
+            place, found = [], []
+            for i, (answers, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                by: dict[str, list[int]] = {}
+                for a, ok in zip(answers or (), right or (), strict=True):
+                    if a is not None:
+                        by.setdefault(a, [0, 0])[bool(ok)] += 1
+                n, profile = len(answers or ()), tuple((w, r) for _, (w, r) in sorted(by.items()))
+                silent = n - sum(w + r for w, r in profile)
+                for k in ks if answers is not None else ():
+                    if k <= n:
+                        every, *some = counts(profile, silent, k)
+                        place.append(i)
+                        found.append((k, every, *(x / every for x in some)))
+            own = [batch.column(j).take(pa.array(place, pa.int64())) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[j] for r in found], t) for j, t in enumerate((pa.int32(), pa.int64(), *[pa.float64()] * 4)))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).select("problem_id", "dataset", "k", "n_subsets", *[F.round(c, 6).alias(c) for c in names])
 
 
 def subset_summary(audit: DataFrame) -> DataFrame:
