@@ -1,13 +1,16 @@
 """Golden arithmetic of the published counts, and agreement of native and Python forms."""
 
+import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tokenlab.functions import stats
 from tokenlab.operators import resample
+from tokenlab.plans import numbers
 
 # Published: eligible, events, two-sided 95 % interval, to six decimals.
 INTERVALS = [(3168, 150, 0.040216, 0.055331), (3168, 149, 0.039924, 0.054992), (3168, 1, 0.000008, 0.001757), (3994, 20, 0.003061, 0.007723), (3994, 0, 0.0, 0.000923)]
@@ -60,3 +63,37 @@ def test_bootstraps_are_deterministic(spark):
     one = sorted(map(tuple, resample.hash_bootstrap(f, "k", 20, 1, "v").collect()))
     assert one == sorted(map(tuple, resample.hash_bootstrap(f.repartition(7), "k", 20, 1, "v").collect()))
     assert 150 < sum(r[1] for r in one) / 20 < 250
+
+
+def test_hash_bootstrap_of_all_draws(spark):
+    """Every draw of a small table, against plain hashes; groups, nulls and doubles too."""
+    rows = [(k, g, v, x) for k, g, v, x in (("a", 1, 1, 0.5), ("b", 1, -1, None), ("c", 2, 0, 0.25), ("a", 2, 1, 2.0), (None, 1, None, 1.0))]
+    f = spark.createDataFrame(rows, "k string, g int, v int, x double")
+    got = {(r["g"], r["draw"]): (r["n"], r["v"], r["x"]) for r in resample.hash_bootstrap(f, "k", resample.DRAWS, 9, "v", "x", by=("g",)).collect()}
+
+    def weight(d, k):
+        u = int(hashlib.sha256("|".join(["9", str(d), *([k] if k else [])]).encode()).hexdigest()[:12], 16) / (1 << 48)
+        return sum(u >= t for t in resample.POISSON)
+
+    assert len(got) == 2 * resample.DRAWS
+    for (g, d), (n, v, x) in got.items():
+        own = [(weight(d, k), a, b) for k, h, a, b in rows if h == g]
+        assert (n, v, x) == (sum(w for w, *_ in own), sum(w * (a or 0) for w, a, _ in own), sum(w * (b or 0) for w, _, b in own))
+
+
+@pytest.mark.parametrize(("name", "form"), [("hash_bootstrap_ci", numbers._difference_ci), ("cluster_bootstrap_hash", numbers._ratio_ci)])
+def test_registered_bootstraps_make_all_draws(spark, name, form):
+    """10 000 draws as registered; with as few as the SQL makes, the SQL's interval."""
+    data, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("orders", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    few, want = form(spark, data, numbers._DRAWS).first(), c.sql(numbers.ORACLES[name])
+    assert [few[x] for x in want.columns] == pytest.approx(want.fetchall()[0], abs=1e-8)
+    assert numbers.QUERIES[name](spark, data).first()["draws"] == 10_000
+
+
+def test_registered_numpy_bootstrap_makes_all_draws(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(resample, "bootstrap_numpy", lambda *a, draws=10_000, **k: made.append(draws))
+    numbers.bootstrap_numpy(spark, "/root/testdata/sf0.001")
+    assert made == [10_000]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,10 @@ from .attribution import over_all, rate
 
 #: Lists of subsets are formed for so many chains at most; audits count subsets and have no limit.
 MOST_CHAINS = 8
+#: Draws of the registered bootstraps.
+DRAWS = 10_000
+#: Groups whose sums by draw a task holds before it gives them out.
+GROUPS_HELD = 64
 
 
 def subsets(n: int, k: int) -> list[list[int]]:
@@ -140,12 +145,55 @@ def poisson_weight(uniform: Column) -> Column:
 def hash_bootstrap(values: DataFrame, key: str, draws: int, seed: int, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
     """draw, n and weighted sums per draw: every row counts Poisson(1) times, decided by hash of seed, draw and key.
 
-    Distributed, with one partial sum per task and draw, and the same wherever it runs; rows of one key (a cluster)
-    share their weight.
+    The same wherever it runs; rows of one key (a cluster) share their weight. Weights are those of poisson_weight
+    over hash_uniform. Every task sums all draws over its own rows, so no row is made per row and draw; it holds one
+    sum per draw for GROUPS_HELD groups at most. Integers are summed as long, others as double.
     """
-    rows = values.select(key, *by, *sums, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    rows = rows.withColumn("w", poisson_weight(hash_uniform(F.lit(seed), F.col("draw"), F.col(key))))
-    return rows.groupBy(*by, "draw").agg(F.sum("w").cast("long").alias("n"), *[F.sum(F.col("w") * F.col(s)).alias(s) for s in sums])
+    names = [*by, "draw", "n", *sums]
+    rows = values.select(F.col(key).cast("string").alias("__key"), *by, *[F.col(c).alias(f"__s{i}") for i, c in enumerate(sums)])
+    kinds = [rows.schema[f"__s{i}"].dataType for i in range(len(sums))]
+    if any(not isinstance(t, (T.IntegralType, T.FractionalType)) or isinstance(t, T.DecimalType) for t in kinds):
+        raise TypeError("sums are of integers or doubles")
+    whole = [isinstance(t, T.IntegralType) for t in kinds]
+    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("draw", T.IntegerType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.LongType() if w else T.DoubleType()) for c, w in zip(sums, whole, strict=True))])
+    steps = np.array([ceil(t * (1 << 48)) for t in POISSON], dtype=np.uint64)
+    prefixes = [f"{seed}|{d}".encode() for d in range(draws)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, list[np.ndarray], list[bool]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, (n, totals, seen) in held.items():
+                own = [pa.array([v] * draws, batch.column(1 + i).type) for i, v in enumerate(group)]
+                added = [pa.array(t if some else [None] * draws, pa.int64() if w else pa.float64()) for t, some, w in zip(totals, seen, whole, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(range(draws), pa.int32()), pa.array(n), *added], names=names)
+            held.clear()
+
+        for batch in batches:
+            parts: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*[batch.column(1 + j).to_pylist() for j in range(len(by))], strict=True) if by else [()] * batch.num_rows):
+                parts.setdefault(group, []).append(i)
+            for group, at in parts.items():
+                if group not in held and len(held) >= GROUPS_HELD:
+                    yield from out()
+                part = batch.take(pa.array(at, pa.int64()))
+                # concat_ws leaves a null out.
+                ends = [b"" if k is None else b"|" + k.encode() for k in part.column(0).to_pylist()]
+                columns = [part.column(1 + len(by) + j) for j in range(len(sums))]
+                numbers = [c.cast(pa.int64() if w else pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for c, w in zip(columns, whole, strict=True)]
+                n, totals, seen = held.setdefault(group, (np.zeros(draws, np.int64), [np.zeros(draws, np.int64 if w else float) for w in whole], [False] * len(sums)))
+                seen[:] = [a or c.null_count < len(c) for a, c in zip(seen, columns, strict=True)]
+                for d, start in enumerate(prefixes):
+                    digests = b"".join([sha256(start + e).digest() for e in ends])
+                    weight = np.searchsorted(steps, np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16), side="right")
+                    n[d] += weight.sum()
+                    for t, v in zip(totals, numbers, strict=True):
+                        t[d] += weight @ v
+        yield from out()
+
+    # Few bytes are much work here: tasks are dealt by cores, not by size.
+    parts = values.sparkSession.sparkContext.defaultParallelism * 3
+    return rows.repartition(parts).mapInArrow(run, schema).groupBy(*by, "draw").agg(F.sum("n").cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums])
 
 
 def percentile_interval(draws: DataFrame, value: str, *by: str, alpha: float = 0.05) -> DataFrame:
@@ -154,7 +202,7 @@ def percentile_interval(draws: DataFrame, value: str, *by: str, alpha: float = 0
     return draws.groupBy(*by).agg(F.count(value).alias("draws"), q(alpha / 2).alias("low"), q(1 - alpha / 2).alias("high"))
 
 
-def bootstrap_numpy(frame: DataFrame, a: str, b: str, by: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+def bootstrap_numpy(frame: DataFrame, a: str, b: str, by: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """Paired bootstrap of the mean of b - a by group, with numpy's generator: the exact mode for summary-sized groups."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -227,24 +227,35 @@ def _duck_uniform(parts: str) -> str:
     return f"CAST(CAST('0x' || substr(sha256(concat_ws('|', {parts})), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
 
 
+#: Draws of the SQL; the queries make resample.DRAWS, which is too slow there.
 _DRAWS = 50
 
 
+def _difference_ci(spark, sf_dir, draws):
+    v = at.voted(adapter.paired(spark, sf_dir), "b", "c")
+    d = v.select("problem_id", (F.col("vote_c.correct").cast("int") - F.col("vote_b.correct").cast("int")).alias("delta"))
+    out = resample.hash_bootstrap(d, "problem_id", draws, 42, "delta").withColumn("mean", F.col("delta") / F.col("n"))
+    return resample.percentile_interval(out, "mean")
+
+
 @query(
     adapter.SQL
     + f""", d AS (SELECT problem_id, CAST(c_ok AS INTEGER) - CAST(b_ok AS INTEGER) AS delta FROM three), b AS (SELECT draw, sum(w) AS n, sum(w * delta) AS s FROM (SELECT draw, delta, {_duck_weight(_duck_uniform("42, draw, problem_id"))} AS w FROM d, range({_DRAWS}) r(draw)) GROUP BY ALL)
     SELECT count(*) AS draws, {r6("quantile_cont(CAST(s AS DOUBLE) / n, 0.025)")} AS low, {r6("quantile_cont(CAST(s AS DOUBLE) / n, 0.975)")} AS high FROM b"""
 )
 def hash_bootstrap_ci(spark, sf_dir):
-    v = at.voted(adapter.paired(spark, sf_dir), "b", "c")
-    d = v.select("problem_id", (F.col("vote_c.correct").cast("int") - F.col("vote_b.correct").cast("int")).alias("delta"))
-    draws = resample.hash_bootstrap(d, "problem_id", _DRAWS, 42, "delta").withColumn("mean", F.col("delta") / F.col("n"))
-    return resample.percentile_interval(draws, "mean")
+    return _difference_ci(spark, sf_dir, resample.DRAWS)
 
 
 _CLUSTER = _SEEDED + f", p AS (SELECT problem_id, seed, CAST(a AS INTEGER) AS e, CAST(a AND b AS INTEGER) AS k FROM kept)"
 
 
+def _ratio_ci(spark, sf_dir, draws):
+    rows = _seeded(spark, sf_dir).groupBy("problem_id").agg(F.sum(F.col("a").cast("int")).alias("e"), F.sum((F.col("a") & F.col("b")).cast("int")).alias("k"))
+    out = resample.hash_bootstrap(rows, "problem_id", draws, 7, "e", "k").withColumn("ratio", F.col("k") / F.nullif(F.col("e"), F.lit(0)))
+    return resample.percentile_interval(out, "ratio")
+
+
 @query(
     _CLUSTER
     + f""", c AS (SELECT problem_id, sum(e) AS e, sum(k) AS k FROM p GROUP BY ALL), b AS (SELECT draw, sum(w * e) AS e, sum(w * k) AS k FROM (SELECT draw, e, k, {_duck_weight(_duck_uniform("7, draw, problem_id"))} AS w FROM c, range({_DRAWS}) r(draw)) GROUP BY ALL)
@@ -252,9 +263,7 @@ _CLUSTER = _SEEDED + f", p AS (SELECT problem_id, seed, CAST(a AS INTEGER) AS e,
 )
 def cluster_bootstrap_hash(spark, sf_dir):
     """Problems are resampled with all their seeds; the statistic is a ratio of sums."""
-    rows = _seeded(spark, sf_dir).groupBy("problem_id").agg(F.sum(F.col("a").cast("int")).alias("e"), F.sum((F.col("a") & F.col("b")).cast("int")).alias("k"))
-    draws = resample.hash_bootstrap(rows, "problem_id", _DRAWS, 7, "e", "k").withColumn("ratio", F.col("k") / F.nullif(F.col("e"), F.lit(0)))
-    return resample.percentile_interval(draws, "ratio")
+    return _ratio_ci(spark, sf_dir, resample.DRAWS)
 
 
 @query(_CLUSTER + f" SELECT o.omitted, {n_if('e = 1')} AS n_eligible, CAST(sum(k) AS BIGINT) AS k, {ratio('sum(k)', 'sum(e)')} AS rate FROM p, (SELECT DISTINCT seed AS omitted FROM p) o WHERE seed <> omitted GROUP BY ALL")
@@ -268,7 +277,7 @@ def leave_one_seed_out(spark, sf_dir):
 @query()
 def bootstrap_numpy(spark, sf_dir):
     v = at.voted(adapter.paired(spark, sf_dir), "b", "c").select("problem_id", "dataset", F.col("vote_b.correct").cast("int").alias("b"), F.col("vote_c.correct").cast("int").alias("c"))
-    return resample.bootstrap_numpy(v, "b", "c", "dataset", draws=1000)
+    return resample.bootstrap_numpy(v, "b", "c", "dataset")
 
 
 # --- routing --------------------------------------------------------------------------------------------------------
