@@ -230,6 +230,23 @@ def test_leaks_stand_substitutions_and_clean_texts_stay(spark):
     assert set(got) == leaked and all(r["leak_item"] == i % 20 and r["leak_matches"] >= 20 and 95 <= r["leak_start"] <= 108 for i, r in got.items())
 
 
+def test_short_items_leak_too(spark):
+    """Verbatim items of 1 to 15 tokens, one substituted word in those of 8 and more wherever it is, and no less."""
+    words = {n: [f"w{n}x{i}" for i in range(n)] for n in range(1, 16)}
+    around, table, want = [f"z{i}" for i in range(30)], [], {}
+    for n, own in words.items():
+        for p in (None, *range(n)):
+            text = [*around, *(w if i != p else "other" for i, w in enumerate(own)), *around]
+            if p is None or n >= 8 or n < 7:
+                table.append((len(table), " ".join(text)))
+                if p is None or n >= 8:
+                    want[len(table) - 1] = n
+    docs, benchmark = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in words.items()], "item_id long, text string")
+    got = {r["doc_id"]: r for r in rows(decontam.mark_leaks(docs, benchmark)) if r["leak_item"] is not None}
+    assert {i: r["leak_item"] for i, r in got.items()} == want
+    assert all(r["leak_start"] >= 30 and r["leak_matches"] >= decontam.needed(r["leak_item"]) for r in got.values())
+
+
 def test_leaks_in_blocks_and_very_long_texts(spark, odd, empty, monkeypatch):
     benchmark = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(6)], "item_id long, text string")
     text = "filler " * 300_000 + " ".join(f"q4x{j}" for j in range(20))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ from .shared import token_pieces
 MASKS = ("1110111", "11010011011", "110010100111")
 #: A leak has this many matching tokens at least, in a stretch where a mismatch costs as much as two matches bring.
 LEAST_MATCHES, MISMATCH = 12, 2
+#: Items of fewer tokens than the shortest mask have to match whole; items below SCALED tokens in a share of them.
+EXACT, SCALED, SHARE = min(map(len, MASKS)), 16, 0.75
+#: Whatever passes the share in a short item has so many equal tokens in a row.
+SHORT_MASK = "111"
 #: Tokens of benchmark items that are broadcast at a time.
 BLOCK_TOKENS = 1 << 20
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], dtype=np.uint64)
@@ -34,10 +39,20 @@ class Block:
     vocabulary: dict[str, int]
     items: list[int]
     tokens: list[np.ndarray]
-    seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # hash, item's place, token position
+    seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]  # mask -> hash, item's place, token position
     longest: int
 
 
+def needed(length: int) -> int:
+    """Matching tokens that make a leak of an item of so many tokens."""
+    return length if length < EXACT else LEAST_MATCHES if length >= SCALED else min(LEAST_MATCHES, ceil(SHARE * length))
+
+
+def masks(length: int) -> tuple[str, ...]:
+    """Masks by which an item of so many tokens is looked up."""
+    return ("1" * length,) if length < EXACT else (*MASKS, SHORT_MASK) if needed(length) < LEAST_MATCHES else MASKS
+
+
 def seed_hashes(tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose compared tokens are all known (not negative), and their hashes."""
     at = _offsets(mask)
@@ -58,12 +73,12 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 def build(items: list[tuple[int, list[str]]]) -> Block:
     vocabulary: dict[str, int] = {}
     tokens = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64) for _, words in items]
-    seeds = []
-    for mask in MASKS:
-        parts = [(h, np.full(len(p), i), p) for i, t in enumerate(tokens) for p, h in [seed_hashes(t, mask)]]
-        h, i, p = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+    seeds = {}
+    for mask in dict.fromkeys(m for t in tokens for m in masks(len(t))):
+        parts = [(h, np.full(len(p), i), p) for i, t in enumerate(tokens) if mask in masks(len(t)) for p, h in [seed_hashes(t, mask)]]
+        h, i, p = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        seeds.append((h[order], i[order], p[order]))
+        seeds[mask] = h[order], i[order], p[order]
     return Block(vocabulary, [n for n, _ in items], tokens, seeds, max(map(len, tokens), default=0))
 
 
@@ -73,7 +88,9 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     same = doc[a:b] == item[a - shift : b - shift]
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISMATCH))))
     lowest = np.minimum.accumulate(total)
-    end = int((total - lowest).argmax())
+    gain = total - lowest
+    # Of ends that are as good, the last in a short item, where two more matches can decide.
+    end = len(gain) - 1 - int(gain[::-1].argmax()) if needed(len(item)) < LEAST_MATCHES else int(gain.argmax())
     start = int(total[: end + 1].argmin())
     return int(same[start:end].sum()), a + start, a + end
 
@@ -81,7 +98,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
 def leaks(doc: np.ndarray, block: Block) -> tuple[int, int, int, int] | None:
     """The best leak in one stretch of a document: matches, item's place, start, end; ties to the smaller item."""
     near = set()
-    for mask, (hashes, item, place) in zip(MASKS, block.seeds, strict=True):
+    for mask, (hashes, item, place) in block.seeds.items():
         at, own = seed_hashes(doc, mask)
         if not len(at) or not len(hashes):
             continue
@@ -91,7 +108,7 @@ def leaks(doc: np.ndarray, block: Block) -> tuple[int, int, int, int] | None:
     best = None
     for i, shift in near:
         n, start, end = overlap(doc, block.tokens[i], shift)
-        if n >= min(LEAST_MATCHES, len(block.tokens[i])) and (best is None or (-n, block.items[i], start) < (-best[0], block.items[best[1]], best[2])):
+        if n >= needed(len(block.tokens[i])) and (best is None or (-n, block.items[i], start) < (-best[0], block.items[best[1]], best[2])):
             best = n, i, start, end
     return best
 
@@ -118,7 +135,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]
     for r in rows.toLocalIterator():
         words = [w for p in token_pieces(r["t"]) for w in p]
         key = hash(tuple(words))
-        if len(words) < min(map(len, MASKS)) or key in seen:
+        if not words or key in seen:
             continue
         seen.add(key)
         items.append((r["i"], words))
@@ -135,9 +152,9 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     Tokens are lower-cased runs of word characters. Hashes of the tokens that each fixed mask keeps are joined with
     those of the benchmark's places; around every hit the texts are compared on the hit's alignment, and the best
-    stretch counts if it has LEAST_MATCHES equal tokens (or the item's length, if shorter), a mismatch costing
-    MISMATCH of them. So an overlap stands single substituted words. Items shorter than the shortest mask can't be
-    told from chance and match nothing.
+    stretch counts if it has LEAST_MATCHES equal tokens (of items below SCALED tokens the SHARE of the item's length),
+    a mismatch costing MISMATCH of them. So an overlap stands single substituted words. Items shorter than the
+    shortest mask count where the whole item stands word by word.
 
     The benchmark goes out in blocks of BLOCK_TOKENS tokens, each with a pass over the documents, so what is
     broadcast is bounded whatever the benchmark's size. Documents are read in one pass per block without a shuffle;
