@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenlab.operators import integrity, learn, text
+from tokenlab.plans import features
 from tokenlab.sources import generate, records
 from tokenlab.streaming import runs
 
@@ -184,3 +185,18 @@ def test_window_stream_is_the_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(spark.table("votes")) == key(batch)
+
+
+@pytest.mark.parametrize("kind", ["lr_oof", "rf_oof"])
+def test_registered_classifiers_learn_as_much_as_the_reference(spark, monkeypatch, kind):
+    """Five folds, and forests of 200 trees."""
+    seen = []
+
+    def spy(frame, features, label, kind="logistic", k=5, seed=42):
+        seen.append((k, sorted(r["fold"] for r in frame.select("fold").distinct().collect())))
+        return frame.withColumn("probability", F.lit(0.5))
+
+    monkeypatch.setattr(learn, "out_of_fold", spy)
+    features.QUERIES[kind](spark, "/root/testdata/sf0.001")
+    assert seen == [(5, [0, 1, 2, 3, 4])]
+    assert learn.classifier("forest", 0).getNumTrees() >= 200

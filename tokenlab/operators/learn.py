@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words that must not be in the names of features.
 BANNED = ("label", "long", "correct", "gold", "answer_key", "utility")
 
+#: Trees of a forest.
+TREES = 200
+
 
 def leakage_guard(columns: list[str], banned: tuple[str, ...] = BANNED) -> None:
     bad = [c for c in columns if any(b in c.lower() for b in banned)]
@@ -102,7 +105,7 @@ def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
     if kind == "logistic":
         return LogisticRegression(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200, **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=40, maxDepth=8, minInstancesPerNode=5, seed=seed, **common)
+        return RandomForestClassifier(numTrees=TREES, maxDepth=8, minInstancesPerNode=5, seed=seed, **common)
     return GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **common)
 
 

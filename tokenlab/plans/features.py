@@ -247,8 +247,8 @@ def drop_constant_columns(spark, sf_dir):
 
 
 def _oof(spark, sf_dir, kind):
-    f = learn.stratified_folds(_labelled(spark, sf_dir).drop("one"), "doc_id", "label", 3)
-    return learn.out_of_fold(f, _FEATURES, "label", kind, 3).select("doc_id", "fold", F.col("label").cast("int").alias("label"), F.round("probability", 4).alias("probability"))
+    f = learn.stratified_folds(_labelled(spark, sf_dir).drop("one"), "doc_id", "label")
+    return learn.out_of_fold(f, _FEATURES, "label", kind).select("doc_id", "fold", F.col("label").cast("int").alias("label"), F.round("probability", 4).alias("probability"))
 
 
 @query()
