@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, materialise, mixed, token_hashes
+from .shared import WordHashes, materialise, mixed, released, texts_of, token_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 28, 6
@@ -17,11 +18,15 @@ BANDS, ROWS = 28, 6
 FIRST_TIME = 2.0**-12
 #: Cells (element, unit of weight) that one batch of signatures holds.
 CELLS = 1 << 19
-HUB_ROUNDS = 1
+#: Members of a bucket's largest group with which the members of its other groups are compared first.
+HUBS = 8
 #: Standard errors by which the signature may understate a pair's similarity before the pair is compared by text.
 SLACK = 4.0
-#: Strays and members of a bucket that are compared in one task.
-CHUNK_STRAYS, CHUNK_MEMBERS = 256, 1024
+#: Strays and members of a bucket that are compared together, and shingles that either of them has about.
+CHUNK_STRAYS, CHUNK_MEMBERS, CHUNK_SHINGLES = 256, 1024, 1 << 18
+#: Copies of one text from which its class is broadcast: at least so many, and more than a share of all rows that at
+#: most MOST_HOT texts can have.
+LEAST_HOT, MOST_HOT = 256, 1 << 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -106,51 +111,71 @@ def nibble_words(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
 
 
-def _may_be_similar(least: float, k: int) -> Column:
+def _most_different(least: float, k: int, slack: float) -> int:
+    """Coordinates whose four bits may differ at this similarity, `slack` standard errors above the expectation."""
+    differ = (1 - least) * 15 / 16
+    return int(min(k, k * differ + slack * np.sqrt(k * differ * (1 - differ))))
+
+
+def _may_be_similar(least: float, k: int, slack: float) -> Column:
     """Whether a pair (columns n, bits; m, marks) can have the similarity: by the sets' sizes, which is exact, and by
-    the coordinates whose four bits differ, within SLACK standard errors."""
+    the coordinates whose four bits differ, within `slack` standard errors."""
     words = [F.col("bits")[i].bitwiseXOR(F.col("marks")[i]) for i in range(-(-k // 16))]
     folded = [x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)) for x in words]
     found = sum((F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) for x in folded), F.lit(0))
-    return (F.least("n", "m") >= F.greatest("n", "m") * least) & (found <= _most_different(least, k))
+    return (F.least("n", "m") >= F.greatest("n", "m") * least) & (found <= _most_different(least, k, slack))
 
 
 def sketch(docs: DataFrame, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """id, node (fingerprint), n (shingles), bits and keys (none without tokens), in one pass without a shuffle."""
+    """id, hash (of the text), node (fingerprint), n (shingles), bits and keys (none without tokens), in one pass."""
+
+    def signed(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        elements = np.concatenate(sets)
+        signatures = dart_signatures(elements, np.ones(len(elements)), owner, len(sets), bands * rows)
+        words, keys = nibble_words(signatures), band_keys(signatures, bands, rows)
+        return [w if len(x) else w[:0] for w, x in zip(words, sets, strict=True)], [k if len(x) else k[:0] for k, x in zip(keys, sets, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            nodes, sets, sizes, keys, bits, done, size = [], [], [], [], [], 0, 0
-
-            def flush():
-                nonlocal done, size
-                part = sets[done:]
-                if part:
-                    owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
-                    elements = np.concatenate(part)
-                    signed = dart_signatures(elements, np.ones(len(elements)), owner, len(part), bands * rows)
-                    own, words = band_keys(signed, bands, rows), nibble_words(signed)
-                    keys.extend(own[i] if len(x) else own[i][:0] for i, x in enumerate(part))
-                    bits.extend(words[i] if len(x) else words[i][:0] for i, x in enumerate(part))
-                done, size = len(sets), 0
-
-            for text in texts:
+            nodes, sizes, lists, sets, cells = [], [], ([], []), [], 0
+            for text in texts_of(batch.column(2)):
                 tokens = token_hashes(text, hashes)
                 nodes.append(fingerprint(tokens, text))
                 sets.append(shingles(tokens))
                 sizes.append(len(sets[-1]))
-                size += len(sets[-1])
-                if size >= CELLS:
-                    flush()
-                    sets[:] = [x[:0] if i < done else x for i, x in enumerate(sets)]
-            flush()
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in y]))), pa.int32()), pa.array(np.concatenate(y) if y else [], pa.int64())) for y in (bits, keys)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["id", "node", "n", "bits", "keys"])
+                cells += sizes[-1]
+                if cells >= CELLS or len(nodes) == batch.num_rows:
+                    for have, new in zip(lists, signed(sets), strict=True):
+                        have.extend(new)
+                    sets, cells = [], 0
+            packed = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in y]))), pa.int32()), pa.array(np.concatenate(y) if y else [], pa.int64())) for y in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *packed], names=["id", "hash", "node", "n", "bits", "keys"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(released(run), "id long, hash long, node long, n long, bits array<long>, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes as bytes) of the wanted nodes. wanted: node and the id of a row that has it.
+
+    A repeated id can bring another text; the fingerprint tells. The join is by shuffle whatever the sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                tokens = token_hashes(text, hashes)
+                if fingerprint(tokens, text) == node:
+                    nodes.append(node)
+                    sets.append(shingles(tokens).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, node long, n long, bits array<long>, keys array<long>")
+    return slim.join(wanted.hint("merge"), "id").select("node", "text").mapInArrow(released(run), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -171,163 +196,213 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `least` or more."""
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of `least` or more; empty ones have none."""
+    small, large = sorted((len(x), len(y)))
+    if not small or small < least * large:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= least * (len(x) + len(y) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), (None, None)
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if last[0] != b:
-                    last = b, shingles(token_hashes(y, hashes))
-                own, hub = shingles(token_hashes(x, hashes)), last[1]
-                small, large = sorted((len(own), len(hub)))
-                common = len(np.intersect1d(own, hub, assume_unique=True)) if small >= least * large else 0
-                keep.append(common >= least * (len(own) + len(hub) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _most_different(least: float, k: int) -> int:
-    """Coordinates whose four bits may differ at this similarity, SLACK standard errors above the expectation."""
-    differ = (1 - least) * 15 / 16
-    return int(k * differ + SLACK * np.sqrt(k * differ * (1 - differ)))
 
+def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `least` or more.
 
-def _cross(placed: DataFrame, least: float, k: int) -> DataFrame:
-    """Links between the strays of each bucket and all members of its other groups, one for each stray and group.
+    pairs: a, b, hub (one of the two), load (rows of the bucket that they met in). The members of a hub are cut into
+    parts of about CHUNK_MEMBERS by hash; a part streams behind its hub's set, so a task holds two sets.
+    """
+    member = F.when(F.col("hub") == F.col("b"), F.col("a")).otherwise(F.col("b"))
+    rows = pairs.select("hub", "load", member.alias("member"))
+    rows = rows.select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("load") / CHUNK_MEMBERS)).cast("int").alias("part"))
+    asked = rows.join(sets, F.col("member") == F.col("node")).select("hub", "part", F.lit(1).alias("place"), "member", "shingles")
+    hubs = rows.select("hub", "part").distinct().join(sets, F.col("hub") == F.col("node")).select("hub", "part", F.lit(0).alias("place"), F.col("hub").alias("member"), "shingles")
 
-    placed: key, node, label, stray, n, bits, keys, text. Strays and members of a bucket are cut into chunks by hash,
-    and a task compares one chunk with another, so that rows grow with the number of chunks rather than of pairs and
-    a task holds two chunks. Pairs that share several buckets are compared in that with the smallest key.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            hub, place, node = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, data in enumerate(batch.column(4)):
+                one = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                if place[i]:
+                    keep[i] = _similar(one, own, least)
+                else:
+                    own = one.copy()
+            a, b = np.minimum(hub, node)[keep], np.maximum(hub, node)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = hubs.unionByName(asked).repartition("hub", "part").sortWithinPartitions("hub", "part", "place")
+    return dealt.mapInArrow(released(run), "a long, b long")
+
+
+def _differ(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Coordinates of each row whose four bits differ from those of one."""
+    x = bits ^ one
+    x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
+    return np.bitwise_count(x).sum(axis=1)
+
+
+class _Chunk:
+    """Strays and members of one bucket: columns key, node, label, stray, n, bits, keys, asks."""
+
+    def __init__(self, table: pa.Table, least: float, most: int):
+        self.node, self.label, self.size = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        self.stray, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "asks"))
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        self.bits, self.keys, self.key = flat("bits").view(np.uint64), np.sort(flat("keys"), axis=1), table.column("key")[0].as_py()
+        self.asking, self.members, self.least, self.most = np.flatnonzero(asks), np.flatnonzero(~asks), least, most
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Members of other groups that may be similar to stray i, most similar first; each pair once, in the bucket
+        with the smallest key that both are in."""
+        m = self.members
+        differ = _differ(self.bits[m], self.bits[i])
+        may = (differ <= self.most) & (self.label[m] != self.label[i]) & ~(self.stray[m] & (self.node[m] < self.node[i]))
+        may &= np.minimum(self.size[m], self.size[i]) >= self.least * np.maximum(self.size[m], self.size[i])
+        at, differ = m[may], differ[may]
+        if len(at):
+            # Keys are in order, so the first that both have is the smallest.
+            both = np.isin(self.keys[at], self.keys[i])
+            own = self.keys[at, both.argmax(axis=1)] == self.key
+            at, differ = at[own], differ[own]
+        return at[np.argsort(differ, kind="stable")]
+
+
+_ROW = "key long, sc int, mc int, node long, label long, stray boolean, n long, bits array<long>, keys array<long>, asks boolean"
+
+
+def _survivors(placed: DataFrame, least: float, most: int) -> DataFrame:
+    """Rows of chunks of strays and members that are in a pair that may be similar: by ids and signatures, without texts.
+
+    placed: key, node, label, stray, n, bits, keys. Strays and members of a bucket are cut into chunks by hash, and a
+    task compares one chunk with another, so that rows grow with the number of chunks rather than of pairs.
     """
-    sizes = placed.groupBy("key").agg(F.ceil(F.count_if("stray") / CHUNK_STRAYS).cast("int").alias("ns"), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).cast("int").alias("nm")).withColumnRenamed("key", "k")
+    wide = lambda rows, size, top: F.greatest(F.lit(1), F.ceil(rows / top), F.ceil(size / CHUNK_SHINGLES)).cast("int")
+    sizes = placed.groupBy(F.col("key").alias("k")).agg(wide(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)), CHUNK_STRAYS).alias("ns"), wide(F.count(F.lit(1)), F.sum("n"), CHUNK_MEMBERS).alias("nm"))
     rows = placed.join(sizes, F.col("key") == F.col("k")).drop("k")
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "node", "label", "stray", "n", "bits", "keys", "text"]
-    strays = rows.filter("stray").select(*columns, F.lit(True).alias("asks"), chunk("ns").alias("sc"), each("nm").alias("mc"))
-    members = rows.select(*columns, F.lit(False).alias("asks"), chunk("nm").alias("mc"), each("ns").alias("sc"))
-    most = _most_different(least, k)
+    columns = ["node", "label", "stray", "n", "bits", "keys"]
+    strays = rows.filter("stray").select("key", chunk("ns").alias("sc"), each("nm").alias("mc"), *columns, F.lit(True).alias("asks"))
+    members = rows.select("key", each("ns").alias("sc"), chunk("nm").alias("mc"), *columns, F.lit(False).alias("asks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        own, wanted = _Chunk(table, least, most), np.zeros(table.num_rows, dtype=bool)
+        for i in own.asking:
+            if len(found := own.candidates(i)):
+                wanted[found] = wanted[i] = True
+        return table.filter(pa.array(wanted)).select(_NAMES)
+
+    return strays.unionByName(members).groupBy("key", "sc", "mc").applyInArrow(run, _ROW)
+
+
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+
+
+def _cross(found: DataFrame, sets: DataFrame, least: float, most: int) -> DataFrame:
+    """Links (a, b) among the survivors: one for each stray and group, if there is one.
+
+    Both sides of a pair of chunks have CHUNK_SHINGLES shingles about, which bounds what a task holds.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, known = WordHashes(), {}
-        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        stray, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "asks"))
-        bits = np.array(table.column("bits").to_pylist(), dtype=np.int64).view(np.uint64)
-        keys, texts, key = table.column("keys"), table.column("text"), table.column("key")[0].as_py()
-
-        def own(i: int) -> np.ndarray:
-            if i not in known:
-                known[i] = shingles(token_hashes(texts[i].as_py(), hashes))
-            return known[i]
-
-        out, member = [], np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            x = bits[member] ^ bits[i]
-            x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
-            differ = np.bitwise_count(x).sum(axis=1)
-            may = (differ <= most) & (label[member] != label[i]) & ~(stray[member] & (node[member] < node[i]))
-            may &= np.minimum(size[member], size[i]) >= least * np.maximum(size[member], size[i])
-            linked, mine = set(), None
-            for j in member[may][np.argsort(differ[may], kind="stable")]:
-                if label[j] in linked:
-                    continue
-                mine = set(keys[i].as_py()) if mine is None else mine
-                if min(mine.intersection(keys[j].as_py())) != key:
-                    continue
-                a, b = own(i), own(j)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if common >= least * (len(a) + len(b) - common):
-                    linked.add(label[j])
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+        own = _Chunk(table, least, most)
+        known = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+        out = []
+        for i in own.asking:
+            linked = set()
+            for j in own.candidates(i):
+                if own.label[j] not in linked and _similar(known[i], known[j], least):
+                    linked.add(own.label[j])
+                    out.append((min(own.node[i], own.node[j]), max(own.node[i], own.node[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return strays.unionByName(members).groupBy("key", "sc", "mc").applyInArrow(run, "a long, b long")
+    return found.join(sets, "node").groupBy("key", "sc", "mc").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", name: str = "near") -> DataFrame:
-    """id, node, class_id: one row per row of docs; class_id is the smallest id of its group of near-copies.
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", name: str = "near", slack: float = SLACK) -> DataFrame:
+    """id, hash, node, label, class_id, class_size: one row per row of docs, whose groups are of near-copies.
 
     Tokens are lower-cased runs of word characters. Texts with equal tokens are one node. Nodes whose sets of
     five-token shingles have a Jaccard similarity of `least` or more are linked, and groups are what links connect.
+    label: the smallest node of the group; class_id: the smallest id; class_size: its rows; hash: xxhash64 of the text.
 
     Candidates share a band of their DartMinHash signatures. In each bucket all members are compared with one hub
     rather than with each other. Members that this leaves apart from the largest group of their bucket are compared
-    with a hub of that group, and what is still apart then with every member of another group in the bucket, chunk
+    with HUBS of its members, and what is still apart then with every member of another group in the bucket, chunk
     by chunk. Pairs within one group need no comparison, so a bucket of thousands of near-copies of one text costs
-    about one comparison each, and no link between groups is lost. Before whole texts are compared, a pair has to pass by the sizes of its
-    sets and by four bits of each coordinate, within SLACK standard errors. At a similarity of just 0.8, 28 bands of
-    6 find a pair with a probability of 0.9998, at 0.85 with 0.999998.
-
-    A null id takes no part in groups but through equal tokens: it gets their class_id, or null. Null and empty
-    texts and those without word characters are copies of texts equal but for white space at the ends. Rows that
-    repeat an id are kept apart. An empty table gives no rows.
+    about one comparison each, and no link between groups is lost. Candidates are compared by ids and signatures
+    first: a pair has to pass by the sizes of its sets and by four bits of each coordinate, within `slack` standard
+    errors (infinite: no filter). What passes is compared by its whole sets of shingles. At a similarity of just 0.8,
+    28 bands of 6 find a pair with a probability of 0.9998, at 0.85 with 0.999998; more bands of fewer rows find more.
+
+    Ids have to be integers. A null id takes no part in groups but through equal tokens: it gets their class_id, or
+    null. Null and empty texts and those without word characters are copies of texts equal but for white space at the
+    ends. Rows that repeat an id are kept apart. Other columns of docs don't matter. An empty table gives no rows.
     """
     sketched = materialise(sketch(docs, bands, rows, id_col, text_col), f"{name}-sketch")
-    nodes = sketched.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")).filter("id is not null")
+    every = sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    nodes = every.filter("id is not null")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("load")).filter("load > 1")
     members = materialise(buckets.join(several, "key").join(nodes.select("node", "n", "bits"), "node"), f"{name}-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node")
-    # A repeated id can bring another text; the fingerprint tells. The join is by shuffle whatever the sizes.
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            same = [fingerprint(token_hashes(t, hashes), t) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    texts = materialise(slim.join(wanted.hint("merge"), "id").select("node", "text").mapInArrow(own_text, "node long, text string").dropDuplicates(["node"]), f"{name}-texts")
-    alike = _may_be_similar(least, bands * rows)
+    sets = materialise(shingle_sets(docs, members.select("node").distinct().join(nodes.select("node", "id"), "node"), id_col, text_col), f"{name}-sets")
+    alike = _may_be_similar(least, bands * rows, slack)
 
     def with_hubs(of: DataFrame, hubs: DataFrame, apart: Column) -> DataFrame:
         """Pairs of members with their bucket's hub (node, n, bits) that may be similar."""
         hubs = hubs.select(F.col("key").alias("hub_key"), F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.bits").alias("marks"), *[c for c in hubs.columns if c not in ("key", "hub")])
-        return ordered(of.join(hubs, (F.col("key") == F.col("hub_key")) & apart & alike), "node", "b")
-
-    def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        met = of.join(hubs, (F.col("key") == F.col("hub_key")) & apart & alike)
+        return met.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("z")).agg(F.min("b").alias("hub"), F.max("load").alias("load")).withColumnRenamed("z", "b")
 
     hubs = members.groupBy("key").agg(F.min(F.struct("node", "n", "bits")).alias("hub"))
     tried = materialise(with_hubs(members, hubs, F.col("node") != F.col("b")), f"{name}-pairs")
-    links = materialise(_verify(tried, texts, least), f"{name}-links")
-    for step in range(HUB_ROUNDS + 1):
+    links = materialise(_verify(tried, sets, least), f"{name}-links")
+    for step in range(2):
         labels = components(links, f"{name}-{step}")
-        placed = members.join(labels, "node", "left").select("key", "node", "n", "bits", F.coalesce("label", "node").alias("label"))
-        apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("size > 2 and low <> high")
-        placed = materialise(placed.join(apart.select("key"), "key"), f"{name}-placed")
+        placed = members.join(labels, "node", "left").select("key", "node", "n", "bits", "load", F.coalesce("label", "node").alias("label"))
+        apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        # In a bucket of two, the pair has been compared.
+        placed = materialise(placed.filter("load > 2").join(apart.select("key"), "key"), f"{name}-placed")
         if placed.isEmpty():
             break
         # The group with the most members of a bucket is where most others belong; its members stay.
-        sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "bits")).alias("pick"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("label").alias("main"), F.struct("pick.node", "pick.n", "pick.bits").alias("hub"))).alias("top")).select("key", "top.main", "top.hub")
-        if step < HUB_ROUNDS:
-            new = materialise(with_hubs(placed, main, F.col("label") != F.col("main")).join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
-            found = _verify(new, texts, least)
+        picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "bits")).alias(f"pick{i}") for i in range(HUBS)] if not step else []
+        sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), *picks)
+        each = F.array_distinct(F.array(*[F.struct(f"pick{i}.node", f"pick{i}.n", f"pick{i}.bits") for i in range(HUBS)])) if not step else F.lit(0)
+        main = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("label").alias("main"), each.alias("hubs"))).alias("top")).select("key", "top.main", "top.hubs")
+        if not step:
+            some = main.select("key", "main", F.explode("hubs").alias("hub"))
+            new = materialise(with_hubs(placed, some, F.col("label") != F.col("main")).join(tried.select("a", "b"), ["a", "b"], "left_anti"), f"{name}-pairs")
+            found = _verify(new, sets, least)
         else:
-            marked = placed.join(main.select("key", "main"), "key").withColumn("stray", F.col("label") != F.col("main")).drop("main")
-            found = _cross(marked.join(nodes.select("node", "keys"), "node").join(texts, "node"), least, bands * rows)
+            marked = placed.join(main.select("key", "main"), "key").withColumn("stray", F.col("label") != F.col("main")).drop("main", "load")
+            most = _most_different(least, bands * rows, slack)
+            near = materialise(_survivors(marked.join(nodes.select("node", "keys"), "node"), least, most), f"{name}-near")
+            found = _cross(near, sets, least, most)
         links = links.unionByName(materialise(found, f"{name}-links"))
-        if step == HUB_ROUNDS:
+        if step:
             labels = components(links, f"{name}-last")
-    of = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
-    classes = of.groupBy("label").agg(F.min("id").alias("class_id"))
-    return sketched.select("id", "node").join(of.select("node", "label"), "node", "left").join(classes, "label", "left").select("id", "node", "class_id")
+    of = every.select("node", "id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = of.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = materialise(of.select("node", "label", "copies").join(classes, "label"), f"{name}-classes")
+    # Texts with very many copies: no more than MOST_HOT of them, so their classes can be broadcast.
+    hot = F.col("copies") > max(LEAST_HOT, sketched.count() // MOST_HOT)
+    wide = F.struct("label", "class_id", "class_size").alias("of")
+    rest = sketched.select("id", "hash", "node").join(F.broadcast(named.filter(hot).select("node", wide)), "node", "left")
+    cold = rest.filter("of is null").drop("of").join(named.filter(~hot).select("node", wide), "node")
+    return rest.filter("of is not null").unionByName(cold).select("id", "hash", "node", "of.*")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group of near_duplicates(): that with the smallest id stays.
 
-    Of rows that repeat an id that stays, one stays (the first by hash of its text). Rows with a null id all stay.
+    Where that id has several rows in the group, that with the smallest hash of its text stays, once. Rows with a null
+    id all stay. Columns of docs stay as they are.
     """
-    stay = groups.filter("id = class_id").select(F.col("id").alias("stay_id")).distinct()
+    stay = groups.filter("id is not null").groupBy("label").agg(F.min(F.struct("id", "hash")).alias("first")).select(F.col("first.id").alias("stay_id"), F.col("first.hash").alias("stay_hash")).distinct()
     own = docs.filter(F.col(id_col).isNotNull())
-    packed = own.select(F.col(id_col).cast("long").alias("stay_id"), F.xxhash64(text_col).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = Window.partitionBy("stay_id").orderBy("hash")
-    kept = packed.join(stay, "stay_id").withColumn("place", F.row_number().over(first)).filter("place = 1")
+    packed = own.select(F.col(id_col).cast("long").alias("stay_id"), F.xxhash64(text_col).alias("stay_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = Window.partitionBy("stay_id", "stay_hash").orderBy(F.xxhash64("row"))
+    kept = packed.join(stay, ["stay_id", "stay_hash"]).withColumn("place", F.row_number().over(first)).filter("place = 1")
     return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -47,7 +47,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return groups.select(F.col("id").alias("doc_id"), "class_id")
+    return groups.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
