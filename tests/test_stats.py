@@ -3,7 +3,6 @@
 import hashlib
 import math
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,37 +58,78 @@ def test_native_cdf_is_the_python_one(spark):
 def test_bootstraps_are_deterministic(spark):
     d = np.array([0, 1, 1, -1, 0, 0, 1, 0], dtype=float)
     assert stats.paired_bootstrap(d, 2000) == stats.paired_bootstrap(d, 2000)
-    f = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 3).alias("v"))
-    one = sorted(map(tuple, resample.hash_bootstrap(f, "k", 20, 1, "v").collect()))
-    assert one == sorted(map(tuple, resample.hash_bootstrap(f.repartition(7), "k", 20, 1, "v").collect()))
+    f = spark.range(200).select((F.col("id") % 3).alias("v"))
+    one = sorted(map(tuple, resample.hash_bootstrap(f, 20, 1, "v").collect()))
+    assert one == sorted(map(tuple, resample.hash_bootstrap(f.repartition(7), 20, 1, "v").collect()))
     assert 150 < sum(r[1] for r in one) / 20 < 250
 
 
-def test_hash_bootstrap_of_all_draws(spark):
-    """Every draw of a small table, against plain hashes; groups, nulls and doubles too."""
-    rows = [(k, g, v, x) for k, g, v, x in (("a", 1, 1, 0.5), ("b", 1, -1, None), ("c", 2, 0, 0.25), ("a", 2, 1, 2.0), (None, 1, None, 1.0))]
-    f = spark.createDataFrame(rows, "k string, g int, v int, x double")
-    got = {(r["g"], r["draw"]): (r["n"], r["v"], r["x"]) for r in resample.hash_bootstrap(f, "k", resample.DRAWS, 9, "v", "x", by=("g",)).collect()}
+def poisson_quantile(u, mean):
+    k, p = 0, math.exp(-mean)
+    total = p
+    while u >= total and k < 500:
+        k += 1
+        p *= mean / k
+        total += p
+    return k
+
 
-    def weight(d, k):
-        u = int(hashlib.sha256("|".join(["9", str(d), *([k] if k else [])]).encode()).hexdigest()[:12], 16) / (1 << 48)
-        return sum(u >= t for t in resample.POISSON)
+def test_hash_bootstrap_of_all_draws(spark):
+    """Every draw of a small table, against plain quantiles; groups, nulls and doubles too."""
+    rows = [(1, 1, 0.5), (1, 1, 0.5), (1, 1, 0.5), (1, -1, None), (2, 0, 0.25), (2, 1, 2.0), (1, None, 1.0)]
+    f = spark.createDataFrame(rows, "g int, v int, x double")
+    got = {(r["g"], r["draw"]): (r["n"], r["v"], r["x"]) for r in resample.hash_bootstrap(f, resample.DRAWS, 9, "v", "x", by=("g",)).collect()}
+    size = {}
+    for r in rows:
+        size[r] = size.get(r, 0) + 1
+
+    def weight(d, r):
+        key = "|".join("null" if x is None else str(x) for x in r)
+        u = int(hashlib.sha256(f"9|{d}|{key}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        return poisson_quantile(u, size[r])
 
     assert len(got) == 2 * resample.DRAWS
     for (g, d), (n, v, x) in got.items():
-        own = [(weight(d, k), a, b) for k, h, a, b in rows if h == g]
-        assert (n, v, x) == (sum(w for w, *_ in own), sum(w * (a or 0) for w, a, _ in own), sum(w * (b or 0) for w, _, b in own))
-
-
-@pytest.mark.parametrize(("name", "form"), [("hash_bootstrap_ci", numbers._difference_ci), ("cluster_bootstrap_hash", numbers._ratio_ci)])
-def test_registered_bootstraps_make_all_draws(spark, name, form):
-    """10 000 draws as registered; with as few as the SQL makes, the SQL's interval."""
-    data, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("orders", "lineitem"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    few, want = form(spark, data, numbers._DRAWS).first(), c.sql(numbers.ORACLES[name])
-    assert [few[x] for x in want.columns] == pytest.approx(want.fetchall()[0], abs=1e-8)
-    assert numbers.QUERIES[name](spark, data).first()["draws"] == 10_000
+        own = [(weight(d, r), r[1], r[2]) for r in size if r[0] == g]
+        assert (n, v) == (sum(w for w, *_ in own), sum(w * (a or 0) for w, a, _ in own)) and x == pytest.approx(sum(w * (b or 0) for w, _, b in own))
+
+
+def test_classes_weigh_what_their_rows_do(spark):
+    """The interval of a ratio over clusters against resampling rows one by one."""
+    rng = np.random.default_rng(5)
+    e = rng.integers(0, 4, 900)
+    k = rng.binomial(e, 0.3)
+    f = spark.createDataFrame([(int(a), int(b)) for a, b in zip(e, k, strict=True)], "e int, k int")
+    r = resample.percentile_interval(resample.hash_bootstrap(f, 4000, 3, "e", "k").withColumn("ratio", F.col("k") / F.col("e")), "ratio").first()
+    at = rng.integers(0, len(e), (4000, len(e)))
+    low, high = np.quantile(k[at].sum(axis=1) / e[at].sum(axis=1), [0.025, 0.975])
+    assert (r["low"], r["high"]) == pytest.approx((low, high), abs=0.004) and r["draws"] == 4000
+    low, high, p = stats.tally_bootstrap(*np.unique((k - 1).astype(float), return_counts=True), 4000)
+    want = np.quantile((k - 1)[at].mean(axis=1), [0.025, 0.975])
+    assert (low, high) == pytest.approx(tuple(want), abs=0.01) and 0 <= p <= 1
+
+
+@pytest.mark.parametrize("name", ["hash_bootstrap_ci", "cluster_bootstrap_hash"])
+def test_registered_bootstraps_make_all_draws(spark, name):
+    assert numbers.QUERIES[name](spark, "/root/testdata/sf0.001").first()["draws"] == 10_000
+
+
+def test_seed_summaries_guard_their_input(spark):
+    rows = [(p, s, int((p + s) % 3 == 0), 1) for p in range(30) for s in (1, 2, 3)]
+    make = lambda r: spark.createDataFrame(r, "problem_id int, seed int, k int, e int")
+    got = {r["scope"]: r for r in resample.seed_summary(make(rows), "k", "e", draws=200).collect()}
+    assert set(got) == {"all_seeds", "leave_out:1", "leave_out:2", "leave_out:3"} and got["all_seeds"]["estimate"] == pytest.approx(1 / 3, abs=1e-6) and got["all_seeds"]["binomial_wilson95_lower"] is not None
+    signed = make([(p, s, k - 1, e) for p, s, k, e in rows])
+    assert resample.seed_summary(signed, "k", draws=50).first()["binomial_wilson95_lower"] is None
+    for bad, kind in ((rows + rows[:1], "auto"), (rows[1:], "auto"), ([(p, s, 2 * k, e) for p, s, k, e in rows], "binary"), ([(p, s, k, -e) for p, s, k, e in rows], "auto"), ([(p, s, k, 0) for p, s, k, e in rows], "auto"), ([(p, s, None, e) for p, s, k, e in rows], "auto")):
+        with pytest.raises(ValueError):
+            resample.seed_summary(make(bad), "k", "e", kind, draws=5)
+
+
+def test_pooled_rates_use_the_pooled_denominator(spark):
+    rows = [(1, 1, 1, 1), (2, 1, 0, 0), (1, 2, 1, 3), (2, 2, 0, 0)]
+    r = resample.seed_summary(spark.createDataFrame(rows, "problem_id int, seed int, k int, e int"), "k", "e", "nonbinary", draws=50).filter("scope = 'all_seeds'").first()
+    assert r["estimate"] == 0.5
 
 
 def test_registered_numpy_bootstrap_makes_all_draws(spark, monkeypatch):

@@ -1,5 +1,7 @@
 """Extraction and equality of answers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tokenlab.functions import answers, verify
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (r"so \boxed{\frac{1}{2}} and \boxed{3}", "3"), (r"\boxed{\sqrt{\frac{a}{b}}}", r"\sqrt{\frac{a}{b}}"), (r"\boxed{1} then \boxed{2", "1"), (r"\boxed{open", None), (r"\boxed 42 is it", "42"), ("none", None), (None, None),
+        (r"so \boxed{\frac{1}{2}} and \boxed{3}", "3"), (r"\boxed{\sqrt{\frac{a}{b}}}", r"\sqrt{\frac{a}{b}}"), (r"\boxed{1} then \boxed{2", "1"), (r"\boxed{open", None), (r"\boxed 42 is it", "42"), (r"\boxed {5}", "{5}"), ("none", None), (None, None),
     ],
 )
 def test_boxes(text, want):
@@ -37,8 +39,57 @@ def test_gsm8k():
 
 
 def test_relaxed():
-    assert verify.relaxed_units(r"\boxed{12\text{ cm}}", r"\boxed{12}", "math", False) and not verify.relaxed_units("about 12", r"\boxed{12}", "math", True) and verify.relaxed_units("about 12", r"\boxed{12}", "math", False)
-    assert verify.relaxed_last_number("it is 12", r"\boxed{12}", "math") and not verify.relaxed_last_number(r"\boxed{13} not 12", r"\boxed{12}", "math")
+    """Units and the degree sign go, other letters stay; only for math; a last number only if the text was not cut."""
+    r = verify.relaxed_units
+    assert r(r"\boxed{12\text{degrees}}", r"\boxed{12}", "math", False) and r(r"\boxed{12^\circ}", r"\boxed{12}", "math", False) and r(r"\boxed{12\text{Sq. cm}}", r"\boxed{12}", "math", False)
+    assert not r(r"\boxed{12\text{ cm}}", r"\boxed{12}", "math", False) and not r(r"\boxed{3x+5}", r"\boxed{5}", "math", False)
+    assert r("about 12", r"\boxed{12}", "math", False) and not r("about 12", r"\boxed{12}", "math", True) and not r("about 12", r"\boxed{12}", "aime", False)
+    assert r("it is 1,000 / 4", r"\boxed{250}", "math", False) and r("so 3 /-4", r"\boxed{-0.75}", "math", False) and not r("3/0", r"\boxed{3}", "math", False) and not r("so 0.5", r"\boxed{\frac{1}{2}}", "math", False)
+    assert not r("the answer is 3 units of 4", "#### 3", "gsm8k", False)
+    late = verify.relaxed_last_number
+    assert late("it is 1,012", r"\boxed{1012}", "math") and not late(r"\boxed{13} not 12", r"\boxed{12}", "math") and not late("it is 3", r"\boxed{\frac{6}{2}}", "math")
+    assert verify.relaxed_answer("at 1,012", "math") == "1012" and verify.relaxed_answer("none", "math") is None
+
+
+def test_a_fraction_takes_its_denominator_along():
+    assert not verify.relaxed_units("it is 3/4", r"\boxed{4}", "math", False)
+
+
+def test_limits_are_recorded():
+    """What is too large to be worked out is compared as text, and said so."""
+    wide = "(" + "+".join(f"{c}" for c in "abcdefghijklmnop") + ")^{9}"
+    assert verify.score(f"\\boxed{{{wide}+1}}", f"\\boxed{{1+{wide}}}", "math")[1:] == (False, True)
+    assert verify.score(r"\boxed{x+1}", r"\boxed{1+x}", "math") == ("1*x^1+1" if False else verify.canonical("x+1"), True, False)
+    long = "+".join(["x"] * 1500)
+    assert verify.score(f"\\boxed{{{long}}}", r"\boxed{1500x}", "math")[1:] == (True, False)
+
+
+def test_cache_keys_hold_their_parts_apart():
+    assert verify.cache_key("v", "ab", "c") != verify.cache_key("v", "a", "bc") and len(verify.cache_key("v")) == 32
+
+
+def test_native_boxes_are_the_python_ones(spark):
+    import random
+
+    rng = random.Random(7)
+    parts = ["\\boxed{", "\\boxed {", "\\boxed ", "{", "}", "1", " x", "\\frac{1}{2}", "\n", "\u00a0", "\\boxed"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(600)] + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", answers.boxed(F.col("t")).alias("b")).collect()
+    assert {r["i"]: r["b"] for r in rows} == {i: verify.extract_boxed(t) for i, t in enumerate(texts)}
+
+
+def test_agreement_reads_numbers_as_one(spark):
+    texts = ["1,000", "1000.0", " 1 000 ", "1e3", "0.50", ".5", "12345678901", "1.23456789012e-7", "-0.00001", "Inf", "-infinity", "nan", "x = 3", "1_0", "", "0", "-0", "123456789.123"]
+
+    def form(t):
+        t = re.sub(r"\s+", "", t.strip().lower()).replace(",", "")
+        try:
+            return f"{float(t):.10g}"
+        except ValueError:
+            return t
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", answers.g3_answer(F.col("t")).alias("g")).collect()
+    assert [r["g"] for r in rows] == [form(t) for t in texts]
 
 
 def test_native_numbers_read_as_python_does(spark):
@@ -48,9 +99,9 @@ def test_native_numbers_read_as_python_does(spark):
     assert [r["a"] for r in rows] == [verify.plain_float(t) for t in texts]
 
 
-def test_distinct_scoring_keeps_rows(spark):
+def test_scoring_keeps_rows(spark):
     rows = spark.createDataFrame([("\\boxed{1}", "#### 1", "gsm8k"), ("\\boxed{1}", "#### 1", "gsm8k"), (None, "#### 1", "gsm8k"), ("x", None, "gsm8k")], "text string, gold string, dataset string")
-    got = verify.score_distinct(rows).collect()
+    got = verify.score_rows(rows).collect()
     assert len(got) == 4 and sum(bool(r["correct"]) for r in got) == 2
 
 

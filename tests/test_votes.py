@@ -130,6 +130,10 @@ def test_split_null_counts_splits(spark):
     f = frame(spark, [("x", [chain("A"), chain("A"), chain("B", True), chain("B", True)], [], [])])
     rows = {r["selector_indices"]: (r["n_eligible"], r["repair_count"]) for r in resample.split_null(f, "a", 2).collect()}
     assert rows["0,1"] == (1, 1) and rows["2,3"] == (0, 0) and len(rows) == 6
+    more = f.unionByName(frame(spark, [("x", [chain("A")] * 3, [], [])]))
+    with pytest.raises(Exception, match="needs 4 chains"):
+        resample.split_null(more, "a", 2).collect()
+    assert len(resample.split_null(resample.of_problems(more, "a", 4), "a", 2).collect()) == 6
 
 
 def test_top_fraction_rounds_in_binary(spark):
@@ -141,6 +145,38 @@ def test_top_fraction_rounds_in_binary(spark):
     assert curve[0.55]["routed"] == 441 and curve[0.0]["routed"] == 0 and curve[1.0]["accuracy"] == 1.0
 
 
+def test_ranks_split_a_common_score(spark):
+    rows = spark.range(5000).select(F.col("id").alias("problem_id"), F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 2).cast("double")).alias("s"), F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("int")).alias("t"))
+    got = {r["problem_id"]: r["rank"] for r in routing.ranked(rows, "s", "t").collect()}
+    key = lambda r: (r["s"] is None, -(r["s"] or 0), r["t"] is None, -(r["t"] or 0), r["problem_id"])
+    assert got == {r["problem_id"]: i + 1 for i, r in enumerate(sorted(rows.collect(), key=key))}
+    assert "__part" in str(routing.ranked(rows, "s", "t")._jdf.queryExecution().toString()) and len(got) == 5000
+
+
+def test_quantiles_are_exact_however_many_values(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=4000), 2)
+    f = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    want = [float(np.quantile(x, q)) for q in (0, 0.2, 0.5, 0.81, 1)]
+    assert [routing.exact_quantile(f, "x", q) for q in (0, 0.2, 0.5, 0.81, 1)] == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(routing, "AT_ONCE", 100)
+    assert [routing.exact_quantile(f, "x", q) for q in (0, 0.2, 0.5, 0.81, 1)] == pytest.approx(want, abs=1e-12)
+    assert routing.exact_quantile(f.limit(0), "x", 0.5) is None
+
+
+def test_error_mining_keeps_so_many_in_all(spark):
+    f = spark.range(1000).select(F.col("id").alias("problem_id"), (F.col("id") / 1000).alias("s"), (F.col("id") % 2 == 0).alias("y"))
+    rows = routing.error_mining(f, "s", "y").orderBy("place").collect()
+    assert len(rows) == 80 and {r["kind"] for r in rows} == {"high_score_not_helpful"} and [r["problem_id"] for r in rows][:2] == [999, 997]
+
+
+def test_lost_answers_are_high_only_above_the_bound(spark):
+    f = spark.range(20).select(F.lit("x").alias("dataset"), F.lit(True).alias("base_ok"), (F.col("id") > 0).alias("long_ok"))
+    assert at.correct_to_wrong(f).first()["verdict"] == "moderate" and at.correct_to_wrong(f, high=0.049).first()["verdict"] == "high"
+
+
 def test_rerunning_can_cost_more_than_extending(spark):
     f = spark.createDataFrame([(True, True)], "b boolean, x boolean")
     r = routing.rule_router(f, {"all": F.lit(True)}, "b", "x", 50, 100).first()

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # A decimal number as Python reads one; Java's parser would also take suffixes such as "7d".
 _NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+# Fixed: a number as it stands in a text, with grouped thousands and a denominator.
+NUMBERISH = r"-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:\s*/\s*-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)?"
+#: White space as Python's strip and split see it.
+BLANKS = r"(?U)[\s\x1c-\x1f]"
 
 
 def as_number(text: Column) -> Column:
@@ -26,10 +30,33 @@ def gsm8k_gold_number(text: Column) -> Column:
     return as_number(F.replace(F.regexp_extract(F.coalesce(text, F.lit("")), r"####\s*([-0-9,.]+)", 1), F.lit(","), F.lit("")))
 
 
-def boxed_flat(text: Column) -> Column:
-    r"""Content of the last \boxed{...} that holds no braces; null without one. Nested boxes need verify.extract_boxed."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\\boxed\s*\{([^{}]*)\}"), F.lit(1))
-    return F.trim(F.try_element_at(found, F.lit(-1)))
+def stripped(text: Column) -> Column:
+    """text without white space at its ends, as Python strips it."""
+    return F.regexp_replace(text, f"{BLANKS}+\\z|^{BLANKS}+", "")
+
+
+def _closed(rest: Column) -> Column:
+    """What stands before the brace that closes one opened just before `rest`; null if none does."""
+    parts = F.regexp_extract_all(rest, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["n"] + F.char_length(part)).alias("n")))
+
+    end = F.aggregate(parts, start, step)
+    return F.element_at(F.transform(F.array(end), lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), e["n"] - 1))), 1)
+
+
+def boxed(text: Column) -> Column:
+    r"""verify.extract_boxed in built-in functions: the last \boxed{...} whose braces balance, without any \boxed{ the word
+    after the last "\boxed "."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.split(text, r"\\boxed\{")
+    after = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: i <= F.size(parts)), lambda i: stripped(_closed(F.array_join(F.slice(parts, i, F.size(parts)), "\\boxed{"))))
+    tails = F.split(text, r"\\boxed ")
+    word = F.try_element_at(F.split(stripped(F.element_at(tails, -1)), f"{BLANKS}+"), F.lit(1))
+    return F.when(F.size(parts) > 1, F.try_element_at(F.filter(after, lambda x: x.isNotNull()), F.lit(-1))).when(F.size(tails) > 1, F.nullif(word, F.lit("")))
 
 
 def normalised(text: Column) -> Column:
@@ -39,8 +66,8 @@ def normalised(text: Column) -> Column:
 
 
 def last_numberish(text: Column) -> Column:
-    """The last number as it stands: thousands, decimals, a/b."""
-    return F.try_element_at(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:/[0-9]+)?"), F.lit(0)), F.lit(-1))
+    """The last number as it stands: thousands, decimals, a / b with blanks, signs and thousands in both."""
+    return F.try_element_at(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBERISH), F.lit(0)), F.lit(-1))
 
 
 def cap_hit(finish_reason: Column, token_count: Column, cap: Column | int) -> Column:
@@ -66,12 +93,21 @@ def box_braced(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"\\boxed\{")
 
 
+def ten_digits(number: Column) -> Column:
+    """A double in Python's %.10g form: ten significant digits, no zeros at the end, an exponent below 1e-4 and from 1e10."""
+    parts = F.split(F.format_string("%.9e", number), "e")
+    digits, power = parts[0], parts[1].cast("int")
+    bare = lambda x: F.when(x.contains("."), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
+    fixed = bare(F.call_function("format_string", F.concat(F.lit("%."), (9 - power).cast("string"), F.lit("f")), number))
+    return F.when(power.between(-4, 9), fixed).otherwise(F.concat(bare(digits), F.lit("e"), parts[1]))
+
+
 def g3_answer(text: Column) -> Column:
-    """Lower case without white space and commas; whole numbers lose their decimals."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"[\s,]", "")
-    number = as_number(bare)
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e10)
-    return F.when(whole, F.floor(number).cast("long").cast("string")).otherwise(bare)
+    """What agreement counts: lower case without white space and commas, numbers in %.10g form."""
+    bare = F.replace(F.regexp_replace(F.lower(text), f"{BLANKS}+", ""), F.lit(","), F.lit(""))
+    sign = F.when(F.startswith(bare, F.lit("-")), "-").otherwise("")
+    number = as_number(F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", ""))
+    return F.when(number.isNotNull() & (F.abs(number) < float("inf")), ten_digits(number)).when(bare.rlike("^[-+]?inf(inity)?$") | number.isNotNull(), F.concat(sign, F.lit("inf"))).when(bare.rlike("^[-+]?nan$"), "nan").otherwise(bare)
 
 
 def request_seed(base: Column, problem: Column, chain: Column) -> Column:

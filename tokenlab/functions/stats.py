@@ -137,14 +137,28 @@ def mcnemar_native(only_a: Column, only_b: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2 * binomial_cdf(low, n, 0.5)))
 
 
-def paired_bootstrap(differences: np.ndarray, draws: int = 10_000, seed: int = 42, alpha: float = 0.05, block: int = 1000) -> tuple[float, float, float]:
-    """Percentile interval of the mean and the share of draws at or below zero; draws in blocks bound memory."""
-    if not len(differences):
+def tally_bootstrap(values: np.ndarray, counts: np.ndarray, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> tuple[float, float, float]:
+    """Percentile interval of the mean of values that occur so often, and the share of draws at or below zero.
+
+    Draws with replacement, by their counts of each value; blocks of draws bound memory.
+    """
+    total = int(counts.sum())
+    if not total:
         return math.nan, math.nan, math.nan
     rng, means = np.random.default_rng(seed), []
+    block = max(1, (1 << 22) // len(values))
     for at in range(0, draws, block):
-        index = rng.integers(0, len(differences), size=(min(block, draws - at), len(differences)))
-        means.append(differences[index].mean(axis=1))
+        means.append(rng.multinomial(total, counts / total, size=min(block, draws - at)) @ values / total)
     means = np.concatenate(means)
     low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
     return float(low), float(high), float((means <= 0).mean())
+
+
+def paired_bootstrap(differences: np.ndarray, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> tuple[float, float, float]:
+    """tally_bootstrap of single differences."""
+    return tally_bootstrap(*np.unique(differences, return_counts=True), draws, seed, alpha)
+
+
+def shown(low: Column, high: Column, decimals: int = 3) -> Column:
+    """An interval as text: [0.123,0.456]."""
+    return F.format_string(f"[%.{decimals}f,%.{decimals}f]", low, high)

@@ -2,14 +2,17 @@
 
 Symbolic equality is exact arithmetic on rational functions: numerator and denominator are polynomials whose
 coefficients are fractions and whose symbols are letters, pi and roots. What can't be read that way falls back to a
-normalised string.
+normalised string. What is too large to be worked out (MOST_TERMS, MOST_POWER, MOST_LENGTH) does so too, and is
+recorded as limited, as a time limit would be; with larger bounds it can be scored again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,9 @@ from pyspark.sql import types as T
 TOLERANCE = 1e-4
 #: An exponent from here on beside another power makes a tower that is not worked out.
 TOWER = 100
-MOST_TERMS, MOST_POWER, MOST_LENGTH = 400, 40, 2000
+MOST_TERMS, MOST_POWER, MOST_LENGTH = 400, 40, 20_000
+#: Scores that a Python worker remembers, of texts up to so many characters.
+REMEMBERED, SHORT = 1 << 14, 1 << 12
 _PLAIN = re.compile(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?")
 
 
@@ -35,7 +40,7 @@ def plain_float(text: str | None) -> float | None:
 def extract_boxed(text: str | None) -> str | None:
     r"""Content of the last \boxed{...} with balanced braces; without any \boxed{, the word after the last "\boxed "."""
     text = text or ""
-    starts = [m.end() for m in re.finditer(r"\\boxed\s*\{", text)]
+    starts = [m.end() for m in re.finditer(r"\\boxed\{", text)]
     for start in reversed(starts):
         depth = 1
         for i in range(start, len(text)):
@@ -79,6 +84,23 @@ class Unreadable(ValueError):
     pass
 
 
+class Limited(Unreadable):
+    """It could be read, but is too large to be worked out."""
+
+
+class Record:
+    """Whether a limit was met since it was last asked."""
+
+    met = False
+
+    def take(self) -> bool:
+        out, self.met = self.met, False
+        return out
+
+
+LIMITS = Record()
+
+
 Poly = dict[tuple, Fraction]
 ONE: Poly = {(): Fraction(1)}
 
@@ -94,7 +116,7 @@ def _add(a: Poly, b: Poly, sign: int = 1) -> Poly:
 
 def _times(a: Poly, b: Poly) -> Poly:
     if len(a) * len(b) > MOST_TERMS**2:
-        raise Unreadable("too many terms")
+        raise Limited("too many terms")
     out: Poly = {}
     for ma, ca in a.items():
         for mb, cb in b.items():
@@ -110,7 +132,7 @@ def _times(a: Poly, b: Poly) -> Poly:
             if not out[m]:
                 del out[m]
     if len(out) > MOST_TERMS:
-        raise Unreadable("too many terms")
+        raise Limited("too many terms")
     return out
 
 
@@ -136,9 +158,9 @@ class Ratio:
 
     def __pow__(self, n: int):
         if abs(n) > MOST_POWER and (len(self.top) > 1 or len(self.bottom) > 1 or () not in self.top):
-            raise Unreadable("power")
+            raise Limited("power")
         if abs(n) > 10 * TOWER:
-            raise Unreadable("power")
+            raise Limited("power")
         base, out = (self if n >= 0 else Ratio(self.bottom, self.top)), Ratio(ONE)
         for _ in range(abs(n)):
             out = out * base
@@ -294,7 +316,7 @@ class _Reader:
             # sqrt(p/q) = sqrt(p*q)/q, with square factors taken out.
             n, out = inside.numerator * inside.denominator, 1
             if n > 10**9:
-                raise Unreadable("root")
+                raise Limited("root")
             k = 2
             while k * k <= n:
                 while n % (k * k) == 0:
@@ -311,12 +333,14 @@ class _Reader:
 
 def parse(text: str) -> Ratio | None:
     if len(text) > MOST_LENGTH:
+        LIMITS.met = True
         return None
     # Commas that group thousands; others separate a list.
     text = re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", text)
     try:
         return _Reader(text).read()
-    except (Unreadable, KeyError, RecursionError, ZeroDivisionError):
+    except (Unreadable, KeyError, RecursionError, ZeroDivisionError) as e:
+        LIMITS.met |= isinstance(e, Limited | RecursionError)
         return None
 
 
@@ -367,7 +391,8 @@ def symbolic_equal(a: str, b: str) -> bool | None:
     p, q = parse(a), parse(b)
     try:
         return None if p is None or q is None else p.equals(q)
-    except Unreadable:
+    except Unreadable as e:
+        LIMITS.met |= isinstance(e, Limited)
         return None
 
 
@@ -425,57 +450,128 @@ def answer_key(text: str | None, dataset: str | None) -> str | None:
     return None if box is None else canonical(box)
 
 
+# Fixed: presentation that the relaxed rule takes off a box: spacing, the degree sign, four units.
+_SPACING, _DEGREE = re.compile(r"\\(?:,|;|!|\s)+"), re.compile(r"\^\s*\\circ")
+_UNITS = re.compile(r"\\text\{(?:degrees?|edges?|square inches?|sq\.?\s*cm)\}", re.IGNORECASE)
+# Fixed: numbers as the relaxed rules find them.
+_NUMBERISH, _NUMBER = re.compile(r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:\s*/\s*-?\d+(?:,\d{3})*(?:\.\d+)?)?"), re.compile(r"-?\d+(?:\.\d+)?")
+
+
+def without_units(box: str) -> str:
+    for pattern in (_SPACING, _DEGREE, _UNITS):
+        box = pattern.sub("", box)
+    return box.strip()
+
+
+def plain_ratio(text: str | None) -> float | None:
+    """A decimal number or a / b of two; commas, $, \\left and \\right aside. A fraction command is none."""
+    if text is None:
+        return None
+    top, slash, bottom = re.sub(r"\\(?:left|right)|[,$]", "", text.strip()).partition("/")
+    if not slash:
+        return plain_float(top)
+    x, y = plain_float(top), plain_float(bottom)
+    return x / y if x is not None and y else None
+
+
 def relaxed_units(text: str | None, gold: str | None, dataset: str | None, capped: bool) -> bool:
-    """Strict, or equal without units, or by a last number or fraction; without a box only if not cut off."""
+    """The strict verdict; for `math` also boxes equal without units, or as numbers; without a box the text's last
+    number, but not if the cap cut the text."""
     if verify(text, gold, dataset):
         return True
-    box = extract_boxed(text)
-    want = gsm8k_gold(gold) if _kind(dataset) == "gsm8k" else numeric(extract_boxed(gold) or "")
-    if box is None and capped:
+    if _kind(dataset) != "math":
         return False
-    source = box if box is not None else (text or "")
-    bare = re.sub(r"\\text\{[^{}]*\}|\\%|%|\\\$|\^\\circ|[A-Za-z ]+$", "", source).strip()
-    if box is not None and extract_boxed(gold) and normalise(bare) == normalise(re.sub(r"\\text\{[^{}]*\}", "", extract_boxed(gold))):
+    box, want = extract_boxed(text), extract_boxed(gold)
+    if box is not None and want is not None and verify_math(f"\\boxed{{{without_units(box)}}}", f"\\boxed{{{without_units(want)}}}"):
         return True
-    found = re.findall(r"-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:/\d+)?", bare)
-    if want is None or not found:
-        return False
-    top, _, bottom = found[-1].replace(",", "").partition("/")
-    if bottom and not int(bottom):
+    value = plain_ratio(want)
+    if value is None:
         return False
-    return abs(float(top) / float(bottom or 1) - want) <= TOLERANCE
+    if box is None and not capped:
+        box = (_NUMBERISH.findall(text or "") or [None])[-1]
+    got = plain_ratio(box)
+    return got is not None and abs(got - value) <= TOLERANCE
+
+
+def relaxed_answer(text: str | None, dataset: str | None) -> str | None:
+    """The strict answer, else the last number in the text, commas aside."""
+    strict = answer_key(text, dataset)
+    return strict if strict is not None else (_NUMBER.findall((text or "").replace(",", "")) or [None])[-1]
 
 
 def relaxed_last_number(text: str | None, gold: str | None, dataset: str | None) -> bool:
-    """Strict, or without a strict answer the last number against gold, to 1e-6."""
+    """The strict verdict, or without a strict answer the last number against a gold that is a plain number, to 1e-6."""
     if verify(text, gold, dataset):
         return True
     if answer_key(text, dataset) is not None:
         return False
-    want = gsm8k_gold(gold) if _kind(dataset) == "gsm8k" else numeric(extract_boxed(gold) or "")
-    got = last_number(text)
-    return want is not None and got is not None and abs(got - want) <= 1e-6
+    want = gsm8k_gold(gold) if _kind(dataset) == "gsm8k" else plain_float((extract_boxed(gold) or "").replace(",", ""))
+    hits = _NUMBER.findall((text or "").replace(",", ""))
+    return want is not None and bool(hits) and abs(float(hits[-1]) - want) <= 1e-6
+
+
+def cache_key(operation: str, *values, version: str = "1", tolerance: float = TOLERANCE) -> bytes:
+    """sha256 over the parts, each behind its length in eight bytes, so that no two lists of parts run together."""
+    digest = hashlib.sha256()
+    for part in (version, operation, tolerance, *values):
+        data = str(part).encode("utf-8", "surrogatepass")
+        digest.update(len(data).to_bytes(8, "big") + data)
+    return digest.digest()
+
+
+SCORE = T.StructType([T.StructField("answer", T.StringType()), T.StructField("correct", T.BooleanType()), T.StructField("limited", T.BooleanType())])
+
+
+def score(text: str | None, gold: str | None, dataset: str | None) -> tuple[str | None, bool, bool]:
+    """Answer, verdict, and whether a limit was met on the way."""
+    LIMITS.take()
+    return answer_key(text, dataset), verify(text, gold, dataset), LIMITS.take()
+
+
+def relaxed_score(text: str | None, gold: str | None, dataset: str | None) -> tuple[str | None, bool, bool]:
+    """score() under the rule of relaxed_answer and relaxed_last_number."""
+    LIMITS.take()
+    return relaxed_answer(text, dataset), relaxed_last_number(text, gold, dataset), LIMITS.take()
 
 
-SCORE = T.StructType([T.StructField("answer", T.StringType()), T.StructField("correct", T.BooleanType())])
+_KEPT = {False: lru_cache(REMEMBERED)(score), True: lru_cache(REMEMBERED)(relaxed_score)}
+
+
+def remembered(relaxed: bool, text: str | None, gold: str | None, dataset: str | None) -> tuple[str | None, bool, bool]:
+    """score() or relaxed_score(), kept for short texts."""
+    if text is not None and len(text) > SHORT:
+        return (relaxed_score if relaxed else score)(text, gold, dataset)
+    return _KEPT[relaxed](text, gold, dataset)
+
+
+def _scores(relaxed: bool, text: pd.Series, gold: pd.Series, dataset: pd.Series) -> pd.DataFrame:
+    rows = [remembered(relaxed, t, g, d) for t, g, d in zip(text, gold, dataset, strict=True)]
+    return pd.DataFrame(rows, columns=SCORE.names, dtype=object)
 
 
 @F.pandas_udf(SCORE)
 def score_udf(text: pd.Series, gold: pd.Series, dataset: pd.Series) -> pd.DataFrame:
-    rows = [(answer_key(t, d), verify(t, g, d)) for t, g, d in zip(text, gold, dataset, strict=True)]
-    return pd.DataFrame(rows, columns=["answer", "correct"], dtype=object)
+    return _scores(False, text, gold, dataset)
+
+
+@F.pandas_udf(SCORE)
+def relaxed_score_udf(text: pd.Series, gold: pd.Series, dataset: pd.Series) -> pd.DataFrame:
+    return _scores(True, text, gold, dataset)
+
+
+@F.pandas_udf(T.BooleanType())
+def relaxed_units_udf(text: pd.Series, gold: pd.Series, dataset: pd.Series, capped: pd.Series) -> pd.Series:
+    return pd.Series([relaxed_units(t, g, d, bool(c)) for t, g, d, c in zip(text, gold, dataset, capped, strict=True)], dtype=bool)
 
 
-def score_distinct(rows: DataFrame, text: str = "text", gold: str = "gold", dataset: str = "dataset") -> DataFrame:
-    """rows with answer and correct; every distinct (text, gold, dataset) is scored once and joined back.
+def score_rows(rows: DataFrame, text: str = "text", gold: str = "gold", dataset: str = "dataset", relaxed: bool = False) -> DataFrame:
+    """rows with answer, correct and limited (a limit cut the comparison short), without a shuffle.
 
-    The join is on the three columns, null-safe, so that it can be split where one text is very common.
+    Every Python worker remembers REMEMBERED scores, so repeated texts are mostly scored once a worker. A null or
+    unknown data set is an error.
     """
-    keys = [text, gold, dataset]
-    scored = rows.select(*keys).distinct().withColumn("score", score_udf(*keys))
-    scored = scored.select(*[F.col(k).alias(f"__{k}") for k in keys], "score.answer", "score.correct")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return rows.drop("answer", "correct").join(scored, same, "left").drop(*[f"__{k}" for k in keys])
+    scored = rows.drop(*SCORE.names).withColumn("__score", (relaxed_score_udf if relaxed else score_udf)(text, gold, dataset))
+    return scored.select("*", *[F.col(f"__score.{c}").alias(c) for c in SCORE.names]).drop("__score")
 
 
 def native_gsm8k(text: Column, gold: Column) -> Column:

@@ -39,7 +39,7 @@ def voted(arms: DataFrame, *names: str) -> DataFrame:
 
 def three_arm_detail(arms: DataFrame) -> DataFrame:
     """A row per problem and definition of a failed run a: repairs at the same cap (b) and extended (c), and what c adds."""
-    base = voted(arms, "a", "b", "c").withColumn("eligibility", vote.eligibility(F.col("a")))
+    base = voted(arms, "a", "b", "c").withColumn("eligibility", vote.eligibility(F.col("a"), F.col("vote_a.correct")))
     rows = base.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("definition"), F.col(f"eligibility.{d}").alias("eligible")) for d in DEFINITIONS])).alias("d")).select("*", "d.*")
     eligible, b, c = F.col("eligible"), F.col("vote_b.correct"), F.col("vote_c.correct")
     # A first chain can be wrong while another is right; elsewhere a repair needs that none was.
@@ -72,7 +72,7 @@ def harm_detail(arms: DataFrame) -> DataFrame:
 
     Who is eligible is decided on a for every contrast; harm also needs the source's vote to be right.
     """
-    base = voted(arms, "a", "b", "c").withColumn("right", vote.complete_correct(F.col("a")))
+    base = voted(arms, "a", "b", "c").withColumn("right", vote.complete_correct(F.col("a"), F.col("vote_a.correct")))
     cases = F.array(*[F.struct(F.lit(k).alias("contrast"), F.col(f"vote_{s}").alias("source"), F.col(f"vote_{t}").alias("target")) for k, (s, t) in CONTRASTS.items()])
     whose = F.array(*[F.struct(F.lit(d).alias("definition"), F.col(f"right.{d}").alias("eligible")) for d in HARM_DEFINITIONS])
     rows = base.select("problem_id", "dataset", F.explode(cases).alias("k"), whose.alias("w")).select("problem_id", "dataset", "k.*", F.explode("w").alias("w")).select("problem_id", "dataset", "contrast", "source", "target", "w.*")
@@ -87,7 +87,7 @@ def harm_summary(detail: DataFrame) -> DataFrame:
 
 def expanded_repair_detail(arms: DataFrame, base: str = "b", extended: str = "c") -> DataFrame:
     """Two runs: a row per problem and definition, with repairs by vote, by any chain and by tie bounds."""
-    rows = voted(arms, base, extended).withColumn("eligibility", vote.eligibility(F.col(base)))
+    rows = voted(arms, base, extended).withColumn("eligibility", vote.eligibility(F.col(base), F.col(f"vote_{base}.correct")))
     rows = rows.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("definition"), F.col(f"eligibility.{d}").alias("eligible")) for d in DEFINITIONS])).alias("d")).select("*", "d.*")
     e, x = F.col("eligible"), F.col(f"vote_{extended}")
     fresh = F.when(F.col("definition") == "first_chain_wrong", F.lit(True)).otherwise(~F.col(f"any_{base}"))
@@ -145,7 +145,7 @@ def same_budget_control(arms: DataFrame, base: str = "a", extended: str = "c", c
         "control",
         F.transform(extended, lambda c: c.withField("answer", F.when(kept(c), c["answer"])).withField("correct", c["correct"] & kept(c)).withField("complete", c["complete"] & kept(c)).withField("finish_reason", F.when(kept(c), c["finish_reason"]).otherwise("length"))),
     )
-    rows = voted(controlled, base, extended, "control").withColumn("eligible", vote.eligibility(F.col(base))["strict_all_wrong"])
+    rows = voted(controlled, base, extended, "control").withColumn("eligible", vote.eligibility(F.col(base), F.col(f"vote_{base}.correct"))["strict_all_wrong"])
     e, x, k = F.col("eligible"), F.col(f"vote_{extended}.correct"), F.col("vote_control.correct")
     chains = F.sum(F.size(extended)).cast("long")
     cut = F.sum(F.size(F.filter(extended, lambda c: ~kept(c)))).cast("long")
@@ -220,11 +220,11 @@ def transition_counts(frame: DataFrame) -> DataFrame:
 
 
 def correct_to_wrong(frame: DataFrame, low: float = 0.02, high: float = 0.05) -> DataFrame:
-    """Share of right answers that get lost, with a verdict by two thresholds."""
+    """Share of right answers that get lost: high above `high` only, low below `low`, else moderate."""
     lost, right = count(F.col("base_ok") & ~F.col("long_ok")), count(F.col("base_ok"))
     out = over_all(frame, [], F.count(F.lit(1)).alias("n"), right.alias("n_correct"), lost.alias("n_lost"))
     share = F.col("n_lost") / F.greatest(F.col("n_correct"), F.lit(1))
-    return out.select("*", F.round(share, 6).alias("chr"), F.when(share < low, "low").when(share < high, "moderate").otherwise("high").alias("verdict"))
+    return out.select("*", F.round(share, 6).alias("chr"), F.when(share > high, "high").when(share < low, "low").otherwise("moderate").alias("verdict"))
 
 
 def paired_counts(rows: DataFrame, reference: str, target: str, *keys: str) -> DataFrame:
@@ -233,22 +233,9 @@ def paired_counts(rows: DataFrame, reference: str, target: str, *keys: str) -> D
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count(r & t).alias("both"), count(r & ~t).alias("reference_only"), count(~r & t).alias("target_only"), count(~r & ~t).alias("neither"))
 
 
-def relaxed(chains: Column, gold: Column) -> Column:
-    """Chains under the relaxed verifier: one without a strict answer counts by its fallback (a last number)."""
-    instead = lambda c: c["answer"].isNull() & c["fallback"].isNotNull()
-    return F.transform(chains, lambda c: c.withField("answer", F.coalesce(c["answer"], c["fallback"])).withField("correct", c["correct"] | F.coalesce(instead(c) & (c["fallback"] == gold), F.lit(False))))
-
-
-def strict_relaxed_summary(arms: DataFrame, base: str = "b", extended: str = "c") -> DataFrame:
-    """Accuracy, help and harm by setting (strict, relaxed) for each data set and all."""
-    own = voted(arms.withColumn("rb", relaxed(F.col(base), F.col("gold"))).withColumn("rx", relaxed(F.col(extended), F.col("gold"))), base, extended, "rb", "rx")
-    rows = own.select("dataset", F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), F.col(f"vote_{p}.correct").alias("p"), F.col(f"vote_{q}.correct").alias("q")) for n, p, q in (("strict", base, extended), ("relaxed", "rb", "rx"))])).alias("s")).select("dataset", "s.*")
+def strict_relaxed_summary(detail: DataFrame) -> DataFrame:
+    """Accuracy, help and harm by setting (strict, relaxed) for each data set and all; detail as of runs.relaxed_detail."""
+    settings = F.array(*[F.struct(F.lit(k).alias("setting"), F.col(f"{k}_medium_correct").alias("p"), F.col(f"{k}_long_correct").alias("q")) for k in ("strict", "relaxed")])
+    rows = detail.select("dataset", F.explode(settings).alias("s")).select("dataset", "s.*")
     p, q, n = F.col("p"), F.col("q"), F.count(F.lit(1))
-    return over_all(rows, ["setting"], n.alias("n"), rate(count(p), n).alias("base_acc"), rate(count(q), n).alias("ext_acc"), count(~p & q).alias("helpful"), count(p & ~q).alias("harmful"))
-
-
-def hidden_repairs(arms: DataFrame, base: str = "a", extended: str = "c") -> DataFrame:
-    """Among problems that the strict verifier finds all wrong: repairs it sees, and those only the relaxed one sees."""
-    own = voted(arms.withColumn("rx", relaxed(F.col(extended), F.col("gold"))), extended, "rx").withColumn("e", vote.eligibility(F.col(base))["strict_all_wrong"])
-    e, s, r = F.col("e"), F.col(f"vote_{extended}.correct"), F.col("vote_rx.correct")
-    return over_all(own, [], count(e).alias("n_eligible"), count(e & s).alias("strict_repairs"), count(e & r).alias("relaxed_repairs"), count(e & ~s & r).alias("hidden_repairs"), count(e & s & ~r).alias("lost_repairs"))
+    return over_all(rows, ["setting"], n.alias("n"), rate(count(p), n).alias("medium_acc"), rate(count(q), n).alias("long_acc"), rate(count(~p & q), n).alias("helpful_ml_rate"), rate(count(p & ~q), n).alias("long_harm_rate"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import request_seed
 from ..sources.records import canonical
 
 
+def canonical_dict(value: dict) -> str:
+    return json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """key and rule for every rule that a row breaks; a rule that comes to null counts as broken."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
@@ -45,6 +52,108 @@ def record_rules() -> dict[str, Column]:
     }
 
 
+#: What a run's signature has to tell.
+REQUIRED_SIGNATURE = ("model", "model_snapshot_sha256", "runtime_versions", "prompt_template", "prompt_sha256")
+
+
+def resume(lines: DataFrame, problems: DataFrame, budget: dict, policy: dict, signature: dict) -> tuple[DataFrame, DataFrame]:
+    """Completed records that a resumed run may keep, and what became of all lines.
+
+    lines: as of records.numbered_lines with the run schema. A line counts if it can be read and holds all rules: the
+    number of chains, the budget's caps and decoding, the seed policy, the run signature, the problem's data set,
+    question, answer and level, and every chain's own (valid_chain). Of several valid lines of a problem the last one
+    stays, with the problem's order (column position of problems). The second table counts lines by rule: malformed,
+    each rule first broken, and valid.
+    """
+    r = F.col("r")
+    own, told = r["budget"], problems.select(F.col("problem_id").alias("__id"), "position", F.struct("dataset", "question", "answer", F.coalesce("math_level", F.lit(0)).alias("math_level")).alias("told"))
+    rows = lines.join(told, r["problem_id"] == F.col("__id"), "left")
+    same = lambda c, v: c.isNull() if v is None else F.coalesce(c == F.lit(v), F.lit(False))
+    every = lambda conditions: F.array_min(F.array(*conditions)) if conditions else F.lit(True)
+    parsed = F.from_json(F.lit(canonical_dict(signature)), lines.schema["r"].dataType["budget"].dataType["run_signature"].dataType)
+    fields = {k: parsed[k] for k in signature}
+    each = F.forall(F.transform(r["chains"], lambda c, i: valid_chain(c, i, r["problem_id"], own)), lambda x: x)
+    rules = {
+        "malformed": r["_corrupt_record"].isNull() & r["problem_id"].isNotNull(),
+        "chain_count": F.coalesce(F.size(r["chains"]), F.lit(0)) == budget["n_chains"],
+        "budget": every([same(own[k], budget.get(k)) for k in ("max_new_tokens", "n_chains", "temperature", "top_p", "seed")]),
+        "seed_policy": every([same(own["seed_policy"][k], policy.get(k)) for k in ("engine_seed", "request_seed", "base_seed", "mode")]),
+        "signature": every([canonical(F.struct(own["run_signature"][k].alias("v"))).eqNullSafe(canonical(F.struct(v.alias("v")))) for k, v in fields.items()]),
+        "problem": F.col("told").isNotNull() & F.struct(r["dataset"], r["question"], r["answer"], F.coalesce(r["math_level"], F.lit(0))).eqNullSafe(F.col("told")),
+        "chains": F.coalesce(each, F.lit(False)),
+    }
+    broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()], F.lit("valid"))
+    judged = rows.withColumn("outcome", broken)
+    last = Window.partitionBy("__id").orderBy(F.col("file").desc(), F.col("at").desc())
+    kept = judged.filter("outcome = 'valid'").withColumn("__k", F.row_number().over(last)).filter("__k = 1")
+    fields = [f for f in lines.schema["r"].dataType.names if f != "_corrupt_record"]
+    return kept.select("position", *[r[f].alias(f) for f in fields]), judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_rules(lines: DataFrame) -> dict[str, Column]:
+    """Rules of one record in a file of a rerun, beyond record_rules: readable, a whole signature, chains in order."""
+    chains, budget = F.col("chains"), F.col("budget")
+    order = F.transform(chains, lambda c: c["chain_index"].cast("int"))
+    policy = budget["seed_policy"]["mode"]
+    seeds = F.transform(chains, lambda c: c["request_seed"])
+    return record_rules() | {
+        "signature_fields": F.array_min(F.array(*[budget["run_signature"][k].isNotNull() for k in REQUIRED_SIGNATURE])),
+        "chain_indexes": order == F.when(F.size(chains) > 0, F.sequence(F.lit(0), F.size(chains) - 1)).otherwise(F.array().cast("array<int>")),
+        "unique_seeds": F.when(policy == "per_problem_per_chain_sha256", F.size(F.array_distinct(seeds)) == F.size(chains)).otherwise(policy.isin("per_request_single_chain", "engine_only_multi_sample")),
+    }
+
+
+def validate_files(runs: dict[str, DataFrame], expected_rows: int | None = None) -> DataFrame:
+    """file, key and rule for whatever is wrong with the record files of a rerun; empty if all holds.
+
+    Per record: file_rules. Per file: repeated ids, more than one budget, another number of rows than expected.
+    Across files: a problem with other data set, question, answer or level.
+    """
+    found, told = [], []
+    for name, run in runs.items():
+        own = F.lit(name).alias("file")
+        found.append(violations(run, "problem_id", file_rules(run)).select(own, F.col("problem_id").cast("string").alias("key"), "rule"))
+        found.append(run.groupBy("problem_id").count().filter("count > 1").select(own, F.col("problem_id").cast("string").alias("key"), F.lit("duplicate_id").alias("rule")))
+        b = F.col("budget")
+        signature = F.struct(*[b[k].alias(k) for k in ("max_new_tokens", "n_chains", "temperature", "top_p", "seed_policy", "mode", "deterministic_sampling", "run_signature")])
+        sums = run.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(canonical(signature)).alias("budgets"))
+        if expected_rows is not None:
+            found.append(sums.filter(F.col("n") != expected_rows).select(own, F.col("n").cast("string").alias("key"), F.lit("row_count").alias("rule")))
+        found.append(sums.filter("budgets > 1").select(own, F.col("budgets").cast("string").alias("key"), F.lit("budget_differs").alias("rule")))
+        told.append(run.select(own, "problem_id", F.struct("dataset", "question", "answer", F.coalesce("math_level", F.lit(0)).alias("math_level")).alias("told")))
+    every = reduce(DataFrame.unionByName, told)
+    odd = every.groupBy("problem_id").agg(F.count_distinct(canonical(F.col("told"))).alias("n")).filter("n > 1")
+    found.append(odd.select(F.lit("*").alias("file"), F.col("problem_id").cast("string").alias("key"), F.lit("metadata_differs").alias("rule")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def same_frames(frames: dict[str, DataFrame], *keys: str, value: str = "dataset") -> DataFrame:
+    """seed, key and rule where seeds' tables differ: repeated keys, keys that a seed lacks, another data set."""
+    n = len(frames)
+    rows = reduce(DataFrame.unionByName, [d.select(F.lit(label).alias("seed"), F.to_json(F.struct(*keys)).alias("key"), F.col(value).alias("v")) for label, d in frames.items()])
+    per = rows.groupBy("key", "seed").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("v"))
+    whole = per.groupBy("key").agg(F.count(F.lit(1)).alias("seeds"), (F.count_distinct("v") + F.max(F.col("v").isNull().cast("int"))).alias("kinds"))
+    return per.filter("m > 1").select("seed", "key", F.lit("duplicate").alias("rule")).unionByName(whole.filter(F.col("seeds") < n).select(F.lit("*").alias("seed"), "key", F.lit("missing").alias("rule"))).unionByName(whole.filter("kinds > 1").select(F.lit("*").alias("seed"), "key", F.lit(f"{value}_differs").alias("rule")))
+
+
+def bind_models(signatures: dict[str, list[dict]], expected: dict[str, str] | None = None) -> dict[str, dict]:
+    """The one signature of each model's runs; fails if runs of a model differ, if the model is not the expected one
+    (by the last part of its path), or if two models are the same snapshot."""
+    out, seen = {}, {}
+    for model, found in signatures.items():
+        kinds = {canonical_dict(s): s for s in found}
+        if len(kinds) != 1:
+            raise ValueError(f"runs of {model} have {len(kinds)} signatures")
+        (one,) = kinds.values()
+        name = one["model"].rstrip("/").rpartition("/")[2]
+        if expected and expected.get(model, name) != name:
+            raise ValueError(f"the folder of {model} holds runs of {name}")
+        if (other := seen.setdefault(one["model_snapshot_sha256"], model)) != model:
+            raise ValueError(f"{model} and {other} are the same model")
+        out[model] = one
+    return out
+
+
 def decoding(budget: Column) -> Column:
     """What has to agree for runs to be comparable."""
     return F.struct(budget["temperature"].alias("temperature"), budget["top_p"].alias("top_p"), budget["n_chains"].alias("n_chains"), canonical(budget["run_signature"]).alias("signature"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+
 #: Words that must not be in the names of features.
 BANNED = ("label", "long", "correct", "gold", "answer_key", "utility")
 
@@ -63,16 +65,24 @@ def group_folds(frame: DataFrame, group: str, label: str, k: int = 5, seed: int
     return frame.join(groups, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
+def auc(frame: DataFrame, score: str, label: str, *by: str, ranges: int = 64) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney, ties half), from counts by distinct score.
 
-    Rows are summed by score first, so the ordered pass sees distinct scores only.
+    Rows are summed by score first, and the scores cut into ranges, so that an ordered pass sees the distinct scores
+    of one range only; the ranges before come in as sums.
     """
     rows = frame.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("__s"), F.col(label).alias("__y"))
     tally = rows.groupBy(*by, "__s").agg(F.count_if(F.col("__y") == 1).alias("__p"), F.count_if(F.col("__y") == 0).alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = tally.select(*by, "__p", "__n", (F.col("__p") * (below + F.col("__n") / 2)).alias("__w"))
-    out = won.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
+    cuts = sorted(set(rows.select(F.col("__s").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.005)))
+    part = F.lit(len(cuts))
+    for i, c in reversed(list(enumerate(cuts))):
+        part = F.when(F.col("__s").cast("double") < F.lit(c), F.lit(i)).otherwise(part)
+    tally = tally.withColumn("__r", part)
+    earlier = Window.unboundedPreceding, -1
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy("__s").rowsBetween(*earlier)), F.lit(0))
+    sums = tally.select(*by, "__r", "__p", "__n", (F.col("__p") * (inside + F.col("__n") / 2)).alias("__w")).groupBy(*by, "__r").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"), F.sum("__w").alias("__w"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(*earlier)), F.lit(0))
+    out = sums.select(*by, "__p", "__n", (F.col("__w") + F.col("__p") * before).alias("__w")).groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
     return out.select(*by, "n_pos", "n_neg", F.round(F.col("__w") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0)), 6).alias("auc"))
 
 
@@ -83,20 +93,18 @@ def correlations(frame: DataFrame, features: list[str], label: str) -> DataFrame
     return frame.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
-def balanced(frame: DataFrame, label: str) -> DataFrame:
-    """frame with weight: n / (2 * rows of the label)."""
-    n = {r[label]: r["count"] for r in frame.groupBy(label).count().collect()}
-    total, weight = sum(n.values()), F.lit(1.0)
-    for value, size in n.items():
-        weight = F.when(F.col(label) == value, F.lit(total / (2.0 * size))).otherwise(weight)
-    return frame.withColumn("weight", weight)
+def class_weight(label: Column, sizes: dict) -> Column:
+    """n / (2 * rows of the label)."""
+    total, weight = sum(sizes.values()), F.lit(1.0)
+    for value, size in sizes.items():
+        weight = F.when(label == value, F.lit(total / (2.0 * size))).otherwise(weight)
+    return weight
 
 
-def standardised(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both frames by the means and population deviations of train."""
-    row = train.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    scaled = lambda d: d.select(*[c for c in d.columns if c not in features], *[((F.col(f) - row[f"m_{f}"]) / (row[f"s_{f}"] or 1.0)).alias(f) for f in features])
-    return scaled(train), scaled(test)
+def scaling(rows: DataFrame, features: list[str], *by: str) -> DataFrame:
+    """n and, for each feature, mean and population variance; one pass for all folds and labels."""
+    x = lambda f: F.col(f).cast("double")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x(f)).alias(f"m_{f}") for f in features], *[F.var_pop(x(f)).alias(f"v_{f}") for f in features])
 
 
 def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
@@ -109,58 +117,122 @@ def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
     return GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **common)
 
 
+class Fitted:
+    """A model fitted on some rows, with the scaling that it learned."""
+
+    def __init__(self, train: DataFrame, features: list[str], kind: str, sums: list, seed: int = 42):
+        """train: label (double) and features. sums: rows of scaling() by label, of the rows of train."""
+        self.features, n = features, sum(r["n"] for r in sums)
+        self.scale = {}
+        if kind == "logistic":
+            for f in features:
+                mean = sum(r["n"] * r[f"m_{f}"] for r in sums) / n
+                self.scale[f] = mean, (sum(r["n"] * (r[f"v_{f}"] + (r[f"m_{f}"] - mean) ** 2) for r in sums) / n) ** 0.5 or 1.0
+        sizes: dict[float, int] = {}
+        for r in sums:
+            sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
+        self.model = classifier(kind, n, seed=seed).fit(self.assembled(train.withColumn("weight", class_weight(F.col("label"), sizes))))
+
+    def assembled(self, rows: DataFrame) -> DataFrame:
+        scaled = rows.select(*[c for c in rows.columns if c not in self.scale], *[((F.col(f) - m) / s).alias(f) for f, (m, s) in self.scale.items()])
+        return VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows with probability; without the features."""
+        out = self.model.transform(self.assembled(rows)).withColumn("probability", vector_to_array("probability")[1])
+        return out.drop("features", "rawPrediction", "prediction", "weight", *self.features)
+
+
 def out_of_fold(frame: DataFrame, features: list[str], label: str, kind: str = "logistic", k: int = 5, seed: int = 42) -> DataFrame:
-    """frame (with fold) and probability: every row scored by a model that didn't see its fold."""
+    """frame (with fold) and probability: every row scored by a model that didn't see its fold.
+
+    The frame is worked out once, into a table; sizes and moments of all folds come from one aggregation of it.
+    """
     leakage_guard(features)
-    assembler, out = VectorAssembler(inputCols=features, outputCol="features"), None
-    base = frame.withColumn("label", F.col(label).cast("double"))
+    base = materialise(frame.withColumn("label", F.col(label).cast("double")), "folds")
+    sums = scaling(base, features, "fold", "label").collect()
+    out = None
     for fold in range(k):
-        train, test = balanced(base.filter(F.col("fold") != fold), "label"), base.filter(F.col("fold") == fold)
-        if kind == "logistic":
-            train, test = standardised(train, test, features)
-        model = classifier(kind, train.count(), seed=seed).fit(assembler.transform(train))
-        scored = model.transform(assembler.transform(test)).withColumn("probability", vector_to_array("probability")[1])
-        scored = scored.select(*[c for c in scored.columns if c not in ("features", "rawPrediction", "prediction", "weight", *features)])
+        fitted = Fitted(base.filter(F.col("fold") != fold).select("label", *features), features, kind, [r for r in sums if r["fold"] != fold], seed)
+        scored = fitted.score(base.filter(F.col("fold") == fold))
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def holdout(frame: DataFrame, features: list[str], label: str, train_on, kind: str = "logistic") -> DataFrame:
-    """Rows that train_on doesn't hold, scored by a model fitted on those that it does: cross-domain transfer."""
-    marked = frame.withColumn("fold", F.when(train_on, F.lit(1)).otherwise(F.lit(0)))
+def enough_groups(frame: DataFrame, group: str, label: str, k: int = 5) -> bool:
+    """Whether both labels have rows of k groups at least, which folds by group need."""
+    row = frame.agg(*[F.count_distinct(F.when(F.col(label) == v, F.col(group))) for v in (1, 0)]).first()
+    return min(row) >= k
+
+
+def grouped_scores(frame: DataFrame, features: list[str], label: str, group: str, kind: str = "logistic", k: int = 5, seed: int = 42) -> tuple[DataFrame, bool]:
+    """frame with probability, out of folds by group, and whether it was fitted: with fewer than k groups in a label,
+    all are 0."""
+    if not enough_groups(frame, group, label, k):
+        return frame.withColumn("probability", F.lit(0.0)), False
+    return out_of_fold(group_folds(frame, group, label, k, seed), features, label, kind, k, seed), True
+
+
+#: Columns that tell the data set, which transfer between data sets must not use.
+DOMAIN = ("g1_is_gsm8k", "g1_is_math", "q_is_math", "is_math", "math_level", "q_math_level")
+
+
+def holdout(frame: DataFrame, features: list[str], label: str, train_on, kind: str = "logistic", domain: tuple[str, ...] = DOMAIN) -> DataFrame:
+    """Rows that train_on doesn't hold, scored by a model fitted on those that it does: cross-domain transfer.
+
+    Features that tell the domain are dropped.
+    """
+    features = [f for f in features if f not in domain]
     leakage_guard(features)
-    base = marked.withColumn("label", F.col(label).cast("double"))
-    train, test = balanced(base.filter("fold = 1"), "label"), base.filter("fold = 0")
-    if kind == "logistic":
-        train, test = standardised(train, test, features)
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    model = classifier(kind, train.count()).fit(assembler.transform(train))
-    return model.transform(assembler.transform(test)).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction", *features)
+    base = materialise(frame.withColumn("fold", F.when(train_on, F.lit(1)).otherwise(F.lit(0))).withColumn("label", F.col(label).cast("double")), "holdout")
+    train = base.filter("fold = 1")
+    return Fitted(train.select("label", *features), features, kind, scaling(train, features, "label").collect()).score(base.filter("fold = 0"))
+
+
+def numbered(frame: DataFrame, key: str, seed: int) -> DataFrame:
+    """frame with __i from 0, in order of a hash of seed and key; numbered in 256 parts by the hash's first digits."""
+    rows = frame.withColumn("__h", _digest(seed, key)).withColumn("__p", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
+    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # At most 256 rows.
+    counts = F.broadcast(counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) - 1
+    return rows.withColumn("__place", place).join(counts, "__p").withColumn("__i", F.col("__place") + F.col("__before")).drop("__h", "__p", "__place", "__before")
 
 
 def shuffled(frame: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """frame with a column's values dealt anew among rows, in the order of a hash: for permutation importance."""
-    a = frame.withColumn("__i", F.row_number().over(Window.orderBy(key)))
-    b = frame.select(F.col(column).alias("__v"), F.row_number().over(Window.orderBy(_digest(seed, key), key)).alias("__i"))
+    a, b = numbered(frame, key, -seed - 1), numbered(frame.select(key, F.col(column).alias("__v")), key, seed).select("__i", "__v")
     return a.join(b, "__i").drop("__i", column).withColumnRenamed("__v", column)
 
 
 def importances(frame: DataFrame, features: list[str], label: str, seed: int = 42) -> list[tuple[str, float]]:
     """A forest's feature importances."""
-    base = balanced(frame.withColumn("label", F.col(label).cast("double")), "label")
-    model = classifier("forest", 0, seed=seed).fit(VectorAssembler(inputCols=features, outputCol="features").transform(base))
-    return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])
+    base = materialise(frame.select(F.col(label).cast("double").alias("label"), *features), "importances")
+    fitted = Fitted(base, features, "forest", scaling(base, features, "label").collect(), seed)
+    return sorted(zip(features, map(float, fitted.model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])
 
 
-def permutation_importance(frame: DataFrame, features: list[str], label: str, key: str, repeats: int = 10, seed: int = 42) -> list[tuple[str, float]]:
-    """Mean loss of AUC when one feature's values are dealt anew, for a forest fitted on the frame."""
-    base = balanced(frame.withColumn("label", F.col(label).cast("double")), "label")
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    model = classifier("forest", 0, seed=seed).fit(assembler.transform(base))
-    area = lambda d: auc(model.transform(assembler.transform(d)).withColumn("p", vector_to_array("probability")[1]), "p", "label").first()["auc"]
-    whole = area(base)
-    return [(f, sum(whole - area(shuffled(base, f, key, seed + r)) for r in range(repeats)) / repeats) for f in features]
+def permutation_importance(frame: DataFrame, features: list[str], label: str, key: str, repeats: int = 10, seed: int = 42, k: int = 0) -> list[tuple[str, float, float]]:
+    """feature, mean and deviation of the loss of AUC when a feature's values are dealt anew, most first.
 
-
-def verdict(area: float, go: float = 0.7, maybe: float = 0.6) -> str:
-    return "GO" if area >= go else "CONDITIONAL" if area >= maybe else "NO-GO"
+    For a forest fitted on the whole frame, or with k folds (of the frame's fold) for forests on the rest, each by its
+    own fold.
+    """
+    leakage_guard(features)
+    keep = ["label", key, *features, *(["fold"] if k else [])]
+    base = materialise(frame.withColumn("label", F.col(label).cast("double")).select(*keep), "permutation")
+    losses: dict[str, list[float]] = {f: [] for f in features}
+    for fold in range(k or 1):
+        train, test = (base.filter(F.col("fold") != fold), base.filter(F.col("fold") == fold)) if k else (base, base)
+        fitted = Fitted(train.select("label", *features), features, "forest", scaling(train, features, "label").collect(), seed)
+        area = lambda d, fitted=fitted: auc(fitted.score(d), "probability", "label").first()["auc"]
+        whole = area(test)
+        for f in features:
+            losses[f] += [(whole or 0.0) - (area(shuffled(test, f, key, seed + r)) or 0.0) for r in range(repeats)]
+    found = [(f, sum(x) / len(x), (sum((v - sum(x) / len(x)) ** 2 for v in x) / len(x)) ** 0.5) for f, x in losses.items()]
+    return sorted(found, key=lambda x: -x[1])
+
+
+def verdict(area: float, abort: float = 0.60, warn: float = 0.65, go: float = 0.70) -> str:
+    """NO-GO below abort, WARNING below warn, CONDITIONAL below go, else GO."""
+    return "NO-GO" if area < abort else "WARNING" if area < warn else "CONDITIONAL" if area < go else "GO"

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import combinations
-from math import ceil, comb
+from math import comb, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -96,14 +96,21 @@ def subset_summary(audit: DataFrame) -> DataFrame:
     return over_all(audit, ["k"], F.count(F.lit(1)).alias("n_problems"), *[F.round(F.avg(c), 6).alias(c) for c in ("accuracy", "tie_rate", "acc_lower", "acc_upper")])
 
 
+def of_problems(frame: DataFrame, chains: str, n: int) -> DataFrame:
+    """The problems that have n chains."""
+    return frame.filter(F.size(chains) == n)
+
+
 def split_null(frame: DataFrame, chains: str, k: int) -> DataFrame:
     """All splits of 2k chains into selector and control: how often a failed selector comes with a right control.
 
-    Problems with another number of chains are left out; assignments are numbered in lexicographic order.
+    Every problem has to have 2k chains: another number raises an error where the row is read (with
+    of_problems(..., 2k) others are left out knowingly). Assignments are numbered in lexicographic order.
     """
     sets = subsets(2 * k, k)
+    wrong = F.raise_error(F.concat(F.lit("a split needs "), F.lit(2 * k), F.lit(" chains, problem "), F.col("problem_id").cast("string"), F.lit(" has "), F.size(chains).cast("string")))
     pairs = F.array(*[F.struct(F.lit(i).alias("assignment"), F.lit(",".join(map(str, s))).alias("selector_indices"), F.array(*[F.lit(x) for x in s]).alias("s"), F.array(*[F.lit(x) for x in range(2 * k) if x not in s]).alias("c")) for i, s in enumerate(sets)])
-    rows = frame.filter(F.size(chains) == 2 * k).select(chains, F.explode(pairs).alias("p")).select(chains, "p.*")
+    rows = frame.select(F.when(F.size(chains) == 2 * k, F.col(chains)).otherwise(wrong).alias(chains), F.explode(pairs).alias("p")).select(chains, "p.*")
     pick = lambda name: F.transform(name, lambda i: F.col(chains)[i])
     rows = rows.select("assignment", "selector_indices", vote.eligibility(pick("s"))["strict_all_wrong"].alias("e"), vote.plurality(pick("c"))["correct"].alias("r"))
     out = rows.groupBy("assignment", "selector_indices").agg(F.count_if("e").alias("n_eligible"), F.count_if(F.col("e") & F.col("r")).alias("repair_count"))
@@ -125,75 +132,71 @@ def factorial_effects(cells: DataFrame) -> DataFrame:
     return wide.select("dataset", r(f("e1") - f("b1")).alias("token_effect_k1"), r(f("em") - f("bm")).alias("token_effect_kmax"), r(f("bm") - f("b1")).alias("chain_effect_base"), r(f("em") - f("e1")).alias("chain_effect_extended"), r((f("em") - f("bm")) - (f("e1") - f("b1"))).alias("interaction"))
 
 
-# Fixed: the thresholds of a uniform number in [0, 1) at which a Poisson(1) count reaches 1, 2, ... 8.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-
-
 def hash_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the first 48 bits of sha256 of the parts, joined by '|'; the same in any engine."""
     digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def poisson_weight(uniform: Column) -> Column:
-    out = F.lit(len(POISSON))
-    for n, t in reversed(list(enumerate(POISSON))):
-        out = F.when(uniform < t, F.lit(n)).otherwise(out)
-    return out
+#: Standard deviations of a Poisson count that thresholds cover on either side, and counts beside these.
+SPREAD, MARGIN = 12, 20
+
+
+def poisson_steps(n: int) -> tuple[int, np.ndarray]:
+    """The least count considered, and the distribution function of a Poisson count of mean n from there on."""
+    low = max(0, int(n - SPREAD * n**0.5 - MARGIN))
+    k = np.arange(low + 1, int(n + SPREAD * n**0.5 + MARGIN) + 1)
+    first = -n + low * log(n) - lgamma(low + 1)
+    return low, np.cumsum(np.exp(np.concatenate(([first], first + np.cumsum(log(n) - np.log(k))))))
 
 
-def hash_bootstrap(values: DataFrame, key: str, draws: int, seed: int, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """draw, n and weighted sums per draw: every row counts Poisson(1) times, decided by hash of seed, draw and key.
+def hash_bootstrap(values: DataFrame, draws: int, seed: int, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """draw, n and weighted sums per draw, over rows that each count Poisson(1) times.
 
-    The same wherever it runs; rows of one key (a cluster) share their weight. Weights are those of poisson_weight
-    over hash_uniform. Every task sums all draws over its own rows, so no row is made per row and draw; it holds one
-    sum per draw for GROUPS_HELD groups at most. Integers are summed as long, others as double.
+    One row per unit that is resampled: a problem, or a cluster with its sums. Rows with equal values are one class,
+    and a class of n rows weighs Poisson(n) in a draw, which is what its rows' weights come to; so the work grows with
+    classes and draws, not with rows. The count is the quantile of a uniform number from the sha256 of seed, draw and
+    the class's values: the same wherever it runs, in any engine. Integers are summed as long, others as double; a
+    null adds nothing. Every task sums all draws over its classes and holds one sum per draw for GROUPS_HELD groups.
     """
     names = [*by, "draw", "n", *sums]
-    rows = values.select(F.col(key).cast("string").alias("__key"), *by, *[F.col(c).alias(f"__s{i}") for i, c in enumerate(sums)])
-    kinds = [rows.schema[f"__s{i}"].dataType for i in range(len(sums))]
+    classes = values.groupBy(*by, *[F.col(c).alias(f"__s{i}") for i, c in enumerate(sums)]).agg(F.count(F.lit(1)).alias("__n"))
+    kinds = [classes.schema[f"__s{i}"].dataType for i in range(len(sums))]
     if any(not isinstance(t, (T.IntegralType, T.FractionalType)) or isinstance(t, T.DecimalType) for t in kinds):
         raise TypeError("sums are of integers or doubles")
     whole = [isinstance(t, T.IntegralType) for t in kinds]
-    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("draw", T.IntegerType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.LongType() if w else T.DoubleType()) for c, w in zip(sums, whole, strict=True))])
-    steps = np.array([ceil(t * (1 << 48)) for t in POISSON], dtype=np.uint64)
-    prefixes = [f"{seed}|{d}".encode() for d in range(draws)]
+    keyed = classes.select(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (*by, *(f"__s{i}" for i in range(len(sums))))]).alias("__key"), *classes.columns)
+    schema = T.StructType([*(keyed.schema[c] for c in by), T.StructField("draw", T.IntegerType()), T.StructField("n", T.LongType()), *(T.StructField(c, T.LongType() if w else T.DoubleType()) for c, w in zip(sums, whole, strict=True))])
+    prefixes = [f"{seed}|{d}|".encode() for d in range(draws)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[np.ndarray, list[np.ndarray], list[bool]]] = {}
+        held: dict[tuple, tuple[np.ndarray, list[np.ndarray]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for group, (n, totals, seen) in held.items():
+            for group, (n, totals) in held.items():
                 own = [pa.array([v] * draws, batch.column(1 + i).type) for i, v in enumerate(group)]
-                added = [pa.array(t if some else [None] * draws, pa.int64() if w else pa.float64()) for t, some, w in zip(totals, seen, whole, strict=True)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(range(draws), pa.int32()), pa.array(n), *added], names=names)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(range(draws), pa.int32()), pa.array(n), *map(pa.array, totals)], names=names)
             held.clear()
 
         for batch in batches:
-            parts: dict[tuple, list[int]] = {}
-            for i, group in enumerate(zip(*[batch.column(1 + j).to_pylist() for j in range(len(by))], strict=True) if by else [()] * batch.num_rows):
-                parts.setdefault(group, []).append(i)
-            for group, at in parts.items():
-                if group not in held and len(held) >= GROUPS_HELD:
-                    yield from out()
-                part = batch.take(pa.array(at, pa.int64()))
-                # concat_ws leaves a null out.
-                ends = [b"" if k is None else b"|" + k.encode() for k in part.column(0).to_pylist()]
-                columns = [part.column(1 + len(by) + j) for j in range(len(sums))]
-                numbers = [c.cast(pa.int64() if w else pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for c, w in zip(columns, whole, strict=True)]
-                n, totals, seen = held.setdefault(group, (np.zeros(draws, np.int64), [np.zeros(draws, np.int64 if w else float) for w in whole], [False] * len(sums)))
-                seen[:] = [a or c.null_count < len(c) for a, c in zip(seen, columns, strict=True)]
-                for d, start in enumerate(prefixes):
-                    digests = b"".join([sha256(start + e).digest() for e in ends])
-                    weight = np.searchsorted(steps, np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(16), side="right")
-                    n[d] += weight.sum()
-                    for t, v in zip(totals, numbers, strict=True):
-                        t[d] += weight @ v
+            for key, *rest, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                group, own = tuple(rest[: len(by)]), rest[len(by) :]
+                if group not in held:
+                    if len(held) >= GROUPS_HELD:
+                        yield from out()
+                    held[group] = np.zeros(draws, np.int64), [np.zeros(draws, np.int64 if w else float) for w in whole]
+                digests = b"".join([sha256(p + key.encode()).digest() for p in prefixes])
+                uniform = (np.frombuffer(digests, ">u8")[::4] >> np.uint64(16)).astype(float) / (1 << 48)
+                low, steps = poisson_steps(size)
+                weight = low + np.searchsorted(steps, uniform, side="right")
+                n, totals = held[group]
+                n += weight
+                for t, v in zip(totals, own, strict=True):
+                    if v is not None:
+                        t += weight * v
         yield from out()
 
-    # Few bytes are much work here: tasks are dealt by cores, not by size.
-    parts = values.sparkSession.sparkContext.defaultParallelism * 3
-    return rows.repartition(parts).mapInArrow(run, schema).groupBy(*by, "draw").agg(F.sum("n").cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums])
+    return keyed.mapInArrow(run, schema).groupBy(*by, "draw").agg(F.sum("n").cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums])
 
 
 def percentile_interval(draws: DataFrame, value: str, *by: str, alpha: float = 0.05) -> DataFrame:
@@ -203,11 +206,58 @@ def percentile_interval(draws: DataFrame, value: str, *by: str, alpha: float = 0
 
 
 def bootstrap_numpy(frame: DataFrame, a: str, b: str, by: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
-    """Paired bootstrap of the mean of b - a by group, with numpy's generator: the exact mode for summary-sized groups."""
+    """Paired bootstrap of the mean of b - a by group: rows drawn with replacement, as many as there are.
+
+    Only how often each difference occurs matters, so rows are counted by difference first and numpy draws the counts
+    (multinomial). A group with as many differences as rows is still one task's, in blocks of draws.
+    """
+    tally = frame.select(by, (F.col(b).cast("double") - F.col(a).cast("double")).alias("d")).filter("d is not null").groupBy(by, "d").agg(F.count(F.lit(1)).alias("m"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[b].astype(float) - pdf[a].astype(float)).to_numpy()[np.argsort(pdf["problem_id"].to_numpy(), kind="stable")]
-        low, high, p = stats.paired_bootstrap(d, draws, seed)
-        return pd.DataFrame([(key[0], len(d), float(d.mean()), low, high, p)], columns=[by, "n", "delta", "low", "high", "p_le_zero"])
+        pdf = pdf.sort_values("d")
+        d, m = pdf["d"].to_numpy(), pdf["m"].to_numpy()
+        low, high, p = stats.tally_bootstrap(d, m, draws, seed)
+        return pd.DataFrame([(key[0], int(m.sum()), float(d @ m / m.sum()), low, high, p)], columns=[by, "n", "delta", "low", "high", "p_le_zero"])
+
+    return tally.groupBy(by).applyInPandas(run, f"{by} string, n long, delta double, low double, high double, p_le_zero double")
 
-    return frame.select("problem_id", by, a, b).groupBy(by).applyInPandas(run, f"{by} string, n long, delta double, low double, high double, p_le_zero double")
+
+def seed_summary(rows: DataFrame, metric: str, denominator: str | None = None, kind: str = "auto", draws: int = DRAWS, seed: int = 42, key: str = "problem_id", label: str = "seed") -> DataFrame:
+    """A row for all seeds and, of several, one per omitted seed: counts, the pooled estimate and two intervals.
+
+    rows: one per problem and seed. The estimate is the sum of the metric over that of the denominator, or over the
+    rows without one. cluster_ci95: percentiles of a bootstrap over problems with all their seeds; wilson95: only for
+    a binary metric. kind: binary, nonbinary (signed effects), or auto, by the values. Refused: null or non-finite
+    values, repeated problems of a seed, seeds with other problems, a metric declared binary that is not, a negative
+    denominator, and a binary metric above its denominator.
+    """
+    if kind not in ("auto", "binary", "nonbinary"):
+        raise ValueError(f"unknown kind {kind!r}")
+    num, den = F.col(metric).cast("double"), F.lit(1.0) if denominator is None else F.col(denominator).cast("double")
+    own = rows.select(F.col(key).alias("__key"), F.col(label).alias("__seed"), num.alias("__num"), den.alias("__den"))
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    per = own.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__seed").alias("seeds"))
+    seen = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(~(good("__num") & good("__den"))).alias("odd"), F.coalesce(F.min("__den"), F.lit(0.0)).alias("least"), F.count_if(~F.col("__num").isin(0.0, 1.0)).alias("other"), F.count_if(F.col("__num") > F.col("__den")).alias("above"), F.sort_array(F.collect_set("__seed")).alias("labels")).first()
+    labels = seen["labels"]
+    if not seen["n"] or seen["odd"]:
+        raise ValueError(f"{metric}: no rows" if not seen["n"] else f"{seen['odd']} values that are null or not finite")
+    if bad := per.filter((F.col("n") != F.col("seeds")) | (F.col("seeds") != len(labels))).limit(5).collect():
+        raise ValueError(f"problems repeated in a seed, or that a seed lacks: {[r['__key'] for r in bad]}")
+    if denominator is not None and seen["least"] < 0:
+        raise ValueError(f"{denominator} must not be negative")
+    if kind == "binary" and seen["other"]:
+        raise ValueError(f"{metric} was declared binary but has other values")
+    binary = kind == "binary" or (kind == "auto" and not seen["other"])
+    if binary and denominator is not None and seen["above"]:
+        raise ValueError(f"{metric} has successes outside {denominator}")
+    scopes = [("all_seeds", None), *((f"leave_out:{x}", x) for x in labels if len(labels) > 1)]
+    inside = F.filter(F.array(*[F.when(F.lit(x is None) | (F.col("__seed") != F.lit(x if x is not None else labels[0])), F.lit(s)) for s, x in scopes]), lambda s: s.isNotNull())
+    each = own.select("__key", "__seed", "__num", "__den", F.explode(inside).alias("scope"))
+    units = each.groupBy("scope", "__key").agg(F.sum("__num").alias("num"), F.sum("__den").alias("den"))
+    drawn = hash_bootstrap(units, draws, seed, "num", "den", by=("scope",)).withColumn("ratio", F.col("num") / F.nullif(F.col("den"), F.lit(0.0)))
+    ci = drawn.groupBy("scope").agg(*[F.round(F.percentile("ratio", F.lit(p)), 6).alias(c) for c, p in (("cluster_ci95_lower", 0.025), ("cluster_ci95_upper", 0.975))])
+    sums = each.groupBy("scope").agg(F.count_distinct("__seed").alias("n_seeds"), F.count_distinct("__key").alias("n_problems"), F.sum("__num").alias("numerator_count"), F.sum("__den").alias("denominator_count"))
+    w = stats.wilson(F.col("numerator_count"), F.col("denominator_count"))
+    none = F.lit(None).cast("double")
+    out = sums.select("*", rate(F.col("numerator_count"), F.col("denominator_count")).alias("estimate"), (F.round(w["low"], 6) if binary else none).alias("binomial_wilson95_lower"), (F.round(w["high"], 6) if binary else none).alias("binomial_wilson95_upper"))
+    return out.join(ci, "scope", "left")

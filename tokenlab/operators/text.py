@@ -5,32 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACES = " \t\n\x0b\x0c\r"
+from ..functions.answers import BLANKS, stripped
+
+# Fixed patterns of the question features.
+NUMBER_WORDS, OPERATORS = r"\b\d+[\.,]?\d*\b", r"[+\-*/=^%]|\\(?:sqrt|frac|cdot|times|div)"
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{BLANKS}+"), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
     return F.size(word_list(text))
 
 
-def g1_features(text: Column, dataset: Column) -> list[Column]:
-    """Question features: lengths, densities of numbers and operators, questions, sentences, domain flags."""
-    t = F.trim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
+def g1_features(text: Column, dataset: Column, math_level: Column | None = None) -> list[Column]:
+    """Question features: lengths, densities of numbers and operators, questions, sentences, domain flags.
+
+    With math_level, that too, 0 where it is null.
+    """
+    t = stripped(F.coalesce(text, F.lit("")))
     words = n_words(t)
     per = lambda pattern: F.round(F.regexp_count(t, F.lit(pattern)) / F.greatest(words, F.lit(1)), 6)
-    sentences = F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(s, F.lit(_SPACES)) != ""))
+    sentences = F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: stripped(s) != ""))
     return [
-        words.cast("long").alias("g1_question_len"), F.char_length(t).cast("long").alias("g1_char_len"), per(r"\b\d+[\.,]?\d*\b").alias("g1_num_density"),
-        per(r"[+\-*/=^%]|\\(?:sqrt|frac|cdot|times|div)").alias("g1_op_density"), F.regexp_count(t, F.lit(r"\?")).cast("long").alias("g1_sub_question_count"),
+        words.cast("long").alias("g1_question_len"), F.char_length(t).cast("long").alias("g1_char_len"), per(NUMBER_WORDS).alias("g1_num_density"),
+        per(OPERATORS).alias("g1_op_density"), F.regexp_count(t, F.lit(r"\?")).cast("long").alias("g1_sub_question_count"),
         F.greatest(sentences, F.lit(1)).cast("long").alias("g1_sentence_count"), (F.lower(dataset) == "gsm8k").cast("int").alias("g1_is_gsm8k"), (F.lower(dataset) == "math").cast("int").alias("g1_is_math"),
+        *([] if math_level is None else [F.coalesce(math_level.cast("double"), F.lit(0.0)).alias("math_level")]),
+    ]
+
+
+def question_features(question: Column, dataset: Column, math_level: Column) -> list[Column]:
+    """Five features of a question as it stands: words, characters, digits, level and whether it is of `math`."""
+    q = F.coalesce(question, F.lit(""))
+    return [
+        n_words(q).cast("long").alias("q_len_words"), F.char_length(q).cast("long").alias("q_len_chars"), F.char_length(F.regexp_replace(q, r"\P{Nd}", "")).cast("long").alias("q_digit_count"),
+        F.coalesce(math_level.cast("double"), F.lit(0.0)).alias("q_math_level"), F.coalesce(dataset == "math", F.lit(False)).cast("int").alias("q_is_math"),
     ]
 
 
-def output_features(text: Column, token_count: Column) -> list[Column]:
-    """Features of an output; an empty one has no lines."""
+def output_features(text: Column, token_count: Column, hit_max: Column | None = None) -> list[Column]:
+    """Features of an output; an empty one has no lines. With hit_max, whether the cap cut it, too."""
     t = F.coalesce(text, F.lit(""))
     digits = F.char_length(F.regexp_replace(t, "[^0-9]", ""))
     low = F.lower(t)
@@ -38,18 +54,20 @@ def output_features(text: Column, token_count: Column) -> list[Column]:
         token_count.cast("long").alias("token_count"), F.char_length(t).cast("long").alias("char_len"), F.when(t == "", 0).otherwise(F.size(F.split(t, "\n"))).cast("long").alias("line_count"),
         t.contains("\\boxed").cast("int").alias("has_boxed"), low.contains("therefore").cast("int").alias("has_therefore"), low.contains("final").cast("int").alias("has_final"),
         digits.cast("long").alias("digit_count"), F.round(digits / F.greatest(F.char_length(t), F.lit(1)), 6).alias("digit_density"),
+        *([] if hit_max is None else [F.coalesce(hit_max, F.lit(False)).cast("int").alias("hit_max")]),
     ]
 
 
 def step_scores(scores: Column) -> list[Column]:
-    """G2 features of an array of step scores; 0.5 (variance and range 0) without any. Population variance."""
-    s = F.transform(F.coalesce(scores, F.array().cast("array<double>")), lambda x: x.cast("double"))
+    """G2 features of an array of step scores: mean, least, population variance, steps, range, and high: 1 if the mean
+    is 0.5 or more, else 0. Without scores, those of one step of 0.5."""
+    some = F.coalesce(F.size(scores) > 0, F.lit(False))
+    s = F.transform(F.when(some, scores).otherwise(F.array(F.lit(0.5))), lambda x: x.cast("double"))
     n = F.size(s)
     mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
     variance = F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    some = n > 0
-    r = lambda x, other: F.round(F.when(some, x).otherwise(F.lit(other)), 5)
-    return [r(mean, 0.5).alias("g2_mean"), r(F.array_min(s), 0.5).alias("g2_min"), r(variance, 0.0).alias("g2_var"), F.round(F.when(some, F.size(F.filter(s, lambda x: x > 0)) / n).otherwise(F.lit(0.5)), 6).alias("g2_high"), n.cast("long").alias("g2_steps"), r(F.array_max(s) - F.array_min(s), 0.0).alias("g2_range")]
+    r = lambda x: F.round(x, 5)
+    return [r(mean).alias("g2_mean"), r(F.array_min(s)).alias("g2_min"), r(variance).alias("g2_var"), F.when(mean >= 0.5, 1.0).otherwise(0.0).alias("g2_high"), n.cast("long").alias("g2_steps"), r(F.array_max(s) - F.array_min(s)).alias("g2_range")]
 
 
 def chain_score(scores: Column, how: str) -> Column:
@@ -100,14 +118,29 @@ def prefix_summary(overlaps: DataFrame, complete: Column, dataset: Column) -> Da
     return rows.groupBy("group").agg(n.alias("n"), share("is_prefix").alias("prefix_rate"), share("is_equal").alias("equal_rate"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.min("ratio").alias("min_ratio"), F.count_if("diverges").alias("n_divergent"))
 
 
-def steps(text: Column, least_words: int = 4) -> Column:
-    """Reasoning steps: paragraphs, else lines, else sentences of least_words words or more, else the whole text."""
-    t = F.trim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
-    parts = lambda pattern: F.filter(F.transform(F.split(t, pattern), lambda x: F.trim(x, F.lit(_SPACES))), lambda x: x != "")
-    paragraphs, lines = parts(r"\n\s*\n"), parts(r"\n")
-    sentences = F.filter(parts(r"(?<=[.?!;])\s+"), lambda s: n_words(s) >= least_words)
-    whole = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
-    return F.when(F.size(paragraphs) > 1, paragraphs).when(F.size(lines) > 1, lines).when(F.size(sentences) > 1, sentences).otherwise(whole)
+def steps(text: Column, delimiter: str = "auto", least_words: int = 4) -> Column:
+    """Reasoning steps: paragraphs, else lines, else sentences, else the whole text; by a delimiter, the parts between.
+
+    A sentence ends with a word that ends in . ? ! or ; and is its least_words-th or a later one, so that short
+    sentences go with the next; what is left at the end is one more. Nothing of the text is lost.
+    """
+    t = F.coalesce(text, F.lit(""))
+    parts = lambda x, mark: F.filter(F.transform(F.split(x, mark), stripped), lambda p: p != "")
+    if delimiter != "auto":
+        return parts(t, "\\Q" + delimiter + "\\E")
+
+    def sentences(words: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).rlike(r"[.?!;]\z"))
+        cuts = F.aggregate(ends, F.array(F.lit(0)), lambda c, i: F.when(i - F.element_at(c, -1) >= least_words, F.concat(c, F.array(i))).otherwise(c))
+        whole = F.transform(F.array(cuts), lambda c: F.when(F.element_at(c, -1) < F.size(words), F.concat(c, F.array(F.size(words)))).otherwise(c))[0]
+        return F.transform(F.array(whole), lambda c: F.transform(F.sequence(F.lit(2), F.size(c)), lambda j: F.array_join(F.slice(words, F.element_at(c, j - 1) + 1, F.element_at(c, j) - F.element_at(c, j - 1)), " ")))[0]
+
+    def split(x: Column) -> Column:
+        paragraphs, lines = parts(x, "\n\n"), parts(x, "\n")
+        by_word = F.transform(F.array(word_list(x)), sentences)[0]
+        return F.when(x == "", F.array().cast("array<string>")).when(F.size(paragraphs) > 1, paragraphs).when(F.size(lines) > 1, lines).when(F.size(by_word) > 1, by_word).otherwise(F.array(x))
+
+    return F.transform(F.array(stripped(F.replace(t, F.lit("\r\n"), F.lit("\n")))), split)[0]
 
 
 def snippet(text: Column, most: int = 900) -> Column:
@@ -116,17 +149,19 @@ def snippet(text: Column, most: int = 900) -> Column:
     return F.when(F.char_length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
 
 
-# Fixed chat formats by model family; {q} is the question.
+# Fixed: the system text and the chat formats by model family; {q} is the question.
+SYSTEM = "Please reason step by step, and put your final answer within \\boxed{}."
 PROMPTS = {
-    "qwen": "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n{q}<|im_end|>\n<|im_start|>assistant\n",
-    "llama3": "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n{q}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
-    "r1": "<|User|>{q}<|Assistant|><think>\n",
+    "qwen": f"<|im_start|>system\n{SYSTEM}<|im_end|>\n<|im_start|>user\n{{q}}<|im_end|>\n<|im_start|>assistant\n",
+    "llama3": f"<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{SYSTEM}<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n{{q}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
+    "r1": f"<｜begin▁of▁sentence｜><｜User｜>{{q}}\n{SYSTEM}<｜Assistant｜><think>\n",
     "default": "Question: {q}\nAnswer:",
 }
 
 
 def prompt(question: Column, family: str) -> Column:
-    before, after = PROMPTS.get(family, PROMPTS["default"]).split("{q}")
+    """The prompt of a family (with or without the suffix _math); an unknown one gets the default."""
+    before, after = PROMPTS.get(family.removesuffix("_math"), PROMPTS["default"]).split("{q}")
     return F.concat(F.lit(before), F.coalesce(question, F.lit("")), F.lit(after))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import g3_answer
+
 
 def plurality(chains: Column | str, drop_empty: bool = False) -> Column:
     """Struct winner, correct, tie, lower, upper of an array of chains, without a shuffle.
@@ -75,28 +77,34 @@ def pass_at_1(chains: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(chains, lambda c: c["correct"])).cast("double") / n)
 
 
-def eligibility(chains: Column) -> Column:
+def eligibility(chains: Column, correct: Column | None = None) -> Column:
     """Struct of the three definitions of a failed base run: strict_all_wrong, plurality_wrong, first_chain_wrong.
 
     strict: all chains complete and readable, none correct. plurality: all complete and readable, and the vote is
-    wrong. first: the first chain alone is complete, readable and wrong. None holds without chains.
+    wrong. first: the first chain alone is complete, readable and wrong. None holds without chains. correct: the vote's
+    verdict, where it is known already.
     """
+    correct = plurality(chains)["correct"] if correct is None else correct
     some = F.size(chains) > 0
     complete = F.forall(chains, lambda c: c["complete"])
     answered = F.forall(chains, lambda c: c["answer"].isNotNull())
     first = F.try_element_at(chains, F.lit(1))
     return F.struct(
         F.coalesce(some & complete & answered & ~any_correct(chains), F.lit(False)).alias("strict_all_wrong"),
-        F.coalesce(some & complete & answered & ~plurality(chains)["correct"], F.lit(False)).alias("plurality_wrong"),
+        F.coalesce(some & complete & answered & ~correct, F.lit(False)).alias("plurality_wrong"),
         F.coalesce(first["complete"] & first["answer"].isNotNull() & ~first["correct"], F.lit(False)).alias("first_chain_wrong"),
     )
 
 
-def complete_correct(chains: Column) -> Column:
-    """Struct complete_plurality_correct, complete_all_correct: all chains complete, and the vote or all are right."""
+def complete_correct(chains: Column, correct: Column | None = None) -> Column:
+    """Struct complete_plurality_correct, complete_all_correct: all chains complete, and the vote or all are right.
+
+    correct: the vote's verdict, where it is known already.
+    """
+    correct = plurality(chains)["correct"] if correct is None else correct
     whole = (F.size(chains) > 0) & F.forall(chains, lambda c: c["complete"])
     return F.struct(
-        F.coalesce(whole & plurality(chains)["correct"], F.lit(False)).alias("complete_plurality_correct"),
+        F.coalesce(whole & correct, F.lit(False)).alias("complete_plurality_correct"),
         F.coalesce(whole & F.forall(chains, lambda c: c["correct"]), F.lit(False)).alias("complete_all_correct"),
     )
 
@@ -109,13 +117,17 @@ def completion_state(chains: Column) -> Column:
 
 
 def agreement(chains: Column) -> Column:
-    """G3 features: share of the commonest answer among readable ones, distinct answers, share readable, confidence."""
-    answers = F.transform(F.filter(chains, lambda c: c["answer"].isNotNull()), lambda c: c["answer"])
-    most = F.coalesce(F.array_max(F.transform(F.array_distinct(answers), lambda a: F.size(F.filter(answers, lambda x: x == a)))), F.lit(0))
-    n, total = F.size(answers), F.size(chains)
-    return F.struct(
-        F.when(n > 0, most / n).otherwise(F.lit(0.0)).alias("agreement_rate"),
-        F.size(F.array_distinct(answers)).cast("long").alias("n_unique"),
-        F.when(total > 0, n / total).otherwise(F.lit(0.0)).alias("extraction_rate"),
-        F.when(total > 0, most / total).otherwise(F.lit(0.0)).alias("majority_confidence"),
-    )
+    """G3 features: share of the commonest answer among readable ones, distinct answers, share readable, confidence.
+
+    Answers are compared in the form of answers.g3_answer, so "1,000" and "1000.0" are one. Without a readable answer
+    all are 0.
+    """
+
+    def measured(found: Column) -> Column:
+        kinds = F.array_distinct(found)
+        most = F.coalesce(F.array_max(F.transform(kinds, lambda a: F.size(F.filter(found, lambda x: x == a)))), F.lit(0))
+        n, total = F.size(found), F.greatest(F.size(chains), F.lit(1))
+        share = lambda x, of: F.when(n > 0, x / of).otherwise(F.lit(0.0))
+        return F.struct(share(most, n).alias("agreement_rate"), F.size(kinds).cast("long").alias("n_unique"), share(n, total).alias("extraction_rate"), share(most, total).alias("majority_confidence"))
+
+    return let(F.transform(F.filter(chains, lambda c: c["answer"].isNotNull()), lambda c: g3_answer(c["answer"])), measured)

@@ -92,21 +92,29 @@ WITH problems AS (
         arg_min(complete AND answer IS NOT NULL AND NOT correct, chain_index) AS first_wrong
     FROM chains GROUP BY ALL
 ), votes AS (
-    SELECT p.*, k.arm, coalesce(s.n, 0) AS n_chains, w.winner, coalesce(w.ok, false) AS ok, coalesce(w.tie, false) AS tie, coalesce(w.low, false) AS low, coalesce(w.high, false) AS high,
+    SELECT p.*, coalesce(s.n, 0) AS n_chains, w.winner, coalesce(w.ok, false) AS ok, coalesce(w.tie, false) AS tie, coalesce(w.low, false) AS low, coalesce(w.high, false) AS high,
         coalesce(any_ok, false) AS any_ok, pass1, coalesce(all_complete, false) AS all_complete, coalesce(all_answered, false) AS all_answered, coalesce(all_ok, false) AS all_ok,
         coalesce(all_cut, false) AS all_cut, coalesce(some_cut, false) AS some_cut, cut_rate, tokens, max_tokens, min_tokens,
         coalesce(all_complete AND all_answered AND NOT any_ok, false) AS strict_all_wrong,
         coalesce(all_complete AND all_answered AND NOT coalesce(w.ok, false), false) AS plurality_wrong, coalesce(first_wrong, false) AS first_chain_wrong
-    FROM problems p CROSS JOIN (SELECT DISTINCT arm FROM caps) k LEFT JOIN sums s ON s.problem_id = p.problem_id AND s.arm = k.arm
-        LEFT JOIN won w ON w.problem_id = p.problem_id AND w.arm = k.arm
+    FROM (SELECT *, unnest(['A', 'B', 'C']) AS arm FROM problems) p LEFT JOIN sums s ON s.problem_id = p.problem_id AND s.arm = p.arm
+        LEFT JOIN won w ON w.problem_id = p.problem_id AND w.arm = p.arm
 ), three AS (
-    SELECT a.problem_id, a.dataset, a.math_level, a.strict_all_wrong, a.plurality_wrong, a.first_chain_wrong, a.any_ok AS a_any, b.any_ok AS b_any, c.any_ok AS c_any,
-        a.ok AS a_ok, b.ok AS b_ok, c.ok AS c_ok, a.low AS a_low, b.low AS b_low, c.low AS c_low, a.high AS a_high, b.high AS b_high, c.high AS c_high,
-        a.all_complete AND a.ok AS complete_plurality_correct, a.all_complete AND a.all_ok AS complete_all_correct,
-        a.pass1 AS a_pass1, b.pass1 AS b_pass1, c.pass1 AS c_pass1, a.tie AS a_tie, b.tie AS b_tie, c.tie AS c_tie,
-        b.all_complete AS b_complete, b.all_cut AS b_all_cut, b.some_cut AS b_some_cut, a.some_cut AS a_some_cut, a.all_cut AS a_all_cut, a.all_answered AS a_answered,
-        b.all_answered AS b_answered, b.cut_rate AS b_cut_rate, b.tokens AS b_tokens, c.tokens AS c_tokens, b.max_tokens AS b_max, b.min_tokens AS b_min, b.n_chains AS n_chains, a.n_chains AS a_chains,
-        b.strict_all_wrong AS b_strict, b.plurality_wrong AS b_plurality, b.first_chain_wrong AS b_first
-    FROM votes a JOIN votes b USING (problem_id) JOIN votes c USING (problem_id) WHERE a.arm = 'A' AND b.arm = 'B' AND c.arm = 'C' AND a.n_chains > 0 AND c.n_chains > 0
+    SELECT problem_id, dataset, math_level,
+        bool_or(strict_all_wrong) FILTER (WHERE arm = 'A') AS strict_all_wrong, bool_or(plurality_wrong) FILTER (WHERE arm = 'A') AS plurality_wrong, bool_or(first_chain_wrong) FILTER (WHERE arm = 'A') AS first_chain_wrong,
+        bool_or(any_ok) FILTER (WHERE arm = 'A') AS a_any, bool_or(ok) FILTER (WHERE arm = 'A') AS a_ok, bool_or(low) FILTER (WHERE arm = 'A') AS a_low,
+        bool_or(high) FILTER (WHERE arm = 'A') AS a_high, bool_or(tie) FILTER (WHERE arm = 'A') AS a_tie, max(pass1) FILTER (WHERE arm = 'A') AS a_pass1,
+        bool_or(any_ok) FILTER (WHERE arm = 'B') AS b_any, bool_or(ok) FILTER (WHERE arm = 'B') AS b_ok, bool_or(low) FILTER (WHERE arm = 'B') AS b_low,
+        bool_or(high) FILTER (WHERE arm = 'B') AS b_high, bool_or(tie) FILTER (WHERE arm = 'B') AS b_tie, max(pass1) FILTER (WHERE arm = 'B') AS b_pass1,
+        bool_or(any_ok) FILTER (WHERE arm = 'C') AS c_any, bool_or(ok) FILTER (WHERE arm = 'C') AS c_ok, bool_or(low) FILTER (WHERE arm = 'C') AS c_low,
+        bool_or(high) FILTER (WHERE arm = 'C') AS c_high, bool_or(tie) FILTER (WHERE arm = 'C') AS c_tie, max(pass1) FILTER (WHERE arm = 'C') AS c_pass1,
+        bool_or(all_complete AND ok) FILTER (WHERE arm = 'A') AS complete_plurality_correct, bool_or(all_complete AND all_ok) FILTER (WHERE arm = 'A') AS complete_all_correct, bool_or(all_complete) FILTER (WHERE arm = 'B') AS b_complete,
+        bool_or(all_cut) FILTER (WHERE arm = 'B') AS b_all_cut, bool_or(some_cut) FILTER (WHERE arm = 'B') AS b_some_cut, bool_or(some_cut) FILTER (WHERE arm = 'A') AS a_some_cut,
+        bool_or(all_cut) FILTER (WHERE arm = 'A') AS a_all_cut, bool_or(all_answered) FILTER (WHERE arm = 'A') AS a_answered, bool_or(all_answered) FILTER (WHERE arm = 'B') AS b_answered,
+        max(cut_rate) FILTER (WHERE arm = 'B') AS b_cut_rate, max(tokens) FILTER (WHERE arm = 'B') AS b_tokens, max(tokens) FILTER (WHERE arm = 'C') AS c_tokens,
+        max(max_tokens) FILTER (WHERE arm = 'B') AS b_max, max(min_tokens) FILTER (WHERE arm = 'B') AS b_min, max(n_chains) FILTER (WHERE arm = 'B') AS n_chains,
+        max(n_chains) FILTER (WHERE arm = 'A') AS a_chains, bool_or(strict_all_wrong) FILTER (WHERE arm = 'B') AS b_strict, bool_or(plurality_wrong) FILTER (WHERE arm = 'B') AS b_plurality,
+        bool_or(first_chain_wrong) FILTER (WHERE arm = 'B') AS b_first
+    FROM votes GROUP BY problem_id, dataset, math_level HAVING max(n_chains) FILTER (WHERE arm = 'A') > 0 AND max(n_chains) FILTER (WHERE arm = 'C') > 0
 )
 """

@@ -60,14 +60,23 @@ def gsm8k_verify(spark, sf_dir):
 
 @query(_TEXTS + "SELECT CAST(q AS VARCHAR) AS answer, odd = 0 AS correct, count(*) AS n FROM t GROUP BY ALL")
 def verify_distinct(spark, sf_dir):
-    """The full verifier; each distinct text, gold and dataset is scored once."""
-    return verify.score_distinct(_texts(spark, sf_dir)).groupBy("answer", "correct").agg(F.count(F.lit(1)).alias("n"))
+    """The full verifier, where the rows are."""
+    return verify.score_rows(_texts(spark, sf_dir)).groupBy("answer", "correct").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_TEXTS + "SELECT CASE WHEN l_discount > 0.02 THEN CAST(q AS VARCHAR) END AS boxed, contains(text, '\\boxed') AS anywhere, count(*) AS n FROM t GROUP BY ALL")
+# Boxes of every kind: flat, nested, after a blank (the word counts, braces and all), an open one after a whole one, none.
+_BOXES = """WITH t AS (SELECT CAST(l_quantity AS INTEGER) AS q, l_linenumber % 6 AS form FROM lineitem), b AS (SELECT q, form, CASE form WHEN 0 THEN CAST(q AS VARCHAR) WHEN 1 THEN '\\frac{1}{' || q || '}' WHEN 2 THEN '{' || q || '}'
+    WHEN 3 THEN CAST(q AS VARCHAR) WHEN 4 THEN 'b' || q END AS boxed, form <> 5 AS anywhere, form IN (0, 1, 3, 4) AS braced FROM t) """
+
+
+@query(_BOXES + "SELECT form, boxed, anywhere, braced, count(*) AS n FROM b GROUP BY ALL")
 def boxed_extract(spark, sf_dir):
-    t = _texts(spark, sf_dir)
-    return t.groupBy(answers.boxed_flat(F.col("text")).alias("boxed"), answers.box_anywhere(F.col("text")).alias("anywhere")).agg(F.count(F.lit(1)).alias("n"))
+    """The last box whose braces balance."""
+    t = adapter.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").cast("string").alias("q"), (F.col("l_linenumber") % 6).alias("form"))
+    forms = ["\\boxed{1} or \\boxed{ %s }.", "so \\boxed{\\frac{1}{%s}}", "\\boxed {%s} it is", "\\boxed{%s} then \\boxed{open", "\\boxed{a} \\boxed{b%s} end", "nothing %s"]
+    text_of = F.element_at(F.array(*[F.format_string(f, "q") for f in forms]), F.col("form").cast("int") + 1)
+    t = t.withColumn("text", text_of)
+    return t.groupBy("form", answers.boxed(F.col("text")).alias("boxed"), answers.box_anywhere(F.col("text")).alias("anywhere"), answers.box_braced(F.col("text")).alias("braced")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, regexp_replace(lower(trim('  \\text{' || p_brand || '} $x$ ' || p_type)), '\\\\(?:text|mathrm|mathbf|mathit|left|right)\\{([^{}]*)\\}', '\\1', 'g').regexp_replace('[\\s$\\\\]', '', 'g') AS normalised FROM part")
@@ -89,10 +98,24 @@ def seed_sha256(spark, sf_dir):
     return o.select("o_orderkey", "chain_index", answers.request_seed(F.lit(42), F.col("o_orderkey"), F.col("chain_index")).cast("string").alias("seed"))
 
 
-@query("SELECT conv_id, turn, family, sha256(CASE family WHEN 'qwen' THEN '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE 'Question: ' || coalesce(text, '') || chr(10) || 'Answer:' END) AS prompt_sha256 FROM conversations, (VALUES ('qwen'), ('other')) v(family) WHERE role = 'user'")
+_SAYS = "'Please reason step by step, and put your final answer within ' || chr(92) || 'boxed{}.'"
+_PROMPTS = f"""CASE family WHEN 'qwen' THEN '<|im_start|>system' || chr(10) || {_SAYS} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || q || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
+    WHEN 'llama3' THEN '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || {_SAYS} || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || q || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)
+    WHEN 'r1' THEN '<' || chr(65372) || 'begin' || chr(9601) || 'of' || chr(9601) || 'sentence' || chr(65372) || '><' || chr(65372) || 'User' || chr(65372) || '>' || q || chr(10) || {_SAYS} || '<' || chr(65372) || 'Assistant' || chr(65372) || '><think>' || chr(10)
+    ELSE 'Question: ' || q || chr(10) || 'Answer:' END"""
+
+
+@query(f"SELECT conv_id, turn, family, sha256({_PROMPTS}) AS prompt_sha256 FROM (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations WHERE role = 'user'), (VALUES ('qwen'), ('llama3'), ('r1'), ('other')) v(family)")
 def prompt_render(spark, sf_dir):
     c = adapter.table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.sha2(text.prompt(F.col("text"), k).cast("binary"), 256).alias("prompt_sha256")) for k in ("qwen", "other")])).alias("p")).select("conv_id", "turn", "p.*")
+    return c.select("conv_id", "turn", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.sha2(text.prompt(F.col("text"), k).cast("binary"), 256).alias("prompt_sha256")) for k in ("qwen", "llama3", "r1", "other")])).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS q_len_words, length(text) AS q_len_chars, length(regexp_replace(text, '[^0-9]', '', 'g')) AS q_digit_count, CAST(length(lang) AS DOUBLE) AS q_math_level, CAST(lang = 'en' AS INTEGER) AS q_is_math FROM documents")
+def question_features(spark, sf_dir):
+    """Documents stand for questions; those in English for the data set math."""
+    d = adapter.table(spark, sf_dir, "documents")
+    return d.select("doc_id", *text.question_features(F.col("text"), F.when(F.col("lang") == "en", "math").otherwise("gsm8k"), F.char_length("lang")))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -124,12 +147,36 @@ _S = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
 @query(
-    f"""WITH e AS (SELECT vec_id, {_S} AS s FROM embeddings), m AS (SELECT *, list_sum(s) / len(s) AS mean FROM e)
-    SELECT vec_id, round(mean, 5) AS g2_mean, round(list_min(s), 5) AS g2_min, round(list_sum(list_transform(s, lambda x: (x - mean) * (x - mean))) / len(s), 5) AS g2_var, {r6("CAST(len(list_filter(s, lambda x: x > 0)) AS DOUBLE) / len(s)")} AS g2_high,
+    """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN [0.5::DOUBLE] ELSE list_transform(embedding[1:CAST(1 + vec_id % 5 AS BIGINT)], lambda x: CAST(x AS DOUBLE) + 0.5::DOUBLE) END AS s FROM embeddings), m AS (SELECT *, list_sum(s) / len(s) AS mean FROM e)
+    SELECT vec_id, round(mean, 5) AS g2_mean, round(list_min(s), 5) AS g2_min, round(list_sum(list_transform(s, lambda x: (x - mean) * (x - mean))) / len(s), 5) AS g2_var, CASE WHEN mean >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g2_high,
     len(s) AS g2_steps, round(list_max(s) - list_min(s), 5) AS g2_range FROM m"""
 )
 def g2_features(spark, sf_dir):
-    return adapter.table(spark, sf_dir, "embeddings").select("vec_id", *text.step_scores(F.col("embedding").cast("array<double>")))
+    """Up to five components around 0.5 stand for step scores; every seventh vector has none."""
+    e = adapter.table(spark, sf_dir, "embeddings")
+    own = F.transform(F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (F.col("vec_id") % 5 + 1).cast("int")), lambda x: x + 0.5)
+    return e.select("vec_id", *text.step_scores(F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<double>")).otherwise(own)))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:CAST(vec_id % 4 AS BIGINT)], lambda x: CASE WHEN x > 0 THEN CAST(x AS DOUBLE) END) AS p, list_transform(embedding[5:CAST(4 + vec_id % 4 AS BIGINT)], lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings),
+    k AS (SELECT *, list_filter(p, lambda x: x IS NOT NULL) AS q FROM e)
+    SELECT vec_id, round(coalesce(list_sum(q) / nullif(len(q), 0), 0), 6) AS g4_logprob_mean, round(coalesce(list_min(q), 0), 6) AS g4_logprob_min, round(coalesce(list_sum(m) / nullif(len(m), 0), 0), 6) AS g4_margin_mean, round(coalesce(list_min(m), 0), 6) AS g4_margin_min,
+    round(coalesce(CAST(len(q) AS DOUBLE) / nullif(len(p), 0), 0), 6) AS g4_coverage FROM k""")
+def g4_features(spark, sf_dir):
+    """Components stand for chains' log-probabilities, those not above 0 for missing ones."""
+    e = adapter.table(spark, sf_dir, "embeddings")
+    n, vector = (F.col("vec_id") % 4).cast("int"), F.col("embedding").cast("array<double>")
+    own = F.transform(F.slice(vector, F.lit(1), n), lambda x: F.when(x > 0, x))
+    return e.select("vec_id", *[F.round(c, 6).alias(k) for c, k in zip(text.uncertainty(own, F.slice(vector, F.lit(5), n)), ("g4_logprob_mean", "g4_logprob_min", "g4_margin_mean", "g4_margin_min", "g4_coverage"), strict=True)])
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:CAST(vec_id % 4 AS BIGINT)], lambda x: CAST(x AS DOUBLE)) AS b, list_transform(embedding[5:CAST(4 + vec_id % 4 AS BIGINT)], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings) SELECT vec_id, round(list_sum(b) / nullif(len(b), 0), 6) AS avg_logprob, round(list_sum(list_transform(range(1, len(b) + 1), lambda i: b[CAST(i AS BIGINT)] - s[CAST(i AS BIGINT)])) / nullif(len(b), 0), 6) AS avg_logprob_margin FROM e")
+def logprob_summary(spark, sf_dir):
+    """Components stand for the best and second log-probability per token."""
+    e = adapter.table(spark, sf_dir, "embeddings")
+    n, vector = (F.col("vec_id") % 4).cast("int"), F.col("embedding").cast("array<double>")
+    s = text.logprob_summary(F.slice(vector, F.lit(1), n), F.slice(vector, F.lit(5), n))
+    return e.select("vec_id", s.alias("s")).select("vec_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("avg_logprob", "avg_logprob_margin")])
 
 
 @query(f"WITH e AS (SELECT vec_id, {_S} AS s FROM embeddings) SELECT vec_id, round(list_sum(s) / len(s), 5) AS mean, round(list_min(s), 5) AS min, round(s[len(s)], 5) AS last, round(list_product(list_transform(s, lambda x: 1 + x)), 4) AS product FROM e")
@@ -174,9 +221,13 @@ _TRIM = "list_filter(list_transform({x}, lambda x: trim(x, ' ' || chr(9) || chr(
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, {_T} AS t FROM documents), p AS (SELECT doc_id, t, {_TRIM.format(x=r"regexp_split_to_array(t, '\n\s*\n')")} AS paragraphs, {_TRIM.format(x=r"string_split(t, chr(10))")} AS lines,
-    list_filter({_TRIM.format(x=r"string_split(regexp_replace(t, '([.?!;])\s+', '\1' || chr(1), 'g'), chr(1))")}, lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4) AS sentences FROM d),
-    s AS (SELECT doc_id, CASE WHEN len(paragraphs) > 1 THEN paragraphs WHEN len(lines) > 1 THEN lines WHEN len(sentences) > 1 THEN sentences WHEN t = '' THEN [] ELSE [t] END AS s FROM p)
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, trim(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents),
+    p AS (SELECT doc_id, t, {_TRIM.format(x=r"string_split(t, chr(10) || chr(10))")} AS paragraphs, {_TRIM.format(x=r"string_split(t, chr(10))")} AS lines, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS words FROM d),
+    e AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda i: regexp_matches(words[CAST(i AS BIGINT)], '[.?!;]$')) AS ends FROM p WHERE len(paragraphs) <= 1 AND len(lines) <= 1 AND t <> ''),
+    cuts AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, coalesce(list_min(list_filter(ends, lambda i: i >= 4)), len(words)) AS b FROM e
+        UNION ALL SELECT c.doc_id, c.b, coalesce(list_min(list_filter(ends, lambda i: i >= c.b + 4)), len(words)) FROM cuts c JOIN e USING (doc_id) WHERE c.b < len(words)),
+    spoken AS (SELECT doc_id, list(array_to_string(words[CAST(a + 1 AS BIGINT):CAST(b AS BIGINT)], ' ') ORDER BY a) AS sentences FROM cuts JOIN e USING (doc_id) GROUP BY doc_id),
+    s AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN len(paragraphs) > 1 THEN paragraphs WHEN len(lines) > 1 THEN lines WHEN len(sentences) > 1 THEN sentences ELSE [t] END AS s FROM p LEFT JOIN spoken USING (doc_id))
     SELECT doc_id, len(s) AS n_steps, sha256(coalesce(array_to_string(s, chr(10)), '')) AS steps_sha256 FROM s"""
 )
 def step_split(spark, sf_dir):
@@ -184,6 +235,19 @@ def step_split(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("n_steps"), F.sha2(F.array_join("s", "\n").cast("binary"), 256).alias("steps_sha256"))
 
 
+@query(
+    rf"""WITH RECURSIVE e AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda i: regexp_matches(words[CAST(i AS BIGINT)], '[.?!;]$')) AS ends FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS words FROM documents)),
+    cuts AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, coalesce(list_min(list_filter(ends, lambda i: i >= 4)), len(words)) AS b FROM e WHERE len(words) > 0
+        UNION ALL SELECT c.doc_id, c.b, coalesce(list_min(list_filter(ends, lambda i: i >= c.b + 4)), len(words)) FROM cuts c JOIN e USING (doc_id) WHERE c.b < len(words))
+    SELECT doc_id, count(a) AS n_steps, sha256(coalesce(string_agg(array_to_string(words[CAST(a + 1 AS BIGINT):CAST(b AS BIGINT)], ' '), chr(10) ORDER BY a), '')) AS steps_sha256 FROM e LEFT JOIN cuts USING (doc_id) GROUP BY doc_id"""
+)
+def step_split_sentences(spark, sf_dir):
+    """Documents as single lines, so that sentences are what is left to split by."""
+    one = F.array_join(text.word_list(F.coalesce(F.col("text"), F.lit(""))), " ")
+    d = adapter.table(spark, sf_dir, "documents").select("doc_id", text.steps(one).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_steps"), F.sha2(F.array_join("s", "\n").cast("binary"), 256).alias("steps_sha256"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(CAST(l_quantity AS INTEGER), 35) AS token_count, CASE WHEN CAST(l_quantity AS INTEGER) <= 35 THEN 'stop' ELSE 'length' END AS finish_reason, CASE WHEN CAST(l_quantity AS INTEGER) <= 35 THEN 'eos' END AS stop_reason, CAST(list_sum(range(1, least(CAST(l_quantity AS INTEGER), 35) + 1)) AS BIGINT) AS id_sum FROM lineitem")
 def lower_cap_prefix(spark, sf_dir):
     """Chains cut at a lower cap by their tokens."""

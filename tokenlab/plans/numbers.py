@@ -167,8 +167,8 @@ def temperature_table(spark, sf_dir):
 # --- resampling -----------------------------------------------------------------------------------------------------
 _SUBSETS = (
     adapter.SQL
-    + """, few AS (SELECT problem_id, dataset, n_chains AS n FROM votes WHERE arm = 'C' AND n_chains BETWEEN 1 AND 8),
-    masks AS (SELECT problem_id, dataset, n, m, bit_count(m) AS k FROM few, range(1, 256) r(m) WHERE m < (1 << n) AND bit_count(m) IN (1, 2, 4)),
+    + """, few AS (SELECT problem_id, dataset, n_chains AS n FROM votes WHERE arm = 'C' AND n_chains > 0),
+    masks AS (SELECT problem_id, dataset, n, m, bit_count(m) AS k FROM (SELECT *, unnest(range(1, CAST(1 << n AS BIGINT))) AS m FROM few) WHERE bit_count(m) IN (1, 2, 4)),
     picked AS (SELECT m.problem_id, m.dataset, m.k, m.m, c.answer, c.correct FROM masks m JOIN chains c ON c.problem_id = m.problem_id AND c.arm = 'C' AND (m.m >> c.chain_index) & 1 = 1),
     pt AS (SELECT problem_id, k, m, answer, count(*) AS n, bool_or(correct) AS ok FROM picked WHERE answer IS NOT NULL GROUP BY ALL), pm AS (SELECT *, max(n) OVER (PARTITION BY problem_id, m) AS most FROM pt),
     pw AS (SELECT problem_id, m, arg_min(ok, answer) AS ok, count(*) > 1 AS tie, bool_and(ok) AS low, bool_or(ok) AS high FROM pm WHERE n = most GROUP BY ALL),
@@ -199,7 +199,7 @@ def subset_summary(spark, sf_dir):
     FROM s LEFT JOIN w USING (assignment, problem_id) GROUP BY ALL"""
 )
 def split_null(spark, sf_dir):
-    return resample.split_null(adapter.arms(spark, sf_dir), "a", 2)
+    return resample.split_null(resample.of_problems(adapter.arms(spark, sf_dir), "a", 4), "a", 2)
 
 
 _CELLS = adapter.SQL + f", x AS (SELECT dataset, 'base' AS budget, '1' AS k, b_pass1 AS v FROM three UNION ALL SELECT dataset, 'base', 'max', CAST(b_ok AS INTEGER) FROM three UNION ALL SELECT dataset, 'extended', '1', c_pass1 FROM three UNION ALL SELECT dataset, 'extended', 'max', CAST(c_ok AS INTEGER) FROM three), cells AS (SELECT {ALL}, budget, k, {r6('avg(v)')} AS accuracy FROM x GROUP BY GROUPING SETS ((budget, k), (budget, k, dataset)))"
@@ -219,29 +219,28 @@ def factorial_effects(spark, sf_dir):
     return resample.factorial_effects(resample.factorial(adapter.paired(spark, sf_dir), "b", "c"))
 
 
-def _duck_weight(u: str) -> str:
-    return "CASE " + " ".join(f"WHEN {u} < {t!r}::DOUBLE THEN {i}" for i, t in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
-
-
-def _duck_uniform(parts: str) -> str:
-    return f"CAST(CAST('0x' || substr(sha256(concat_ws('|', {parts})), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
-
-
-#: Draws of the SQL; the queries make resample.DRAWS, which is too slow there.
-_DRAWS = 50
+def _duck_bootstrap(rows: str, key: str, sums: list[str], seed: int, draws: int = resample.DRAWS) -> str:
+    """DuckDB: CTEs drawn(draw, n, sums) over a relation of one row per unit; rows with equal sums are one class."""
+    u = f"CAST(CAST('0x' || substr(sha256(concat_ws('|', {seed}, draw, {key})), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
+    given = ", ".join(sums)
+    return f"""classes AS (SELECT {given}, count(*) AS size FROM {rows} GROUP BY ALL),
+    counts AS (SELECT *, unnest(range(CAST(greatest(0, trunc(size - {resample.SPREAD} * sqrt(size) - {resample.MARGIN})) AS BIGINT), CAST(trunc(size + {resample.SPREAD} * sqrt(size) + {resample.MARGIN}) AS BIGINT) + 1)) AS w FROM classes),
+    steps AS (SELECT *, sum(exp(-size + w * ln(size) - lgamma(w + 1))) OVER (PARTITION BY {given} ORDER BY w) AS upto FROM counts),
+    bounds AS (SELECT *, lag(upto, 1, -1.0) OVER (PARTITION BY {given} ORDER BY w) AS beyond, lead(w) OVER (PARTITION BY {given} ORDER BY w) IS NULL AS last FROM steps),
+    uniform AS (SELECT {given}, draw, {u} AS u FROM classes, range({draws}) r(draw)),
+    drawn AS (SELECT draw, sum(w) AS n, {", ".join(f"sum(w * {x}) AS {x}" for x in sums)} FROM uniform JOIN bounds USING ({given}) WHERE u >= beyond AND (u < upto OR last) GROUP BY draw)"""
 
 
 def _difference_ci(spark, sf_dir, draws):
     v = at.voted(adapter.paired(spark, sf_dir), "b", "c")
-    d = v.select("problem_id", (F.col("vote_c.correct").cast("int") - F.col("vote_b.correct").cast("int")).alias("delta"))
-    out = resample.hash_bootstrap(d, "problem_id", draws, 42, "delta").withColumn("mean", F.col("delta") / F.col("n"))
-    return resample.percentile_interval(out, "mean")
+    d = v.select((F.col("vote_c.correct").cast("int") - F.col("vote_b.correct").cast("int")).alias("delta"))
+    return resample.percentile_interval(resample.hash_bootstrap(d, draws, 42, "delta").withColumn("mean", F.col("delta") / F.col("n")), "mean")
 
 
 @query(
     adapter.SQL
-    + f""", d AS (SELECT problem_id, CAST(c_ok AS INTEGER) - CAST(b_ok AS INTEGER) AS delta FROM three), b AS (SELECT draw, sum(w) AS n, sum(w * delta) AS s FROM (SELECT draw, delta, {_duck_weight(_duck_uniform("42, draw, problem_id"))} AS w FROM d, range({_DRAWS}) r(draw)) GROUP BY ALL)
-    SELECT count(*) AS draws, {r6("quantile_cont(CAST(s AS DOUBLE) / n, 0.025)")} AS low, {r6("quantile_cont(CAST(s AS DOUBLE) / n, 0.975)")} AS high FROM b"""
+    + f""", d AS (SELECT CAST(c_ok AS INTEGER) - CAST(b_ok AS INTEGER) AS delta FROM three), {_duck_bootstrap("d", "delta", ["delta"], 42)}
+    SELECT count(*) AS draws, {r6("quantile_cont(CAST(delta AS DOUBLE) / n, 0.025)")} AS low, {r6("quantile_cont(CAST(delta AS DOUBLE) / n, 0.975)")} AS high FROM drawn"""
 )
 def hash_bootstrap_ci(spark, sf_dir):
     return _difference_ci(spark, sf_dir, resample.DRAWS)
@@ -252,20 +251,38 @@ _CLUSTER = _SEEDED + f", p AS (SELECT problem_id, seed, CAST(a AS INTEGER) AS e,
 
 def _ratio_ci(spark, sf_dir, draws):
     rows = _seeded(spark, sf_dir).groupBy("problem_id").agg(F.sum(F.col("a").cast("int")).alias("e"), F.sum((F.col("a") & F.col("b")).cast("int")).alias("k"))
-    out = resample.hash_bootstrap(rows, "problem_id", draws, 7, "e", "k").withColumn("ratio", F.col("k") / F.nullif(F.col("e"), F.lit(0)))
+    out = resample.hash_bootstrap(rows, draws, 7, "e", "k").withColumn("ratio", F.col("k") / F.nullif(F.col("e"), F.lit(0)))
     return resample.percentile_interval(out, "ratio")
 
 
 @query(
     _CLUSTER
-    + f""", c AS (SELECT problem_id, sum(e) AS e, sum(k) AS k FROM p GROUP BY ALL), b AS (SELECT draw, sum(w * e) AS e, sum(w * k) AS k FROM (SELECT draw, e, k, {_duck_weight(_duck_uniform("7, draw, problem_id"))} AS w FROM c, range({_DRAWS}) r(draw)) GROUP BY ALL)
-    SELECT count(CAST(k AS DOUBLE) / nullif(e, 0)) AS draws, {r6("quantile_cont(CAST(k AS DOUBLE) / nullif(e, 0), 0.025)")} AS low, {r6("quantile_cont(CAST(k AS DOUBLE) / nullif(e, 0), 0.975)")} AS high FROM b"""
+    + f""", c AS (SELECT CAST(sum(e) AS BIGINT) AS e, CAST(sum(k) AS BIGINT) AS k FROM p GROUP BY problem_id), {_duck_bootstrap("c", "e, k", ["e", "k"], 7)}
+    SELECT count(CAST(k AS DOUBLE) / nullif(e, 0)) AS draws, {r6("quantile_cont(CAST(k AS DOUBLE) / nullif(e, 0), 0.025)")} AS low, {r6("quantile_cont(CAST(k AS DOUBLE) / nullif(e, 0), 0.975)")} AS high FROM drawn"""
 )
 def cluster_bootstrap_hash(spark, sf_dir):
     """Problems are resampled with all their seeds; the statistic is a ratio of sums."""
     return _ratio_ci(spark, sf_dir, resample.DRAWS)
 
 
+_SCOPES = "('all_seeds', -1), ('leave_out:42', 42), ('leave_out:271828', 271828), ('leave_out:314159', 314159)"
+_DUCK_WILSON = "({p} + {s} * 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (2 * d) {s2} 1.959963984540054::DOUBLE * sqrt({p} * (1 - {p}) / d + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / (4.0::DOUBLE * d * d))) / (1 + 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE / d)"
+
+
+@query(
+    _CLUSTER
+    + f""", own AS (SELECT scope, problem_id, seed, e, k FROM p, (VALUES {_SCOPES}) v(scope, omitted) WHERE seed <> omitted),
+    c AS (SELECT scope, CAST(sum(k) AS DOUBLE) AS num, CAST(sum(e) AS DOUBLE) AS den FROM own GROUP BY scope, problem_id), {_duck_bootstrap("c", "scope, num, den", ["scope", "num", "den"], 42).replace("sum(w * scope) AS scope", "scope").replace("GROUP BY draw)", "GROUP BY draw, scope)")},
+    ci AS (SELECT scope, {r6("quantile_cont(num / nullif(den, 0), 0.025)")} AS cluster_ci95_lower, {r6("quantile_cont(num / nullif(den, 0), 0.975)")} AS cluster_ci95_upper FROM drawn GROUP BY scope),
+    s AS (SELECT scope, count(DISTINCT seed) AS n_seeds, count(DISTINCT problem_id) AS n_problems, CAST(sum(k) AS DOUBLE) AS numerator_count, CAST(sum(e) AS DOUBLE) AS denominator_count FROM own GROUP BY scope), x AS (SELECT *, denominator_count AS d FROM s)
+    SELECT scope, n_seeds, n_problems, numerator_count, denominator_count, {ratio("numerator_count", "denominator_count")} AS estimate, {r6("greatest(0, " + _DUCK_WILSON.format(p="(numerator_count / d)", s="1", s2="-") + ")")} AS binomial_wilson95_lower, {r6("least(1, " + _DUCK_WILSON.format(p="(numerator_count / d)", s="1", s2="+") + ")")} AS binomial_wilson95_upper, cluster_ci95_lower, cluster_ci95_upper FROM x JOIN ci USING (scope)"""
+)
+def seed_summary(spark, sf_dir):
+    """A conditional rate pooled over seeds, and without each of them, with its intervals."""
+    rows = _seeded(spark, sf_dir).select("problem_id", "seed", F.col("a").cast("int").alias("e"), (F.col("a") & F.col("b")).cast("int").alias("k"))
+    return resample.seed_summary(rows, "k", "e")
+
+
 @query(_CLUSTER + f" SELECT o.omitted, {n_if('e = 1')} AS n_eligible, CAST(sum(k) AS BIGINT) AS k, {ratio('sum(k)', 'sum(e)')} AS rate FROM p, (SELECT DISTINCT seed AS omitted FROM p) o WHERE seed <> omitted GROUP BY ALL")
 def leave_one_seed_out(spark, sf_dir):
     """Each seed's rows go to the estimates that omit another one; no join."""
@@ -374,13 +391,20 @@ def selected_slices(spark, sf_dir):
     return routing.selected_slices(routing.ranked(_routes(spark, sf_dir), "score", "tie"), "base_ok", "long_ok")
 
 
-@query("WITH e AS (SELECT event_id, value, event_type IN (SELECT min(event_type) FROM events) AS label FROM events), q AS (SELECT quantile_cont(value, 0.8) AS hi, quantile_cont(value, 0.2) AS lo FROM e), k AS (SELECT event_id, value AS score, CASE WHEN value >= hi AND NOT label THEN 'false_high' WHEN value <= lo AND label THEN 'false_low' END AS kind FROM e, q) SELECT event_id, score, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY CASE kind WHEN 'false_high' THEN -score ELSE score END, event_id) AS INTEGER) AS place FROM k WHERE kind IS NOT NULL QUALIFY place <= 80")
+@query("WITH e AS (SELECT event_id, value, event_type IN (SELECT min(event_type) FROM events) AS label FROM events), q AS (SELECT quantile_cont(value, 0.8) AS hi, quantile_cont(value, 0.2) AS lo FROM e), k AS (SELECT event_id, value AS score, CASE WHEN value >= hi AND NOT label THEN 'high_score_not_helpful' WHEN value <= lo AND label THEN 'low_score_helpful' END AS kind FROM e, q) SELECT event_id, score, kind, CAST(row_number() OVER (ORDER BY kind, score DESC, event_id) AS INTEGER) AS place FROM k WHERE kind IS NOT NULL QUALIFY place <= 80")
 def error_mining(spark, sf_dir):
     e = adapter.table(spark, sf_dir, "events").select("event_id", "value", "event_type")
     first = F.broadcast(e.agg(F.min("event_type").alias("first")))
     return routing.error_mining(e.crossJoin(first).withColumn("label", F.col("event_type") == F.col("first")), "value", "label", "event_id")
 
 
+@query("WITH e AS (SELECT event_id, value, user_id < 3 AS label FROM events), q AS (SELECT quantile_cont(value, 0.8) AS hi, quantile_cont(value, 0.2) AS lo FROM e), k AS (SELECT event_id, value AS score, CASE WHEN value >= hi AND NOT label THEN 'high_score_not_helpful' WHEN value <= lo AND label THEN 'low_score_helpful' END AS kind FROM e, q) SELECT event_id, score, kind, CAST(row_number() OVER (ORDER BY kind, score DESC, event_id) AS INTEGER) AS place FROM k WHERE kind IS NOT NULL QUALIFY place <= 100000")
+def error_mining_all(spark, sf_dir):
+    """All mistakes in order, both kinds."""
+    e = adapter.table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") < 3).alias("label"))
+    return routing.error_mining(e, "value", "label", "event_id", 100_000)
+
+
 _CURVE = ORACLES["top_fraction_curve"]
 
 

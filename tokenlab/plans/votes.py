@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as at
 from ..operators import vote
-from . import adapter
+from . import adapter, runs
 
 QUERIES, ORACLES = {}, {}
+_DEFS3 = "(SELECT *, unnest(['strict_all_wrong', 'plurality_wrong', 'first_chain_wrong']) AS definition FROM three)"
 _DEFS = "(VALUES ('strict_all_wrong'), ('plurality_wrong'), ('first_chain_wrong')) d(definition)"
 _ELIGIBLE = "CASE definition WHEN 'strict_all_wrong' THEN {p}strict{s} WHEN 'plurality_wrong' THEN {p}plurality{t} ELSE {p}first{u} END"
 _A = "CASE definition WHEN 'strict_all_wrong' THEN strict_all_wrong WHEN 'plurality_wrong' THEN plurality_wrong ELSE first_chain_wrong END"
@@ -95,15 +96,20 @@ def pass_at_1(spark, sf_dir):
     return at.over_all(rows, [], F.count(F.lit(1)).alias("n_problems"), F.round(F.avg("p"), 6).alias("pass1"), at.rate(at.count(F.col("any")), F.count(F.lit(1))).alias("any_rate"))
 
 
+# Answers spelled in several ways, which agreement takes as one: with grouped thousands, decimals, blanks, an exponent.
+_SPELLED = "CASE l_linenumber % 6 WHEN 0 THEN '1,00' || d WHEN 1 THEN ' 100' || d || '.0 ' WHEN 2 THEN '100' || d WHEN 3 THEN '1.00' || d || 'E3' WHEN 4 THEN 'About ' || d END"
+
+
 @query(
-    adapter.SQL
-    + f""", g AS (SELECT problem_id, max(n) AS most, sum(n) AS valid, count(*) AS kinds FROM tally WHERE arm = 'C' GROUP BY ALL)
-    SELECT v.problem_id, coalesce({r6("CAST(most AS DOUBLE) / valid")}, 0) AS agreement_rate, coalesce(kinds, 0) AS n_unique,
-    coalesce({r6("CAST(coalesce(valid, 0) AS DOUBLE) / nullif(n_chains, 0)")}, 0) AS extraction_rate, coalesce({r6("CAST(coalesce(most, 0) AS DOUBLE) / nullif(n_chains, 0)")}, 0) AS majority_confidence
-    FROM votes v LEFT JOIN g USING (problem_id) WHERE arm = 'C'"""
+    f"""WITH c AS (SELECT l_orderkey AS problem_id, {_SPELLED} AS answer FROM (SELECT *, CAST(l_suppkey % 2 AS INTEGER) AS d FROM lineitem)), b AS (SELECT problem_id, replace(regexp_replace(lower(answer), '\\s+', '', 'g'), ',', '') AS x FROM c),
+    k AS (SELECT problem_id, coalesce(printf('%.10g', TRY_CAST(x AS DOUBLE)), x) AS x FROM b), t AS (SELECT problem_id, x, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT problem_id, CAST(sum(n) AS BIGINT) AS total, sum(n) FILTER (WHERE x IS NOT NULL) AS valid, max(n) FILTER (WHERE x IS NOT NULL) AS most, count(x) AS n_unique FROM t GROUP BY ALL)
+    SELECT problem_id, n_unique, coalesce({r6("CAST(most AS DOUBLE) / valid")}, 0) AS agreement_rate, coalesce({r6("CAST(valid AS DOUBLE) / total")}, 0) AS extraction_rate, coalesce({r6("CAST(most AS DOUBLE) / total")}, 0) AS majority_confidence FROM g"""
 )
 def agreement_g3(spark, sf_dir):
-    a = adapter.arms(spark, sf_dir).select("problem_id", vote.agreement(F.col("c")).alias("a")).select("problem_id", "a.*")
+    d, form = (F.col("l_suppkey") % 2).cast("string"), F.col("l_linenumber") % 6
+    spelled = F.when(form == 0, F.concat(F.lit("1,00"), d)).when(form == 1, F.concat(F.lit(" 100"), d, F.lit(".0 "))).when(form == 2, F.concat(F.lit("100"), d)).when(form == 3, F.concat(F.lit("1.00"), d, F.lit("E3"))).when(form == 4, F.concat(F.lit("About "), d))
+    chains = adapter.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.collect_list(F.struct(spelled.alias("answer"))).alias("c"))
+    a = chains.select("problem_id", vote.agreement(F.col("c")).alias("a")).select("problem_id", "a.*")
     return a.select("problem_id", "n_unique", *[F.round(x, 6).alias(x) for x in ("agreement_rate", "extraction_rate", "majority_confidence")])
 
 
@@ -143,11 +149,15 @@ _DETAIL = (
     + f""", detail AS (SELECT problem_id, dataset, definition, e AS eligible, a_ok AS base_plurality_correct, a_any AS base_any_correct, b_ok AS samecap_plurality_correct, c_ok AS long_plurality_correct,
     e AND b_ok AS samecap_repair_plurality, e AND c_ok AS long_repair_plurality, e AND (definition = 'first_chain_wrong' OR NOT a_any) AND b_any AS samecap_repair_any,
     e AND (definition = 'first_chain_wrong' OR NOT a_any) AND c_any AS long_repair_any, e AND NOT b_ok AND c_ok AS incremental_plurality_helpful, e AND b_ok AND NOT c_ok AS incremental_plurality_harmful
-    FROM (SELECT *, {_A} AS e FROM three, {_DEFS}))"""
+    FROM (SELECT *, {_A} AS e FROM {_DEFS3}))"""
 )
 
 
-@query(_DETAIL + "SELECT * FROM detail")
+@query(
+    _DETAIL
+    + """SELECT problem_id, dataset, definition, eligible, base_plurality_correct, base_any_correct, samecap_plurality_correct, long_plurality_correct, samecap_repair_plurality, long_repair_plurality, samecap_repair_any, long_repair_any,
+    incremental_plurality_helpful, incremental_plurality_harmful FROM detail"""
+)
 def three_arm_detail(spark, sf_dir):
     return at.three_arm_detail(adapter.paired(spark, sf_dir))
 
@@ -170,11 +180,11 @@ _HARM = (
     SELECT problem_id, dataset, contrast, definition, CASE definition WHEN 'complete_plurality_correct' THEN complete_plurality_correct ELSE complete_all_correct END AS e,
     CASE WHEN contrast LIKE 'A%' THEN a_ok ELSE b_ok END AS s_ok, CASE WHEN contrast LIKE 'A%' THEN a_low ELSE b_low END AS s_low, CASE WHEN contrast LIKE 'A%' THEN a_high ELSE b_high END AS s_high,
     CASE WHEN contrast LIKE '%to_B%' THEN b_ok ELSE c_ok END AS t_ok, CASE WHEN contrast LIKE '%to_B%' THEN b_low ELSE c_low END AS t_low, CASE WHEN contrast LIKE '%to_B%' THEN b_high ELSE c_high END AS t_high
-    FROM three, (VALUES ('A_to_B_resampling'), ('A_to_C_combined'), ('B_to_C_tokens')) k(contrast), (VALUES ('complete_plurality_correct'), ('complete_all_correct')) d(definition)))"""
+    FROM (SELECT *, unnest(['complete_plurality_correct', 'complete_all_correct']) AS definition FROM (SELECT *, unnest(['A_to_B_resampling', 'A_to_C_combined', 'B_to_C_tokens']) AS contrast FROM three))))"""
 )
 
 
-@query(_HARM + "SELECT * FROM harm")
+@query(_HARM + "SELECT problem_id, dataset, contrast, definition, eligible, harm, certain_harm, possible_harm FROM harm")
 def three_arm_harm(spark, sf_dir):
     return at.harm_detail(adapter.paired(spark, sf_dir))
 
@@ -184,10 +194,10 @@ def harm_summary(spark, sf_dir):
     return at.harm_summary(at.harm_detail(adapter.paired(spark, sf_dir)))
 
 
-_EXPANDED = adapter.SQL + f", x AS (SELECT problem_id, dataset, definition, e AS eligible, e AND c_ok AS repair_plurality, e AND (definition = 'first_chain_wrong' OR NOT b_any) AND c_any AS repair_any, e AND c_low AS repair_tie_lower, e AND c_high AS repair_tie_upper FROM (SELECT *, {_B} AS e FROM three, {_DEFS}))"
+_EXPANDED = adapter.SQL + f", x AS (SELECT problem_id, dataset, definition, e AS eligible, e AND c_ok AS repair_plurality, e AND (definition = 'first_chain_wrong' OR NOT b_any) AND c_any AS repair_any, e AND c_low AS repair_tie_lower, e AND c_high AS repair_tie_upper FROM (SELECT *, {_B} AS e FROM {_DEFS3}))"
 
 
-@query(_EXPANDED + "SELECT * FROM x")
+@query(_EXPANDED + "SELECT problem_id, dataset, definition, eligible, repair_plurality, repair_any, repair_tie_lower, repair_tie_upper FROM x")
 def expanded_repair_detail(spark, sf_dir):
     return at.expanded_repair_detail(adapter.paired(spark, sf_dir))
 
@@ -212,7 +222,11 @@ _SAMPLING = (
 )
 
 
-@query(_SAMPLING + "SELECT * FROM detail")
+@query(
+    _SAMPLING
+    + """SELECT problem_id, dataset, base_pass1, ext_pass1, base_maj_correct, base_maj_tied, ext_maj_correct, ext_maj_tied, ext_maj_correct_all_tie, ext_maj_correct_any_tie, base_completion_state, base_truncated, base_complete_wrong,
+    helpful_maj, harm_maj, repaired_maj, repaired_any, repaired_tie_lower, repaired_tie_upper FROM detail"""
+)
 def sampling_repair_detail(spark, sf_dir):
     return at.sampling_repair_detail(adapter.paired(spark, sf_dir))
 
@@ -325,7 +339,7 @@ def transition_counts(spark, sf_dir):
 _ABC = adapter.SQL + ", g AS (SELECT problem_id, dataset, a_ok AS base_ok, c_ok AS long_ok FROM three)"
 
 
-@query(_ABC + f", k AS (SELECT {ALL}, count(*) AS n, {n_if('base_ok')} AS n_correct, {n_if('base_ok AND NOT long_ok')} AS n_lost FROM g GROUP BY GROUPING SETS ((), (dataset))) SELECT *, {r6('CAST(n_lost AS DOUBLE) / greatest(n_correct, 1)')} AS chr, CASE WHEN CAST(n_lost AS DOUBLE) / greatest(n_correct, 1) < 0.02 THEN 'low' WHEN CAST(n_lost AS DOUBLE) / greatest(n_correct, 1) < 0.05 THEN 'moderate' ELSE 'high' END AS verdict FROM k")
+@query(_ABC + f", k AS (SELECT {ALL}, count(*) AS n, {n_if('base_ok')} AS n_correct, {n_if('base_ok AND NOT long_ok')} AS n_lost FROM g GROUP BY GROUPING SETS ((), (dataset))) SELECT *, {r6('CAST(n_lost AS DOUBLE) / greatest(n_correct, 1)')} AS chr, CASE WHEN CAST(n_lost AS DOUBLE) / greatest(n_correct, 1) > 0.05::DOUBLE THEN 'high' WHEN CAST(n_lost AS DOUBLE) / greatest(n_correct, 1) < 0.02::DOUBLE THEN 'low' ELSE 'moderate' END AS verdict FROM k")
 def chr_rate(spark, sf_dir):
     v = at.voted(adapter.paired(spark, sf_dir), "a", "c")
     return at.correct_to_wrong(v.select("dataset", F.col("vote_a.correct").alias("base_ok"), F.col("vote_c.correct").alias("long_ok")))
@@ -337,20 +351,54 @@ def paired_2x2(spark, sf_dir):
     return at.paired_counts(v.select("dataset", F.col("vote_a.correct").alias("r"), F.col("vote_c.correct").alias("t")), "r", "t", "dataset")
 
 
-_RELAXED = (
-    adapter.SQL
-    + """, rl AS (SELECT problem_id, arm, coalesce(answer, fallback) AS answer, correct OR coalesce(answer IS NULL AND fallback = gold, false) AS correct FROM chains),
-    rt AS (SELECT problem_id, arm, answer, count(*) AS n, bool_or(correct) AS ok FROM rl WHERE answer IS NOT NULL GROUP BY ALL), rm AS (SELECT *, max(n) OVER (PARTITION BY problem_id, arm) AS most FROM rt),
-    rw AS (SELECT problem_id, arm, arg_min(ok, answer) AS ok FROM rm WHERE n = most GROUP BY ALL),
-    r3 AS (SELECT t.problem_id, t.dataset, t.strict_all_wrong AS e, b_ok, c_ok, coalesce(b.ok, false) AS rb, coalesce(c.ok, false) AS rc FROM three t LEFT JOIN rw b ON b.problem_id = t.problem_id AND b.arm = 'B' LEFT JOIN rw c ON c.problem_id = t.problem_id AND c.arm = 'C')"""
-)
+# Chains as texts: line items of an order, in five forms; the gold answer is from the customer's key.
+_WRITTEN = """WITH w AS (SELECT l_orderkey AS problem_id, CASE WHEN o_orderstatus = 'F' THEN 'gsm8k' ELSE 'math' END AS dataset, CAST(o_custkey % 50 + 1 AS INTEGER) AS g, l_linestatus AS status, CAST(l_quantity AS INTEGER) AS tokens,
+    CASE WHEN l_partkey % 3 = 0 THEN CAST(o_custkey % 50 + 1 AS INTEGER) ELSE CAST(l_quantity AS INTEGER) END AS v, CAST(l_suppkey % 5 AS INTEGER) AS form,
+    row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag) AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+x AS (SELECT *, v = g AS same, dataset = 'gsm8k' AS numeric, CASE WHEN dataset = 'gsm8k' THEN CAST(v AS VARCHAR) ELSE CASE form WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN v || '^circ' WHEN 3 THEN v || 'cm' WHEN 4 THEN v || 'degrees' END END AS answer FROM w)"""
+_FORMS = ("\\boxed{%s}", "\\boxed{%s^\\circ}", "about %s", "\\boxed{%s\\text{ cm}}", "\\boxed{%s\\text{degrees}}")
+
+
+def _written(spark, sf_dir, status: str, cap: int) -> DataFrame:
+    """The run of a line status: a chain beyond the cap ends early and without a box."""
+    o = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), F.when(F.col("o_orderstatus") == "F", "gsm8k").otherwise("math").alias("dataset"), (F.col("o_custkey") % 50 + 1).cast("int").cast("string").alias("g"))
+    o = o.select("problem_id", "dataset", F.lit(None).cast("int").alias("math_level"), F.lit("?").alias("question"), F.when(F.col("dataset") == "gsm8k", F.concat(F.lit("so #### "), "g")).otherwise(F.concat(F.lit("\\boxed{"), "g", F.lit("}"))).alias("answer"), "g")
+    lines = adapter.table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status).groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.array_sort(F.collect_list(F.struct(*adapter.ORDER))).alias("lines"))
+
+    def chain(x):
+        tokens = x["l_quantity"].cast("int")
+        v = F.when(x["l_partkey"] % 3 == 0, F.col("g")).otherwise(tokens.cast("string"))
+        said = F.element_at(F.array(*[F.format_string(f, v) for f in _FORMS]), (x["l_suppkey"] % 5).cast("int") + 1)
+        return F.struct(F.when(tokens > cap, F.concat(F.lit("about "), v)).otherwise(said).alias("text"), F.least(tokens, F.lit(cap)).alias("token_count"), F.when(tokens > cap, "length").otherwise("stop").alias("finish_reason"))
+
+    return o.join(lines, "problem_id").withColumn("chains", F.transform("lines", chain)).drop("lines", "g")
 
 
-@query(_RELAXED + f", s AS (SELECT dataset, 'strict' AS setting, b_ok AS p, c_ok AS q FROM r3 UNION ALL SELECT dataset, 'relaxed', rb, rc FROM r3) SELECT {ALL}, setting, count(*) AS n, {ratio(n_if('p'), 'count(*)')} AS base_acc, {ratio(n_if('q'), 'count(*)')} AS ext_acc, {n_if('NOT p AND q')} AS helpful, {n_if('p AND NOT q')} AS harmful FROM s GROUP BY GROUPING SETS ((setting), (setting, dataset))")
+@query(
+    _WRITTEN
+    + f""", d AS (SELECT dataset, same AND (numeric OR form = 0) AND (numeric OR tokens <= 35) AS sm, same AND (numeric OR form = 0) AS sl, same AND (numeric OR (tokens <= 35 AND form <> 3)) AS rm, same AND (numeric OR form <> 3) AS rl FROM x WHERE status = 'O' AND place = 1),
+    s AS (SELECT dataset, 'strict' AS setting, sm AS p, sl AS q FROM d UNION ALL SELECT dataset, 'relaxed', rm, rl FROM d)
+    SELECT {ALL}, setting, count(*) AS n, {ratio(n_if("p"), "count(*)")} AS medium_acc, {ratio(n_if("q"), "count(*)")} AS long_acc, {ratio(n_if("NOT p AND q"), "count(*)")} AS helpful_ml_rate, {ratio(n_if("p AND NOT q"), "count(*)")} AS long_harm_rate
+    FROM s GROUP BY GROUPING SETS ((setting), (setting, dataset))"""
+)
 def strict_relaxed_summary(spark, sf_dir):
-    return at.strict_relaxed_summary(adapter.paired(spark, sf_dir))
+    """First chains at caps 35 and 50, by the whole verifier and its relaxed rule for units and numbers."""
+    return at.strict_relaxed_summary(runs.relaxed_detail(_written(spark, sf_dir, "O", 35), _written(spark, sf_dir, "O", 50), 35, 50))
 
 
-@query(_RELAXED + f" SELECT {ALL}, {n_if('e')} AS n_eligible, {n_if('e AND c_ok')} AS strict_repairs, {n_if('e AND rc')} AS relaxed_repairs, {n_if('e AND NOT c_ok AND rc')} AS hidden_repairs, {n_if('e AND c_ok AND NOT rc')} AS lost_repairs FROM r3 GROUP BY GROUPING SETS ((), (dataset))")
+@query(
+    _WRITTEN
+    + f""", a AS (SELECT problem_id FROM x WHERE status = 'F' GROUP BY problem_id HAVING bool_and(tokens <= 35) AND bool_and(answer IS NOT NULL) AND NOT bool_or(same AND (numeric OR form = 0))),
+    c AS (SELECT problem_id, unnest([0, 1]) AS relaxed, answer AS strict, same AND (numeric OR form = 0) AS ok, same AND NOT numeric AND form = 2 AS late, CAST(v AS VARCHAR) AS said FROM x SEMI JOIN a USING (problem_id) WHERE status = 'O'),
+    t AS (SELECT problem_id, relaxed, CASE WHEN relaxed = 1 THEN coalesce(strict, said) ELSE strict END AS answer, bool_or(ok OR (relaxed = 1 AND late)) AS ok, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY problem_id, relaxed) AS most FROM t WHERE answer IS NOT NULL),
+    v AS (SELECT problem_id, relaxed, arg_min(ok, answer) AS ok FROM m WHERE n = most GROUP BY ALL), pool AS (SELECT problem_id FROM a SEMI JOIN c USING (problem_id)),
+    s AS (SELECT count(*) AS n, {n_if("p.ok")} AS k, {n_if("r.ok")} AS r FROM pool b LEFT JOIN v p ON p.problem_id = b.problem_id AND p.relaxed = 0 LEFT JOIN v r ON r.problem_id = b.problem_id AND r.relaxed = 1)
+    SELECT n AS n_eligible, k AS strict_plurality_repair, r AS relaxed_plurality_repair, r - k AS hidden_by_strict_matching FROM s"""
+)
 def hidden_repair_audit(spark, sf_dir):
-    return at.hidden_repairs(adapter.paired(spark, sf_dir))
+    """Repairs that only a last number shows; recorded verdicts are checked against strict scoring."""
+    pick = lambda d, n: d.select("problem_id", F.col("chains").alias(n))
+    a, long = runs.scored(_written(spark, sf_dir, "F", 35), 35), _written(spark, sf_dir, "O", 50)
+    c = runs.scored(long, 50)
+    arms = a.withColumnRenamed("chains", "a").join(pick(c, "c"), "problem_id").withColumn("b", F.col("a"))
+    return runs.verifier_audit(at.three_arm_detail(arms), long, 50).drop("upper95")

@@ -72,6 +72,29 @@ def require_same_ids(a: DataFrame, b: DataFrame, *keys: str) -> None:
         raise ValueError(f"ids that only one side has: {[tuple(r) for r in odd]}")
 
 
+PROBLEM_FIELDS = ("dataset", "question", "answer")
+
+
+def read_problems(spark: SparkSession, path: str | list[str], required: tuple[str, ...] = ("problem_id", *PROBLEM_FIELDS)) -> DataFrame:
+    """Problems from JSONL, strictly read: ids unique, required fields there and not null."""
+    rows = require_unique(read_jsonl(spark, path, PROBLEM), "problem_id")
+    odd = rows.filter(F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required], F.lit("")) != "").limit(5).collect()
+    if odd:
+        raise ValueError(f"problems without {required}: {[r['problem_id'] for r in odd]}")
+    return rows
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """file, at (where its split begins, then the place among the lines read), line and r (null fields if unreadable).
+
+    (file, at) is the order of lines in each file: a split starts at a byte, and Spark numbers a split's lines as it
+    reads them.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, S)])
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place")).alias("at"))
+    return lines.filter(F.trim("line") != "").withColumn("r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+
+
 def select_one(rows: DataFrame, **criteria) -> dict:
     """The single row that meets the criteria."""
     for k, v in criteria.items():
@@ -99,9 +122,12 @@ def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None, mode
     (rows.orderBy(*order) if order else rows).write.mode(mode).json(path)
 
 
-def write_table(rows: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
-    """A summary as one file: csv with a header, json, parquet or text (one string column)."""
-    one = rows.coalesce(1).write.mode(mode)
+def write_table(rows: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite", one: bool = True) -> None:
+    """csv with a header, json, parquet or text (one string column); a summary as one file, details (one=False) as many.
+
+    The one file is written by a task of its own, behind a shuffle, so that the work before it keeps its tasks.
+    """
+    one = (rows.repartition(1) if one else rows).write.mode(mode)
     {"csv": lambda: one.option("header", True).csv(path), "json": lambda: one.json(path), "parquet": lambda: one.parquet(path), "text": lambda: one.text(path)}[kind]()
 
 
@@ -128,15 +154,6 @@ def check_budgets(budgets: dict[str, dict]) -> None:
             raise ValueError(f"{name}: top_p")
 
 
-def manifest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, bytes, lines, sha256 of every file below a folder; one task reads whole files, as hashes need them."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    text = F.decode("content", "ISO-8859-1")
-    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
-    return files.select("path", F.col("length").alias("bytes"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
-
-
 def tree_digest(files: DataFrame) -> DataFrame:
     """One digest over all files in order of path, from their own digests."""
     rows = files.agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "bytes"))).alias("f"))
