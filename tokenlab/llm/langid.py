@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold
+from .eliasfano import load, save
+from .shared import fold, new_folder, texts_of
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: The matrix is broadcast: this many bytes at most.
+#: The matrix is broadcast up to this many bytes; a larger one is mapped from a file in the shared folder.
 MOST_BYTES = 256 << 20
 PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -29,23 +30,30 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
-def buckets(text: str) -> np.ndarray:
-    """Buckets of all n-grams of a piece of text; case and ASCII other than letters don't matter."""
-    codes = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.where(codes < 128, _ASCII[np.minimum(codes, 127)], codes)
-    codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))].astype(np.uint64)
-    out, run = [], np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        run = (run[: len(codes) - n + 1] * np.uint64(1 << 21)) + codes[n - 1 :]
-        if n in ORDERS and len(run):
-            out.append((((run + np.uint64(n)) * _MIX) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
-    return np.concatenate(out)
+def buckets(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text between blanks, in pieces of bounded size.
 
-
-def pieces(text: str) -> Iterator[str]:
-    """The whole text in pieces of bounded size, cut at any character."""
-    for at in range(0, max(len(text), 1), PIECE):
-        yield text[at : at + PIECE]
+    Case doesn't matter; ASCII other than letters is a blank, and several are one. Each piece goes on with the last
+    characters of the one before, so that no n-gram is lost or added where it begins.
+    """
+    low, most = text.lower(), max(ORDERS)
+    before = np.array([32], dtype=np.uint64)
+    for at in range(0, len(low) + 1, PIECE):
+        piece = low[at : at + PIECE]
+        codes = np.frombuffer((piece if at + PIECE <= len(low) else piece + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = np.where(codes < 128, _ASCII[np.minimum(codes, 127)], codes).astype(np.uint64)
+        codes = np.concatenate((before, codes))
+        codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
+        old = len(before) - (1 if not at else 0)  # the first blank belongs to the n-grams of the first piece
+        out, run = [], np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, most + 1):
+            run = (run[: len(codes) - n + 1] * np.uint64(1 << 21)) + codes[n - 1 :]
+            if n in ORDERS:
+                # Of n-grams that end in what is new.
+                own = run[max(0, old - n + 1) :]
+                out.append((((own + np.uint64(n)) * _MIX) >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1))
+        before = codes[-(most - 1) :]
+        yield np.concatenate(out)
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -58,11 +66,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, lang in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if lang not in seen:
                     seen[lang] = np.zeros(BUCKETS + 1, dtype=np.int64)
-                for piece in pieces(text):
-                    seen[lang][:BUCKETS] += np.bincount(buckets(piece), minlength=BUCKETS)
+                for part in buckets(text):
+                    seen[lang][:BUCKETS] += np.bincount(part, minlength=BUCKETS)
                 seen[lang][BUCKETS] += 1
         for lang, n in seen.items():
             at = np.flatnonzero(n)
@@ -71,8 +79,6 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
-    if (BUCKETS + 1) * len(langs) * 4 > MOST_BYTES:
-        raise ValueError(f"{len(langs)} languages: the matrix would take more than {MOST_BYTES} bytes")
     table = np.zeros((BUCKETS + 1, len(langs)))
     for i, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
@@ -83,10 +89,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
 
 def score_text(text: str, matrix: np.ndarray) -> np.ndarray:
-    """Posterior of each language. The orders overlap, so each counts for its share only."""
+    """Posterior of each language. The orders overlap, so each counts for its share only.
+
+    A text is a sparse row of counts: only the matrix's rows of buckets that it has are read.
+    """
     total = np.zeros(matrix.shape[1])
-    for piece in pieces(text):
-        at = buckets(piece)
+    for at in buckets(text):
         for k in range(0, len(at), PIECE):
             total += matrix[at[k : k + PIECE]].sum(axis=0, dtype=np.float64)
     total = total / len(ORDERS) + matrix[BUCKETS]
@@ -99,18 +107,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
     A text that is null or has no letter, and any text if no language was learned, gets `und` and score 0. Ties go
     to the language that sorts first. Whole texts are read, in pieces of bounded size. Columns of docs stay, but
-    those named like the new ones are replaced. The model is broadcast; its size is checked when it is learned.
+    those named like the new ones are replaced. The model is broadcast if it takes MOST_BYTES at most; else the
+    workers map it from a file in the shared folder.
     """
     langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    large = matrix.nbytes > MOST_BYTES
+    if large:
+        path = f"{new_folder(docs.sparkSession, 'languages')}/matrix.bin"
+        save(path, {"flat": matrix.reshape(-1)})
+    shared = docs.sparkSession.sparkContext.broadcast(path if large else matrix)
     docs = docs.drop("lang_pred", "score")
     place = docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = load(shared.value)["flat"].reshape(BUCKETS + 1, -1) if large else shared.value
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(place).to_pylist():
+            for text in texts_of(batch.column(place)):
                 if text is None or not langs or not has_letter(text):
                     names.append("und")
                     scores.append(0.0)
