@@ -25,7 +25,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.mark_leaks(docs, _table(spark, sf_dir, "benchmark"))
-    return marked.filter("leak_item is not null").select("doc_id", F.col("leak_item").alias("item_id"), "leak_matches", "leak_start", "leak_end")
+    return marked.filter("leak_matches is not null").select("doc_id", F.col("leak_item").alias("item_id"), "leak_matches", "leak_start", "leak_end", F.col("leaks.item").alias("item_ids"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
