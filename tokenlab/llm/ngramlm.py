@@ -18,16 +18,14 @@ from pyspark.sql import types as T
 from .eliasfano import EliasFano, load, save
 from .shared import materialise, new_folder
 
-#: Documents for one shard of the vocabulary, which is cut by the top bits of the words' hashes; shards at most.
-SHARD_DOCS, WORD_SHARDS = 65_536, 4096
+#: Documents for one shard of the vocabulary, which is cut by the top bits of the words' hashes.
+SHARD_DOCS = 65_536
 #: Tokens of training text for one shard of a higher level.
 SHARD_TOKENS = 6_000_000
 #: Numbers that a task gathers before it sorts and emits or merges them.
 CHUNK, MERGE = 1 << 20, 1 << 20
 #: Tokens that are looked up together.
 STRETCH = 1 << 20
-#: Trigrams seen less often are left to the levels below.
-LEAST_TRIGRAM = 2
 #: Logarithms are stored in 16 bits, as multiples of this below zero.
 QUANTUM = 1 / 2048
 _END = b""  # no word is empty
@@ -345,20 +343,25 @@ def _level(made: list[tuple], bounds: np.ndarray) -> tuple[Level, np.ndarray]:
     return Level(low, np.concatenate(([0], np.cumsum([m[2] for m in made]))).astype(np.int64), [m[1] for m in made]), at
 
 
-def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens: int = SHARD_TOKENS) -> Model:
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
+
+
+def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens: int = SHARD_TOKENS, least: int = 1) -> Model:
     """Build the trie from all texts of docs (null: empty). Its files are in the shared folder.
 
     Each level is counted over the whole corpus: tasks emit counted keys chunk by chunk, packed by shard; a task
     per shard merges them and writes the shard's file. Shards hold whole contexts. Smoothing is Witten-Bell: with
     c the context's count, K that of its kept continuations and t their number, a continuation counted n has
     (n + (c - K + t) * p) / (c + t), with p from the level below; another one has (c - K + t) / (c + t) * p.
-    All bigrams are kept; a trigram is kept if seen LEAST_TRIGRAM times, and both its bigrams have to be, which
-    the counting of trigrams uses. The driver holds one row per shard.
+    All n-grams are kept; with `least` above 1, trigrams seen less often are left to the bigrams. The driver holds one
+    row per shard.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "trie")
     texts = docs.select(F.col(text_col).alias("text"))
-    size = min(WORD_SHARDS, 4 << max(0, texts.count() // SHARD_DOCS).bit_length())
+    size = 4 << max(0, texts.count() // SHARD_DOCS).bit_length()
     bounds = np.array([i * ((1 << 64) // size) for i in range(size)], dtype=np.uint64)
 
     def make_words(_, keys, counts):
@@ -398,7 +401,7 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         backoff = np.zeros(width)
         backoff[some] = np.log10(spare[some] / whole[some])
         pointers = np.concatenate(([0], np.cumsum(number))).astype(np.uint64)
-        return EliasFano.build(keys).arrays("keys") | EliasFano.build(pointers).arrays("pointers") | {"logs": logs, "backoff": quantise(backoff), "counts": counts.astype(np.uint32), "second": b.astype(np.uint32 if V < 1 << 32 else np.uint64)}, 0
+        return EliasFano.build(keys).arrays("keys") | EliasFano.build(pointers).arrays("pointers") | {"logs": logs, "backoff": quantise(backoff), "counts": _small(counts), "second": b.astype(np.uint32 if V < 1 << 32 else np.uint64)}, 0
 
     pairs = lambda x: x[:-1].astype(np.uint64) * np.uint64(V) + x[1:].astype(np.uint64)
     made = _build(_count(texts, bounds, pairs, lambda h: [below.value.vocabulary.find(h)]), shards, folder, make_bigrams, "bigrams")
@@ -439,9 +442,11 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
     def triples(x, first):
         own = both.value
         places, which = own.bigram_places(x)
-        often = np.zeros(len(places), dtype=bool)
-        often[1:] = own.bigrams.take("counts", places[1:]) >= LEAST_TRIGRAM
-        at = np.flatnonzero(often[which[:-1]] & often[which[1:]] & (x[1:-1] != own.end))  # nothing goes on over an end
+        going = x[1:-1] != own.end  # nothing goes on over an end
+        if least > 1:  # a trigram is as rare as its bigrams at least
+            often = np.append(False, own.bigrams.take("counts", places[1:]) >= least)
+            going &= often[which[:-1]] & often[which[1:]]
+        at = np.flatnonzero(going)
         used = np.zeros(len(places), dtype=bool)
         used[which[at]] = True
         used = np.flatnonzero(used)
@@ -451,8 +456,9 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
 
     def make_trigrams(s, keys, counts):
         own = both.value
-        some = counts >= LEAST_TRIGRAM
-        keys, counts = keys[some], counts[some]
+        if least > 1:
+            some = counts >= least
+            keys, counts = keys[some], counts[some]
         width = nodes[s + 1] - nodes[s]
         base = np.concatenate([own.bigrams.access("base", np.arange(k, min(k + CHUNK, nodes[s + 1])), own.bases) for k in range(nodes[s], nodes[s + 1], CHUNK)])
         of = np.searchsorted(base, keys, side="right") - 1
