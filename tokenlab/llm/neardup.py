@@ -279,7 +279,8 @@ def _survivors(placed: DataFrame, least: float, most: int) -> DataFrame:
     """
     wide = lambda rows, size, top: F.greatest(F.lit(1), F.ceil(rows / top), F.ceil(size / CHUNK_SHINGLES)).cast("int")
     sizes = placed.groupBy(F.col("key").alias("k")).agg(wide(F.count_if("stray"), F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)), CHUNK_STRAYS).alias("ns"), wide(F.count(F.lit(1)), F.sum("n"), CHUNK_MEMBERS).alias("nm"))
-    rows = placed.join(sizes, F.col("key") == F.col("k")).drop("k")
+    # A table of its own, so that the join can be split where a bucket is large.
+    rows = placed.join(materialise(sizes, "chunks"), F.col("key") == F.col("k")).drop("k")
     chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["node", "label", "stray", "n", "bits", "keys"]
