@@ -155,6 +155,16 @@ def test_top_k_is_exact_with_ties(spark):
         assert sorted(found) == [(k + 1, c, -s) for k, (s, c) in enumerate(scored)]
 
 
+def test_top_k_of_repeated_ids_and_large_values(spark):
+    """Two vectors with one id answer apart; products beyond 64 bits rank by their values."""
+    f = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] >> 20) for r in rows(topk.top_k(f, F.col("vec_id") == 0)))
+    assert got == [(0, 1, 1, 2), (0, 1, 2, 3), (0, 2, 1, 1), (0, 2, 2, 1)]
+    big = [(0, [2.0**40, 1.0]), (1, [2.0**40, 5.0]), (2, [2.0**40, 6.0]), (3, [-(2.0**45), 0.0]), (4, [1.0, 1.0])]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)))
+    assert got == [(1, 2, 2**63 - 1), (2, 1, 2**63 - 1), (3, 4, 2**60 + 2**20), (4, 3, -(2**63))]
+
+
 def test_top_k_few_and_empty(spark):
     f = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     assert rows(topk.top_k(f, F.col("vec_id") % 100 == 0)) == [{"query_id": 0, "rank": 1, "vec_id": 1, "score": 1024 * 1024}]
@@ -168,6 +178,23 @@ def test_language_on_held_out_rows(spark):
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count()
 
 
+def test_language_reads_over_the_borders_of_pieces(spark, monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB é1 .漢 xß") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    whole = [np.sort(np.concatenate(list(langid.buckets(t)))) for t in texts]
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert all((np.sort(np.concatenate(list(langid.buckets(t)))) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_a_large_matrix_is_mapped_from_a_file(odd, monkeypatch):
+    model = langid.learn(odd)
+    key = lambda: sorted(map(str, langid.identify(odd, model).collect()))
+    one = key()
+    monkeypatch.setattr(langid, "MOST_BYTES", 10)
+    assert key() == one
+
+
 def test_letters():
     assert not langid.has_letter("½ ² _ 1 !") and langid.has_letter("½a") and langid.has_letter("漢")
 
@@ -201,6 +228,27 @@ def test_toxicity_learns_words_and_stems(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
 
 
+def test_label_model_finds_accuracies_and_correlations():
+    """Voters of known accuracy that vote both ways or abstain, two of them nearly copies of a third; no labels."""
+    rng = np.random.default_rng(7)
+    n, accuracy, silent = 12_000, [0.95, 0.9, 0.85, 0.8, 0.75, 0.9, 0.7], [0.2, 0.5, 0.3, 0.1, 0.4, 0.6, 0.0]
+    y = rng.random(n) < 0.3
+    votes = np.array([np.where(rng.random(n) < a, 2 * y - 1, 1 - 2 * y) * (rng.random(n) >= s) for a, s in zip(accuracy, silent, strict=True)]).T
+    copies = [np.where(rng.random(n) < 0.95, votes[:, 6], -votes[:, 6]) for _ in range(2)]
+    votes = np.column_stack([votes, *copies]).astype(np.int8)
+    q, clean, toxic, correlations, shares = toxicity.label_model(votes)
+    for j, (a, s) in enumerate(zip(accuracy, silent, strict=True)):
+        assert toxic[j] == pytest.approx([(1 - a) * (1 - s), s, a * (1 - s)], abs=0.04) and clean[j] == pytest.approx([a * (1 - s), s, (1 - a) * (1 - s)], abs=0.04)
+    told = np.array([np.corrcoef(votes[y == c, 6], votes[y == c, 7])[0, 1] for c in (False, True)])
+    assert correlations[6, 7] == pytest.approx(told @ [0.7, 0.3], abs=0.06) and abs(correlations[:6, :6] - np.eye(6)).max() < 0.1
+    assert (shares[:6] == 1).all() and shares[6:] == pytest.approx([1 / 3] * 3, abs=0.06)
+    assert ((q > 0.5) == y).mean() > 0.95
+    # Taking the three copies for three witnesses does worse.
+    plain = np.log(toxic / clean)
+    naive = np.log(0.3 / 0.7) + sum(plain[j][votes[:, j] + 1] for j in range(9))
+    assert ((q > 0.5) == y).mean() > ((naive > 0) == y).mean()
+
+
 def test_toxicity_odd_and_empty(spark, odd, empty):
     none = spark.createDataFrame([(1, None), (2, 0)], "doc_id long, toxic int")
     got = rows(toxicity.score(odd, toxicity.learn(odd, none)))
@@ -230,6 +278,30 @@ def test_leaks_stand_substitutions_and_clean_texts_stay(spark):
     assert set(got) == leaked and all(r["leak_item"] == i % 20 and r["leak_matches"] >= 20 and 95 <= r["leak_start"] <= 108 for i, r in got.items())
 
 
+def test_leaks_keep_ids_of_any_kind_and_all_items(spark, monkeypatch):
+    """String ids, a null id, an item that stands twice, several items in one text; broadcast and by join."""
+    say = lambda k: " ".join(f"q{k}x{j}" for j in range(20))
+    items = [("b", say(0)), ("a", say(0)), (None, say(1)), ("c", say(2)), ("d", "a six word item just here"), ("e", None), ("f", "")]
+    texts = [say(0), f"x {say(1)} y", f"{say(2)} and {say(0)} z z", "so a six word item just here it is", None, "", "clean", say(0)]
+    docs = spark.createDataFrame([(i, t, "mine", 7) for i, t in enumerate(texts)], "doc_id long, text string, leak_item string, leaks int")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    for tokens in (1 << 20, 10):
+        monkeypatch.setattr(decontam, "BLOCK_TOKENS", tokens)
+        got = {r["doc_id"]: (r["leak_item"], r["leak_matches"], r["leak_start"], r["leak_end"], [x["item"] for x in r["leaks"]]) for r in rows(decontam.mark_leaks(docs, benchmark))}
+        none = (None, None, None, None, [])
+        assert got == {0: ("a", 20, 0, 20, ["a"]), 1: (None, 20, 1, 21, [None]), 2: ("a", 20, 21, 41, ["a", "c"]), 3: ("d", 6, 1, 7, ["d"]), 4: none, 5: none, 6: none, 7: ("a", 20, 0, 20, ["a"])}
+
+
+def test_leaks_by_join_are_those_of_the_broadcast(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda: sorted(tuple(r) for r in decontam.mark_leaks(docs, benchmark).select("doc_id", "leak_item", "leak_matches", "leak_start", "leak_end").collect())
+    one = key()
+    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 10)
+    assert key() == one
+    monkeypatch.setattr(decontam, "MOST_KEYS", 0)
+    assert key() == one and sum(r[2] is not None for r in one) > 10
+
+
 def test_short_items_leak_too(spark):
     """Verbatim items of 1 to 15 tokens, one substituted word in those of 8 and more wherever it is, and no less."""
     words = {n: [f"w{n}x{i}" for i in range(n)] for n in range(1, 16)}
@@ -247,7 +319,7 @@ def test_short_items_leak_too(spark):
     assert all(r["leak_start"] >= 30 and r["leak_matches"] >= decontam.needed(r["leak_item"]) for r in got.values())
 
 
-def test_leaks_in_blocks_and_very_long_texts(spark, odd, empty, monkeypatch):
+def test_leaks_by_join_in_very_long_texts(spark, odd, empty, monkeypatch):
     benchmark = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(6)], "item_id long, text string")
     text = "filler " * 300_000 + " ".join(f"q4x{j}" for j in range(20))
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
@@ -315,12 +387,41 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_groups(table)
 
 
+def test_one_stays_of_each_group_whatever_its_id(spark):
+    """Rows with one id and different texts: each group keeps one row, that with its smallest id."""
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "quite another text that stands alone here")
+    docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 3), (6, b, 4), (7, c, 5), (None, c, 6)], "doc_id long, text string, label int")
+    kept = sorted((r["doc_id"] is None, r["doc_id"], r["label"]) for r in neardup.keep_one(docs, neardup.near_duplicates(docs)).collect())
+    assert kept == [(False, 3, 1), (False, 5, 3), (False, 7, 5), (True, None, 6)]
+
+
+def test_strays_meet_in_chunks_and_without_the_filter(spark, monkeypatch):
+    """Chains of near-copies in one bucket, cut into small chunks; an infinite slack leaves the same groups."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    table = []
+    for start in range(6):
+        own = [rng.choice(words) for _ in range(120)]
+        for step in range(25):
+            own = list(own)
+            own[rng.randrange(120)] = f"n{start}x{step}"
+            table.append((len(table), " ".join(own)))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    want = brute_groups(table)
+    for chunk, slack in ((3, 4.0), (1024, float("inf"))):
+        monkeypatch.setattr(neardup, "CHUNK_STRAYS", chunk)
+        monkeypatch.setattr(neardup, "CHUNK_MEMBERS", chunk)
+        monkeypatch.setattr(neardup, "HUBS", 1)
+        got = sorted(((r["id"], r["class_id"]) for r in rows(neardup.near_duplicates(docs, slack=slack))), key=str)
+        assert got == want
+
+
 def test_near_duplicates_odd_and_empty(odd, empty):
     groups = neardup.near_duplicates(odd)
     got = rows(groups)
     assert len(got) == len(ODD) and all(r["class_id"] == 3 for r in got if r["id"] == 3)
     kept = neardup.keep_one(odd, groups)
-    assert sorted((r["doc_id"] for r in rows(kept) if r["doc_id"] is not None)) == sorted({r["class_id"] for r in got if r["id"] is not None and r["id"] == r["class_id"]})
+    assert collections.Counter(r["doc_id"] for r in rows(kept) if r["doc_id"] is not None) == collections.Counter({r["label"]: r["class_id"] for r in got if r["id"] is not None}.values())
     assert neardup.near_duplicates(empty).count() == 0
 
 
@@ -343,7 +444,7 @@ def test_elias_fano_runs(tmp_path):
     assert (e.find(v) == np.arange(len(v))).all() and (e.find(v + np.uint64(1)) >= 0).sum() == np.isin(v + np.uint64(1), v).sum()
 
 
-def lm(texts, train):
+def lm(texts, train, least):
     """The same smoothing with dictionaries."""
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     tokens = [re.findall("[^\x20\x09-\x0d]+", low(t)) + [""] for t in texts]
@@ -353,7 +454,7 @@ def lm(texts, train):
         c1.update(tokens[i])
         c2.update(zip(s, s[1:], strict=False))
         c3.update(zip(s, s[1:], s[2:], strict=False))
-    kept = {g: n for g, n in c3.items() if n >= 2}
+    kept = {g: n for g, n in c3.items() if n >= least and g[1] != ""}
     n, v = sum(c1.values()), len(c1)
     p1 = lambda w: (c1[w] + 0.5) / (n + 0.5 * (v + 1))
     by2, by3 = collections.defaultdict(list), collections.defaultdict(list)
@@ -379,15 +480,15 @@ def lm(texts, train):
     return n, out
 
 
-@pytest.mark.parametrize("shard_tokens", [300, 10**7])
-def test_language_model_matches_dictionaries(spark, monkeypatch, shard_tokens):
+@pytest.mark.parametrize(("shard_tokens", "least"), [(300, 1), (300, 2), (10**7, 1)])
+def test_language_model_matches_dictionaries(spark, monkeypatch, shard_tokens, least):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["a", "B", "c", "d d", "é", "E f g", "a b"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "unseen words only", "a " * 3000]
     monkeypatch.setattr(ngramlm, "STRETCH", 64)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = [i for i in range(len(texts)) if i % 5]
-    model = ngramlm.learn(docs.filter("doc_id % 5 <> 0"), shard_tokens=shard_tokens)
-    total, want = lm(texts, train)
+    model = ngramlm.learn(docs.filter("doc_id % 5 <> 0"), shard_tokens=shard_tokens, least=least)
+    total, want = lm(texts, train, least)
     assert model.total == total
     for r in rows(ngramlm.score(docs, model)):
         n, known, base, full = want[r["doc_id"]]
