@@ -6,9 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tokenlab.operators import integrity, learn, text
+from tokenlab.operators import evaluate, integrity, learn, text
 from tokenlab.plans import features
-from tokenlab.sources import files, generate, records
+from tokenlab.sources import engines, files, generate, records
 from tokenlab.streaming import runs
 
 
@@ -213,6 +213,60 @@ def test_seed_frames_and_models_are_bound(spark):
             integrity.bind_models(bad, expected)
 
 
+def test_engines_make_chains_by_seed(spark):
+    """Chains carry the policy's seeds in order; an engine that runs over the cap is refused."""
+
+    def factory():
+        return lambda prompts, seeds, cap: [{"text": f"{p[-3:]}{s % 10}", "token_ids": [s % 7] * min(cap, 1 + s % 5), "finish_reason": "stop"} for p, s in zip(prompts, seeds, strict=True)]
+
+    p = spark.createDataFrame([(f"p{i}", f"question {i}") for i in range(5)], "problem_id string, question string")
+    rows = engines.generate(p, factory, 4, 3, 7, "default", at_once=2).orderBy("problem_id").collect()
+    for r in rows:
+        assert [(c["chain_index"], int(c["request_seed"])) for c in r["chains"]] == [(i, seed(7, r["problem_id"], i)) for i in range(3)]
+        assert all(c["text"] == f"er:{int(c['request_seed']) % 10}" and c["token_count"] == len(c["token_ids"]) <= 4 for c in r["chains"])
+    with pytest.raises(Exception, match="fit the request"):
+        engines.generate(p, lambda: lambda prompts, seeds, cap: [{"text": "", "token_ids": [0] * (cap + 1), "finish_reason": "length"} for _ in prompts], 4, 1, 7).collect()
+
+
+def test_names_fall_back_and_groups_keep_their_order(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "b"))
+    name, rows = engines.first_that_loads(spark, [str(tmp_path / "a"), str(tmp_path / "b")], lambda s, n: s.read.parquet(n))
+    assert name.endswith("b") and rows.count() == 3
+    with pytest.raises(ValueError):
+        engines.first_that_loads(spark, [str(tmp_path / "a")], lambda s, n: s.read.parquet(n))
+    own = spark.createDataFrame([(0, "z"), (1, "a"), (2, "z"), (3, "m")], "i int, g string")
+    assert [r["g"] for r in records.by_first_appearance(own.select("g").distinct(), own, "g", "i").collect()] == ["z", "a", "m"]
+    assert [r["i"] for r in records.smoke(own, 2, "i").collect()] == [0, 1] and records.smoke(own, None).count() == 4
+    odd = records.expected_records(own, {"z": {"i": 0}, "q": {"i": 1}}, "g").collect()
+    assert [tuple(r) for r in odd] == [("z", "i", "0", "2")]
+
+
+def test_prefixes_split_by_a_third_run(spark):
+    run = lambda texts, n: spark.createDataFrame([(f"p{i}", "d", [{"text": t, "token_count": n, "finish_reason": None}]) for i, t in enumerate(texts)], "problem_id string, dataset string, chains array<struct<text:string,token_count:int,finish_reason:string>>")
+    a, b, c = run(["ab", "xy"], 2), run(["abc", "xz"], 3), run(["", ""], 9)
+    plain = {r["problem_id"]: r for r in text.prefix_runs(a, b, 5).collect()}
+    assert plain["p0"]["is_prefix"] and plain["p1"]["lcp"] == 1 and not plain["p0"]["split_hit_max"]
+    assert all(r["split_hit_max"] and not r["a_hit_max"] for r in text.prefix_runs(a, b, 5, c, 9).collect())
+    with pytest.raises(ValueError):
+        text.prefix_runs(a, b.limit(1), 5)
+
+
+def test_router_evaluation(spark):
+    """Learned routers beat chance where features tell; with too few groups they are not fitted; unequal records stop it."""
+    rows = spark.range(400).select(F.col("id").alias("record_id"), (F.col("id") % 80).alias("problem_id"), (F.col("id") % 4).cast("double").alias("cap_hits"), (F.col("id") % 7).cast("double").alias("max_tokens"), (F.col("id") % 2 == 0).alias("base_ok"))
+    rows = rows.withColumn("long_ok", F.when(F.col("cap_hits") == 3, True).otherwise(F.col("base_ok")))
+    curve, summary = evaluate.evaluate(rows, 5, 10, ("cap_hits", "max_tokens"), kinds=("logistic",))
+    s = summary.first()
+    assert (s["n_records"], s["n_routable_flips"], s["n_routable_reversals"], s["learned_router_fitted"]) == (400, 100, 0, True)
+    at = {(r["method"], round(r["route_fraction"], 2)): r for r in curve.collect()}
+    assert at["learned_logistic", 0.25]["accuracy"] == at["cap_hit_rank", 0.25]["accuracy"] == at["fixed_extended", 1.0]["accuracy"] == 0.75 and at["random", 0.25]["accuracy"] == 0.5625
+    assert at["route_every_cap_hit", 0.75]["accuracy"] == 0.75 and at["fixed_base", 0.0]["rerun_saving"] == 0.5
+    few = rows.withColumn("problem_id", F.col("record_id") % 4)
+    assert not evaluate.evaluate(few, 5, 10, ("cap_hits", "max_tokens"), kinds=("logistic",))[1].first()["learned_router_fitted"]
+    with pytest.raises(ValueError):
+        evaluate.evaluate(rows.withColumn("long_ok", ~F.col("base_ok")), 5, 10, ("cap_hits", "max_tokens"), kinds=())
+
+
 def test_budgets():
     good = {"max_new_tokens": 5, "n_chains": 1, "temperature": 0, "top_p": 1}
     records.check_budgets({"short": good})

@@ -55,7 +55,7 @@ def stratified_folds(frame: DataFrame, key: str, label: str, k: int = 5, seed: i
     counts = rows.groupBy(label, "__p").agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.select(F.col(label).alias("__l"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy(label, "__p").orderBy("__h", key)) - 1
-    rows = rows.withColumn("__place", place).join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__p") == F.col("__q")))
+    rows = rows.withColumn("__place", place).join(counts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__p") == F.col("__q")))
     return rows.withColumn("fold", ((F.col("__place") + F.col("__before")) % k).cast("int")).drop("__h", "__p", "__l", "__q", "__before", "__place")
 
 

@@ -205,6 +205,24 @@ def percentile_interval(draws: DataFrame, value: str, *by: str, alpha: float = 0
     return draws.groupBy(*by).agg(F.count(value).alias("draws"), q(alpha / 2).alias("low"), q(1 - alpha / 2).alias("high"))
 
 
+def sampling_intervals(detail: DataFrame, by: str = "dataset") -> DataFrame:
+    """dataset, measure, k, n and ci95 (exact, as text): help and harm by vote of all, repairs of complete wrong ones."""
+    measures = {"helpful_maj": (F.col("helpful_maj"), F.lit(True)), "harm_maj": (F.col("harm_maj"), F.lit(True)), "repair_rate_maj": (F.col("repaired_maj"), F.col("base_complete_wrong")), "repair_rate_any": (F.col("repaired_any"), F.col("base_complete_wrong"))}
+    rows = detail.select(by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), k.alias("hit"), n.alias("inside")) for m, (k, n) in measures.items()])).alias("m")).select(by, "m.*")
+    sums = over_all(rows, ["measure"], F.count_if(F.col("hit") & F.col("inside")).alias("k"), F.count_if("inside").alias("n"), by=by)
+    return sums.withColumn("ci", stats.interval_udf(F.col("k"), F.col("n"))).select(by, "measure", "k", "n", stats.shown(F.col("ci.low"), F.col("ci.high")).alias("ci95"))
+
+
+def sampling_bootstrap(detail: DataFrame, draws: int = DRAWS, seed: int = 42, by: str = "dataset") -> DataFrame:
+    """dataset, measure, delta and ci95 (bootstrap over problems, as text) of the changes of pass@1 and of the vote."""
+    deltas = {"maj_acc_delta": F.col("ext_maj_correct").cast("double") - F.col("base_maj_correct").cast("double"), "pass1_delta": F.col("ext_pass1") - F.col("base_pass1")}
+    both = F.array(*[F.struct(F.lit(m).alias("measure"), d.alias("d")) for m, d in deltas.items()])
+    rows = detail.select(F.explode(F.array(F.lit("all"), F.col(by))).alias(by), both.alias("m")).select(by, F.explode("m").alias("m")).select(by, "m.*").filter("d is not null")
+    drawn = hash_bootstrap(rows, draws, seed, "d", by=(by, "measure")).withColumn("mean", F.col("d") / F.col("n"))
+    ci = drawn.groupBy(by, "measure").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    return rows.groupBy(by, "measure").agg(F.round(F.avg("d"), 6).alias("delta")).join(ci, [by, "measure"]).select(by, "measure", "delta", stats.shown(F.col("low"), F.col("high")).alias("ci95"))
+
+
 def bootstrap_numpy(frame: DataFrame, a: str, b: str, by: str, draws: int = DRAWS, seed: int = 42) -> DataFrame:
     """Paired bootstrap of the mean of b - a by group: rows drawn with replacement, as many as there are.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import BLANKS, stripped
+from ..functions.answers import BLANKS, cap_hit, stripped
+from ..sources.records import require_same_ids
 
 # Fixed patterns of the question features.
 NUMBER_WORDS, OPERATORS = r"\b\d+[\.,]?\d*\b", r"[+\-*/=^%]|\\(?:sqrt|frac|cdot|times|div)"
@@ -118,6 +119,20 @@ def prefix_summary(overlaps: DataFrame, complete: Column, dataset: Column) -> Da
     return rows.groupBy("group").agg(n.alias("n"), share("is_prefix").alias("prefix_rate"), share("is_equal").alias("equal_rate"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.min("ratio").alias("min_ratio"), F.count_if("diverges").alias("n_divergent"))
 
 
+def prefix_runs(a: DataFrame, b: DataFrame, a_cap: int, split: DataFrame | None = None, split_cap: int | None = None) -> DataFrame:
+    """prefix_overlap of the first chains of two runs, with whether a cap cut a's, and the split run's (a's without one).
+
+    Runs: problem_id, dataset, chains; the id sets have to be equal, which records.require_same_ids checks. The split
+    run's ending is what prefix_summary groups by.
+    """
+    first = lambda d, n, cap: d.select("problem_id", F.try_element_at("chains", F.lit(1)).alias("__c")).select("problem_id", F.col("__c.text").alias(f"{n}_text"), F.col("__c.token_count").alias(f"{n}_tokens"), cap_hit(F.col("__c.finish_reason"), F.col("__c.token_count"), cap).alias(f"{n}_hit_max"))
+    for other in (b, *([] if split is None else [split])):
+        require_same_ids(a, other, "problem_id")
+    rows = a.select("problem_id", "dataset").join(first(a, "a", a_cap), "problem_id").join(first(b, "b", a_cap).drop("b_hit_max"), "problem_id")
+    rows = rows.join(first(a if split is None else split, "split", a_cap if split is None else split_cap).drop("split_text"), "problem_id")
+    return prefix_overlap(rows, "a_text", "b_text")
+
+
 def steps(text: Column, delimiter: str = "auto", least_words: int = 4) -> Column:
     """Reasoning steps: paragraphs, else lines, else sentences, else the whole text; by a delimiter, the parts between.
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import attribution as at
-from ..operators import resample, routing, vote
+from ..operators import evaluate, resample, routing, vote
 from . import adapter
-from .votes import _FIRST, _HARM, ALL, n_if, r6, ratio
+from .votes import _FIRST, _HARM, _SAMPLING, ALL, n_if, r6, ratio
 
 QUERIES, ORACLES = {}, {}
 
@@ -291,6 +291,29 @@ def leave_one_seed_out(spark, sf_dir):
     return out.withColumn("rate", at.rate(F.col("k"), F.col("n_eligible")))
 
 
+@query(
+    _bisected(
+        _SAMPLING
+        + f""", u AS (SELECT dataset, unnest([{{'m': 'helpful_maj', 'h': helpful_maj, 'i': true}}, {{'m': 'harm_maj', 'h': harm_maj, 'i': true}}, {{'m': 'repair_rate_maj', 'h': repaired_maj, 'i': base_complete_wrong}}, {{'m': 'repair_rate_any', 'h': repaired_any, 'i': base_complete_wrong}}]) AS x FROM detail),
+        k AS (SELECT {ALL}, x.m AS measure, {n_if("x.i")} AS n, {n_if("x.h AND x.i")} AS k FROM u GROUP BY GROUPING SETS ((x.m), (x.m, dataset)))""",
+        "dataset, measure", f"dataset, measure, k, n, printf('[%.3f,%.3f]', {_LOW}, {_HIGH}) AS ci95",
+    ).replace("{alpha}", "0.025")
+)
+def sampling_repair_intervals(spark, sf_dir):
+    return resample.sampling_intervals(at.sampling_repair_detail(adapter.paired(spark, sf_dir)))
+
+
+@query(
+    _SAMPLING
+    + """, r AS (SELECT unnest(['all', dataset]) AS dataset, CAST(ext_maj_correct AS INTEGER) - CAST(base_maj_correct AS INTEGER) AS v, ext_pass1 - base_pass1 AS p FROM detail), w AS (SELECT dataset, 'maj_acc_delta' AS measure, CAST(v AS DOUBLE) AS d FROM r UNION ALL SELECT dataset, 'pass1_delta', p FROM r WHERE p IS NOT NULL), """
+    + _duck_bootstrap("w", "dataset, measure, d", ["dataset", "measure", "d"], 42).replace("sum(w * dataset) AS dataset, sum(w * measure) AS measure", "dataset, measure").replace("GROUP BY draw)", "GROUP BY draw, dataset, measure)")
+    + f""", ci AS (SELECT dataset, measure, quantile_cont(d / n, 0.025) AS low, quantile_cont(d / n, 0.975) AS high FROM drawn GROUP BY ALL)
+    SELECT dataset, measure, {r6("avg(d)")} AS delta, printf('[%.3f,%.3f]', any_value(low), any_value(high)) AS ci95 FROM w JOIN ci USING (dataset, measure) GROUP BY dataset, measure"""
+)
+def sampling_repair_bootstrap(spark, sf_dir):
+    return resample.sampling_bootstrap(at.sampling_repair_detail(adapter.paired(spark, sf_dir)))
+
+
 @query()
 def bootstrap_numpy(spark, sf_dir):
     v = at.voted(adapter.paired(spark, sf_dir), "b", "c").select("problem_id", "dataset", F.col("vote_b.correct").cast("int").alias("b"), F.col("vote_c.correct").cast("int").alias("c"))
@@ -413,10 +436,57 @@ def best_efficiency(spark, sf_dir):
     return routing.best_efficiency(top_fraction_curve(spark, sf_dir).withColumn("cost", F.col("fraction")), "gain_vs_random", "cost", "fraction")
 
 
-@query(
+_FEATURES = (
     adapter.SQL
-    + """, c AS (SELECT problem_id, dataset, math_level, count(*) AS n, count(*) FILTER (WHERE NOT complete) AS cut, max(token_count) AS mx, min(token_count) AS mn, CAST(sum(token_count) AS DOUBLE) AS s, CAST(sum(token_count * token_count) AS DOUBLE) AS q, count(answer) AS boxed FROM chains WHERE arm = 'B' GROUP BY ALL)
-    SELECT problem_id, cut AS cap_hits, round(CAST(cut AS DOUBLE) / n, 6) AS cap_hit_fraction, CAST(mx AS DOUBLE) AS max_tokens, round(s / n, 6) AS mean_tokens, CAST(mn AS DOUBLE) AS min_tokens, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 4) AS std_tokens, round(CAST(boxed AS DOUBLE) / n, 6) AS boxed_fraction, math_level, CAST(dataset <> 'F' AS INTEGER) AS is_math FROM c"""
+    + """, c AS (SELECT problem_id, dataset, math_level, count(*) AS n, count(*) FILTER (WHERE NOT complete) AS cut, max(token_count) AS mx, min(token_count) AS mn, CAST(sum(token_count) AS DOUBLE) AS s, CAST(sum(token_count * token_count) AS DOUBLE) AS q, count(answer) AS boxed FROM chains WHERE arm = 'B' GROUP BY ALL)"""
+)
+
+
+@query(
+    _FEATURES
+    + """ SELECT problem_id, cut AS cap_hits, round(CAST(cut AS DOUBLE) / n, 6) AS cap_hit_fraction, CAST(mx AS DOUBLE) AS max_tokens, round(s / n, 6) AS mean_tokens, CAST(mn AS DOUBLE) AS min_tokens, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 4) AS std_tokens, round(CAST(boxed AS DOUBLE) / n, 6) AS boxed_fraction,
+    length(o_orderpriority) AS question_chars, math_level, CAST(dataset <> 'F' AS INTEGER) AS is_math FROM c JOIN orders ON o_orderkey = problem_id"""
 )
 def router_features(spark, sf_dir):
-    return routing.router_features(adapter.arms(spark, sf_dir), "b")
+    """The priority stands for the question."""
+    return routing.router_features(_asked(spark, sf_dir, adapter.arms(spark, sf_dir)), "b", "question")
+
+
+def _asked(spark, sf_dir, arms):
+    return arms.join(adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), F.col("o_orderpriority").alias("question")), "problem_id")
+
+
+def _evaluated(spark, sf_dir, kinds=("logistic", "forest")):
+    v = _asked(spark, sf_dir, at.voted(adapter.paired(spark, sf_dir), "b", "c"))
+    rows = routing.router_features(v, "b", "question").join(v.select("problem_id", F.col("vote_b.correct").alias("base_ok"), F.col("vote_c.correct").alias("long_ok")), "problem_id")
+    return evaluate.evaluate(rows.withColumn("record_id", F.col("problem_id")), adapter.BASE_CAP, adapter.LONG_CAP, kinds=kinds)
+
+
+@query()
+def routing_evaluation(spark, sf_dir):
+    """Every method and share routed; the learned routers' scores are of this library's own folds and trees."""
+    return _evaluated(spark, sf_dir)[0]
+
+
+@query(
+    adapter.SQL
+    + f""", r AS (SELECT t.problem_id, b_ok AS base_ok, c_ok AS long_ok, cut, b_max AS mx FROM three t JOIN (SELECT problem_id, count(*) FILTER (WHERE NOT complete) AS cut FROM chains WHERE arm = 'B' GROUP BY ALL) USING (problem_id)),
+    k AS (SELECT *, row_number() OVER (ORDER BY cut DESC, mx DESC, problem_id) AS rank, count(*) OVER () AS n FROM r),
+    g AS (SELECT fraction, n, {n_if("rank <= ceil(fraction * n)")} AS routed, {n_if("CASE WHEN rank <= ceil(fraction * n) THEN long_ok ELSE base_ok END")} AS ok, {n_if("base_ok")} AS b, {n_if("long_ok")} AS x FROM k, (VALUES {_FR}) v(fraction) GROUP BY ALL),
+    m AS (SELECT 'cap_hit_rank' AS method, fraction AS f, round(CAST(ok AS DOUBLE) / n, 6) AS accuracy, {r6("CAST(ok AS DOUBLE) / n - (b + CAST(routed AS DOUBLE) / n * (x - b)) / n")} AS gain_vs_random FROM g
+        UNION ALL SELECT 'random', fraction, {r6("(b + CAST(routed AS DOUBLE) / n * (x - b)) / n")}, 0.0::DOUBLE FROM g UNION ALL SELECT 'fixed_base', 0.0::DOUBLE, {ratio(n_if("base_ok"), "count(*)")}, NULL FROM r UNION ALL SELECT 'fixed_extended', 1.0::DOUBLE, {ratio(n_if("long_ok"), "count(*)")}, NULL FROM r
+        UNION ALL SELECT 'route_every_cap_hit', CAST({n_if("cut > 0")} AS DOUBLE) / count(*), {ratio(n_if("CASE WHEN cut > 0 THEN long_ok ELSE base_ok END"), "count(*)")}, NULL FROM r)
+    SELECT method, round(f, 6) AS route_fraction, accuracy, gain_vs_random, round(1 - (35 + f * 15) / 50, 6) AS resume_saving, round(1 - (35 + f * 50) / 50, 6) AS rerun_saving FROM m"""
+)
+def routing_rules(spark, sf_dir):
+    """The evaluation without learned routers."""
+    return _evaluated(spark, sf_dir, ())[0]
+
+
+@query(
+    _ROUTE
+    + f""" SELECT count(*) AS n_records, {ratio(n_if("base_ok"), "count(*)")} AS base_accuracy, {ratio(n_if("long_ok"), "count(*)")} AS extended_accuracy, {ratio(n_if("any_cut"), "count(*)")} AS cap_hit_fraction, {n_if("NOT base_ok AND long_ok")} AS n_routable_flips, {n_if("base_ok AND NOT long_ok")} AS n_routable_reversals,
+    {ratio("(" + n_if("long_ok") + " - " + n_if("base_ok") + ")", "count(*)")} AS fixed_long_gain, least({n_if("NOT base_ok AND long_ok")}, {n_if("base_ok OR NOT long_ok")}) >= 5 AS learned_router_fitted FROM r"""
+)
+def routing_summary(spark, sf_dir):
+    return _evaluated(spark, sf_dir, ("logistic",))[1]

@@ -95,6 +95,27 @@ def numbered_lines(spark: SparkSession, path: str | list[str], schema: T.StructT
     return lines.filter(F.trim("line") != "").withColumn("r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
 
 
+def smoke(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows in order, for a trial run; all without n."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
+def expected_records(runs: DataFrame, told: dict[str, dict], key: str) -> DataFrame:
+    """Rows of runs that are not as a configuration tells: key, field, told and found; keys that it lacks are left alone."""
+    spark = runs.sparkSession
+    cells = [(k, f, str(v)) for k, fields in told.items() for f, v in fields.items()]
+    wanted = F.broadcast(spark.createDataFrame(cells, f"{key} string, field string, told string"))
+    names = sorted({f for fields in told.values() for f in fields})
+    found = runs.select(F.col(key).cast("string").alias(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("found")) for f in names])).alias("x")).select(key, "x.*")
+    return found.join(wanted, [key, "field"]).filter(~F.col("told").eqNullSafe(F.col("found"))).select(key, "field", "told", "found")
+
+
+def by_first_appearance(groups: DataFrame, rows: DataFrame, group: str, position: str) -> DataFrame:
+    """groups in the order in which their values first appear in rows."""
+    first = rows.groupBy(group).agg(F.min(position).alias("__first"))
+    return groups.join(first, group, "left").orderBy(F.col("__first").asc_nulls_last(), group).drop("__first")
+
+
 def select_one(rows: DataFrame, **criteria) -> dict:
     """The single row that meets the criteria."""
     for k, v in criteria.items():
