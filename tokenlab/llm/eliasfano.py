@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,18 +163,19 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
             f.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 64))
 
 
+def mapped(path: str) -> bool:
+    """Whether load() maps the file, rather than read it into memory."""
+    return isinstance(fs.FileSystem.from_uri(path)[0], fs.LocalFileSystem)
+
+
 def load(path: str) -> dict[str, np.ndarray]:
-    """Map a file of save() into memory. From a remote store it is copied first; the copy goes with the mapping."""
+    """Arrays of a file of save(): mapped into memory, or read where the store is none that can be mapped."""
     store, own = fs.FileSystem.from_uri(path)
-    copy = None
-    if not isinstance(store, fs.LocalFileSystem):
-        handle, copy = tempfile.mkstemp()
-        with os.fdopen(handle, "wb") as out, store.open_input_stream(own) as f:
-            while part := f.read(1 << 22):
-                out.write(part)
-    raw = np.memmap(copy or own, dtype=np.uint8, mode="r")
-    if copy:
-        os.unlink(copy)
+    if isinstance(store, fs.LocalFileSystem):
+        raw = np.memmap(own, dtype=np.uint8, mode="r")
+    else:
+        with store.open_input_file(own) as f:
+            raw = np.frombuffer(f.read_buffer(), dtype=np.uint8)
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + size].tobytes())
     # Plain arrays over the mapping: the subclass would make each access dearer.

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from itertools import count, islice
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .eliasfano import EliasFano, load, save
-from .shared import materialise, new_folder
+from .eliasfano import EliasFano, load, mapped, save
+from .shared import materialise, new_folder, released, texts_of
 
 #: Documents for one shard of the vocabulary, which is cut by the top bits of the words' hashes.
 SHARD_DOCS = 65_536
@@ -26,6 +24,8 @@ SHARD_TOKENS = 6_000_000
 CHUNK, MERGE = 1 << 20, 1 << 20
 #: Tokens that are looked up together.
 STRETCH = 1 << 20
+#: Bytes of a level's files that a worker holds where they can't be mapped.
+HELD = 256 << 20
 #: Logarithms are stored in 16 bits, as multiples of this below zero.
 QUANTUM = 1 / 2048
 _END = b""  # no word is empty
@@ -76,34 +76,9 @@ def _unique(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts], sums.astype(np.int64)
 
 
-class Lexicon:
-    """word -> a number of this task's own; what is known of each word is looked up once and kept by number.
-
-    facts: from hashes of new words to arrays, the first of which holds their ranks (or hashes, without a vocabulary).
-    """
-
-    def __init__(self, facts: Callable[[np.ndarray], list[np.ndarray]], most: int = 1 << 19):
-        self.facts, self.most = facts, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number, self.known, self.kept = defaultdict(count().__next__), 0, None
-
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-
-    def resolve(self, numbers: np.ndarray) -> list[np.ndarray]:
-        """The facts of numbers; all new words, the last in the dictionary, are looked up together here."""
-        new = len(self.number) - self.known
-        if new or self.kept is None:
-            words = list(islice(reversed(self.number), new))[::-1]
-            fresh = self.facts(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=new))
-            self.kept = fresh if self.kept is None else [np.concatenate(x) for x in zip(self.kept, fresh, strict=True)]
-            self.known += new
-        out = [x[numbers] for x in self.kept]
-        if self.known > self.most:  # numbers given so far end here
-            self._clear()
-        return out
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, then of the end."""
+    return np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, p), dtype=np.uint64, count=len(p)) for p in pieces(text)])
 
 
 @dataclass
@@ -115,18 +90,28 @@ class Level:
     paths: list[str]
     extra: list[str] = field(default_factory=list)  # a second file of each shard
     _open: dict = field(default_factory=dict, repr=False)
+    _held: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": {}, "_held": {}}
 
     def arrays(self, s: int) -> dict[str, np.ndarray]:
+        """A shard's arrays. Mapped ones stay open; of those read into memory the last few do, HELD bytes about."""
         if s not in self._open:
-            self._open[s] = load(self.paths[s]) | (load(self.extra[s]) if self.extra else {})
+            own = self._open[s] = load(self.paths[s]) | (load(self.extra[s]) if self.extra else {})
+            if not mapped(self.paths[s]):
+                self._held[s] = sum(a.nbytes for a in own.values())
+                while sum(self._held.values()) > HELD and len(self._held) > 1:
+                    gone = next(iter(self._held))
+                    del self._held[gone]
+                    for k in [k for k in self._open if k == gone or (isinstance(k, tuple) and k[0] == gone)]:
+                        del self._open[k]
         return self._open[s]
 
     def coded(self, s: int, name: str) -> EliasFano:
+        own = self.arrays(s)
         if (s, name) not in self._open:
-            self._open[s, name] = EliasFano.of(self.arrays(s), name)
+            self._open[s, name] = EliasFano.of(own, name)
         return self._open[s, name]
 
     def _split(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -209,14 +194,29 @@ class Model:
             out[at] = self.bigrams.coded(s, "pointers").access(ranks[at] - self.ranks[s]).astype(np.int64) + self.bigrams.starts[s]
         return out
 
-    def facts(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """Of words: rank, log10 probability alone, log10 weight of unseen successors, first bigram."""
-        ranks = self.vocabulary.find(hashes)
-        back, first, known = np.zeros(len(ranks)), np.zeros(len(ranks), dtype=np.int64), ranks >= 0
+    @property
+    def kind(self) -> type:
+        """What ranks are written as; the largest number stands for an unknown word."""
+        return np.uint32 if self.V < (1 << 32) - 1 else np.uint64
+
+    def written(self, ranks: np.ndarray) -> np.ndarray:
+        return np.where(ranks < 0, np.iinfo(self.kind).max, ranks).astype(self.kind)
+
+    def read(self, data: pa.Buffer) -> np.ndarray:
+        ranks = np.frombuffer(data, dtype=self.kind)
+        return np.where(ranks == np.iinfo(self.kind).max, -1, ranks.astype(np.int64))
+
+    def facts(self, ranks: np.ndarray) -> list[np.ndarray]:
+        """Of each token: rank, log10 probability alone, log10 weight of unseen successors, first bigram.
+
+        They are worked out once for each word of the stretch.
+        """
+        words, back = np.unique(ranks, return_inverse=True)
+        weight, first, known = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), words >= 0
         if self.bigrams is not None and known.any():
-            back[known] = -QUANTUM * self.bigrams.by_range(self.ranks, "backoff", ranks[known])
-            first[known] = self.first(ranks[known])
-        return [ranks, self.word_logs(ranks), back, first]
+            weight[known] = -QUANTUM * self.bigrams.by_range(self.ranks, "backoff", words[known])
+            first[known] = self.first(words[known])
+        return [ranks, *(x[back] for x in (self.word_logs(words), weight, first))]
 
     def bigram_places(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the distinct bigrams of a stretch (-1: not there; the first stands for those with an unknown word),
@@ -264,40 +264,87 @@ def _emit(keys: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([_planes(np.diff(own, prepend=np.uint64(0)))], pa.binary()), pa.array([_planes(n)], pa.binary())], names=["shard", "keys", "counts"])
 
 
-def _count(texts: DataFrame, bounds: np.ndarray, keys_of: Callable[..., np.ndarray], facts: Callable[[np.ndarray], list[np.ndarray]], before: int = 1) -> DataFrame:
+_COUNTED = "shard int, keys binary, counts binary"
+
+
+def _count_words(texts: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Hashes of all words, counted by chunk and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, size = [], 0
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                keys.append(word_hashes(text))
+                size += len(keys[-1])
+                if size >= CHUNK:
+                    yield from _emit(np.concatenate(keys), bounds)
+                    keys, size = [], 0
+        if size:
+            yield from _emit(np.concatenate(keys), bounds)
+
+    return texts.mapInArrow(released(run), _COUNTED)
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs without the text, with __ranks: the ranks of its words and the end, as bytes (see Model.written).
+
+    So texts are taken apart and looked up once, whatever reads their words after that.
+    """
+    column = docs.columns.index(text_col)
+    names = [c for c in docs.columns if keep_text or c != text_col]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            out, parts, size = [], [], 0
+            for text in texts_of(batch.column(column)):
+                parts.append(word_hashes(text))
+                size += len(parts[-1])
+                if size >= STRETCH or len(out) + len(parts) == batch.num_rows:
+                    ranks = own.written(own.vocabulary.find(np.concatenate(parts)))
+                    cuts = np.cumsum([0, *map(len, parts)])
+                    out += [ranks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    parts, size = [], 0
+            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if keep_text or i != column]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*names, "__ranks"])
+
+    return docs.mapInArrow(released(run), T.StructType([*(docs.schema[c] for c in names), T.StructField("__ranks", T.BinaryType())]))
+
+
+def _count(encoded: DataFrame, model: Callable[[], Model], bounds: np.ndarray, keys_of: Callable[[np.ndarray], np.ndarray], before: int = 1) -> DataFrame:
     """Keys of all texts, counted by chunk and shard.
 
-    keys_of gets the facts of stretches of end, tokens, end, tokens, end ...; each repeats the last `before`.
+    keys_of gets ranks of stretches of end, words, end, words, end ...; each repeats the last `before`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, keys, size = Lexicon(facts), [], 0
-        tail = [_END]
-        parts, length = [lexicon.numbers(tail)], 0
+        own, keys, size = model(), [], 0
+        parts, length = [np.array([own.end])], 0
 
         def flush() -> None:
             nonlocal parts, length, size
-            keys.append(keys_of(*lexicon.resolve(np.concatenate(parts))))
-            size += len(keys[-1])
-            parts, length = [lexicon.numbers(tail)], 0
+            ranks = np.concatenate(parts)
+            for at in range(0, len(ranks) - 1, STRETCH):
+                keys.append(keys_of(ranks[max(0, at + 1 - before) : at + 1 + STRETCH]))
+                size += len(keys[-1])
+            parts, length = [ranks[-before:]], 0
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for piece in pieces(text):
-                    parts.append(lexicon.numbers(piece))
-                    length += len(piece)
-                    tail = (tail + piece[-before:])[-before:]
-                    if length >= STRETCH:
-                        flush()
-                        if size >= CHUNK:
-                            yield from _emit(np.concatenate(keys), bounds)
-                            keys, size = [], 0
+            for data in batch.column(0):
+                parts.append(own.read(data.as_buffer()))
+                length += len(parts[-1])
+                if length >= STRETCH:
+                    flush()
+                    if size >= CHUNK:
+                        yield from _emit(np.concatenate(keys), bounds)
+                        keys, size = [], 0
         if length:
             flush()
         if size:
             yield from _emit(np.concatenate(keys), bounds)
 
-    return texts.mapInArrow(run, "shard int, keys binary, counts binary")
+    return encoded.select("__ranks").mapInArrow(released(run), _COUNTED)
 
 
 def _build(counted: DataFrame, shards: int, folder: str, make: Callable[[int, np.ndarray, np.ndarray], tuple[dict[str, np.ndarray], int]], name: str) -> list[tuple]:
@@ -330,7 +377,7 @@ def _build(counted: DataFrame, shards: int, folder: str, make: Callable[[int, np
             yield close()
 
     spread = counted.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    made = materialise(spread.mapInArrow(run, "shard int, path string, entries long, tokens long, number long"), name)
+    made = materialise(spread.mapInArrow(released(run), "shard int, path string, entries long, tokens long, number long"), name)
     return sorted(tuple(r) for r in made.collect())
 
 
@@ -348,8 +395,34 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
 
 
+def learn_words(docs: DataFrame, text_col: str = "text") -> Model:
+    """The lowest level of the trie, from all texts of docs (null: empty): the words' hashes and counts."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = 4 << max(0, texts.count() // SHARD_DOCS).bit_length()
+    bounds = np.array([i * ((1 << 64) // size) for i in range(size)], dtype=np.uint64)
+
+    def make_words(_, keys, counts):
+        return EliasFano.build(keys).arrays("keys") | {"counts": counts}, 0
+
+    made = _build(_count_words(texts, bounds), size, new_folder(spark, "words"), make_words, "words")
+    vocabulary, _ = _level(made, bounds)
+    model = Model(vocabulary, int(vocabulary.starts[-1]), sum(m[3] for m in made), -1)
+    if model.V:
+        model.end = int(vocabulary.find(np.array([xxhash.xxh3_64_intdigest(_END)], dtype=np.uint64))[0])
+    return model
+
+
 def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens: int = SHARD_TOKENS, least: int = 1) -> Model:
-    """Build the trie from all texts of docs (null: empty). Its files are in the shared folder.
+    """Build the trie from all texts of docs (null: empty). Its files are in the shared folder."""
+    words = learn_words(docs, text_col)
+    if not words.V or order < 2:
+        return words
+    return learn_orders(materialise(encode(docs.select(text_col), words, text_col), "ranks"), words, order, shard_tokens, least)
+
+
+def learn_orders(encoded: DataFrame, words: Model, order: int = 3, shard_tokens: int = SHARD_TOKENS, least: int = 1) -> Model:
+    """The levels above the words, from texts of encode().
 
     Each level is counted over the whole corpus: tasks emit counted keys chunk by chunk, packed by shard; a task
     per shard merges them and writes the shard's file. Shards hold whole contexts. Smoothing is Witten-Bell: with
@@ -358,24 +431,12 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
     All n-grams are kept; with `least` above 1, trigrams seen less often are left to the bigrams. The driver holds one
     row per shard.
     """
-    spark = docs.sparkSession
+    if not words.V:
+        return words
+    spark = encoded.sparkSession
     folder = new_folder(spark, "trie")
-    texts = docs.select(F.col(text_col).alias("text"))
-    size = 4 << max(0, texts.count() // SHARD_DOCS).bit_length()
-    bounds = np.array([i * ((1 << 64) // size) for i in range(size)], dtype=np.uint64)
-
-    def make_words(_, keys, counts):
-        return EliasFano.build(keys).arrays("keys") | {"counts": counts}, 0
-
-    made = _build(_count(texts, bounds, lambda x: x[1:].view(np.uint64), lambda h: [h.view(np.int64)]), size, folder, make_words, "words")
-    vocabulary, _ = _level(made, bounds)
-    V, total = int(vocabulary.starts[-1]), sum(m[3] for m in made)
-    model = Model(vocabulary, V, total, -1)
-    if not V:
-        return model
-    model.end = int(vocabulary.find(np.array([xxhash.xxh3_64_intdigest(_END)], dtype=np.uint64))[0])
-    if order < 2:
-        return model
+    model = replace(words)
+    V, total = model.V, model.total
 
     # Bigrams: a shard is a range of first words.
     shards = max(1, min(V, -(-total // shard_tokens)))
@@ -404,7 +465,7 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         return EliasFano.build(keys).arrays("keys") | EliasFano.build(pointers).arrays("pointers") | {"logs": logs, "backoff": quantise(backoff), "counts": _small(counts), "second": b.astype(np.uint32 if V < 1 << 32 else np.uint64)}, 0
 
     pairs = lambda x: x[:-1].astype(np.uint64) * np.uint64(V) + x[1:].astype(np.uint64)
-    made = _build(_count(texts, bounds, pairs, lambda h: [below.value.vocabulary.find(h)]), shards, folder, make_bigrams, "bigrams")
+    made = _build(_count(encoded, lambda: below.value, bounds, pairs), shards, folder, make_bigrams, "bigrams")
     model.bigrams, at = _level(made, bounds)
     model.ranks = np.append(firsts[at], V)
     model.ranks[0] = 0
@@ -439,8 +500,10 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
     nodes[0], bounds[0] = 0, 0
     both = spark.sparkContext.broadcast(model)
 
-    def triples(x, first):
+    def triples(x):
         own = both.value
+        words, back = np.unique(x[1:-1], return_inverse=True)
+        first = own.first(words)[back]
         places, which = own.bigram_places(x)
         going = x[1:-1] != own.end  # nothing goes on over an end
         if least > 1:  # a trigram is as rare as its bigrams at least
@@ -452,29 +515,36 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 3, shard_tokens:
         used = np.flatnonzero(used)
         base = np.zeros(len(places), dtype=np.uint64)
         base[used] = own.bigrams.access("base", places[used], own.bases)
-        return base[which[at]] + (places[which[at + 1]] - first[1:-1][at]).astype(np.uint64)
+        return base[which[at]] + (places[which[at + 1]] - first[at]).astype(np.uint64)
 
     def make_trigrams(s, keys, counts):
         own = both.value
         if least > 1:
             some = counts >= least
             keys, counts = keys[some], counts[some]
-        width = nodes[s + 1] - nodes[s]
-        base = np.concatenate([own.bigrams.access("base", np.arange(k, min(k + CHUNK, nodes[s + 1])), own.bases) for k in range(nodes[s], nodes[s + 1], CHUNK)])
-        of = np.searchsorted(base, keys, side="right") - 1
-        context = own.bigrams.take("counts", of + nodes[s]).astype(float)
-        middle = own.bigrams.take("second", of + nodes[s])
-        last = own.first(middle) + (keys - base[of]).astype(np.int64)
-        number, kept = np.bincount(of, minlength=width), np.bincount(of, weights=counts, minlength=width)
-        spare, whole = context - kept[of] + number[of], context + number[of]
-        logs = np.log10((counts + spare * 10.0 ** (-QUANTUM * own.bigrams.take("logs", last))) / whole)
-        backoff = np.zeros(width)
-        backoff[of] = np.log10(spare / whole)
-        backoff = quantise(backoff)
-        backoff[of] = np.maximum(backoff[of], 1)  # 0 stands for a bigram that no trigram continues
-        return EliasFano.build(keys).arrays("keys") | {"logs": quantise(logs), "backoff": backoff}, 0
-
-    made = _build(_count(texts, bounds, triples, lambda h: [(r := both.value.vocabulary.find(h)), both.value.first(r)], 2), shards, folder, make_trigrams, "trigrams")
+        low, high = nodes[s], nodes[s + 1]
+        number, kept, of = np.zeros(high - low, dtype=np.int64), np.zeros(high - low, dtype=np.int64), np.empty(len(keys), dtype=np.int32 if high - low < 1 << 31 else np.int64)
+        # By stretches of bigrams, and of trigrams: what is worked out takes no more memory than the shard itself.
+        for k in range(low, high, CHUNK):
+            base = own.bigrams.access("base", np.arange(k, min(k + CHUNK, high)), own.bases)
+            a, b = np.searchsorted(keys, base[0]) if k > low else 0, len(keys) if k + CHUNK >= high else np.searchsorted(keys, own.bigrams.access("base", np.array([k + CHUNK]), own.bases)[0])
+            of[a:b] = np.searchsorted(base, keys[a:b], side="right") - 1 + (k - low)
+        for k in range(0, len(keys), CHUNK):
+            at = of[k : k + CHUNK]
+            number += np.bincount(at, minlength=len(number))
+            kept += np.bincount(at, weights=counts[k : k + CHUNK], minlength=len(kept)).astype(np.int64)
+        logs, backoff = np.empty(len(keys), dtype=np.uint16), np.zeros(high - low, dtype=np.uint16)
+        for k in range(0, len(keys), CHUNK):
+            at, nodes_of = of[k : k + CHUNK], of[k : k + CHUNK].astype(np.int64) + low
+            context = own.bigrams.take("counts", nodes_of).astype(float)
+            last = own.first(own.bigrams.take("second", nodes_of)) + (keys[k : k + CHUNK] - own.bigrams.access("base", nodes_of, own.bases)).astype(np.int64)
+            spare, whole = context - kept[at] + number[at], context + number[at]
+            logs[k : k + CHUNK] = quantise(np.log10((counts[k : k + CHUNK] + spare * 10.0 ** (-QUANTUM * own.bigrams.take("logs", last))) / whole))
+            # 0 stands for a bigram that no trigram continues.
+            backoff[at] = np.maximum(quantise(np.log10(spare / whole)), 1)
+        return EliasFano.build(keys).arrays("keys") | {"logs": logs, "backoff": backoff}, 0
+
+    made = _build(_count(encoded, lambda: both.value, bounds, triples, 2), shards, folder, make_trigrams, "trigrams")
     model.trigrams, at = _level(made, bounds)
     if not made:
         model.trigrams = None
@@ -493,50 +563,53 @@ def _successors(model: Model, ranks: np.ndarray) -> np.ndarray:
     return out
 
 
+NEW = ("n_tokens", "n_known", "base_score", "score")
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, base_score and score: sums of log10 over a text's words and one end.
 
     base_score takes each token alone, score the trie's probabilities, which begin from the end token as context.
-    Whole texts are read, a bounded number of tokens at a time; a null text is empty. Every task maps the trie's
-    files into memory; only their names are broadcast. Columns of docs stay, but those named like the new ones are
-    replaced.
+    Whole texts are read, a bounded number of tokens at a time; a null text is empty, rows that repeat score alike, an
+    empty table gives no rows. Every task maps the trie's files into memory; only their names are broadcast. Columns
+    of docs stay, but those named like the new ones are replaced.
     """
-    new = ("n_tokens", "n_known", "base_score", "score")
-    docs = docs.drop(*new)
-    column = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_encoded(encode(docs.drop(*NEW), model, text_col, True), model)
+
+
+def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
+    """score() for texts of encode(); their ranks go."""
+    names = [c for c in encoded.columns if c != "__ranks"]
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        lexicon = Lexicon(own.facts)
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            sums = np.zeros((len(texts), 4))
+            sums, k = np.zeros((batch.num_rows, 4)), 0
+            data = batch.column(len(names))
             # Documents stand one after another. No trigram continues an end, so the end of one is the only context
             # that the first token of the next has.
-            k = 0
-            while k < len(texts):
-                parts, sizes, first, length = [lexicon.numbers([_END])], [], k, 0
-                while k < len(texts) and length < STRETCH:
-                    own_parts = [lexicon.numbers(p) for p in pieces(texts[k])]
-                    parts += own_parts
-                    sizes.append(sum(map(len, own_parts)))
-                    length += sizes[-1]
+            while k < batch.num_rows:
+                parts, first, length = [np.array([own.end])], k, 0
+                while k < batch.num_rows and length < STRETCH:
+                    parts.append(own.read(data[k].as_buffer()))
+                    length += len(parts[-1])
                     k += 1
-                facts = lexicon.resolve(np.concatenate(parts))
-                ranks, base = facts[0], facts[1][1:]
-                full = np.concatenate([_scored(own, facts, at, STRETCH) for at in range(0, len(ranks) - 1, STRETCH)])
-                starts = np.cumsum([0, *sizes[:-1]])
-                for c, values in enumerate((np.ones(len(base)), ranks[1:] >= 0, base, full)):
-                    sums[first:k, c] = np.add.reduceat(values.astype(float), starts)
+                ranks = np.concatenate(parts)
+                starts = np.cumsum([0, *map(len, parts[1:-1])])
+                values = [np.concatenate(x) for x in zip(*[_scored(own, ranks, at, STRETCH) for at in range(0, len(ranks) - 1, STRETCH)], strict=True)]
+                for c, v in enumerate((np.ones(length), ranks[1:] >= 0, *values)):
+                    sums[first:k, c] = np.add.reduceat(v.astype(float), starts)
             added = [pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(sums[:, 3])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, *NEW])
 
     kinds = (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(new, kinds, strict=True))]))
+    slim = encoded.select(*[F.col(f"`{c}`") for c in names], "__ranks")
+    return slim.mapInArrow(released(run), T.StructType([*(encoded.schema[c] for c in names), *(T.StructField(c, t) for c, t in zip(NEW, kinds, strict=True))]))
 
 
-def _scored(model: Model, facts: list[np.ndarray], at: int, n: int) -> np.ndarray:
-    """Scores of n tokens after place `at`, with the two tokens before each as context."""
+def _scored(model: Model, ranks: np.ndarray, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of n tokens after place `at`, alone and with the two tokens before each as context."""
     back = min(at, 1)
-    return model.score(*[x[at - back : at + 1 + n] for x in facts])[back:]
+    facts = model.facts(ranks[at - back : at + 1 + n])
+    return facts[1][1 + back :], model.score(*facts)[back:]

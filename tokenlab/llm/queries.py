@@ -29,10 +29,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngramlm.learn(docs.filter(fold(F.col("doc_id")) != 1))
-    held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(True))
-    return ngramlm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    docs, train = _table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id")) != 1
+    words = ngramlm.learn_words(docs.filter(train))
+    # Texts are taken apart once, for counting and for scoring.
+    ranks = materialise(ngramlm.encode(docs, words), "ranks")
+    model = ngramlm.learn_orders(ranks.filter(train), words)
+    held_out = F.coalesce(~train, F.lit(True))
+    return ngramlm.score_encoded(ranks, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_pii that SQL can express."""
+    return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_lm_scoring that SQL can express."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -88,9 +101,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "pii_base": pii_base,
+    "lm_base": lm_base,
 }
 
+# crc32 of an id's text, modulo 5.
+_FOLD = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) % 5"""
+
 ORACLES: dict[str, str] = {
+    # A match is the first place of its text behind the match before, as an earlier one would have matched there.
+    "pii_base": r"""
+        WITH RECURSIVE kinds AS (
+            SELECT * FROM (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) v(place, kind, pattern)
+        ), found AS (
+            SELECT doc_id, place, kind, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), pattern, 0) AS m FROM documents, kinds
+        ), spans AS (
+            SELECT doc_id, place, kind, t, m, 1 AS i, instr(t, m[1]) - 1 AS s FROM found WHERE len(m) > 0
+            UNION ALL SELECT doc_id, place, kind, t, m, i + 1, s + length(m[i]) + instr(substr(t, CAST(s + length(m[i]) + 1 AS BIGINT)), m[i + 1]) - 1 FROM spans WHERE i < len(m)
+        ), judged AS (
+            SELECT doc_id, place, kind, s, s + length(m[i]) AS e, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, m[i] AS x FROM spans
+        ), good AS (
+            SELECT * FROM judged WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0
+                WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(d[-k] AS INTEGER) ELSE 2 * CAST(d[-k] AS INTEGER) - CASE WHEN d[-k] > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+                ELSE length(d) BETWEEN 9 AND 15 END
+        ), packed AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS joined FROM good GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(joined, '')) AS base_sha256 FROM documents LEFT JOIN packed USING (doc_id)
+    """.replace("\\\\", "\\"),
+    "lm_base": rf"""
+        WITH t AS (
+            SELECT doc_id, {_FOLD} = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS words FROM documents
+        ), w AS (SELECT doc_id, held_out, unnest(words) AS word FROM t), own AS (SELECT doc_id, held_out, word, count(*) AS n FROM w GROUP BY ALL),
+        c AS (SELECT word, sum(n) AS c FROM own WHERE NOT held_out GROUP BY word), s AS (SELECT CAST(sum(c) AS BIGINT) AS total, count(*) AS kinds FROM c)
+        SELECT doc_id, held_out, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(coalesce(sum(n) FILTER (WHERE c > 0), 0) AS BIGINT) AS n_known, any_value(total) AS train_tokens,
+            round(sum(n * log10((coalesce(c, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * (kinds + 1)))), 3) AS base_score
+        FROM own LEFT JOIN c USING (word), s GROUP BY doc_id, held_out
+    """.replace("\\\\", "\\"),
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
