@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE_CHARS, materialise, row_struct
 
 OUT = ("n_lines", "n_dropped", "kept_text")
+#: Documents for one slice of a key.
+SLICE = 1 << 16
 
 
 def line_key(line: Column) -> Column:
@@ -19,7 +21,7 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, ascii_uppercase, ascii_lowercase))
 
 
-def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses lines: id, th (hash of its text), and words: the bitmap of dropped lines.
 
     The bitmap is an array of (word, bits): bits of 64 lines each, words without a dropped line left out.
@@ -28,8 +30,10 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices
     position. Ranges keep the slices of a rare key in one partition and cut a key that many documents share between
     slices. A first stream over each (key, slice) finds its first occurrence (the largest id) and its number of
     documents; with min_docs of them there, all others can go at once. What is then undecided is a few documents
-    per slice, so the second stream, over each key, reads a bounded number of them whatever the key's frequency.
+    per slice, so the second stream, over each key, reads a few documents for each slice. Without a number there is a
+    slice for every SLICE documents, so neither stream meets more than about that many of one key.
     """
+    slices = slices or max(16, docs.count() // SLICE)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = slim.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("key", F.trim("line", F.lit(SPACE_CHARS))).filter(F.char_length("key") >= min_chars)
@@ -55,7 +59,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices
     return bits.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slices: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_lines (before dropping), n_dropped and kept_text.
 
     Texts are split at line feeds; a null or empty text is one empty line. A line whose key (see line_key) has at
