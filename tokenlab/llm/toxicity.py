@@ -66,20 +66,30 @@ class Model:
     correlations: np.ndarray | None = None
     shares: np.ndarray | None = None
 
-    def score(self, found: set[str], cache: dict[str, tuple[float, tuple[str, ...]]]) -> float:
-        total, stems = self.bias, Counter()
-        # In one order, so that sums agree bit by bit from run to run.
-        for word in sorted(found):
-            known = cache.get(word)
-            if known is None:
+    def of(self, word: str) -> tuple[float, tuple[str, ...]] | None:
+        """The weight of a word and its beginnings, and those of its stems that have one; None for most words."""
+        total = sum(self.weights.get(f, 0.0) for f in ("=" + word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)))
+        stems = tuple(s for n in STEMS if len(word) > n and (s := "#" + word[:n]) in self.weights)
+        return (total, stems) if total or stems else None
+
+    def score(self, found: set[str], cache: dict[str, tuple[float, tuple[str, ...]] | None]) -> float:
+        hits = []
+        for word in found:
+            if word not in cache:
                 if len(cache) > 1 << 18:
                     cache.clear()
-                names = ["=" + word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
-                known = sum(self.weights.get(f, 0.0) for f in names), tuple(s for n in STEMS if len(word) > n and (s := "#" + word[:n]) in self.weights)
-                if len(word) <= 64:
-                    cache[word] = known
-            total += known[0]
-            stems.update(known[1])
+                if len(word) > 64:
+                    hits.append((word, self.of(word)))
+                    continue
+                cache[word] = self.of(word)
+            if (known := cache[word]) is not None:
+                hits.append((word, known))
+        # In one order, so that sums agree bit by bit from run to run.
+        total, stems = self.bias, Counter()
+        for _, known in sorted(hits, key=lambda h: h[0]):
+            if known is not None:
+                total += known[0]
+                stems.update(known[1])
         total += sum(self.weights[s] for s, n in sorted(stems.items()) if n > 1)
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
