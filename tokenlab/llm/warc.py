@@ -82,7 +82,8 @@ def assign(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_
 
     Payloads below least_bytes all stay responses. Payloads are told apart by 160 bits of SHA-1. The largest id of a
     payload is found by a sum that starts in the map tasks; the join back can be split where many pages have one
-    payload. With null ids only, all are responses; beside another id, a null id revisits it.
+    payload. With null ids only, all are responses; beside another id, a null id revisits it. Rows that repeat the
+    largest id are all responses, under one record id; a null payload is empty, an empty table gives no rows.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     own = own.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
@@ -97,7 +98,8 @@ def write_archives(assigned: DataFrame, folder: str, roll_bytes: int = ROLL_BYTE
 
     An archive holds its records, each gzipped on its own, as a stored member, and after it an index of their places
     as another. Every attempt of a task writes archives under names of its own, and the table returned lists those
-    of the attempts that counted, so that lost executors and repeated attempts leave no record twice.
+    of the attempts that counted, so that lost executors and repeated attempts leave no record twice. Every row is a
+    record of its own, whatever repeats; a null id is left out of the record id, a null url is empty. No rows, no archive.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of the archives listed in column path: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     An archive is read by one task: its directories, its index, then each record by its range. Archives are of
-    bounded size, so tasks are. Payloads of responses are checked against their length and digest.
+    bounded size, so tasks are. Payloads of responses are checked against their length and digest. Records come as they
+    were written, repeats too.
     """
     batch_rows, batch_bytes = 2000, 32 << 20
 
@@ -217,6 +220,6 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages into archives in the shared folder and read them back, without payloads."""
+    """Write pages into archives in the shared folder and read them back, without payloads: a row per row of pages."""
     folder = new_folder(pages.sparkSession, "warc")
     return read_archives(write_archives(assign(pages, least_bytes), folder), with_payload=False)
