@@ -137,7 +137,34 @@ def test_checksums_and_context(spark):
 
 
 def test_personal_data_odd_and_empty(odd, empty):
-    assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(empty).count() == 0
+    got = rows(pii.find_personal_data(odd))
+    assert len(got) == len(ODD) and pii.find_personal_data(empty).count() == 0
+    for r in got:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["base_spans"]] == base_spans(r["text"] or "") and (r["top_score"] == 0.0) == (not r["all_spans"])
+        assert all(r[f"n_{k}"] == sum(s["kind"] == k for s in r["all_spans"]) for k in pii.PATTERNS)
+
+
+# --- names that operators add ------------------------------------------------------------------------------------------
+ADDED = {
+    "mixing": (lambda d: mixing.mix(d), mixing.OUT), "lines": (lambda d: lines.drop_repeated_lines(d), lines.OUT), "pii": (lambda d: pii.find_personal_data(d), pii.OUT),
+    "decontam": (lambda d: decontam.mark_leaks(d, d.select(F.lit(1).alias("item_id"), F.lit("one two three four five six seven eight").alias("text")).limit(1)), decontam.OUT),
+    "langid": (lambda d: langid.identify(d, langid.learn(d)), ("lang_pred", "score")), "toxicity": (lambda d: toxicity.score(d, toxicity.Model({"=tie": 9.0}, -4.0)), ("score", "predicted")),
+    "ngramlm": (lambda d: ngramlm.score(d, ngramlm.learn(d)), ngramlm.NEW),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ADDED))
+def test_columns_named_like_new_ones_are_replaced(spark, name):
+    """Also in another case; all other columns stay, and a repeated row comes out as often as it went in."""
+    make, new = ADDED[name]
+    docs = spark.createDataFrame([(1, "tie tie", "en", "s", 7), (1, "tie tie", "en", "s", 7), (2, None, None, None, None)], DOCS)
+    plain, clashing = make(docs), docs
+    for i, c in enumerate(new):
+        clashing = clashing.withColumn(c.upper() if i % 2 else c, F.lit("mine"))
+    out = make(clashing)
+    assert [c.lower() for c in out.columns] == [c.lower() for c in plain.columns] and [t for _, t in out.dtypes] == [t for _, t in plain.dtypes]
+    show = lambda d: sorted(str(tuple(f"{v:.6g}" if isinstance(v, float) else v for v in r)) for r in d.collect())
+    assert show(out) == show(plain) and len(show(out)) == 3
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
