@@ -4,25 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlab.llm import decontam, langid, lines, mixing, neardup
 from tokenlab.llm.shared import materialise
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator adds, and those names by their own."""
+    names = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _own(docs: DataFrame, names: dict[str, str], **new: Column) -> DataFrame:
+    """docs under their own names again; new: columns that take another value."""
+    return docs.select(*[new.get(c, F.col(f"`{n}`")).alias(c) for c, n in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; those with a null text or without a letter go."""
     model = langid.learn(langid.training_rows(docs))
-    named = langid.identify(docs, model)
-    return named.filter("lang_pred <> 'und'").select(*docs.columns)
+    apart, names = _apart(docs)
+    return _own(langid.identify(apart, model, names["text"]).filter("lang_pred <> 'und'"), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are repeated elsewhere; n_chars follows."""
-    done = lines.drop_repeated_lines(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    apart, names = _apart(docs)
+    done = lines.drop_repeated_lines(apart, id_col=names["doc_id"], text_col=names["text"])
+    return _own(done, names, text=F.col("kept_text"), n_chars=F.char_length("kept_text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +43,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.mark_leaks(docs, benchmark).filter("leak_item is null").select(*docs.columns)
+    apart, names = _apart(docs)
+    marked = decontam.mark_leaks(apart, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names["text"])
+    return _own(marked.filter("leak_matches is null"), names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, numbered by copy."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    """Documents as often as the mix of sources takes them, numbered by copy (which replaces a column of that name)."""
+    apart, names = _apart(docs)
+    out = mixing.emit(mixing.mix(apart, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"]), apart.columns)
+    return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items() if c.lower() != "copy"], "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
