@@ -93,21 +93,33 @@ def box_braced(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"\\boxed\{")
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ten_digits(number: Column) -> Column:
     """A double in Python's %.10g form: ten significant digits, no zeros at the end, an exponent below 1e-4 and from 1e10."""
-    parts = F.split(F.format_string("%.9e", number), "e")
-    digits, power = parts[0], parts[1].cast("int")
     bare = lambda x: F.when(x.contains("."), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
-    fixed = bare(F.call_function("format_string", F.concat(F.lit("%."), (9 - power).cast("string"), F.lit("f")), number))
-    return F.when(power.between(-4, 9), fixed).otherwise(F.concat(bare(digits), F.lit("e"), parts[1]))
+
+    def shown(parts: Column) -> Column:
+        power = parts[1].cast("int")
+        fixed = bare(F.call_function("format_string", F.concat(F.lit("%."), (9 - power).cast("string"), F.lit("f")), number))
+        return F.when(power.between(-4, 9), fixed).otherwise(F.concat(bare(parts[0]), F.lit("e"), parts[1]))
+
+    return once(F.split(F.format_string("%.9e", number), "e"), shown)
 
 
 def g3_answer(text: Column) -> Column:
     """What agreement counts: lower case without white space and commas, numbers in %.10g form."""
-    bare = F.replace(F.regexp_replace(F.lower(text), f"{BLANKS}+", ""), F.lit(","), F.lit(""))
-    sign = F.when(F.startswith(bare, F.lit("-")), "-").otherwise("")
-    number = as_number(F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", ""))
-    return F.when(number.isNotNull() & (F.abs(number) < float("inf")), ten_digits(number)).when(bare.rlike("^[-+]?inf(inity)?$") | number.isNotNull(), F.concat(sign, F.lit("inf"))).when(bare.rlike("^[-+]?nan$"), "nan").otherwise(bare)
+
+    def read(bare: Column) -> Column:
+        infinite = F.concat(F.when(F.startswith(bare, F.lit("-")), "-").otherwise(""), F.lit("inf"))
+        word = F.when(bare.rlike("^[-+]?inf(inity)?$"), infinite).when(bare.rlike("^[-+]?nan$"), "nan").otherwise(bare)
+        number = as_number(F.regexp_replace(bare, "(?<=[0-9])_(?=[0-9])", ""))
+        return once(number, lambda n: F.when(n.isNull(), word).when(F.abs(n) == float("inf"), infinite).otherwise(ten_digits(n)))
+
+    return once(F.replace(F.regexp_replace(F.lower(text), f"{BLANKS}+", ""), F.lit(","), F.lit("")), read)
 
 
 def request_seed(base: Column, problem: Column, chain: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import g3_answer
+from ..functions.answers import once as let
 
 
 def plurality(chains: Column | str, drop_empty: bool = False) -> Column:
@@ -41,11 +42,6 @@ def plurality(chains: Column | str, drop_empty: bool = False) -> Column:
     return let(counts, lambda cs: let(F.array_min(cs)["n"], lambda most: let(F.filter(cs, lambda w: w["n"] == most), result)))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def plurality_by_rows(chains: DataFrame, keys: list[str], drop_empty: bool = False) -> DataFrame:
     """The same vote over one row per chain, for groups of any size: two aggregations and one exchange of keys.
 
