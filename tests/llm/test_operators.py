@@ -11,6 +11,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -471,6 +472,19 @@ def test_elias_fano_runs(tmp_path):
     assert (e.find(v) == np.arange(len(v))).all() and (e.find(v + np.uint64(1)) >= 0).sum() == np.isin(v + np.uint64(1), v).sum()
 
 
+@pytest.mark.parametrize("size", [1, 7, 1 << 19])
+def test_words_are_hashed_as_bytes(monkeypatch, size):
+    """Equal words have equal hashes wherever they stand; words are those of bytes.split, lower-cased A-Z."""
+    monkeypatch.setattr(ngramlm, "BYTES", size)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "é", "É", " ", "\t", "\n", "\x0b", "\x1c", "漢", "ab", "  "]) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "x" * 300, "y " + "x" * 300, "X" * 299]
+    column = pa.array(["skip", *texts]).slice(1)
+    hashes, sizes = ngramlm.word_hashes(column)
+    want = [w for t in texts for w in [*(t or "").encode().lower().split(), b""]]
+    assert len(hashes) == len(want) == sizes.sum() and sizes.tolist() == [len((t or "").encode().split()) + 1 for t in texts]
+    assert len(set(zip(hashes.tolist(), want, strict=True))) == len(set(want)) == len(set(hashes.tolist())) and hashes[-1] == ngramlm.END
+
+
 def lm(texts, train, least):
     """The same smoothing with dictionaries."""
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .eliasfano import EliasFano, load, mapped, save
-from .shared import materialise, new_folder, released, texts_of
+from .shared import materialise, mixed, new_folder, released
 
 #: Documents for one shard of the vocabulary, which is cut by the top bits of the words' hashes.
 SHARD_DOCS = 65_536
@@ -28,30 +26,20 @@ STRETCH = 1 << 20
 HELD = 256 << 20
 #: Logarithms are stored in 16 bits, as multiples of this below zero.
 QUANTUM = 1 / 2048
-_END = b""  # no word is empty
-_SPACE = re.compile(rb"\s")
+#: Bytes of text that are hashed together.
+BYTES = 1 << 19
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+# Random numbers by byte, the same for both cases of A-Z and none for white space, and by place.
+_BYTES = np.where(_SPACES, 0, mixed(np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1))
+_PLACES = mixed(np.arange(64, dtype=np.uint64)) | np.uint64(1)
+#: The hash of the end, which no word is: that of a sum over nothing, of length 0.
+END = mixed(mixed(np.zeros(1, dtype=np.uint64)))[0]
 
 
 def quantise(logs: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-logs / QUANTUM), 65535).astype(np.uint16)
 
 
-def pieces(text: str | None, size: int = 1 << 22) -> Iterator[list[bytes]]:
-    """Runs of characters other than ASCII white space, A-Z lower-cased, then the end; in lists of bounded size.
-
-    bytes' own methods lower just A-Z and split at just ASCII white space.
-    """
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    at = 0
-    while len(data) - at > size:
-        space = _SPACE.search(data, at + size)
-        if not space:
-            break
-        yield data[at : space.start()].split()
-        at = space.start()
-    yield [*data[at:].split(), _END]
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Little-endian numbers byte plane by byte plane; planes of small differences compress to little."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -76,9 +64,47 @@ def _unique(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts], sums.astype(np.int64)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of a text's words, then of the end."""
-    return np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, p), dtype=np.uint64, count=len(p)) for p in pieces(text)])
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of a column, each text's followed by the end's, and how many each text has.
+
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased. A word's hash is the sum of a random number
+    for each byte times one for its place, mixed with its length: computed from the column's bytes, a bounded number
+    at a time, without an object for each word. A null text is empty.
+    """
+    column = column.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    hashes, starts, at = [], [], int(ends[0]) if len(ends) else 0
+    while at < (int(ends[-1]) if len(ends) else 0):
+        to = min(at + BYTES, int(ends[-1]))
+        while to < ends[-1]:  # behind the last white space or text's end, or further on until there is one
+            cut = np.flatnonzero(_SPACES[data[at:to]])
+            text = int(ends[np.searchsorted(ends, to, side="right") - 1])
+            cut = max(at + int(cut[-1]) + 1 if len(cut) else at, text)
+            if cut > at:
+                to = cut
+                break
+            to = min(to + BYTES, int(ends[-1]))
+        own = data[at:to]
+        word = ~_SPACES[own]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inner = ends[np.searchsorted(ends, at) : np.searchsorted(ends, to)] - at
+        first[inner] = word[inner]
+        s = np.flatnonzero(first)
+        if len(s):
+            place = np.arange(s[0], len(own)) - np.repeat(s, np.diff(np.append(s, len(own))))
+            times = _PLACES[np.minimum(place, len(_PLACES) - 1)]
+            far = np.flatnonzero(place >= len(_PLACES))
+            times[far] = mixed(place[far].astype(np.uint64)) | np.uint64(1)
+            sums = np.add.reduceat(_BYTES[own[s[0] :]] * times, s - s[0])
+            length = np.add.reduceat(word[s[0] :].astype(np.uint64), s - s[0])
+            hashes.append(mixed(sums ^ mixed(length)))
+            starts.append(s + at)
+        at = to
+    found = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    before = np.searchsorted(np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64), ends[1:])
+    return np.insert(found, before, END), np.diff(before, prepend=0) + 1
 
 
 @dataclass
@@ -273,12 +299,11 @@ def _count_words(texts: DataFrame, bounds: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, size = [], 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                keys.append(word_hashes(text))
-                size += len(keys[-1])
-                if size >= CHUNK:
-                    yield from _emit(np.concatenate(keys), bounds)
-                    keys, size = [], 0
+            keys.append(word_hashes(batch.column(0))[0])
+            size += len(keys[-1])
+            if size >= CHUNK:
+                yield from _emit(np.concatenate(keys), bounds)
+                keys, size = [], 0
         if size:
             yield from _emit(np.concatenate(keys), bounds)
 
@@ -297,17 +322,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", keep_text: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            out, parts, size = [], [], 0
-            for text in texts_of(batch.column(column)):
-                parts.append(word_hashes(text))
-                size += len(parts[-1])
-                if size >= STRETCH or len(out) + len(parts) == batch.num_rows:
-                    ranks = own.written(own.vocabulary.find(np.concatenate(parts)))
-                    cuts = np.cumsum([0, *map(len, parts)])
-                    out += [ranks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    parts, size = [], 0
+            hashes, sizes = word_hashes(batch.column(column))
+            ranks = np.concatenate([own.written(own.vocabulary.find(hashes[k : k + STRETCH])) for k in range(0, max(1, len(hashes)), STRETCH)])
+            places = np.concatenate(([0], np.cumsum(sizes))) * ranks.itemsize
+            out = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ranks)]).cast(pa.binary())
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if keep_text or i != column]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*names, "__ranks"])
+            yield pa.RecordBatch.from_arrays([*kept, out], names=[*names, "__ranks"])
 
     return docs.mapInArrow(released(run), T.StructType([*(docs.schema[c] for c in names), T.StructField("__ranks", T.BinaryType())]))
 
@@ -409,7 +429,7 @@ def learn_words(docs: DataFrame, text_col: str = "text") -> Model:
     vocabulary, _ = _level(made, bounds)
     model = Model(vocabulary, int(vocabulary.starts[-1]), sum(m[3] for m in made), -1)
     if model.V:
-        model.end = int(vocabulary.find(np.array([xxhash.xxh3_64_intdigest(_END)], dtype=np.uint64))[0])
+        model.end = int(vocabulary.find(np.array([END], dtype=np.uint64))[0])
     return model
 
 
