@@ -472,6 +472,31 @@ def test_elias_fano_runs(tmp_path):
     assert (e.find(v) == np.arange(len(v))).all() and (e.find(v + np.uint64(1)) >= 0).sum() == np.isin(v + np.uint64(1), v).sum()
 
 
+@pytest.mark.parametrize("stretch", [64, 128, 1 << 18])
+def test_elias_fano_by_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(eliasfano, "STRETCH", stretch)
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 5), (63, 1 << 40), (64, (1 << 63) - 1), (65, 200), (5000, 1 << 62), (300, 3)):
+        v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        assert (eliasfano.EliasFano.build(v).all() == v).all()
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 11, 1 << 20])
+def test_runs_are_merged_by_ranges(monkeypatch, chunk):
+    """Whatever the ranges, counts of equal keys add up, beyond 32 bits too."""
+    monkeypatch.setattr(ngramlm, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    for kind in (np.uint32, np.uint64):
+        keys = [np.unique(rng.integers(0, 20_000, n, dtype=np.uint64)) for n in (1, 9000, 3000, 5000)]
+        runs = [(k, rng.integers(1, 1 << 32, len(k)).astype(kind)) for k in keys]
+        want = {}
+        for k, n in runs:
+            for a, b in zip(k.tolist(), n.tolist(), strict=True):
+                want[a] = want.get(a, 0) + b
+        k, n = ngramlm._merged(runs)
+        assert k.tolist() == sorted(want) and n.tolist() == [want[a] for a in sorted(want)]
+
+
 @pytest.mark.parametrize("size", [1, 7, 1 << 19])
 def test_words_are_hashed_as_bytes(monkeypatch, size):
     """Equal words have equal hashes wherever they stand; words are those of bytes.split, lower-cased A-Z."""

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyarrow import fs
 
+#: Numbers that are coded together: 64 of them fill whole words, so stretches of a multiple share none.
+STRETCH = 1 << 18
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,22 +51,23 @@ class EliasFano:
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
+        values = values.astype(np.uint64, copy=False)
         n = len(values)
         top = int(values[-1]) if n else 0
         bits = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
         low = np.zeros((n * bits >> 6) + 2, dtype=np.uint64)
-        if bits and n:
-            part = values & np.uint64((1 << bits) - 1)
-            at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
-            word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            low[word[starts]] = np.bitwise_or.reduceat(part << shift, starts)
-            over = np.flatnonzero(shift + np.uint64(bits) > 64)
-            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
-        places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        mark = np.zeros(((int(places[-1]) if n else 0) // 64 + 2) * 64, dtype=np.uint8)
-        mark[places] = 1
+        mark = np.zeros(((top >> bits) + max(n - 1, 0)) // 64 * 64 + 128, dtype=np.uint8)
+        for k in range(0, n, STRETCH):
+            part = values[k : k + STRETCH]
+            mark[(part >> np.uint64(bits)).astype(np.int64) + np.arange(k, k + len(part))] = 1
+            if bits:
+                own, part = low[k * bits >> 6 :], part & np.uint64((1 << bits) - 1)
+                at = np.arange(len(part), dtype=np.uint64) * np.uint64(bits)
+                word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                own[word[starts]] = np.bitwise_or.reduceat(part << shift, starts)
+                over = np.flatnonzero(shift + np.uint64(bits) > 64)
+                own[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         high = np.packbits(mark, bitorder="little").view(np.uint64)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]))
         kind = np.uint32 if len(mark) < 1 << 32 else np.uint64

@@ -64,6 +64,26 @@ def _unique(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts], sums.astype(np.int64)
 
 
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of distinct keys and their counts as one, merged by ranges of about CHUNK keys.
+
+    So little more is held than the runs and the result. Counts take 32 bits unless their sums may need more.
+    """
+    if len(runs) == 1:
+        return runs[0]
+    # Of every 1024 keys of a run one: between two limits, a run has at most 1024 keys more than these tell.
+    step = max(1, CHUNK >> 10)
+    limits = np.sort(np.concatenate([k[1023::1024] for k, _ in runs]))[step::step]
+    cuts = [np.concatenate(([0], np.searchsorted(k, limits), [len(k)])) for k, _ in runs]
+    most, size = sum(int(n.max()) for _, n in runs if len(n)), sum(len(k) for k, _ in runs)
+    keys, counts, at = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint32 if most < 1 << 32 else np.uint64), 0
+    for i in range(len(limits) + 1):
+        k, n = _unique(np.concatenate([r[0][c[i] : c[i + 1]] for r, c in zip(runs, cuts, strict=True)]), np.concatenate([r[1][c[i] : c[i + 1]] for r, c in zip(runs, cuts, strict=True)]).astype(np.int64))
+        keys[at : at + len(k)], counts[at : at + len(k)] = k, n
+        at += len(k)
+    return keys[:at], counts[:at]
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts of a column, each text's followed by the end's, and how many each text has.
 
@@ -373,26 +393,25 @@ def _build(counted: DataFrame, shards: int, folder: str, make: Callable[[int, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # No key is in two shards, so a shard's rows are merged as they come, and its file is written at its end.
         def close() -> pa.RecordBatch:
-            k, n = _unique(np.concatenate(keys), np.concatenate(counts))
+            k, n = _merged(runs)
+            runs.clear()
             arrays, number = make(shard, k, n)
             entries = arrays["keys.meta"][0]
             path = f"{folder}/{name}-{shard}-{np.random.default_rng().integers(1 << 62)}.bin"
             save(path, arrays)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([entries], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([number], pa.int64())], names=["shard", "path", "entries", "tokens", "number"])
 
-        shard, keys, counts, size = None, [], [], 0
+        shard, runs, size = None, [], 0
         for batch in batches:
-            for s, k, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i, s in enumerate(batch.column(0).to_pylist()):
                 if s != shard:
                     if shard is not None:
                         yield close()
-                    shard, keys, counts, size = s, [], [], 0
-                keys.append(np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64))
-                counts.append(_unplanes(n, np.uint32).astype(np.int64))
-                size += len(keys[-1])
-                if size >= max(MERGE, len(keys[0])):  # as much again as is merged already
-                    k, n = _unique(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, size = [k], [n], 0
+                    shard, runs, size = s, [], 0
+                runs.append((np.cumsum(_unplanes(batch.column(1)[i].as_buffer(), np.uint64), dtype=np.uint64), _unplanes(batch.column(2)[i].as_buffer(), np.uint32)))
+                size += len(runs[-1][0])
+                if size >= max(MERGE, len(runs[0][0])):  # as much again as is merged already
+                    runs, size = [_merged(runs)], 0
         if shard is not None:
             yield close()
 
