@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import row_struct
+from .spans import joined, matches_of, slim, spans_of, with_matches
 
 # Fixed patterns, by kind in the order in which spans with one start are listed. Those of the first four match what
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -79,35 +80,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One pass over the rows, no shuffle.
     """
     kinds = list(PATTERNS)
-    out = docs.select(row_struct(docs, OUT).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    none = F.array().cast("array<string>")
-    cols = []
-    for k in kinds:
-        there = NEEDS[k](F.col("t"))
-        cols.append(F.when(there, F.regexp_extract_all("t", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"m_{k}"))
-    out = out.select("*", *cols)
-    # What lies between matches; with the matches' lengths that gives their places.
-    out = out.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("t", PATTERNS[k])).otherwise(none).alias(f"g_{k}") for k in kinds])
-    out = out.select("*", *[F.expr(f"zip_with(slice(g_{k}, 1, size(m_{k})), m_{k}, (g, m) -> bigint(length(g) + length(m)))").alias(f"s_{k}") for k in kinds])
-    out = out.select("*", *[F.expr(f"if(size(s_{k}) = 0, array(), transform(sequence(0, (size(s_{k}) - 1) div 256), b -> aggregate(slice(s_{k}, int(b) * 256 + 1, 256), 0L, (a, x) -> a + x)))").alias(f"b_{k}") for k in kinds])
-    out = out.select("*", *[F.expr(f"transform(b_{k}, (x, i) -> aggregate(slice(b_{k}, 1, i), 0L, (a, y) -> a + y))").alias(f"p_{k}") for k in kinds])
+    out = with_matches(docs.select(row_struct(docs, OUT).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), PATTERNS, NEEDS)
     spans = []
     for order, k in enumerate(kinds):
-        end = f"p_{k}[c.i div 256] + aggregate(slice(s_{k}, int((c.i div 256) * 256 + 1), c.i % 256 + 1), 0L, (a, x) -> a + x)"
-        found = f"filter(transform(m_{k}, (m, i) -> named_struct('m', m, 'i', i)), c -> {_valid(k)})"
-        ends = f"transform({found}, c -> named_struct('m', c.m, 'e', {end}))"
         around = f"substr(t, int(greatest(1, c.e - length(c.m) - {window} + 1)), length(c.m) + {2 * window})"
         score = f"least(1D, {SCORES[k]}D + if({around} rlike r'(?i)\\b(?:{CONTEXT[k]})\\b', {CONTEXT_GAIN}D, 0D))"
-        one = f"transform({ends}, c -> named_struct('start', c.e - length(c.m), 'place', {order}, 'kind', '{k}', 'end', c.e, 'score', {score}))"
+        one = spans_of(k, order, matches_of(k, _valid(k)), score)
         spans.append(F.expr(one if k in BASE_KINDS else f"filter({one}, s -> s.score >= {least_score}D)").alias(f"f_{k}"))
     out = out.select("row", *spans)
     base = F.array_sort(F.concat(*[f"f_{k}" for k in BASE_KINDS]))
     every = F.array_sort(F.concat(*[f"f_{k}" for k in kinds]))
-    slim = "transform({x}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'score', s.score))"
     out = out.select("row", *[F.size(f"f_{k}").cast("long").alias(f"n_{k}") for k in kinds], base.alias("b"), every.alias("v"))
-    return out.select("row.*", *[f"n_{k}" for k in kinds], F.expr(slim.format(x="b")).alias("base_spans"), F.expr(slim.format(x="v")).alias("all_spans"), F.coalesce(F.array_max("v.score"), F.lit(0.0)).alias("top_score"))
+    return out.select("row.*", *[f"n_{k}" for k in kinds], slim("b").alias("base_spans"), slim("v").alias("all_spans"), F.coalesce(F.array_max("v.score"), F.lit(0.0)).alias("top_score"))
 
-
-def joined(spans: str) -> Column:
-    """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

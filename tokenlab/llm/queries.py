@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, neardup, ngramlm, pii, topk, toxicity, warc
+from . import decontam, langid, lines, mixing, neardup, ngramlm, pii, secrets, topk, toxicity, warc
 from .shared import fold, materialise
+from .spans import joined
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs)
     return found.select(
-        "doc_id", *[f"n_{k}" for k in pii.PATTERNS], F.sha2(pii.joined("base_spans").cast("binary"), 256).alias("base_sha256"), pii.joined("all_spans").alias("spans"), "top_score"
+        "doc_id", *[f"n_{k}" for k in pii.PATTERNS], F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), "top_score"
     )
 
 
@@ -80,6 +81,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.learn(secrets.labelled_samples(docs)))
+    return found.select("doc_id", *[f"n_{k}" for k in secrets.BASE_KINDS], F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), "n_random", "top_score")
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op9_pii that SQL can express."""
     return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op13_secrets": op13_secrets,
     "pii_base": pii_base,
     "lm_base": lm_base,
 }
@@ -131,6 +139,48 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(joined, '')) AS base_sha256 FROM documents LEFT JOIN packed USING (doc_id)
     """.replace("\\\\", "\\"),
+    # Learned ratios included: the same samples by md5, the same counts of transitions.
+    "op13_secrets": r"""
+        WITH RECURSIVE kinds AS (
+            SELECT * FROM (VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+                (1, 'access', 'AKIA[A-Z0-9]+', 0), (2, 'hex', '[0-9a-f]+', 0), (3, 'random', '[A-Za-z0-9+/_-]{16,}={0,2}', 0)) v(place, kind, pattern, part)
+        ), found AS (
+            SELECT doc_id, place, kind, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), pattern, 0) AS m, regexp_extract_all(coalesce(text, ''), pattern, part) AS v FROM documents, kinds WHERE kind <> 'hex'
+            UNION ALL SELECT doc_id, place, kind, coalesce(text, ''), m, m FROM documents, kinds, LATERAL (SELECT list_filter(regexp_extract_all(coalesce(text, ''), pattern, 0), lambda x: length(x) >= 24) AS m) WHERE kind = 'hex'
+        ), values_of AS (
+            SELECT doc_id, place, kind, unnest(v) AS v FROM found
+        ), bare AS (
+            SELECT regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), (SELECT pattern FROM kinds WHERE place = 0), ' ', 'g'), 'AKIA[A-Z0-9]+', ' ', 'g'), '[0-9a-f]{24,}', ' ', 'g') AS t FROM documents
+        ), secret AS (
+            SELECT v FROM (SELECT DISTINCT v FROM values_of WHERE kind = 'assign' AND length(v) >= 16 AND regexp_matches(v, '[0-9]') OR kind = 'access' AND length(v) >= 20 OR kind = 'hex') ORDER BY md5(v) LIMIT 4096
+        ), others AS (
+            SELECT v FROM (SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_-]{16,}={0,2}')) AS v FROM bare) ORDER BY md5(v) LIMIT 4096
+        ), samples AS (
+            SELECT true AS random, v FROM secret UNION ALL SELECT true, to_base64(unhex(sha256('random:' || i))) FROM range(1024) r(i) UNION ALL SELECT false, v FROM others
+        ), steps AS (
+            SELECT random, CASE WHEN i = 1 THEN 32 ELSE ascii(v[i - 1]) END AS a, ascii(v[i]) AS b, count(*) AS n FROM (SELECT random, v, unnest(range(1, length(v) + 1)) AS i FROM samples) GROUP BY ALL
+        ), sums AS (
+            SELECT a, coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps GROUP BY a
+        ), pairs AS (
+            SELECT a, b, coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps GROUP BY a, b
+        ), tokens AS (
+            SELECT DISTINCT v FROM values_of
+        ), rated AS (
+            SELECT v, CAST(sum(CAST(floor(1000 * ln(((coalesce(p.r, 0) + 0.5::DOUBLE) * (coalesce(s.o, 0) + 34.0::DOUBLE)) / ((coalesce(p.o, 0) + 0.5::DOUBLE) * (coalesce(s.r, 0) + 34.0::DOUBLE)))) AS BIGINT)) AS BIGINT) AS ratio
+            FROM (SELECT v, CASE WHEN i = 1 THEN 32 ELSE ascii(v[i - 1]) END AS a, ascii(v[i]) AS b FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM tokens)) LEFT JOIN pairs p USING (a, b) LEFT JOIN sums s USING (a) GROUP BY v
+        ), spans AS (
+            SELECT doc_id, place, kind, t, m, v, 1 AS i, instr(t, m[1]) - 1 AS s FROM found WHERE len(m) > 0
+            UNION ALL SELECT doc_id, place, kind, t, m, v, i + 1, s + length(m[i]) + instr(substr(t, CAST(s + length(m[i]) + 1 AS BIGINT)), m[i + 1]) - 1 FROM spans WHERE i < len(m)
+        ), good AS (
+            SELECT doc_id, place, kind, s, s + length(m[i]) AS e, ratio FROM spans JOIN rated ON rated.v = spans.v[i]
+            WHERE CASE kind WHEN 'assign' THEN length(spans.v[i]) >= 6 WHEN 'access' THEN length(m[i]) >= 20 WHEN 'random' THEN ratio >= 9210 ELSE true END
+        ), packed AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'random') AS n_random, max(ratio) AS top_score,
+                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (WHERE place < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS every FROM good GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_random, 0) AS n_random, top_score, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+        FROM documents LEFT JOIN packed USING (doc_id)
+    """,
     "lm_base": rf"""
         WITH t AS (
             SELECT doc_id, {_FOLD} = 1 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS words FROM documents
