@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, mixing, neardup, ngramlm, pii, secrets, topk, toxicity, warc
+from . import decontam, importance, langid, lines, mixing, neardup, ngramlm, pii, secrets, topk, toxicity, warc
 from .shared import fold, materialise
 from .spans import joined
 
@@ -81,6 +81,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.learn(secrets.labelled_samples(docs)))
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op12_resampling": op12_resampling,
     "op13_secrets": op13_secrets,
     "pii_base": pii_base,
     "lm_base": lm_base,
@@ -139,6 +145,29 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(joined, '')) AS base_sha256 FROM documents LEFT JOIN packed USING (doc_id)
     """.replace("\\\\", "\\"),
+    # crc32 of UTF-8 bytes by their hex digits.
+    "op12_resampling": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), b AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+        ), dw AS (SELECT doc_id, unnest(words) AS w FROM d), own AS (SELECT doc_id, w, count(*) AS n FROM dw GROUP BY ALL),
+        hashed AS (
+            SELECT w, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(hex(w)) // 2), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+                lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+            FROM (SELECT w FROM own UNION SELECT w FROM b)
+        ), s AS (SELECT bucket, sum(n) AS s FROM own JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (w) GROUP BY bucket),
+        sums AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + 10000::DOUBLE AS ss, coalesce((SELECT sum(t) FROM t), 0) + 10000::DOUBLE AS tt),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1::DOUBLE) * ss / ((coalesce(s, 0) + 1::DOUBLE) * tt))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), sums
+        ), weighed AS (
+            SELECT doc_id, sum(n) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM own JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (doc_id)
+        ), ranked AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS fit FROM scored)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank FROM ranked
+    """,
     # Learned ratios included: the same samples by md5, the same counts of transitions.
     "op13_secrets": r"""
         WITH RECURSIVE kinds AS (
