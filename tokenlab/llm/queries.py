@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, importance, langid, lines, mixing, neardup, ngramlm, pii, secrets, topk, toxicity, warc
+from . import collocations, decontam, importance, langid, lines, mixing, neardup, ngramlm, pii, secrets, topk, toxicity, warc
 from .shared import fold, materialise
 from .spans import joined
 
@@ -81,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.resample(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op12_resampling": op12_resampling,
     "op13_secrets": op13_secrets,
     "pii_base": pii_base,
@@ -145,6 +150,27 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(joined, '')) AS base_sha256 FROM documents LEFT JOIN packed USING (doc_id)
     """.replace("\\\\", "\\"),
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        f AS (
+            SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM (
+                SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM places, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws)
+            ) GROUP BY ALL
+        ), cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+        cuts AS (
+            SELECT lang, c.k, c.phrase, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) c JOIN f x USING (lang) JOIN f y USING (lang)
+            WHERE x.k = cut AND x.phrase = array_to_string(ws[1 : cut], ' ') AND y.k = c.k - cut AND y.phrase = array_to_string(ws[cut + 1 : c.k], ' ')
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        parts AS (SELECT lang, array_to_string(ws[i : i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM cand WHERE k = 3) GROUP BY ALL),
+        n AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+        kept AS (SELECT best.* FROM best LEFT JOIN parts USING (lang, phrase) WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
     # crc32 of UTF-8 bytes by their hex digits.
     "op12_resampling": r"""
         WITH d AS (
