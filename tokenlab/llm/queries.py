@@ -216,13 +216,19 @@ ORACLES: dict[str, str] = {
             SELECT random, CASE WHEN i = 1 THEN 32 ELSE ascii(v[i - 1]) END AS a, ascii(v[i]) AS b, count(*) AS n FROM (SELECT random, v, unnest(range(1, length(v) + 1)) AS i FROM samples) GROUP BY ALL
         ), sums AS (
             SELECT a, coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps GROUP BY a
+        ), symbols AS (
+            SELECT b, coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps GROUP BY b
+        ), whole AS (
+            SELECT coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps
         ), pairs AS (
             SELECT a, b, coalesce(sum(n) FILTER (WHERE random), 0) AS r, coalesce(sum(n) FILTER (WHERE NOT random), 0) AS o FROM steps GROUP BY a, b
         ), tokens AS (
             SELECT DISTINCT v FROM values_of
         ), rated AS (
-            SELECT v, CAST(sum(CAST(floor(1000 * ln(((coalesce(p.r, 0) + 0.5::DOUBLE) * (coalesce(s.o, 0) + 34.0::DOUBLE)) / ((coalesce(p.o, 0) + 0.5::DOUBLE) * (coalesce(s.r, 0) + 34.0::DOUBLE)))) AS BIGINT)) AS BIGINT) AS ratio
-            FROM (SELECT v, CASE WHEN i = 1 THEN 32 ELSE ascii(v[i - 1]) END AS a, ascii(v[i]) AS b FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM tokens)) LEFT JOIN pairs p USING (a, b) LEFT JOIN sums s USING (a) GROUP BY v
+            SELECT v, CAST(sum(CAST(floor(1000 * ln(((coalesce(p.r, 0) + 8.0::DOUBLE * ((coalesce(y.r, 0) + 0.5::DOUBLE) / (w.r + 34.0::DOUBLE))) / (coalesce(s.r, 0) + 8.0::DOUBLE))
+                / ((coalesce(p.o, 0) + 8.0::DOUBLE * ((coalesce(y.o, 0) + 0.5::DOUBLE) / (w.o + 34.0::DOUBLE))) / (coalesce(s.o, 0) + 8.0::DOUBLE)))) AS BIGINT)) AS BIGINT) AS ratio
+            FROM (SELECT v, CASE WHEN i = 1 THEN 32 ELSE ascii(v[i - 1]) END AS a, ascii(v[i]) AS b FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM tokens))
+            LEFT JOIN pairs p USING (a, b) LEFT JOIN sums s USING (a) LEFT JOIN symbols y USING (b), whole w GROUP BY v
         ), spans AS (
             SELECT doc_id, place, kind, t, m, v, 1 AS i, instr(t, m[1]) - 1 AS s FROM found WHERE len(m) > 0
             UNION ALL SELECT doc_id, place, kind, t, m, v, i + 1, s + length(m[i]) + instr(substr(t, CAST(s + length(m[i]) + 1 AS BIGINT)), m[i + 1]) - 1 FROM spans WHERE i < len(m)

@@ -45,7 +45,9 @@ MADE_SAMPLES = 1024
 #: Log-likelihood ratio (natural, in thousandths) from which a token counts as random: it outweighs odds of 1 to 10 000.
 LEAST_RATIO = 9210
 # The models' states are the printable ASCII characters, of which the patterns let 68 into values.
-_STATES, _SYMBOLS, _PRIOR = 96, 68, 0.5
+_STATES, _SYMBOLS = 96, 68
+# Counts of a symbol before any sample, and of a state's symbols as they are in all states together.
+_PRIOR, _BACK = 0.5, 8.0
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", most: int = MOST_S
 
 
 def learn(samples: DataFrame) -> Model:
-    """Transition counts of both classes from samples (value, random), smoothed by half a count for each symbol.
+    """Chances of transitions in both classes from samples (value, random), smoothed by those of symbols in all states.
 
     Characters other than printable ASCII are left out, null values and labels too. Without samples all ratios are 0.
     At most two rows for each pair of characters come to the driver.
@@ -98,11 +100,14 @@ def learn(samples: DataFrame) -> Model:
     steps = codes.filter("size(c) > 0").select("random", F.explode(F.expr(f"transform(c, (x, i) -> if(i = 0, 0, c[greatest(i - 1, 0)]) * {_STATES} + x)")).alias("step"))
     n = {(r["random"], r["step"]): r["n"] for r in steps.groupBy("random", "step").agg(F.count("*").alias("n")).collect()}
     rows = {(x, a): sum(n.get((x, a * _STATES + b), 0) for b in range(_STATES)) for x in (True, False) for a in range(_STATES)}
+    columns = {(x, b): sum(n.get((x, a * _STATES + b), 0) for a in range(_STATES)) for x in (True, False) for b in range(_STATES)}
+    total = {x: sum(rows[x, a] for a in range(_STATES)) for x in (True, False)}
+
+    def chance(x: bool, a: int, b: int) -> float:
+        return (n.get((x, a * _STATES + b), 0) + _BACK * ((columns[x, b] + _PRIOR) / (total[x] + _PRIOR * _SYMBOLS))) / (rows[x, a] + _BACK)
 
     def ratio(a: int, b: int) -> int:
-        up = (n.get((True, a * _STATES + b), 0) + _PRIOR) * (rows[False, a] + _PRIOR * _SYMBOLS)
-        down = (n.get((False, a * _STATES + b), 0) + _PRIOR) * (rows[True, a] + _PRIOR * _SYMBOLS)
-        return math.floor(1000 * math.log(up / down))
+        return math.floor(1000 * math.log(chance(True, a, b) / chance(False, a, b)))
 
     return Model(tuple(ratio(a, b) for a in range(_STATES) for b in range(_STATES)))
 
