@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlab.operators import attribution as at
-from tokenlab.operators import resample, routing, vote
+from tokenlab.operators import order, resample, routing, vote
 
 CHAIN = T.ArrayType(T.StructType([T.StructField("answer", T.StringType()), T.StructField("correct", T.BooleanType()), T.StructField("complete", T.BooleanType()), T.StructField("token_count", T.IntegerType()), T.StructField("finish_reason", T.StringType())]))
 ROW = T.StructType([T.StructField("problem_id", T.IntegerType()), T.StructField("dataset", T.StringType()), *[T.StructField(x, CHAIN) for x in "abc"]])
@@ -147,23 +147,40 @@ def test_top_fraction_rounds_in_binary(spark):
 
 def test_ranks_split_a_common_score(spark):
     rows = spark.range(5000).select(F.col("id").alias("problem_id"), F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 2).cast("double")).alias("s"), F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("int")).alias("t"))
-    got = {r["problem_id"]: r["rank"] for r in routing.ranked(rows, "s", "t").collect()}
     key = lambda r: (r["s"] is None, -(r["s"] or 0), r["t"] is None, -(r["t"] or 0), r["problem_id"])
-    assert got == {r["problem_id"]: i + 1 for i, r in enumerate(sorted(rows.collect(), key=key))}
-    assert "__part" in str(routing.ranked(rows, "s", "t")._jdf.queryExecution().toString()) and len(got) == 5000
-
-
-def test_quantiles_are_exact_however_many_values(spark, monkeypatch):
+    want = {r["problem_id"]: i + 1 for i, r in enumerate(sorted(rows.collect(), key=key))}
+    assert {r["problem_id"]: r["rank"] for r in routing.ranked(rows, "s", "t").collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = order.dealt(rows.filter("s = 1"), F.col("s").desc(), F.col("problem_id")).groupBy("__part").count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 2 * 2500 / 4
+        assert {r["problem_id"]: r["rank"] for r in routing.ranked(rows, "s", "t").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 100, 2])
+def test_quantiles_are_exact_however_many_values(spark, monkeypatch, at_once):
+    """Spread values, two values, one, heavy ties, infinities: bracketing ends and is exact."""
     import numpy as np
 
+    monkeypatch.setattr(order, "AT_ONCE", at_once)
     rng = np.random.default_rng(2)
-    x = np.round(rng.normal(size=4000), 2)
-    f = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
-    want = [float(np.quantile(x, q)) for q in (0, 0.2, 0.5, 0.81, 1)]
-    assert [routing.exact_quantile(f, "x", q) for q in (0, 0.2, 0.5, 0.81, 1)] == pytest.approx(want, abs=1e-12)
-    monkeypatch.setattr(routing, "AT_ONCE", 100)
-    assert [routing.exact_quantile(f, "x", q) for q in (0, 0.2, 0.5, 0.81, 1)] == pytest.approx(want, abs=1e-12)
-    assert routing.exact_quantile(f.limit(0), "x", 0.5) is None
+    qs = (0, 0.2, 0.5, 0.81, 1)
+    columns = {"spread": np.round(rng.normal(size=2000), 2), "halves": np.arange(1000) % 2 + 1.0, "constant": np.full(500, 7.0), "ties": np.where(np.arange(1500) % 50 == 0, rng.normal(size=1500), 3.0), "ends": np.array([-np.inf] * 300 + [0.5] * 5 + [np.inf] * 300)}
+    for x in columns.values():
+        f = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        with np.errstate(invalid="ignore"):
+            want = [np.sort(x)[int(q * (len(x) - 1))] if np.isinf(x).any() else float(np.quantile(x, q)) for q in qs]
+        assert order.exact_quantiles(f, "x", *qs) == pytest.approx(want, abs=1e-12)
+    assert order.exact_quantile(f.limit(0), "x", 0.5) is None
+
+
+def test_errors_of_two_valued_scores_are_mined(spark):
+    """Two million rows of 0 and 1: more than are sorted at once, and no bracket between them."""
+    f = spark.range(2_000_000).select(F.col("id").alias("problem_id"), (F.col("id") % 2).cast("double").alias("s"), (F.col("id") % 3 == 0).alias("y"))
+    rows = routing.error_mining(f, "s", "y", most=5).orderBy("place").collect()
+    assert [(r["kind"], r["score"], r["problem_id"]) for r in rows] == [("high_score_not_helpful", 1.0, i) for i in (1, 5, 7, 11, 13)]
 
 
 def test_error_mining_keeps_so_many_in_all(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
+from . import order
 
 #: Words that must not be in the names of features.
 BANNED = ("label", "long", "correct", "gold", "answer_key", "utility")
@@ -47,16 +48,11 @@ def _digest(seed: int, key: str):
 
 
 def stratified_folds(frame: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """frame with fold: rows of each label dealt in turn, in order of a hash of seed and key.
-
-    A label's rows are numbered in 64 parts by the hash's first digits, so no task gets a whole label.
-    """
-    rows = frame.withColumn("__h", _digest(seed, key)).withColumn("__p", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
-    counts = rows.groupBy(label, "__p").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select(F.col(label).alias("__l"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(label, "__p").orderBy("__h", key)) - 1
-    rows = rows.withColumn("__place", place).join(counts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__p") == F.col("__q")))
-    return rows.withColumn("fold", ((F.col("__place") + F.col("__before")) % k).cast("int")).drop("__h", "__p", "__l", "__q", "__before", "__place")
+    """frame with fold: rows of each label dealt in turn, in order of a hash of seed and key."""
+    rows = order.numbered(frame.withColumn("__h", _digest(seed, key)), F.col(label), F.col("__h"), F.col(key), name="__i")
+    # A row for each label.
+    first = F.broadcast(rows.groupBy(F.col(label).alias("__l")).agg(F.min("__i").alias("__first")))
+    return rows.join(first, F.col(label).eqNullSafe(F.col("__l"))).withColumn("fold", ((F.col("__i") - F.col("__first")) % k).cast("int")).drop("__h", "__i", "__l", "__first")
 
 
 def group_folds(frame: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -65,24 +61,18 @@ def group_folds(frame: DataFrame, group: str, label: str, k: int = 5, seed: int
     return frame.join(groups, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def auc(frame: DataFrame, score: str, label: str, *by: str, ranges: int = 64) -> DataFrame:
+def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney, ties half), from counts by distinct score.
 
-    Rows are summed by score first, and the scores cut into ranges, so that an ordered pass sees the distinct scores
+    Rows are summed by score first, and the scores dealt by ranges, so that an ordered pass sees the distinct scores
     of one range only; the ranges before come in as sums.
     """
     rows = frame.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("__s"), F.col(label).alias("__y"))
-    tally = rows.groupBy(*by, "__s").agg(F.count_if(F.col("__y") == 1).alias("__p"), F.count_if(F.col("__y") == 0).alias("__n"))
-    cuts = sorted(set(rows.select(F.col("__s").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.005)))
-    part = F.lit(len(cuts))
-    for i, c in reversed(list(enumerate(cuts))):
-        part = F.when(F.col("__s").cast("double") < F.lit(c), F.lit(i)).otherwise(part)
-    tally = tally.withColumn("__r", part)
-    earlier = Window.unboundedPreceding, -1
-    inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy("__s").rowsBetween(*earlier)), F.lit(0))
-    sums = tally.select(*by, "__r", "__p", "__n", (F.col("__p") * (inside + F.col("__n") / 2)).alias("__w")).groupBy(*by, "__r").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"), F.sum("__w").alias("__w"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(*earlier)), F.lit(0))
-    out = sums.select(*by, "__p", "__n", (F.col("__w") + F.col("__p") * before).alias("__w")).groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
+    tally = order.dealt(rows.groupBy(*by, "__s").agg(F.count_if(F.col("__y") == 1).alias("__p"), F.count_if(F.col("__y") == 0).alias("__n")), F.col("__s"))
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = tally.select(*by, "__part", "__p", "__n", (F.col("__p") * (inside + F.col("__n") / 2)).alias("__w")).groupBy(*by, "__part").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"), F.sum("__w").alias("__w"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = sums.select(*by, "__p", "__n", (F.col("__w") + F.col("__p") * earlier).alias("__w")).groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
     return out.select(*by, "n_pos", "n_neg", F.round(F.col("__w") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0)), 6).alias("auc"))
 
 
@@ -189,19 +179,10 @@ def holdout(frame: DataFrame, features: list[str], label: str, train_on, kind: s
     return Fitted(train.select("label", *features), features, kind, scaling(train, features, "label").collect()).score(base.filter("fold = 0"))
 
 
-def numbered(frame: DataFrame, key: str, seed: int) -> DataFrame:
-    """frame with __i from 0, in order of a hash of seed and key; numbered in 256 parts by the hash's first digits."""
-    rows = frame.withColumn("__h", _digest(seed, key)).withColumn("__p", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
-    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    # At most 256 rows.
-    counts = F.broadcast(counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) - 1
-    return rows.withColumn("__place", place).join(counts, "__p").withColumn("__i", F.col("__place") + F.col("__before")).drop("__h", "__p", "__place", "__before")
-
-
 def shuffled(frame: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """frame with a column's values dealt anew among rows, in the order of a hash: for permutation importance."""
-    a, b = numbered(frame, key, -seed - 1), numbered(frame.select(key, F.col(column).alias("__v")), key, seed).select("__i", "__v")
+    deal = lambda rows, s: order.numbered(rows.withColumn("__h", _digest(s, key)), F.col("__h"), F.col(key), name="__i").drop("__h")
+    a, b = deal(frame, -seed - 1), deal(frame.select(key, F.col(column).alias("__v")), seed).select("__i", "__v")
     return a.join(b, "__i").drop("__i", column).withColumnRenamed("__v", column)
 
 

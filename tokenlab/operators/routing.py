@@ -2,74 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
 from .attribution import rate
 
 FRACTIONS = tuple(round(0.05 * i, 2) for i in range(21))
 
 
-#: Rows of the sample that cuts an order into ranges, and rows of which an exact quantile is taken at once.
-SAMPLED, AT_ONCE = 1 << 14, 1_000_000
-
-
-def ranked(frame: DataFrame, score: str, tie: str | None = None, position: str = "problem_id", groups: int = 64) -> DataFrame:
+def ranked(frame: DataFrame, score: str, tie: str | None = None, position: str = "problem_id") -> DataFrame:
     """frame with rank (from 1) by descending score, then descending tie, then position, and n, without one big task.
 
-    Rows are dealt by ranges of the whole order (score, tie, position), so rows with one score are split as well; a
-    rank is the number of rows in the ranges before plus the place within one's own. The ranges come from a sample of
-    SAMPLED rows, those with the smallest hashes of their position. Positions have to be unique.
-    """
-    by = [(score, True), *([(tie, True)] if tie else []), (position, False)]
-    sample = frame.select(*[F.col(c) for c, _ in by]).orderBy(F.xxhash64(position), position).limit(SAMPLED).collect()
-    first = lambda r: [(r[i] is None, 0 if r[i] is None else -r[i] if down else r[i]) for i, (_, down) in enumerate(by)]
-    inside = sorted(sample, key=first)
-    cuts = [inside[i * len(inside) // groups] for i in range(1, groups)] if len(inside) >= groups else []
-
-    def before(cut) -> Column:
-        """Whether a row stands before the cut: the first key that differs decides."""
-        out = F.lit(False)
-        for (c, down), v in reversed(list(zip(by, cut, strict=True))):
-            own = F.col(c)
-            less = own.isNotNull() if v is None else F.coalesce(own > F.lit(v) if down else own < F.lit(v), F.lit(False))
-            out = less | (own.eqNullSafe(F.lit(v)) & out)
-        return out
-
-    part = F.lit(len(cuts))
-    for i, cut in reversed(list(enumerate(cuts))):
-        part = F.when(before(cut), F.lit(i)).otherwise(part)
-    rows = frame.withColumn("__part", part)
-    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in by]
-    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    every = Window.orderBy("__part")
-    counts = counts.select("__part", F.coalesce(F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    # At most `groups` rows: safe to broadcast.
-    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order))).join(F.broadcast(counts), "__part")
-    return rows.withColumn("rank", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
-
-
-def exact_quantile(frame: DataFrame, column: str, q: float) -> float | None:
-    """The exact quantile (linear interpolation) of a column's values, null without any, with a bounded number at once.
-
-    While more than AT_ONCE values are left, an approximate pass brackets the wanted place, and only what is inside
-    the bracket goes on.
+    Rows are dealt by ranges of the whole order (score, tie, position), so rows with one score are split as well; the
+    frame is worked out once. Positions have to be unique.
     """
-    rows = frame.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    n = rows.count()
-    if not n:
-        return None
-    place, left = q * (n - 1), n
-    while left > AT_ONCE:
-        low, high = rows.approxQuantile("x", [max(0.0, place / left - 0.01), min(1.0, place / left + 0.01)], 0.002)
-        if low == high:
-            return low
-        row = rows.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
-        rows, place, left = rows.filter(F.col("x").between(low, high)), place - row[0], row[1]
-    values = np.sort(rows.toPandas()["x"].to_numpy())
-    at = min(int(place), left - 1)
-    return float(values[at] + (values[min(at + 1, left - 1)] - values[at]) * (place - at))
+    by = [F.col(score).desc_nulls_last(), *([F.col(tie).desc_nulls_last()] if tie else []), F.col(position).asc_nulls_last()]
+    rows = order.numbered(frame, *by)
+    # One row: safe to broadcast.
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
 
 
 def fraction_rows(*fractions: float) -> Column:
@@ -166,7 +117,7 @@ def error_mining(frame: DataFrame, score: str, label: str, position: str = "prob
 
     High and low are the exact outer fifths.
     """
-    high, low = (exact_quantile(frame, score, q) for q in (0.8, 0.2))
+    high, low = order.exact_quantiles(frame, score, 0.8, 0.2)
     kind = F.when((F.col(score) >= F.lit(high)) & ~F.col(label), "high_score_not_helpful").when((F.col(score) <= F.lit(low)) & F.col(label), "low_score_helpful")
     rows = frame.select(position, F.col(score).alias("score"), kind.alias("kind")).filter("kind is not null")
     first = rows.orderBy("kind", F.col("score").desc(), position).limit(most)
