@@ -61,7 +61,10 @@ def _at(rows: DataFrame, n: int, k: int) -> float:
 
 
 def exact_quantile(frame: DataFrame, column: str, q: float) -> float | None:
-    """The exact quantile (linear interpolation) of a column's values, null without any; nulls and NaN play no part."""
+    """The exact quantile (linear interpolation) of a column's values, null without any.
+
+    Nulls and NaN play no part; between infinities of both signs there is none.
+    """
     return exact_quantiles(frame, column, q)[0]
 
 
@@ -83,5 +86,6 @@ def exact_quantiles(frame: DataFrame, column: str, *qs: float) -> list[float | N
         k = min(int(q * (n - 1)), n - 1)
         part = q * (n - 1) - k
         low = value(k)
-        out.append(low + (value(k + 1) - low) * part if part > 0 and k + 1 < n else low)
+        high = value(k + 1) if part > 0 and k + 1 < n else low
+        out.append(low if high == low else low + (high - low) * part)
     return [None if math.isnan(x) else float(x) for x in out]
