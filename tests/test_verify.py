@@ -55,13 +55,64 @@ def test_a_fraction_takes_its_denominator_along():
     assert not verify.relaxed_units("it is 3/4", r"\boxed{4}", "math", False)
 
 
-def test_limits_are_recorded():
-    """What is too large to be worked out is compared as text, and said so."""
-    wide = "(" + "+".join(f"{c}" for c in "abcdefghijklmnop") + ")^{9}"
-    assert verify.score(f"\\boxed{{{wide}+1}}", f"\\boxed{{1+{wide}}}", "math")[1:] == (False, True)
-    assert verify.score(r"\boxed{x+1}", r"\boxed{1+x}", "math") == ("1*x^1+1" if False else verify.canonical("x+1"), True, False)
-    long = "+".join(["x"] * 1500)
-    assert verify.score(f"\\boxed{{{long}}}", r"\boxed{1500x}", "math")[1:] == (True, False)
+def test_large_expressions_are_worked_out():
+    """Neither many terms nor high powers matter: nothing is multiplied out."""
+    wide = "(" + "+".join("abcdefghijklmnop") + ")^{90}"
+    assert verify.score(f"\\boxed{{{wide}+1}}", f"\\boxed{{1+{wide}}}", "math")[1:3] == (True, False)
+    assert verify.score(f"\\boxed{{{wide}+1}}", f"\\boxed{{2+{wide}}}", "math")[1:3] == (False, False)
+    assert verify.score(f"\\boxed{{{'+'.join(['x'] * 15000)}}}", r"\boxed{15000x}", "math")[1:3] == (True, False)
+    assert verify.canonical(f"7+{'+'.join(['x'] * 3000)}") == verify.canonical("3000x+7") != verify.canonical("3000x+8")
+
+
+def test_time_runs_out_for_one_and_the_rest_is_scored(spark, monkeypatch):
+    """A verification that never ends stops at its limit; it is recorded, not remembered, and can be scored later."""
+    import time
+
+    def endless(text):
+        while "stuck" in text:
+            pass
+        return None
+
+    real = verify.symbols.read
+    monkeypatch.setattr(verify.symbols, "read", lambda t: endless(t) or real(t))
+    began = time.monotonic()
+    got = [verify.score(f"\\boxed{{{t}}}", r"\boxed{1+x}", "math", seconds=0.2)[:3] for t in ("stuck1", "x+1", "stuck1")]
+    assert time.monotonic() - began < 5 and got == [("stuck1", False, True), (verify.canonical("1+x"), True, False), ("stuck1", False, True)]
+    monkeypatch.undo()
+    assert verify.score(r"\boxed{stuck1}", r"\boxed{1+x}", "math")[2] is False
+
+
+def test_time_is_watched_where_no_timer_can_be():
+    """Outside the main thread, values worked out step by step stop too."""
+    import threading
+
+    got = []
+    wide = "+".join(f"\\sin({i}x)" for i in range(20_000))
+    t = threading.Thread(target=lambda: got.append(verify.score(f"\\boxed{{{wide}}}", r"\boxed{x}", "math", seconds=0.3)))
+    t.start()
+    t.join(30)
+    assert got[0][1:3] == (False, True)
+
+
+def test_plain_verdicts_are_those_of_the_verifier(spark):
+    """Whatever built-in functions decide, the whole verifier decides the same way."""
+    import random
+
+    rng = random.Random(11)
+    parts = ["\\boxed{", "\\boxed ", "}", "{", "7", "007", "-7", "+7", "1,000", "0.5", ".5", " ", "x", "about ", "#### ", "12", "12.0", "1e5", "\u0663", "-0", "9" * 17, ",", "\n", "^\\circ", "/4"]
+    make = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
+    golds = ["#### 7", "#### 1,000", r"\boxed{7}", r"\boxed{-7}", r"\boxed{0.5}", "", None, r"\boxed{12}", "#### x"]
+    data = [(i, make(), rng.choice(golds), rng.choice(["gsm8k", "math", "aime", "MATH"]), rng.random() < 0.5) for i in range(1500)] + [(1500, None, "#### 1", "gsm8k", False)]
+    rows = spark.createDataFrame(data, "i int, text string, gold string, dataset string, cut boolean")
+    plain = {r["i"]: r["p"] for r in rows.select("i", verify.plain_score(F.col("text"), F.col("gold"), F.lower("dataset")).alias("p")).collect()}
+    assert sum(p is not None for p in plain.values()) > 400
+    want = {i: verify.score(t, g, d, c) for i, t, g, d, c in data}
+    for i, t, g, d, c in data:
+        assert plain[i] is None or tuple(plain[i]) == want[i], (t, g, d, c)
+    got = {r["i"]: tuple(r[k] for k in verify.SCORE.names) for r in verify.score_rows(rows, capped="cut", relaxed=True).collect()}
+    assert got == want
+    with pytest.raises(Exception, match="unknown dataset"):
+        verify.score_rows(spark.createDataFrame([("1", "2", None)], "text string, gold string, dataset string")).collect()
 
 
 def test_cache_keys_hold_their_parts_apart():

@@ -18,11 +18,13 @@ def scored(run: DataFrame, cap: int, relaxed: bool = False) -> DataFrame:
     """problem_id, dataset, math_level, chains: each chain with complete, answer and correct, in order of its place.
 
     A chain that the cap cut is not complete, but its answer counts if it has one. Problems without chains stay, with
-    an empty array. relaxed: answers and verdicts of the relaxed rule (a last number where no answer is found).
+    an empty array. relaxed: each chain also has those of the relaxed rule (a last number where no answer is found), as
+    its field relaxed.
     """
     rows = run.select("problem_id", F.col("answer").alias("gold"), "dataset", F.posexplode("chains").alias("place", "c")).select("problem_id", "gold", "dataset", "place", "c.text", "c.token_count", "c.finish_reason")
     marked = verify.score_rows(rows, relaxed=relaxed).withColumn("complete", ~cap_hit(F.col("finish_reason"), F.col("token_count"), cap))
-    chain = F.struct(F.col("place").alias("chain_index"), "token_count", "finish_reason", "complete", "answer", F.coalesce("correct", F.lit(False)).alias("correct"))
+    more = [F.struct(F.col("relaxed_answer").alias("answer"), F.coalesce("relaxed_correct", F.lit(False)).alias("correct")).alias("relaxed")] if relaxed else []
+    chain = F.struct(F.col("place").alias("chain_index"), "token_count", "finish_reason", "complete", "answer", F.coalesce("correct", F.lit(False)).alias("correct"), *more)
     packed = marked.groupBy("problem_id").agg(F.array_sort(F.collect_list(chain)).alias("chains"))
     both = run.select("problem_id", "dataset", "math_level").join(packed, "problem_id", "left")
     return both.withColumn("chains", F.coalesce("chains", F.array().cast(packed.schema["chains"].dataType)))
@@ -86,8 +88,8 @@ def relaxed_detail(medium: DataFrame, long: DataFrame, medium_cap: int, long_cap
     caps = {"m": medium_cap, "x": long_cap}
     rows = both.select("problem_id", "m.dataset", F.col("m.answer").alias("gold"), *[c for a, n in (("m", "medium"), ("x", "long")) for c in (F.col(f"{a}.c.text").alias(f"{n}_text"), F.col(f"{a}.c.token_count").alias(f"{n}_tokens"), cap_hit(F.col(f"{a}.c.finish_reason"), F.col(f"{a}.c.token_count"), caps[a]).alias(f"{n}_hit_max"))])
     for n in ("medium", "long"):
-        rows = rows.withColumn("__s", verify.score_udf(f"{n}_text", "gold", "dataset")).withColumn(f"relaxed_{n}_correct", verify.relaxed_units_udf(f"{n}_text", "gold", "dataset", f"{n}_hit_max"))
-        rows = rows.select("*", F.col("__s.correct").alias(f"strict_{n}_correct"), F.col("__s.answer").alias(f"strict_{n}_prediction"), F.coalesce(F.col(f"{n}_text").contains("\\boxed"), F.lit(False)).alias(f"{n}_has_boxed")).drop("__s")
+        rows = verify.score_rows(rows, f"{n}_text", capped=f"{n}_hit_max", relaxed=True)
+        rows = rows.select("*", F.col("units_correct").alias(f"relaxed_{n}_correct"), F.col("correct").alias(f"strict_{n}_correct"), F.col("answer").alias(f"strict_{n}_prediction"), F.coalesce(F.col(f"{n}_text").contains("\\boxed"), F.lit(False)).alias(f"{n}_has_boxed")).drop(*verify.SCORE.names)
     helpful = [(F.col(f"{k}_long_correct") & ~F.col(f"{k}_medium_correct")).alias(f"{k}_helpful_ml") for k in ("strict", "relaxed")]
     return rows.select("*", *helpful, *[(F.col(f"relaxed_{n}_correct") != F.col(f"strict_{n}_correct")).alias(f"{n}_changed_by_relaxed") for n in ("medium", "long")])
 
@@ -99,8 +101,9 @@ def verifier_audit(detail: DataFrame, long: DataFrame, cap: int) -> DataFrame:
     reproduce is an error: then no rate is reported. Problems without a run count as eligible only.
     """
     told = detail.filter("definition = 'strict_all_wrong' and eligible").select("problem_id", "long_plurality_correct")
-    vote_of = lambda relaxed, name: scored(long, cap, relaxed).select("problem_id", vote.plurality("chains")["correct"].alias(name))
-    rows = told.join(vote_of(False, "s").join(vote_of(True, "r"), "problem_id"), "problem_id", "left")
+    relaxed = F.transform("chains", lambda c: F.struct(c["relaxed"]["answer"].alias("answer"), c["relaxed"]["correct"].alias("correct")))
+    both = scored(long, cap, relaxed=True).withColumn("relaxed", relaxed).select("problem_id", vote.plurality("chains")["correct"].alias("s"), vote.plurality("relaxed")["correct"].alias("r"))
+    rows = told.join(both, "problem_id", "left")
     odd = F.count_if(F.col("s") != F.col("long_plurality_correct"))
     sums = rows.agg(F.count(F.lit(1)).alias("n_eligible"), F.count_if("s").alias("strict_plurality_repair"), F.count_if("r").alias("relaxed_plurality_repair"), odd.alias("odd"))
     checked = F.when(F.col("odd") == 0, F.col("n_eligible")).otherwise(F.raise_error(F.concat(F.lit("strict scoring disagrees with recorded verdicts of problems: "), F.col("odd").cast("string"))).cast("long"))
