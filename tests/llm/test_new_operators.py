@@ -84,7 +84,7 @@ FIELDS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 def phrases_of(spark, n=300, seed=3):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(12)]
-    return [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "!", "\n"]) for _ in range(rng.randrange(60))), rng.choice(["a", "b", None]), None) for i in range(n)]
+    return [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "!", "\n"]) for _ in range(rng.randrange(60))), rng.choice(["w1", "w2", None]), None) for i in range(n)]
 
 
 @pytest.mark.parametrize("longest, least, cover, most", [(3, 10, 50, 2000), (4, 6, 70, 25), (2, 10, 50, 2000)])
@@ -111,8 +111,9 @@ def test_collocations_in_small_blocks_and_shards(spark, monkeypatch):
     for size in (5, 64, 1 << 20):
         got = collections.Counter()
         for block in collocations.blocks(iter([batch]), 3, size):
-            for lang, n, keys, at, ids in block.phrases(3):
-                got.update((lang, *(block.words[w].decode() for w in ids[i : i + n])) for i in at)
+            for p in block.phrases(3):
+                got.update((p.lang, *t.split(" ")) for t in p.texts(p.at).to_pylist())
+                assert len(p.keys) == len(p.at) == len(p.checks(p.at))
         assert got == whole
 
 
@@ -139,13 +140,11 @@ def test_keys_that_no_level_holds_are_listed(monkeypatch):
 
 
 def test_phrases_of_one_key_are_told_apart(spark, tmp_path):
-    found = spark.createDataFrame([("a", "x y", 5), ("a", "y z", 5), ("a", "z", 9)], "lang string, phrase string, key long")
-    files = collocations.build(found, 3, f"file://{tmp_path}")
-    table = files.arrays(0)
-    keys = np.array([5, 5, 9, 5, 77], dtype=np.uint64)
-    entries = [b"a\nx y", b"a\ny z", b"a\nz", b"a\nnone", b"a\nz"]
-    got = collocations.slots(table, keys, entries.__getitem__)
+    found = spark.createDataFrame([(5, 1, "a", "x y"), (5, 2, "a", "y z"), (9, 1, "a", "z"), (5, 1, "a", "x y")], "key long, check long, lang string, phrase string")
+    table = collocations.build(found, 3, f"file://{tmp_path}").arrays(0)
+    got = collocations.slots(table, np.array([5, 5, 9, 5, 77], dtype=np.uint64), np.array([1, 2, 1, 3, 1], dtype=np.uint64))
     assert sorted(got[:3]) == [0, 1, 2] and list(got[3:]) == [-1, -1]
+    assert [collocations.stored(table, "phrase").to_pylist()[i] for i in got[:3]] == ["x y", "y z", "z"]
 
 
 # --- importance resampling --------------------------------------------------------------------------------------------

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,7 @@ from .shared import materialise, mixed, new_folder, released, texts_of
 #: Words that a task counts together, bytes of a text that are split together.
 BLOCK, BYTES = 1 << 20, 1 << 20
 #: Bytes of text for one range of counted hashes (at least RANGES of them), stretches into which a task cuts its range.
-RANGE_BYTES, RANGES, STRETCHES = 64 << 20, 16, 16
+RANGE_BYTES, RANGES, STRETCHES = 32 << 20, 8, 16
 #: Candidates of one perfect hash, about, and the least number of these.
 SHARD_KEYS, SHARDS = 1 << 16, 16
 #: Bytes of counts that a task gathers, and of files that it holds where they can't be mapped.
@@ -49,11 +50,18 @@ class _Ids(dict):
         return n
 
 
-def hash_of(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data)
+def hashes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), dtype="<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
-def first_key(seeds: np.ndarray | np.uint64, words: np.ndarray) -> np.ndarray:
+def seeds_of(langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of languages; no word begins with a line end, so none has these."""
+    return hashes_of([b"\n" + lang.encode("utf-8", "surrogatepass") for lang in langs])
+
+
+def first_key(seeds: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of phrases of one word, from the hashes of language and word."""
     return mixed(words ^ seeds)
 
@@ -63,33 +71,50 @@ def next_key(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(keys * _MIX + words)
 
 
+@dataclass
+class Phrases:
+    """All occurrences of phrases of n words of one language: keys, and the places of their first words among ids."""
+
+    block: Block
+    lang: str
+    n: int
+    keys: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """A second key of the phrases at some places, from other hashes of the same words."""
+        own = first_key(seeds_of([self.lang])[1], self.block.hashes[1][self.ids[at]])
+        for k in range(1, self.n):
+            own = next_key(own, self.block.hashes[1][self.ids[at + k]])
+        return own
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The phrases at some places."""
+        words = [self.block.words.take(pa.array(self.ids[at + k])) for k in range(self.n)]
+        return words[0] if self.n == 1 else pc.binary_join_element_wise(*words, " ")
+
+
 @dataclass
 class Block:
     """Word numbers of some texts of each language, ended by breaks; the first `known` of a language are counted already."""
 
-    words: list[bytes]
+    words: pa.Array
+    hashes: tuple[np.ndarray, np.ndarray]
     parts: dict[str, tuple[np.ndarray, int]]
 
-    def phrases(self, longest: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """By language and number of words: keys of all occurrences within pieces, their first words' places, and the words' numbers."""
-        hashes = np.fromiter(map(hash_of, self.words), dtype=np.uint64, count=len(self.words))
+    def phrases(self, longest: int) -> Iterator[Phrases]:
+        """By language and number of words: all occurrences within pieces."""
+        hashes = np.append(self.hashes[0], np.uint64(0))
         for lang, (ids, known) in self.parts.items():
-            own = np.append(hashes, np.uint64(0))[ids]
-            keys, inside = first_key(np.uint64(hash_of(lang.encode("utf-8", "surrogatepass"))), own), ids >= 0
+            own = hashes[ids]
+            keys, inside = first_key(seeds_of([lang])[0], own), ids >= 0
             for n in range(1, longest + 1):
                 if n > 1:
                     keys, inside = next_key(keys[:-1], own[n - 1 :]), inside[:-1] & (ids[n - 1 :] >= 0)
                 at = np.flatnonzero(inside)
                 at = at[at + n > known]
-                yield lang, n, keys[at], at, ids
-
-    def entry(self, lang: str, ids: np.ndarray) -> bytes:
-        return _entry(lang, [self.words[i] for i in ids])
-
-
-def _entry(lang: str, words: list[bytes]) -> bytes:
-    """What is stored of a phrase: words hold no line end."""
-    return lang.encode("utf-8", "surrogatepass") + b"\n" + b" ".join(words)
+                yield Phrases(self, lang, n, keys[at], at, ids)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], longest: int, size: int | None = None) -> Iterator[Block]:
@@ -97,7 +122,8 @@ def blocks(batches: Iterator[pa.RecordBatch], longest: int, size: int | None = N
     size, ids, parts, known, n = size or BLOCK, _Ids(), {}, {}, 0
 
     def made() -> Block:
-        return Block([w for w, i in ids.items() if i >= 0], {k: (np.concatenate(p), known.get(k, 0)) for k, p in parts.items()})
+        words = [w for w, i in ids.items() if i >= 0]
+        return Block(pa.array(words, pa.binary()).cast(pa.string()), hashes_of(words), {k: (np.concatenate(p), known.get(k, 0)) for k, p in parts.items()})
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -117,7 +143,7 @@ def blocks(batches: Iterator[pa.RecordBatch], longest: int, size: int | None = N
                     block = made()
                     yield block
                     tail = block.parts[lang][0][-(longest - 1) :] if at < len(data) and longest > 1 else []
-                    kept = [block.words[i] if i >= 0 else b"\n" for i in tail]
+                    kept = [block.words[int(i)].as_py().encode() if i >= 0 else b"\n" for i in tail]
                     ids, parts, known, n = _Ids(), {}, {}, 0
                     if kept:
                         parts[lang], known[lang] = [np.array([ids[w] for w in kept], dtype=np.int32)], len(kept)
@@ -190,10 +216,10 @@ def upper_bounds(texts: DataFrame, longest: int, least: int, folder: str) -> tup
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, longest):
             found, rows = [], []
-            for lang, n, keys, _, _ in block.phrases(longest):
-                found.append(keys >> np.uint64(DROPPED))
-                if n == 1:
-                    rows.append((-1, lang, len(keys), None, None))
+            for p in block.phrases(longest):
+                found.append(p.keys >> np.uint64(DROPPED))
+                if p.n == 1:
+                    rows.append((-1, p.lang, len(p.keys), None, None))
             keys, n = _unique(np.concatenate(found))
             cuts = np.append(np.searchsorted(keys, bounds), len(keys))
             for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -244,83 +270,95 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
 
 
 def candidates(texts: DataFrame, bounds: Files, longest: int) -> DataFrame:
-    """lang, phrase, key of each distinct phrase whose hash is in bounds."""
+    """key, check, lang, phrase of each phrase whose hash is in bounds; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, dtype=np.uint64)
         for block in blocks(batches, longest):
-            for lang, n, keys, at, ids in block.phrases(longest):
-                keys, first = np.unique(keys, return_index=True)
+            new = [given]
+            for p in block.phrases(longest):
+                keys, first = np.unique(p.keys, return_index=True)
                 for s, a, b in bounds.ranges(keys):
                     known, own = bounds.arrays(s)["keys"], keys[a:b] >> np.uint64(DROPPED)
                     if not len(known):
                         continue
                     hits = a + np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
-                    phrases = [b" ".join([block.words[w] for w in ids[i : i + n]]).decode("utf-8", "surrogatepass") for i in at[first[hits]].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hits), pa.string()), pa.array(phrases, pa.string()), pa.array(keys[hits].view(np.int64))], names=["lang", "phrase", "key"])
+                    at = p.at[first[hits]]
+                    checks = p.checks(at)
+                    # Both keys together tell what this task has given already.
+                    both = mixed(keys[hits] ^ mixed(checks))
+                    fresh = ~np.isin(both, given, assume_unique=True)
+                    new.append(both[fresh])
+                    hits, at, checks = hits[fresh], at[fresh], checks[fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[hits].view(np.int64)), pa.array(checks.view(np.int64)), pa.repeat(pa.scalar(p.lang, pa.string()), len(hits)), p.texts(at)], names=_FOUND)
+            given = np.concatenate(new)
+
+    return texts.mapInArrow(released(run), "key long, check long, lang string, phrase string")
 
-    return texts.mapInArrow(released(run), "lang string, phrase string, key long").distinct()
+
+_FOUND = ["key", "check", "lang", "phrase"]
 
 
 def build(found: DataFrame, number: int, folder: str) -> Files:
-    """A perfect hash for each range of candidates' keys, with the stored phrase of each slot; key order within files is fixed."""
+    """A perfect hash for each range of candidates' keys, with the stored keys and phrase of each slot.
+
+    Files of the same candidates are the same. A shard's task drops repeats as they gather.
+    """
     shards = _power(number // SHARD_KEYS + 1, SHARDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, entries = None, [], []
-
-        def close() -> pa.RecordBatch:
-            key = np.array(keys, dtype=np.int64).view(np.uint64)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            single = np.append(True, key[1:] != key[:-1])
-            # Different phrases of one key: those after the first take slots behind all others and are looked up by phrase.
-            table = PerfectHash.build(key[single])
-            slot = np.empty(len(key), dtype=np.int64)
-            slot[single] = table.slot(key[single])
-            slot[~single] = np.arange(single.sum(), len(key))
-            at = np.empty(len(key), dtype=np.int64)
-            at[slot] = order
-            stored = [entries[i] for i in at.tolist()]
-            by_slot = np.empty(len(key), dtype=np.uint64)
-            by_slot[slot] = key
-            ends = np.concatenate(([0], np.cumsum([len(e) for e in stored], dtype=np.int64)))
-            _put(f"{folder}/phrases-{shard}.bin", table.arrays() | {"keys": by_slot, "ends": ends, "stored": np.frombuffer(b"".join(stored), dtype=np.uint8), "single": np.array([single.sum()], dtype=np.int64)})
-            keys.clear()
-            entries.clear()
-            return _rows([(shard,)], ["shard"], [pa.int32()])
+    def distinct(rows: pa.Table) -> pa.Table:
+        keys, checks = (rows.column(i).to_numpy().view(np.uint64) for i in range(2))
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        return rows.take(pa.array(order[np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(order)]])).combine_chunks()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, shard = [], 0, None
         for batch in batches:
-            for s, lang, phrase, key in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if s != shard:
-                    if shard is not None:
-                        yield close()
-                    shard = s
-                keys.append(key)
-                entries.append(_entry(lang, [phrase.encode("utf-8", "surrogatepass")]))
-        if shard is not None:
-            yield close()
-
-    spread = found.select(_shard(F.col("key"), shards).alias("shard"), "lang", "phrase", "key").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "lang", "phrase")
+            if not batch.num_rows:
+                continue
+            shard = batch.column(4)[0].as_py()
+            held.append(pa.Table.from_batches([batch.select(_FOUND)]))
+            size += batch.num_rows
+            if size > max(1 << 18, 2 * held[0].num_rows):
+                held, size = [distinct(pa.concat_tables(held))], 0
+        if shard is None:
+            return
+        rows = distinct(pa.concat_tables(held))
+        keys, checks = (rows.column(i).to_numpy().view(np.uint64) for i in range(2))
+        single = np.append(True, keys[1:] != keys[:-1])
+        # Different phrases of one key: those after the first take slots behind all others.
+        table, slot = PerfectHash.build(keys[single]), np.empty(len(keys), dtype=np.int64)
+        slot[single] = table.slot(keys[single])
+        slot[~single] = np.arange(single.sum(), len(keys))
+        by_slot = np.argsort(slot)
+        own = {"keys": keys[by_slot], "checks": checks[by_slot], "single": np.array([single.sum()], dtype=np.int64)}
+        for name in ("lang", "phrase"):
+            stored = rows.column(name).take(pa.array(by_slot)).combine_chunks().cast(pa.large_string())
+            stored = stored.chunk(0) if isinstance(stored, pa.ChunkedArray) else stored
+            own |= {f"{name}.ends": np.frombuffer(stored.buffers()[1], dtype=np.int64)[: len(keys) + 1], f"{name}.data": np.frombuffer(stored.buffers()[2] or b"", dtype=np.uint8)}
+        _put(f"{folder}/phrases-{shard}.bin", table.arrays() | own)
+        yield _rows([(shard,)], ["shard"], [pa.int32()])
+
+    # One shard for each partition.
+    spread = found.withColumn("shard", _shard(F.col("key"), shards)).repartitionById(shards, F.col("shard"))
     there = np.zeros(shards, dtype=bool)
     for r in materialise(spread.mapInArrow(released(run), "shard int"), "phrases").collect():
         there[r["shard"]] = True
     return Files(folder, "phrases", there)
 
 
-def slots(table: dict[str, np.ndarray], keys: np.ndarray, entry: Callable[[int], bytes]) -> np.ndarray:
-    """Slots of keys in a shard, -1 for phrases that aren't there: the stored key and phrase have to be the same."""
-    own = PerfectHash.of(table).slot(keys)
-    own[own >= 0] = np.where(table["keys"][own[own >= 0]] == keys[own >= 0], own[own >= 0], -1)
-    ends, stored, single = table["ends"], table["stored"], int(table["single"][0])
+def stored(table: dict[str, np.ndarray], name: str) -> pa.Array:
+    """Languages or phrases of a shard, by slot."""
+    return pa.Array.from_buffers(pa.large_string(), len(table["keys"]), [None, pa.py_buffer(table[f"{name}.ends"]), pa.py_buffer(table[f"{name}.data"])])
 
-    def kept(s: int) -> bytes:
-        return stored[ends[s] : ends[s + 1]].tobytes()
 
-    more = {kept(s): s for s in range(single, len(table["keys"]))}
-    for i in np.flatnonzero(own >= 0).tolist():
-        wanted = entry(i)
-        if kept(int(own[i])) != wanted:
-            own[i] = more.get(wanted, -1)
+def slots(table: dict[str, np.ndarray], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Slots of phrases in a shard, -1 for those that aren't there: both stored keys have to be the same."""
+    own = PerfectHash.of(table).slot(keys)
+    own[(own >= 0) & ((table["keys"][own] != keys) | (table["checks"][own] != checks))] = -1
+    for s in range(int(table["single"][0]), len(table["keys"])):
+        own[(table["keys"][s] == keys) & (table["checks"][s] == checks)] = s
     return own
 
 
@@ -336,16 +374,17 @@ def count(texts: DataFrame, phrases: Files, longest: int, folder: str) -> Files:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for block in blocks(batches, longest):
-            for lang, n, keys, at, ids in block.phrases(longest):
-                keys, first, times = np.unique(keys, return_index=True, return_counts=True)
+            for p in block.phrases(longest):
+                keys, first, times = np.unique(p.keys, return_index=True, return_counts=True)
                 for s, a, b in phrases.ranges(keys):
                     table = phrases.arrays(s)
-                    starts = at[first[a:b]]
-                    own = slots(table, keys[a:b], lambda i, starts=starts: block.entry(lang, ids[starts[i] : starts[i] + n]))
-                    there = own >= 0
+                    # Second keys only of those whose first is stored.
+                    maybe = PerfectHash.of(table).slot(keys[a:b])
+                    maybe = a + np.flatnonzero((maybe >= 0) & (table["keys"][maybe] == keys[a:b]))
+                    own = slots(table, keys[maybe], p.checks(p.at[first[maybe]]))
                     if s not in sums:
                         sums[s] = np.zeros(len(table["keys"]), dtype=np.int64)
-                    sums[s][own[there]] += times[a:b][there]
+                    sums[s][own[own >= 0]] += times[maybe][own >= 0]
             if sum(x.nbytes for x in sums.values()) > HELD:
                 yield from emit(sums)
         yield from emit(sums)
@@ -391,39 +430,39 @@ def read_cuts(texts: DataFrame, phrases: Files, counts: Files, longest: int, lea
     """
     shards = len(phrases.there)
 
-    def looked_up(keys: np.ndarray, entries: list[bytes]) -> np.ndarray:
+    def looked_up(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         out, order = np.zeros(len(keys), dtype=np.int64), np.argsort(keys, kind="stable")
         for s, a, b in phrases.ranges(keys[order]):
             at = order[a:b]
-            own = slots(phrases.arrays(s), keys[at], lambda i, at=at: entries[at[i]])
+            own = slots(phrases.arrays(s), keys[at], checks[at])
             out[at[own >= 0]] = counts.arrays(s)["counts"][own[own >= 0]]
         return out
 
     def of_shard(s: int) -> Iterator[pa.RecordBatch]:
         table, n = phrases.arrays(s), counts.arrays(s)["counts"]
-        ends, stored = table["ends"], table["stored"]
-        by_size: dict[int, list[tuple[str, list[bytes], int]]] = {}
-        for slot in np.flatnonzero(n >= least).tolist():
-            lang, _, phrase = stored[ends[slot] : ends[slot + 1]].tobytes().rpartition(b"\n")
-            words = phrase.split(b" ")
+        often = pa.array(np.flatnonzero(n >= least))
+        langs, whole = stored(table, "lang").take(often).to_pylist(), stored(table, "phrase").take(often).to_pylist()
+        by_size: dict[int, list[tuple[str, list[str], int]]] = {}
+        for lang, phrase, a in zip(langs, whole, n[often.to_numpy()].tolist(), strict=True):
+            words = phrase.split(" ")
             if len(words) > 1:
-                by_size.setdefault(len(words), []).append((lang.decode("utf-8", "surrogatepass"), words, int(n[slot])))
+                by_size.setdefault(len(words), []).append((lang, words, a))
         for m, own in by_size.items():
-            seeds = np.array([hash_of(lang.encode("utf-8", "surrogatepass")) for lang, _, _ in own], dtype=np.uint64)
-            word = np.array([[hash_of(w) for w in words] for _, words, _ in own], dtype=np.uint64)
+            seeds = seeds_of([lang for lang, _, _ in own])
+            word = [hashes_of([words[i].encode("utf-8", "surrogatepass") for _, words, _ in own]) for i in range(m)]
             found: dict[tuple[int, int], list[int]] = {}
             for i in range(m):
-                keys = first_key(seeds, word[:, i])
+                pair = [first_key(seeds[x], word[i][x]) for x in range(2)]
                 for k in range(1, m - i + 1):
                     if k > 1:
-                        keys = next_key(keys, word[:, i + k - 1])
+                        pair = [next_key(pair[x], word[i + k - 1][x]) for x in range(2)]
                     if k < m:
-                        found[i, k] = looked_up(keys, [_entry(lang, words[i : i + k]) for lang, words, _ in own]).tolist()
+                        found[i, k] = looked_up(*pair).tolist()
             rows = []
             for j, (lang, words, a) in enumerate(own):
                 score, k = min((1_000_000 * a * a // (found[0, k][j] * found[k, m - k][j]), k) for k in range(1, m))
-                covered = {b" ".join(words[i : i + x]).decode("utf-8", "surrogatepass") for (i, x), f in found.items() if x > 1 and 100 * a >= cover * f[j]}
-                rows.append((lang, b" ".join(words).decode("utf-8", "surrogatepass"), a, found[0, k][j], found[k, m - k][j], score, sorted(covered)))
+                covered = {" ".join(words[i : i + x]) for (i, x), f in found.items() if x > 1 and 100 * a >= cover * f[j]}
+                rows.append((lang, " ".join(words), a, found[0, k][j], found[k, m - k][j], score, sorted(covered)))
             yield _rows(rows, ["lang", "phrase", "a", "l", "r", "score", "covered"], [pa.string(), pa.string(), *[pa.int64()] * 4, pa.list_(pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +495,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     counts = count(texts, phrases, longest, folder)
     cuts = materialise(read_cuts(texts, phrases, counts, longest, least, cover), "cuts")
     covered = cuts.select("lang", F.explode("covered").alias("phrase")).distinct()
-    left = cuts.drop("covered").join(covered, ["lang", "phrase"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    left = cuts.drop("covered").join(covered, ["lang", "phrase"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(16)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for keys in (["lang", "salt"], ["lang"]):
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= most)
