@@ -360,3 +360,41 @@ def test_registered_classifiers_learn_as_much_as_the_reference(spark, monkeypatc
     features.QUERIES[kind](spark, "/root/testdata/sf0.001")
     assert seen == [(5, [0, 1, 2, 3, 4])]
     assert learn.classifier("forest", 0).getNumTrees() >= 200
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_balanced_folds_are_within_a_group_of_the_best(spark, seed):
+    """Counts of each label by fold, against the average: no fold is off by more than the largest group has of it."""
+    import random
+
+    rng = random.Random(seed)
+    rows, sizes = [], {}
+    for g in range(rng.choice([7, 60, 200])):
+        a, b = (rng.choice([0, 1, 2, 3, 7, 40]), rng.choice([0, 1, 1, 2, 30])) if seed else (2, 1)
+        sizes[g] = (a, b)
+        rows += [(g, 0)] * a + [(g, 1)] * b
+    rows += [(None, 0), (None, 1)]
+    frame = spark.createDataFrame(rows, "g int, y int")
+    got = learn.balanced_group_folds(frame, "g", "y", 5)
+    by_group = {r["g"]: r["f"] for r in got.groupBy("g").agg(F.collect_set("fold").alias("f")).collect()}
+    assert all(len(f) == 1 and 0 <= f[0] < 5 for f in by_group.values()) and got.count() == len(rows)
+    for y in (0, 1):
+        n = [got.filter(f"y = {y} and fold = {f}").count() for f in range(5)]
+        assert max(n) - sum(n) / 5 <= max(s[y] for s in sizes.values()) and sum(n) / 5 - min(n) <= max(s[y] for s in sizes.values())
+    assert {r["g"]: r["f"] for r in learn.balanced_group_folds(frame.repartition(3), "g", "y", 5).groupBy("g").agg(F.collect_set("fold").alias("f")).collect()} == by_group
+
+
+def test_leftover_groups_are_placed_as_evenly_as_any_way(spark):
+    """Few groups of one label: the greedy deal is within one group of the best of all deals."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = [rng.randint(1, 9) for _ in range(6)]
+        classes = [(1, (float(s),)) for s in sizes]
+        folds = [f[0] for f in learn.spread_groups(classes, 3)]
+        spread = lambda deal, sizes=sizes: max(t := [sum(s for s, f in zip(sizes, deal, strict=True) if f == k) for k in range(3)]) - min(t)
+        best = min(spread(d) for d in itertools.product(range(3), repeat=6))
+        assert spread(folds) <= best + max(sizes)
+    assert learn.fold_number(spark.createDataFrame([(0,), (0,), (0,), (1,), (1,)], "y int"), "y", 5) == 2

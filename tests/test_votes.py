@@ -198,3 +198,29 @@ def test_rerunning_can_cost_more_than_extending(spark):
     f = spark.createDataFrame([(True, True)], "b boolean, x boolean")
     r = routing.rule_router(f, {"all": F.lit(True)}, "b", "x", 50, 100).first()
     assert r["rerun_saving"] == -0.5 and r["resume_saving"] == 0.0
+
+
+def test_drawn_counts_are_hypergeometric():
+    """Quantiles of the count against sums of exact chances; moments of many draws."""
+    from fractions import Fraction
+    from math import comb
+
+    import numpy as np
+
+    for n, hits, k in [(10, 4, 5), (50, 0, 9), (50, 50, 9), (30, 12, 30), (30, 12, 0), (400, 37, 150), (1, 1, 1)]:
+        total, cdf = Fraction(0), []
+        for x in range(k + 1):
+            total += Fraction(comb(hits, x) * comb(n - hits, k - x), comb(n, k))
+            cdf.append(float(total))
+        u = np.linspace(0.001, 0.999, 97)
+        want = [next(x for x in range(k + 1) if cdf[x] >= v - 1e-12) for v in u]
+        assert routing.drawn_count(n, hits, k, u).tolist() == want
+    big = routing.drawn_count(10**8, 3 * 10**7, 10**6, routing.drawn_uniforms(1, 2000, "x"))
+    assert abs(big.mean() - 300_000) < 60 and 400 < big.std() < 500
+
+
+def test_drawn_accuracies_are_near_their_expectation(spark):
+    rows = spark.range(3000).select(F.lit("x").alias("dataset"), (F.col("id") % 3 == 0).alias("b"), (F.col("id") % 2 == 0).alias("x"))
+    for r in routing.drawn_baseline(rows, "b", "x", "dataset", (0.0, 0.25, 1.0), rounding="half_even").collect():
+        expected = (1000 + r["k"] / 3000 * 500) / 3000
+        assert abs(r["mean_accuracy"] - expected) < 0.001 and r["low"] <= r["mean_accuracy"] <= r["high"] and (r["sd_accuracy"] > 0) == (r["fraction"] == 0.25)

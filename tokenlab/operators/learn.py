@@ -61,6 +61,64 @@ def group_folds(frame: DataFrame, group: str, label: str, k: int = 5, seed: int
     return frame.join(groups, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
+#: Counts of a label are classed exactly below this, and by this many values for each doubling from there on.
+FINE = 32
+
+
+def spread_groups(classes: list[tuple[int, tuple[float, ...]]], k: int) -> list[list[int]]:
+    """Folds of the groups of each class (its number of groups, its mean rows of each label) that exceed a multiple of k.
+
+    Classes go by their rows, largest first; a group goes to the fold in which the labels' shares stay most even, of
+    equal ones to that with fewer rows, then the first.
+    """
+    labels = len(classes[0][1]) if classes else 0
+    total = [sum(m * h[i] for m, h in classes) or 1.0 for i in range(labels)]
+    held = [[sum((m // k) * h[i] for m, h in classes) for i in range(labels)] for _ in range(k)]
+    out: list[list[int]] = [[] for _ in classes]
+    for c in sorted(range(len(classes)), key=lambda c: (-sum(classes[c][1]), classes[c][1], c)):
+        m, h = classes[c]
+        for _ in range(m % k):
+
+            def cost(f: int, h=h) -> tuple[float, float, int]:
+                # The sum of squares of a fold's share grows by this; sums over all other folds don't depend on it.
+                return round(sum(((held[f][i] + h[i]) / total[i]) ** 2 - (held[f][i] / total[i]) ** 2 for i in range(labels)), 12), sum(held[f]), f
+
+            best = min((f for f in range(k) if f not in out[c]), key=cost)
+            out[c].append(best)
+            held[best] = [held[best][i] + h[i] for i in range(labels)]
+    return out
+
+
+def balanced_group_folds(frame: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """frame with fold, the same for all rows of a group, so that folds have as even counts of each label (0 or 1) as whole
+    groups allow.
+
+    Groups with one histogram of labels are a class (counts from FINE on by their leading bits, so there is a bounded
+    number of classes). A class's groups, in order of a hash, go to all folds in turn; what is left over from whole
+    turns is placed one by one on the driver, largest first (spread_groups). Null groups are one group; rows with
+    another label count as rows of neither.
+    """
+    counts = frame.groupBy(group).agg(*[F.count_if(F.col(label) == v).alias(f"__n{v}") for v in (0, 1)])
+    leading = lambda c: F.expr(f"if({c} < {FINE}, {c}, {c} - {c} % shiftleft(1L, int(floor(log2({c}))) - {FINE.bit_length() - 2}))")
+    counts = materialise(counts.select(F.col(group).alias("__g"), "__n0", "__n1", leading("__n0").alias("__c0"), leading("__n1").alias("__c1"), F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary"), 256).alias("__h")), "groups")
+    found = sorted((r["__c0"], r["__c1"], r["m"], (r["a"], r["b"])) for r in counts.groupBy("__c0", "__c1").agg(F.count(F.lit(1)).alias("m"), F.avg("__n0").alias("a"), F.avg("__n1").alias("b")).collect())
+    rest = spread_groups([(m, h) for *_, m, h in found], k)
+    # One row for each class.
+    table = F.broadcast(frame.sparkSession.createDataFrame([(a, b, m, r) for (a, b, m, _), r in zip(found, rest, strict=True)], "__c0 long, __c1 long, __m long, __rest array<int>"))
+    numbered = order.numbered(counts, F.col("__c0"), F.col("__c1"), F.col("__h"), F.col("__g"), name="__i")
+    first = F.broadcast(numbered.groupBy("__c0", "__c1").agg(F.min("__i").alias("__first")))
+    placed = numbered.join(first, ["__c0", "__c1"]).join(table, ["__c0", "__c1"]).withColumn("__i", F.col("__i") - F.col("__first"))
+    turns = F.col("__m") - F.col("__m") % k
+    fold = F.when(F.col("__i") < turns, F.col("__i") % k).otherwise(F.try_element_at("__rest", (F.col("__i") - turns + 1).cast("int")))
+    folds = placed.select("__g", fold.cast("int").alias("fold"))
+    return frame.join(folds, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def fold_number(frame: DataFrame, label: str, k: int = 5) -> int:
+    """k, or the rows of the smallest label if they are fewer."""
+    return min([k, *(r["n"] for r in frame.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect())])
+
+
 def auc(frame: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney, ties half), from counts by distinct score.
 

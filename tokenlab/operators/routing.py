@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from math import lgamma
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import order
 from .attribution import rate
@@ -51,6 +58,61 @@ def costs(fraction: Column, base_cap: int, long_cap: int) -> dict[str, Column]:
     return {"resume_cost": F.round(resume, 6), "rerun_cost": F.round(rerun, 6), "resume_saving": F.round(1 - resume / long_cap, 6), "rerun_saving": F.round(1 - rerun / long_cap, 6)}
 
 
+#: Standard deviations on either side of its mean, and counts beside these, within which a drawn count is looked for.
+SPREAD, MARGIN = 12, 20
+
+
+def drawn_count(n: int, hits: int, k: int, uniform: np.ndarray) -> np.ndarray:
+    """Quantiles of a hypergeometric count: of k rows drawn from n without replacement, how many are among `hits`."""
+    least, most = max(0, k - (n - hits)), min(hits, k)
+    mean = hits * k / n if n else 0.0
+    spread = SPREAD * (mean * (1 - hits / n) * (n - k) / max(n - 1, 1)) ** 0.5 + MARGIN if n else 0
+    low, high = max(least, int(mean - spread)), min(most, int(mean + spread))
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    x = np.arange(low, high)
+    ratio = np.log(hits - x) + np.log(k - x) - np.log(x + 1) - np.log(n - hits - k + x + 1)
+    chance = np.exp(choose(hits, low) + choose(n - hits, k - low) - choose(n, k) + np.concatenate(([0.0], np.cumsum(ratio))))
+    return np.minimum(low + np.searchsorted(np.cumsum(chance), uniform, side="left"), high)
+
+
+def drawn_uniforms(seed: int, draws: int, *parts) -> np.ndarray:
+    """A number in [0, 1) for each draw: the first 48 bits of sha256 of seed, draw and parts, joined by '|'."""
+    digests = [hashlib.sha256("|".join(map(str, (seed, d, *parts))).encode()).digest() for d in range(draws)]
+    return np.array([int.from_bytes(x[:6], "big") for x in digests], dtype=float) / (1 << 48)
+
+
+def drawn_baseline(frame: DataFrame, base: str, extended: str, by: str, fractions: tuple[float, ...] = FRACTIONS, draws: int = 500, seed: int = 42, rounding: str = "ceil") -> DataFrame:
+    """by, fraction, k, draws, and mean, deviation and central 95 % of the accuracy when k rows drawn at random are routed.
+
+    k = ceil(fraction * n), or with rounding half_even the nearest. Accuracy depends only on how many of the drawn rows
+    are gained (only the extended run is right) and lost (only the base run is), so each draw is two hypergeometric
+    counts, from numbers that any engine can repeat; the cost is draws times the root of k for each group and fraction.
+    """
+    b, x = F.coalesce(F.col(base), F.lit(False)), F.coalesce(F.col(extended), F.lit(False))
+    sums = frame.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(b).alias("b"), F.count_if(~b & x).alias("g"), F.count_if(b & ~x).alias("l"))
+    size = F.col("fraction") * F.col("n")
+    k = (F.ceil(size) if rounding == "ceil" else F.bround(size)).cast("long")
+    grid = sums.select("*", F.explode(fraction_rows(*fractions)).alias("fraction")).withColumn("k", F.least(k, F.col("n"))).select(by, "fraction", "n", "b", "g", "l", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for group, fraction, n, right, gain, lost, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                g = drawn_count(n, gain, size, drawn_uniforms(seed, draws, "gained", group, size))
+                second, taken = drawn_uniforms(seed, draws, "lost", group, size), np.zeros(draws, dtype=np.int64)
+                for v in np.unique(g).tolist():
+                    taken[g == v] = drawn_count(n - gain, lost, size - v, second[g == v])
+                accuracy = (right + g - taken) / n
+                rows.append((group, fraction, size, draws, *(float(round(v, 6)) for v in (accuracy.mean(), accuracy.std(), *np.quantile(accuracy, [0.025, 0.975])))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [batch.column(0).type, pa.float64(), pa.int64(), pa.int32(), *[pa.float64()] * 4], strict=True)], names=[by, *_DRAWN])
+
+    kind = T.StructType([grid.schema[by], *(T.StructField(c, t) for c, t in zip(_DRAWN, [T.DoubleType(), T.LongType(), T.IntegerType(), *[T.DoubleType()] * 4], strict=True))])
+    return grid.repartition(by, "fraction").mapInArrow(run, kind)
+
+
+_DRAWN = ("fraction", "k", "draws", "mean_accuracy", "sd_accuracy", "low", "high")
+
+
 def rule_router(frame: DataFrame, rules: dict[str, Column], base: str, extended: str, base_cap: int, long_cap: int) -> DataFrame:
     """A row per rule: share routed, accuracy and costs."""
     rows = frame.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(m, F.lit(False)).alias("mask"), F.col(base).alias("b"), F.col(extended).alias("x")) for k, m in rules.items()])).alias("r")).select("r.*")

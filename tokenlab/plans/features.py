@@ -300,6 +300,13 @@ def group_folds(spark, sf_dir):
     return learn.group_folds(e, "user_id", "label").select("event_id", "user_id", "fold")
 
 
+@query()
+def balanced_folds(spark, sf_dir):
+    """Folds by user with even counts of both labels; placing leftover groups is beyond SQL, so tests bound the evenness."""
+    e = adapter.table(spark, sf_dir, "events").withColumn("label", (F.col("value") > 50).cast("int"))
+    return learn.balanced_group_folds(e, "user_id", "label").select("event_id", "user_id", "fold")
+
+
 @query(_LABELLED + " SELECT " + "UNION ALL SELECT ".join(f"'{c}' AS feature, {r6(f'corr({c}, label)')} AS r, {r6(f'avg({c}) FILTER (WHERE label = 1)')} AS mean_pos, {r6(f'avg({c}) FILTER (WHERE label = 0)')} AS mean_neg FROM f " for c in _FEATURES))
 def feature_label_corr(spark, sf_dir):
     return learn.correlations(_labelled(spark, sf_dir), _FEATURES, "label")

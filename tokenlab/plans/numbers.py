@@ -379,6 +379,37 @@ def random_expected(spark, sf_dir):
     return s.select("dataset", "fraction", F.round((F.col("b") + F.ceil(F.col("fraction") * F.col("n")) / F.col("n") * (F.col("x") - F.col("b"))) / F.col("n"), 6).alias("expected_accuracy"))
 
 
+# Two hypergeometric counts for each draw: gained rows, then lost ones among the rest, by quantiles of hashed numbers.
+_LOG_CHOOSE = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1))"
+
+
+def _cdf(n: str, g: str, k: str) -> str:
+    c = lambda a, b: _LOG_CHOOSE.format(a=a, b=b)
+    low = f"greatest(0, {k} - ({n} - {g}))"
+    pmf = f"list_transform(range({low}, least({g}, {k}) + 1), lambda x: exp({c(g, 'x')} + {c(f'({n} - {g})', f'({k} - x)')} - {c(n, k)}))"
+    return f"SELECT {{cols}}, {low} AS low, list_transform(range(1, len(p) + 1), lambda i: list_sum(p[:i])) AS cdf FROM (SELECT *, {pmf} AS p FROM {{of}})"
+
+
+def _uniform(what: str) -> str:
+    return f"CAST(CAST('0x' || substr(sha256('42|' || draw || '|{what}|' || dataset || '|' || k), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
+
+
+@query(
+    _ROUTE
+    + f""", s AS (SELECT dataset, count(*) AS n, {n_if("base_ok")} AS b, {n_if("NOT base_ok AND long_ok")} AS g, {n_if("base_ok AND NOT long_ok")} AS l FROM r GROUP BY ALL),
+    q AS (SELECT dataset, fraction, n, b, g, l, CAST(ceil(fraction * n) AS BIGINT) AS k FROM s, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE)) v(fraction)),
+    c AS ({_cdf("n", "g", "k").format(cols="dataset, fraction", of="q")}),
+    d AS (SELECT q.*, draw, low + len(list_filter(cdf, lambda v: v < u)) AS x FROM (SELECT *, {_uniform("gained")} AS u FROM q, range(500) t(draw)) q JOIN c USING (dataset, fraction)),
+    m AS (SELECT DISTINCT dataset, fraction, n - g AS n, l AS g, k - x AS k, x FROM d), e AS ({_cdf("n", "g", "k").format(cols="dataset, fraction, x", of="m")}),
+    f AS (SELECT d.*, low + len(list_filter(cdf, lambda v: v < w)) AS y FROM (SELECT *, {_uniform("lost")} AS w FROM d) d JOIN e USING (dataset, fraction, x)),
+    a AS (SELECT *, CAST(b + x - y AS DOUBLE) / n AS accuracy FROM f)
+    SELECT dataset, fraction, k, CAST(500 AS INTEGER) AS draws, {r6("avg(accuracy)")} AS mean_accuracy, {r6("stddev_pop(accuracy)")} AS sd_accuracy, {r6("quantile_cont(accuracy, 0.025)")} AS low, {r6("quantile_cont(accuracy, 0.975)")} AS high FROM a GROUP BY ALL"""
+)
+def random_drawn(spark, sf_dir):
+    """What routing k rows at random comes to, in 500 draws."""
+    return routing.drawn_baseline(_routes(spark, sf_dir), "base_ok", "long_ok", "dataset", (0.1, 0.3, 0.5))
+
+
 def _cost_row(name: str, r: str, acc: str, rerun: str, resume: str, a: str, b: str) -> str:
     v = {"route_fraction": r, "accuracy": acc, "cap_budget_rerun": rerun, "savings_rerun_pct": f"100 * (1 - ({rerun}) / 50)", "cap_budget_resume": resume, "savings_resume_pct": f"100 * (1 - ({resume}) / 50)", "actual_tokens_rerun": a, "estimated_actual_tokens_resume": b}
     return f"SELECT '{name}' AS strategy, " + ", ".join(f"round(CAST({x} AS DOUBLE), 6) AS {k}" for k, x in v.items()) + " FROM t"
