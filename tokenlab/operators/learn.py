@@ -155,14 +155,33 @@ def scaling(rows: DataFrame, features: list[str], *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x(f)).alias(f"m_{f}") for f in features], *[F.var_pop(x(f)).alias(f"v_{f}") for f in features])
 
 
+def _logistic(n: int, c: float, seed: int, iterations: int = 200, **columns):
+    return LogisticRegression(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=iterations, **columns)
+
+
+def _forest(n: int, c: float, seed: int, **columns):
+    return RandomForestClassifier(numTrees=TREES, maxDepth=8, minInstancesPerNode=5, seed=seed, **columns)
+
+
+def _deep(n: int, c: float, seed: int, **columns):
+    """As many trees as the routing evaluation grows, to the greatest depth that Spark's trees have, down to single rows."""
+    return RandomForestClassifier(numTrees=300, maxDepth=30, minInstancesPerNode=1, seed=seed, **columns)
+
+
+def _boosted(n: int, c: float, seed: int, **columns):
+    return GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **columns)
+
+
+#: Estimators by name; plugins.register_classifier adds others.
+CLASSIFIERS = {"logistic": _logistic, "forest": _forest, "deep_forest": _deep, "boosted": _boosted}
+
+
 def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
-    """logistic (L2 of strength 1 / (c * n) on the mean loss), forest or boosted, all with weights."""
-    common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
-    if kind == "logistic":
-        return LogisticRegression(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200, **common)
-    if kind == "forest":
-        return RandomForestClassifier(numTrees=TREES, maxDepth=8, minInstancesPerNode=5, seed=seed, **common)
-    return GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **common)
+    """logistic (L2 of strength 1 / (c * n) on the mean loss), forest, deep_forest, boosted or one that was registered, all
+    with weights."""
+    if kind not in CLASSIFIERS:
+        raise ValueError(f"unknown classifier {kind!r}; there are {', '.join(sorted(CLASSIFIERS))}")
+    return CLASSIFIERS[kind](n, c, seed, labelCol="label", featuresCol="features", weightCol="weight")
 
 
 class Fitted:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import request_seed
-from ..operators import integrity
+from ..operators import integrity, plugins
 from ..sources import aligned, ledger, records
 from ..sources.tables import new_folder
 from . import adapter, runs
@@ -155,3 +155,12 @@ def aligned_scan(spark, sf_dir):
     tokens = lambda x: F.aggregate(x["chains"], F.lit(0), lambda s, y: s + y["token_count"])
     prefix = F.size(F.filter(F.zip_with("b.chains", "c.chains", lambda p, q: F.slice(q["token_ids"], 1, BASE_CAP) == p["token_ids"]), lambda x: x))
     return rows.groupBy("a.dataset").agg(F.count(F.lit(1)).alias("n_records"), *[F.sum(tokens(F.col(k))).alias(f"tokens_{k}") for k in "abc"], F.sum(prefix).alias("n_prefixes"))
+
+
+@query(adapter.SQL + """, s AS (SELECT problem_id, answer, sum(token_count) AS t, bool_or(correct) AS ok FROM chains WHERE arm = 'C' AND answer IS NOT NULL GROUP BY ALL), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY t DESC, answer) = 1)
+    SELECT problem_id, w.answer AS winner, coalesce(w.ok, false) AS correct, CAST(n AS INTEGER) AS n FROM (SELECT problem_id, count(*) AS n FROM chains WHERE arm = 'C' GROUP BY problem_id) LEFT JOIN w USING (problem_id)""")
+def vote_table_function(spark, sf_dir):
+    """A vote rule that a user brings, called from SQL as a table function over partitions."""
+    plugins.register_rules(spark)
+    adapter.chain_rows(adapter.arms(spark, sf_dir), "c").select("problem_id", "chain_index", "answer", "correct", "token_count").createOrReplaceTempView("tokenlab_chains")
+    return spark.sql("SELECT * FROM vote_by(TABLE(SELECT * FROM tokenlab_chains) PARTITION BY problem_id ORDER BY (chain_index), 'most_tokens')")
