@@ -101,6 +101,28 @@ def test_checkpoint_and_cache(spark, tmp_path):
     for n in (3, 5):
         assert records.cached(spark, rows.filter(f"problem_id < {n}"), ["problem_id"], str(tmp_path / "k"), compute).count() == n
     assert asked == [3, 2]
+    assert records.cached(spark, rows.filter("problem_id < 2"), ["problem_id"], str(tmp_path / "k"), compute, version="2").count() == 2 and asked == [3, 2, 2]
+
+
+def test_writers_of_one_cache_keep_one_row_a_key(spark, tmp_path):
+    """A writer that finds others' additions when it commits drops its own repeats; timed-out rows are not kept."""
+    rows, path = spark.range(6).select(F.col("id").alias("k")), str(tmp_path / "k")
+    value = lambda d, v: d.withColumn("v", F.lit(v)).withColumn("timed_out", F.col("k") == 5)
+
+    def slow(missing):
+        # Meanwhile another writer scores keys 2 to 4.
+        records.cached(spark, rows.filter("k between 2 and 4"), ["k"], path, lambda d: value(d, 1), settled="not timed_out")
+        return value(missing, 2)
+
+    got = {r["k"]: (r["v"], r["timed_out"]) for r in records.cached(spark, rows, ["k"], path, slow, settled="not timed_out").collect()}
+    assert got == {0: (2, False), 1: (2, False), 2: (1, False), 3: (1, False), 4: (1, False), 5: (2, True)}
+    again = {r["k"]: r["v"] for r in records.cached(spark, rows, ["k"], path, lambda d: value(d, 3).withColumn("timed_out", F.lit(False)), settled="not timed_out").collect()}
+    assert again == {0: 2, 1: 2, 2: 1, 3: 1, 4: 1, 5: 3}
+    from tokenlab.sources import ledger
+
+    assert ledger.read(spark, f"{path}/1/unsettled", "k long").count() == 1
+    stored = spark.read.parquet(*[f"{path}/1/parts/{p['name']}" for own in ledger.manifest(f"{path}/1")["batches"].values() for p in own])
+    assert stored.count() == stored.select("k").distinct().count() == 6
 
 
 def test_manifest_and_tables(spark, tmp_path):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ledger import _uri
+
 #: Bytes of the first file for one partition, and bytes that are read together.
 SPLIT, CHUNK = 64 << 20, 4 << 20
 #: Rows of a batch.
@@ -201,7 +203,7 @@ def read_aligned(spark: SparkSession, schema, key: str = "problem_id", ordered:
     with ordered (ids ascending in each file, as the canonical order has them) wherever they are. Blank lines are
     records without an id; an empty last line is none.
     """
-    uris = [p if "://" in p else f"file://{p}" for p in paths.values()]
+    uris = [_uri(p) for p in paths.values()]
     spark.dataSource.register(AlignedJsonl)
     lines = spark.read.format("aligned_jsonl").options(paths=json.dumps(uris), key=key, ordered=str(ordered).lower(), splits=json.dumps(splits(spark, uris, split))).load()
     return lines.select(F.col("key").alias(key), "record", *[F.from_json(f"r{i}", schema, {"mode": "FAILFAST"}).alias(n) for i, n in enumerate(paths)])

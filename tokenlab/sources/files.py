@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ledger
+
 BLOCK = 8 << 20
 #: Larger files than this are digested by the driver in blocks; smaller ones by the executors, whole.
 WHOLE = 256 << 20
@@ -130,10 +132,13 @@ def _swap(spark: SparkSession, part, target) -> None:
 def write_one_jsonl(rows: DataFrame, path: str, *order: str) -> None:
     """Rows as one JSONL file in canonical order, which replaces an earlier one at once.
 
-    Spark writes the parts in order and in parallel; the driver's file system strings them together, a block at a
-    time, so no task holds all rows.
+    Spark writes the parts in order and in parallel. On a mounted file system tasks copy them into one file side by
+    side (ledger.write_one); elsewhere the driver's file system strings them together, a block at a time.
     """
     spark = rows.sparkSession
+    if _at(spark, path)[0].getScheme() == "file":
+        ledger.write_one(rows, path, *order, nulls=False)
+        return
     folder = f"{path}.{uuid.uuid4().hex[:8]}.parts"
     (rows.orderBy(*order) if order else rows).write.json(folder)
     fs, target = _at(spark, path)

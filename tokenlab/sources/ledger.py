@@ -20,6 +20,9 @@ TRIES = 50
 
 
 def _uri(path: str) -> str:
+    """path with its scheme; Hadoop writes local ones with a single slash."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return f"file://{path[5:]}"
     return path if "://" in path else f"file://{path}"
 
 
@@ -67,13 +70,16 @@ def _claim(store: fs.FileSystem, name: str, data: bytes) -> bool:
         return f.read() == data
 
 
-def commit(path: str, batch: str, parts: list[dict]) -> bool:
-    """Add a batch to the log as its next version; False if the batch is there already, whoever wrote it."""
+def commit(path: str, batch: str, parts: list[dict], after: int | None = None) -> bool:
+    """Add a batch to the log as its next version; False if the batch is there already, whoever wrote it.
+
+    after: the version that the batch was made from; False too if there is a later one by now.
+    """
     store, own = _store(path)
     store.create_dir(f"{own}/log", recursive=True)
     for _ in range(TRIES):
         state = manifest(path)
-        if batch in state["batches"]:
+        if batch in state["batches"] or (after is not None and state["version"] != after):
             return False
         wanted = {"batches": state["batches"] | {batch: parts}, "writer": uuid.uuid4().hex}
         if _claim(store, f"{own}/log/{state['version'] + 1:010d}.json", json.dumps(wanted).encode()):
@@ -135,13 +141,14 @@ class Ledger(DataSource):
         return _Writer(self.options)
 
 
-def append(rows: DataFrame, path: str, batch: str) -> None:
+def append(rows: DataFrame, path: str, batch: str, nulls: bool = True) -> None:
     """Add rows as JSON lines under a batch's name; a batch that is there already is not added again.
 
-    Attempts that are killed or repeated leave parts that no version lists; vacuum() removes them.
+    Attempts that are killed or repeated leave parts that no version lists; vacuum() removes them. nulls: whether fields
+    that are null are written.
     """
     rows.sparkSession.dataSource.register(Ledger)
-    lines = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("line"))
+    lines = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": str(not nulls).lower()}).alias("line"))
     lines.write.format("ledger_jsonl").mode("append").options(path=_uri(path), batch=batch).save()
 
 
@@ -162,7 +169,7 @@ def vacuum(path: str) -> int:
     return len(gone)
 
 
-def write_one(rows: DataFrame, path: str, *order: str) -> None:
+def write_one(rows: DataFrame, path: str, *order: str, nulls: bool = True) -> None:
     """Rows as one JSONL file in canonical order, which replaces an earlier one at once; tasks copy the bytes.
 
     Parts are written in order through a ledger of their own. Their sizes tell where each belongs, so tasks write the
@@ -174,7 +181,7 @@ def write_one(rows: DataFrame, path: str, *order: str) -> None:
     if not isinstance(store, fs.LocalFileSystem):
         raise ValueError(f"{path}: only a mounted file system can be written by many tasks at once")
     staged, part = f"{target}.{uuid.uuid4().hex[:8]}.parts", f"{own}.{uuid.uuid4().hex[:8]}.tmp"
-    append(rows.orderBy(*order) if order else rows, staged, "all")
+    append(rows.orderBy(*order) if order else rows, staged, "all", nulls)
     parts, at, places = manifest(staged)["batches"]["all"], 0, []
     for p in parts:
         places.append((f"{_store(staged)[1]}/parts/{p['name']}", at, p["bytes"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 import yaml
@@ -186,21 +187,49 @@ def canonical(value) -> str:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def cached(spark: SparkSession, wanted: DataFrame, keys: list[str], path: str, compute) -> DataFrame:
-    """A table of computed values that grows: what path lacks of wanted keys is computed and appended; all is returned.
+def cached(spark: SparkSession, wanted: DataFrame, keys: list[str], path: str, compute, version: str = "1", settled: str | None = None) -> DataFrame:
+    """A table of computed values that grows: what it lacks of wanted keys is computed and added; all wanted is returned.
 
-    compute gets the missing keys and returns them with values. Keys are scored once, whatever reads them.
+    compute gets the missing keys and returns them with values. version: of what computes; another one misses. settled:
+    a condition on results; others (a verification that ran out of time) are returned and noted in a log of their own,
+    but never kept as values, so that they are computed again. Every addition is a version of a log that one writer can
+    claim: a writer that was slower drops what others have added meanwhile and tries again, so a key has one row
+    whoever computes it. Files are sorted by key and carry Bloom filters on it, which lookups use.
     """
+    from . import ledger
+    from .tables import materialise
+
+    home = f"{path.rstrip('/')}/{version}"
     wanted = wanted.select(*keys).distinct()
-    try:
-        have = spark.read.parquet(path)
-        missing = wanted.join(have.select(*keys), keys, "left_anti")
-    except Exception as e:  # the first run
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        missing = wanted
-    compute(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted, keys, "left_semi").dropDuplicates(keys)
+    results, values = None, None
+    for _ in range(ledger.TRIES):
+        state = ledger.manifest(home)
+        parts = [f"{home}/parts/{p['name']}" for own in state["batches"].values() for p in own]
+        have = spark.read.parquet(*parts) if parts else None
+        missing = wanted if have is None else wanted.join(have.select(*keys), keys, "left_anti")
+        if results is None:
+            results = materialise(compute(missing), "computed")
+            values = results if settled is None else results.filter(settled)
+        new = values if have is None else values.join(have.select(*keys), keys, "left_anti")
+        if new.isEmpty():
+            break
+        name = f"{uuid.uuid4().hex}.parquet"
+        writer = new.dropDuplicates(keys).sort(*keys).write
+        for k in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+        writer.parquet(f"{home}/parts/{name}")
+        if ledger.commit(home, name, [{"name": name, "rows": -1, "bytes": -1}], after=state["version"]):
+            have = spark.read.parquet(*parts, f"{home}/parts/{name}")
+            break
+    else:
+        raise RuntimeError(f"{path}: other writers were faster {ledger.TRIES} times")
+    out = results.limit(0) if have is None else have.join(wanted, keys, "left_semi").select(*results.columns)
+    if settled is None:
+        return out
+    open_ = results.filter(f"not coalesce(({settled}), false)").dropDuplicates(keys)
+    if not open_.isEmpty():
+        ledger.append(open_.select(*keys), f"{home}/unsettled", uuid.uuid4().hex)
+    return out.unionByName(open_.join(out.select(*keys), keys, "left_anti"))
 
 
 class Checkpoint:
