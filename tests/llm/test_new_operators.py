@@ -142,7 +142,8 @@ def test_keys_that_no_level_holds_are_listed(monkeypatch):
 def test_phrases_of_one_key_are_told_apart(spark, tmp_path):
     found = spark.createDataFrame([(5, 1, "a", "x y"), (5, 2, "a", "y z"), (9, 1, "a", "z"), (5, 1, "a", "x y")], "key long, check long, lang string, phrase string")
     table = collocations.build(found, 3, f"file://{tmp_path}").arrays(0)
-    got = collocations.slots(table, np.array([5, 5, 9, 5, 77], dtype=np.uint64), np.array([1, 2, 1, 3, 1], dtype=np.uint64))
+    checks = np.array([1, 2, 1, 3, 1], dtype=np.uint64)
+    got = collocations.slots(table, np.array([5, 5, 9, 5, 77], dtype=np.uint64), checks.__getitem__)
     assert sorted(got[:3]) == [0, 1, 2] and list(got[3:]) == [-1, -1]
     assert [collocations.stored(table, "phrase").to_pylist()[i] for i in got[:3]] == ["x y", "y z", "z"]
 
