@@ -11,6 +11,8 @@ _NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 NUMBERISH = r"-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:\s*/\s*-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?)?"
 #: White space as Python's strip and split see it.
 BLANKS = r"(?U)[\s\x1c-\x1f]"
+#: Those of them that are ASCII, for texts that are.
+ASCII_BLANKS, ASCII_CHARS = r"[\x09-\x0d\x1c-\x20]", " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def as_number(text: Column) -> Column:
@@ -30,9 +32,13 @@ def gsm8k_gold_number(text: Column) -> Column:
     return as_number(F.replace(F.regexp_extract(F.coalesce(text, F.lit("")), r"####\s*([-0-9,.]+)", 1), F.lit(","), F.lit("")))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def stripped(text: Column) -> Column:
     """text without white space at its ends, as Python strips it."""
-    return F.regexp_replace(text, f"{BLANKS}+\\z|^{BLANKS}+", "")
+    return F.when(is_ascii(text), F.trim(text, F.lit(ASCII_CHARS))).otherwise(F.regexp_replace(text, f"{BLANKS}+\\z|^{BLANKS}+", ""))
 
 
 def _closed(rest: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import BLANKS, cap_hit, stripped
+from ..functions.answers import ASCII_BLANKS, BLANKS, cap_hit, is_ascii, stripped
 from ..sources.records import require_same_ids
 
 # Fixed patterns of the question features.
@@ -13,7 +13,7 @@ NUMBER_WORDS, OPERATORS = r"\b\d+[\.,]?\d*\b", r"[+\-*/=^%]|\\(?:sqrt|frac|cdot|
 
 
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(text, f"{BLANKS}+"), lambda w: w != "")
+    return F.filter(F.when(is_ascii(text), F.split(text, f"{ASCII_BLANKS}+")).otherwise(F.split(text, f"{BLANKS}+")), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
