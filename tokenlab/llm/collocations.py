@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from string import ascii_lowercase, ascii_uppercase
 
@@ -273,25 +273,25 @@ def candidates(texts: DataFrame, bounds: Files, longest: int) -> DataFrame:
     """key, check, lang, phrase of each phrase whose hash is in bounds; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = np.zeros(0, dtype=np.uint64)
+        given = np.zeros(0, dtype=np.uint64)  # what this task has given already: both keys as one, sorted
         for block in blocks(batches, longest):
             new = [given]
             for p in block.phrases(longest):
                 keys, first = np.unique(p.keys, return_index=True)
+                hits = [np.zeros(0, dtype=np.int64)]
                 for s, a, b in bounds.ranges(keys):
                     known, own = bounds.arrays(s)["keys"], keys[a:b] >> np.uint64(DROPPED)
-                    if not len(known):
-                        continue
-                    hits = a + np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
-                    at = p.at[first[hits]]
-                    checks = p.checks(at)
-                    # Both keys together tell what this task has given already.
-                    both = mixed(keys[hits] ^ mixed(checks))
-                    fresh = ~np.isin(both, given, assume_unique=True)
-                    new.append(both[fresh])
-                    hits, at, checks = hits[fresh], at[fresh], checks[fresh]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[hits].view(np.int64)), pa.array(checks.view(np.int64)), pa.repeat(pa.scalar(p.lang, pa.string()), len(hits)), p.texts(at)], names=_FOUND)
-            given = np.concatenate(new)
+                    if len(known):
+                        hits.append(a + np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own))
+                hits = np.concatenate(hits)
+                at = p.at[first[hits]]
+                checks = p.checks(at)
+                both = mixed(keys[hits] ^ mixed(checks))
+                fresh = np.flatnonzero(given[np.minimum(np.searchsorted(given, both), len(given) - 1)] != both) if len(given) else np.arange(len(both))
+                new.append(both[fresh])
+                hits, at, checks = hits[fresh], at[fresh], checks[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hits].view(np.int64)), pa.array(checks.view(np.int64)), pa.repeat(pa.scalar(p.lang, pa.string()), len(hits)), p.texts(at)], names=_FOUND)
+            given = np.sort(np.concatenate(new))
 
     return texts.mapInArrow(released(run), "key long, check long, lang string, phrase string")
 
@@ -353,13 +353,18 @@ def stored(table: dict[str, np.ndarray], name: str) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(table["keys"]), [None, pa.py_buffer(table[f"{name}.ends"]), pa.py_buffer(table[f"{name}.data"])])
 
 
-def slots(table: dict[str, np.ndarray], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Slots of phrases in a shard, -1 for those that aren't there: both stored keys have to be the same."""
+def slots(table: dict[str, np.ndarray], keys: np.ndarray, checks_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Slots of phrases in a shard, -1 for those that aren't there: both stored keys have to be the same.
+
+    checks_of gives second keys of some of them, by number: of those whose first key is stored.
+    """
     own = PerfectHash.of(table).slot(keys)
-    own[(own >= 0) & ((table["keys"][own] != keys) | (table["checks"][own] != checks))] = -1
+    at = np.flatnonzero((own >= 0) & (table["keys"][own] == keys)) if len(table["keys"]) else np.zeros(0, dtype=np.int64)
+    checks, out = checks_of(at), np.full(len(keys), -1, dtype=np.int64)
+    out[at] = np.where(table["checks"][own[at]] == checks, own[at], -1)
     for s in range(int(table["single"][0]), len(table["keys"])):
-        own[(table["keys"][s] == keys) & (table["checks"][s] == checks)] = s
-    return own
+        out[at[(table["keys"][s] == keys[at]) & (table["checks"][s] == checks)]] = s
+    return out
 
 
 def count(texts: DataFrame, phrases: Files, longest: int, folder: str) -> Files:
@@ -378,13 +383,11 @@ def count(texts: DataFrame, phrases: Files, longest: int, folder: str) -> Files:
                 keys, first, times = np.unique(p.keys, return_index=True, return_counts=True)
                 for s, a, b in phrases.ranges(keys):
                     table = phrases.arrays(s)
-                    # Second keys only of those whose first is stored.
-                    maybe = PerfectHash.of(table).slot(keys[a:b])
-                    maybe = a + np.flatnonzero((maybe >= 0) & (table["keys"][maybe] == keys[a:b]))
-                    own = slots(table, keys[maybe], p.checks(p.at[first[maybe]]))
+                    starts = p.at[first[a:b]]
+                    own = slots(table, keys[a:b], lambda i, p=p, starts=starts: p.checks(starts[i]))
                     if s not in sums:
                         sums[s] = np.zeros(len(table["keys"]), dtype=np.int64)
-                    sums[s][own[own >= 0]] += times[maybe][own >= 0]
+                    sums[s][own[own >= 0]] += times[a:b][own >= 0]
             if sum(x.nbytes for x in sums.values()) > HELD:
                 yield from emit(sums)
         yield from emit(sums)
@@ -434,7 +437,7 @@ def read_cuts(texts: DataFrame, phrases: Files, counts: Files, longest: int, lea
         out, order = np.zeros(len(keys), dtype=np.int64), np.argsort(keys, kind="stable")
         for s, a, b in phrases.ranges(keys[order]):
             at = order[a:b]
-            own = slots(phrases.arrays(s), keys[at], checks[at])
+            own = slots(phrases.arrays(s), keys[at], lambda i, at=at: checks[at[i]])
             out[at[own >= 0]] = counts.arrays(s)["counts"][own[own >= 0]]
         return out
 
