@@ -47,6 +47,28 @@ def test_edges(spark):
     assert r[1]["w"]["low"] == 0.0 and r[2]["w"]["high"] == 1.0 and r[3]["w"]["high"] is None
 
 
+def test_tails_are_all_terms_summed():
+    whole = lambda k, n, p: math.fsum(math.exp(stats.log_pmf(i, n, p)) for i in range(k + 1))
+    for n, ps in ((1, (0.0, 0.3, 1.0)), (7, (0.0, 0.01, 0.5, 0.99, 1.0)), (9000, (0.001, 0.4, 0.999))):
+        for p in ps:
+            for k in {0, 1, n // 3, int(n * p), min(n, int(n * p) + 1), n - 1, n}:
+                assert stats.cdf(k, n, p) == pytest.approx(whole(k, n, p), abs=1e-9)
+                assert stats._tail(k, n, p) == pytest.approx(1 - whole(k - 1, n, p), abs=1e-9)
+
+
+def test_bounds_of_large_counts_work_out_few_terms(monkeypatch):
+    """A bound may take no term for each event: 50 halvings would repeat them all."""
+    seen, real = [], stats.log_pmf
+    monkeypatch.setattr(stats, "log_pmf", lambda *x: seen.append(x) or real(*x))
+    for k, n in ((60_000, 200_000), (140_000, 200_000)):
+        low, high = stats.clopper_pearson(k, n)
+        half = stats.Z95 * math.sqrt(k * (n - k) / n**3)
+        assert (k / n - low, high - k / n) == pytest.approx((half, half), rel=0.01) and stats.upper_bound(k, n) < high
+    assert len(seen) < 1000
+    low, high = stats.clopper_pearson(7_000_000, 20_000_000)
+    assert stats._tail(7_000_000, 20_000_000, low) == pytest.approx(0.025, rel=1e-6) == stats.cdf(7_000_000, 20_000_000, high)
+
+
 def test_native_cdf_is_the_python_one(spark):
     cases = [(k, n, p) for n in (1, 5, 40, 900) for k in (0, 1, n // 2, n) for p in stats.MARGINS]
     for p in stats.MARGINS:

@@ -22,22 +22,40 @@ def log_pmf(k: int, n: int, p: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
 
 
+#: Terms of a tail that are worked out together, and the share of its sum below which a last term ends it.
+TERMS, NEGLIGIBLE = 4096, 1e-22
+
+
+def _outward(k: int, n: int, p: float, step: int) -> float:
+    """The probabilities of k, k + step, ... up to an end, summed; k has to lie on that side of the mean.
+
+    There each term is a falling share of the one before, so about the root of n of them count, however large n is; the
+    rest, below the sum's last bit, is left out.
+    """
+    first = math.exp(log_pmf(k, n, p))
+    if not first or p <= 0 or p >= 1:
+        return first
+    end, total, term, at = (n if step > 0 else 0), 1.0, 1.0, k
+    while at != end and term > NEGLIGIBLE * total:
+        i = np.arange(at, at + step * min(TERMS, abs(end - at)), step, dtype=float)
+        share = (n - i) * p / ((i + 1) * (1 - p)) if step > 0 else i * (1 - p) / ((n - i + 1) * p)
+        terms = term * np.cumprod(share)
+        total, term, at = total + float(terms.sum()), float(terms[-1]), at + step * len(i)
+    return first * total
+
+
 def cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k); the shorter tail is summed."""
+    """P(X <= k); the tail on k's side of the mean is summed."""
     if k < 0:
         return 0.0
     if k >= n:
         return 1.0
-    if k <= n // 2:
-        return min(1.0, math.fsum(math.exp(log_pmf(i, n, p)) for i in range(k + 1)))
-    return max(0.0, 1.0 - math.fsum(math.exp(log_pmf(i, n, p)) for i in range(k + 1, n + 1)))
+    return min(1.0, _outward(k, n, p, -1)) if k <= n * p else max(0.0, 1.0 - _outward(k + 1, n, p, 1))
 
 
 def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k)."""
-    if k > n // 2:
-        return min(1.0, math.fsum(math.exp(log_pmf(i, n, p)) for i in range(k, n + 1)))
-    return max(0.0, 1.0 - cdf(k - 1, n, p))
+    return min(1.0, _outward(k, n, p, 1)) if 0 < k <= n and k > n * p else max(0.0, 1.0 - cdf(k - 1, n, p))
 
 
 def _solve(f, rising: bool) -> float:
