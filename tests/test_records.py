@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,6 +322,37 @@ def test_text_features(spark):
     assert [x["line_count"] for x in f] == [0, 0, 3]
 
 
+
+def test_equal_rows_train_a_logistic_model_once(spark, monkeypatch):
+    """Rows repeated under other keys weigh more but are no more rows to train on; forests draw from all rows."""
+    one = spark.range(60).select("id", (F.col("id") % 6).cast("double").alias("x"), ((F.col("id") % 6 + F.col("id") % 2 * 3) > 4).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    many = one.crossJoin(spark.range(9).withColumnRenamed("id", "i")).select((F.col("id") + 60 * F.col("i")).alias("id"), "x", "label", "fold")
+    seen, real = {}, learn.Fitted.assembled
+    def assembled(self, rows):
+        if "weight" in rows.columns:
+            seen.setdefault(kind, []).append(rows.count())
+        return real(self, rows)
+    monkeypatch.setattr(learn.Fitted, "assembled", assembled)
+    kind = "logistic"
+    a, b = ({(r["id"] % 60): r["probability"] for r in learn.out_of_fold(d, ["x"], "label", k=3).collect()} for d in (one, many))
+    # Strength of the penalty goes by the rows: n times as many rows, n times as weak.
+    plain = learn.LogisticRegression(regParam=1.0 / 360, standardization=False, maxIter=200, labelCol="label", featuresCol="features", weightCol="weight")
+    assert max(seen["logistic"]) <= 2 * 12 and a.keys() == b.keys()
+    rows = many.filter("fold <> 0").withColumn("label", F.col("label").cast("double"))
+    sums = learn.scaling(rows, ["x"], "label").collect()
+    weights = rows.withColumn("weight", learn.class_weight(F.col("label"), {r["label"]: r["n"] for r in sums}))
+    n = sum(r["n"] for r in sums)
+    mean = sum(r["n"] * r["m_x"] for r in sums) / n
+    deviation = (sum(r["n"] * (r["v_x"] + (r["m_x"] - mean) ** 2) for r in sums) / n) ** 0.5
+    model = plain.fit(learn.VectorAssembler(inputCols=["z"], outputCol="features").transform(weights.withColumn("z", (F.col("x") - mean) / deviation)))
+    for r in many.filter("fold = 0 and id < 60").collect():
+        margin = model.coefficients[0] * (r["x"] - mean) / deviation + model.intercept
+        assert b[r["id"]] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-6)
+    kind = "forest"
+    monkeypatch.setattr(learn, "TREES", 2)
+    learn.out_of_fold(many, ["x"], "label", "forest", k=3)
+    assert seen["forest"] == [360] * 3
+
 def test_learning(spark):
     rows = spark.range(300).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1)).alias("x"), F.rand(2).alias("z"), F.lit(1).alias("one"))
     folds = learn.stratified_folds(rows, "id", "label", 5)

@@ -184,11 +184,23 @@ def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
     return CLASSIFIERS[kind](n, c, seed, labelCol="label", featuresCol="features", weightCol="weight")
 
 
+#: Classifiers that minimise a weighted sum over rows: equal rows may come as one, with their number as weight. Forests
+#: draw rows for each tree, so there they may not.
+SUMMED = {"logistic"}
+
+
+def tallied(rows: DataFrame, features: list[str], kind: str, *by: str) -> DataFrame:
+    """by, label and features to train on; for a kind of SUMMED one row for all equal ones, with their number as __rows."""
+    if kind not in SUMMED:
+        return rows.select(*by, "label", *features)
+    return materialise(rows.groupBy(*by, "label", *features).agg(F.count(F.lit(1)).alias("__rows")), "tally")
+
+
 class Fitted:
     """A model fitted on some rows, with the scaling that it learned."""
 
     def __init__(self, train: DataFrame, features: list[str], kind: str, sums: list, seed: int = 42):
-        """train: label (double) and features. sums: rows of scaling() by label, of the rows of train."""
+        """train: label (double) and features, as of tallied(). sums: rows of scaling() by label, of the rows behind train."""
         self.features, n = features, sum(r["n"] for r in sums)
         self.scale = {}
         if kind == "logistic":
@@ -198,7 +210,9 @@ class Fitted:
         sizes: dict[float, int] = {}
         for r in sums:
             sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
-        self.model = classifier(kind, n, seed=seed).fit(self.assembled(train.withColumn("weight", class_weight(F.col("label"), sizes))))
+        weight = class_weight(F.col("label"), sizes)
+        train = train.withColumn("weight", weight * F.col("__rows") if "__rows" in train.columns else weight).drop("__rows")
+        self.model = classifier(kind, n, seed=seed).fit(self.assembled(train))
 
     def assembled(self, rows: DataFrame) -> DataFrame:
         scaled = rows.select(*[c for c in rows.columns if c not in self.scale], *[((F.col(f) - m) / s).alias(f) for f, (m, s) in self.scale.items()])
@@ -213,14 +227,16 @@ class Fitted:
 def out_of_fold(frame: DataFrame, features: list[str], label: str, kind: str = "logistic", k: int = 5, seed: int = 42) -> DataFrame:
     """frame (with fold) and probability: every row scored by a model that didn't see its fold.
 
-    The frame is worked out once, into a table; sizes and moments of all folds come from one aggregation of it.
+    The frame is worked out once, into a table; sizes and moments of all folds come from one aggregation of it, and so do
+    the tallies of equal rows that a SUMMED kind trains on.
     """
     leakage_guard(features)
     base = materialise(frame.withColumn("label", F.col(label).cast("double")), "folds")
     sums = scaling(base, features, "fold", "label").collect()
+    train = tallied(base, features, kind, "fold")
     out = None
     for fold in range(k):
-        fitted = Fitted(base.filter(F.col("fold") != fold).select("label", *features), features, kind, [r for r in sums if r["fold"] != fold], seed)
+        fitted = Fitted(train.filter(F.col("fold") != fold).drop("fold"), features, kind, [r for r in sums if r["fold"] != fold], seed)
         scored = fitted.score(base.filter(F.col("fold") == fold))
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -253,7 +269,7 @@ def holdout(frame: DataFrame, features: list[str], label: str, train_on, kind: s
     leakage_guard(features)
     base = materialise(frame.withColumn("fold", F.when(train_on, F.lit(1)).otherwise(F.lit(0))).withColumn("label", F.col(label).cast("double")), "holdout")
     train = base.filter("fold = 1")
-    return Fitted(train.select("label", *features), features, kind, scaling(train, features, "label").collect()).score(base.filter("fold = 0"))
+    return Fitted(tallied(train, features, kind), features, kind, scaling(train, features, "label").collect()).score(base.filter("fold = 0"))
 
 
 def shuffled(frame: DataFrame, column: str, key: str, seed: int) -> DataFrame:

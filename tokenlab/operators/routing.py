@@ -194,10 +194,10 @@ def best_efficiency(curve: DataFrame, gain: str, cost: str, key: str) -> DataFra
     return curve.agg(best.alias("b")).select((-F.col("b.neg")).alias(key), F.col("b.gain").alias(gain), F.col("b.cost").alias(cost), F.round("b.efficiency", 6).alias("efficiency"))
 
 
-def router_features(frame: DataFrame, chains: str, question: str | None = None, plain: str = "F") -> DataFrame:
+def router_features(frame: DataFrame, chains: str, question: str | None = None, plain: str = "F", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Ten features of a problem's base run; question_chars only with the name of the question's column.
 
-    is_math: the data set is another than `plain`.
+    is_math: the data set is another than `plain`. keep: more columns of the frame, which need no join then.
     """
     ch, n = F.col(chains), F.size(chains)
     tokens = F.transform(ch, lambda c: c["token_count"].cast("double"))
@@ -209,5 +209,5 @@ def router_features(frame: DataFrame, chains: str, question: str | None = None,
     return frame.filter(n > 0).select(
         "problem_id", cut.cast("long").alias("cap_hits"), F.round(cut / n, 6).alias("cap_hit_fraction"), F.array_max(tokens).alias("max_tokens"), F.round(mean, 6).alias("mean_tokens"), F.array_min(tokens).alias("min_tokens"),
         F.round(F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))), 4).alias("std_tokens"), F.round(boxed / n, 6).alias("boxed_fraction"),
-        *([] if question is None else [F.char_length(F.coalesce(F.col(question), F.lit(""))).cast("long").alias("question_chars")]), "math_level", (F.col("dataset") != plain).cast("int").alias("is_math"),
+        *([] if question is None else [F.char_length(F.coalesce(F.col(question), F.lit(""))).cast("long").alias("question_chars")]), "math_level", (F.col("dataset") != plain).cast("int").alias("is_math"), *keep,
     )

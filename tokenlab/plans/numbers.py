@@ -489,7 +489,7 @@ def _asked(spark, sf_dir, arms):
 
 def _evaluated(spark, sf_dir, kinds=("logistic", "forest")):
     v = _asked(spark, sf_dir, at.voted(adapter.paired(spark, sf_dir), "b", "c"))
-    rows = routing.router_features(v, "b", "question").join(v.select("problem_id", F.col("vote_b.correct").alias("base_ok"), F.col("vote_c.correct").alias("long_ok")), "problem_id")
+    rows = routing.router_features(v, "b", "question", keep=(F.col("vote_b.correct").alias("base_ok"), F.col("vote_c.correct").alias("long_ok")))
     return evaluate.evaluate(rows.withColumn("record_id", F.col("problem_id")), adapter.BASE_CAP, adapter.LONG_CAP, kinds=kinds)
 
 
