@@ -452,3 +452,31 @@ def test_leftover_groups_are_placed_as_evenly_as_any_way(spark):
         best = min(spread(d) for d in itertools.product(range(3), repeat=6))
         assert spread(folds) <= best + max(sizes)
     assert learn.fold_number(spark.createDataFrame([(0,), (0,), (0,), (1,), (1,)], "y int"), "y", 5) == 2
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_runs_of_one_query_share_a_shuffle_and_are_written_compressed(spark, tmp_path):
+    from tokenlab.plans import recorded
+
+    problems = recorded.eligible(spark, "/root/testdata/sf0.001")
+    arms = [recorded.run(problems, "a", 35), recorded.cut(recorded.run(problems, "c", 50))]
+    assert [shuffles(x) for x in arms] == [0, 0] and problems.count() > 0
+    read = recorded.written(arms[0], "test-arm")
+    names = read.inputFiles()
+    assert names and all(n.endswith(".gz") for n in names) and read.count() == problems.count()
+    pick = lambda d: sorted(map(str, d.select("problem_id", "dataset", "question", "answer", "chains", "budget").collect()))
+    assert pick(read) == pick(arms[0])
+
+
+def test_protocol_shuffles_no_text(spark, monkeypatch):
+    from tokenlab.plans import recorded
+
+    problems = recorded.eligible(spark, "/root/testdata/sf0.001")
+    a, c = recorded.run(problems, "a", 35), recorded.run(problems, "c", 50)
+    joined, real = [], integrity.three_arms
+    monkeypatch.setattr(integrity, "three_arms", lambda *arms: joined.extend(arms) or real(*arms))
+    assert integrity.protocol_violations(a, recorded.cut(c), c, 35, 50).count() == 0
+    assert len(joined) == 3 and all("text" not in d.schema["chains"].dataType.elementType.names for d in joined)

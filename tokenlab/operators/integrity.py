@@ -186,7 +186,9 @@ def protocol_violations(a: DataFrame, b: DataFrame, c: DataFrame, base_cap: int,
         "token_counts": F.forall(check, lambda t: F.coalesce((t["p"]["token_count"] == F.size(t["p"]["token_ids"])) & (t["q"]["token_count"] == F.size(t["q"]["token_ids"])), F.lit(False))),
         "chain_identity": F.forall(check, lambda t: t["p"]["chain_index"].eqNullSafe(t["q"]["chain_index"]) & t["p"]["request_seed"].eqNullSafe(t["q"]["request_seed"])),
     }
-    rows = three_arms(a, b, c).withColumn("__pairs", F.zip_with("b.chains", "c.chains", lambda m, n: F.struct(m.alias("p"), n.alias("q"))))
+    # What no rule compares, texts above all, stays out of the shuffle.
+    compared = lambda d: d.select("problem_id", "dataset", "question", "answer", "budget", F.transform("chains", lambda ch: F.struct(*[ch[f].alias(f) for f in ("token_count", "chain_index", "request_seed", "token_ids")])).alias("chains"))
+    rows = three_arms(compared(a), compared(b), compared(c)).withColumn("__pairs", F.zip_with("b.chains", "c.chains", lambda m, n: F.struct(m.alias("p"), n.alias("q"))))
     return violations(rows, "problem_id", rules)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import request_seed
 from ..operators import integrity, plugins
 from ..sources import aligned, ledger, records
-from ..sources.tables import new_folder
+from ..sources.tables import materialise, new_folder
 from . import adapter, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,12 +44,22 @@ def spelled(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), " ")
 
 
-def run(spark: SparkSession, sf_dir: str, arm: str, cap: int) -> DataFrame:
-    """A run without faults, with the order's key as __k."""
-    seed = SEEDS[arm]
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The problems, in a table: __k, dataset and what the chains of a and c are made from.
+
+    The line items are shuffled once, however many runs a query makes; of each order four pairs of numbers stay.
+    """
     lines = adapter.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*adapter.ORDER, "l_linestatus"))).alias("lines"))
     of = lambda s: F.filter("lines", lambda x: x["l_linestatus"] == s)
-    own = lines.filter((F.size(of("F")) >= CHAINS) & (F.size(of("O")) >= CHAINS))
+    first = lambda s: F.transform(F.slice(of(s), 1, CHAINS), lambda x: F.struct(x["l_quantity"].alias("l_quantity"), x["l_partkey"].alias("l_partkey")))
+    own = lines.select("__k", first("F").alias("a"), first("O").alias("c")).filter((F.size("a") == CHAINS) & (F.size("c") == CHAINS))
+    orders = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("__k"), F.col("o_orderstatus").alias("dataset"))
+    return materialise(own.join(orders, "__k"), "eligible")
+
+
+def run(problems: DataFrame, arm: str, cap: int) -> DataFrame:
+    """A run without faults of eligible problems, with the order's key as __k."""
+    seed = SEEDS[arm]
     problem = F.concat(F.lit("o"), F.col("__k").cast("string"))
 
     def chain(x: Column, i: Column) -> Column:
@@ -60,16 +70,15 @@ def run(spark: SparkSession, sf_dir: str, arm: str, cap: int) -> DataFrame:
     policy = F.struct(F.lit(None).cast("long").alias("engine_seed"), F.lit(None).cast("decimal(20,0)").alias("request_seed"), F.lit(seed).cast("long").alias("base_seed"), F.lit("per_problem_per_chain_sha256").alias("mode"))
     signature = F.struct(F.lit("m").alias("model"), F.lit("s").alias("model_snapshot_sha256"), F.create_map(F.lit("python"), F.lit("3")).alias("runtime_versions"), F.lit("t").alias("prompt_template"), F.lit("p").alias("prompt_sha256"), F.lit(True).alias("store_token_ids"))
     budget = F.struct(F.lit(cap).alias("max_new_tokens"), F.lit(CHAINS).alias("n_chains"), F.lit(0.5).alias("temperature"), F.lit(0.9).alias("top_p"), F.lit(seed).cast("long").alias("seed"), F.lit(None).cast("string").alias("mode"), policy.alias("seed_policy"), signature.alias("run_signature"))
-    orders = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("__k"), F.col("o_orderstatus").alias("dataset"))
-    made = own.join(orders, "__k").select("__k", problem.alias("problem_id"), "dataset", F.concat(F.lit("q"), F.col("__k").cast("string")).alias("question"), F.lit("#### 1").alias("answer"), F.transform(F.slice(of("F" if arm == "a" else "O"), 1, CHAINS), chain).alias("chains"), budget.alias("budget"))
+    made = problems.select("__k", problem.alias("problem_id"), "dataset", F.concat(F.lit("q"), F.col("__k").cast("string")).alias("question"), F.lit("#### 1").alias("answer"), F.transform(arm, chain).alias("chains"), budget.alias("budget"))
     wide = F.from_json(F.to_json("budget"), records.BUDGET)
     return made.withColumn("budget", wide).withColumn("chains", F.from_json(F.to_json("chains"), records.RUN["chains"].dataType))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as JSONL in the shared folder, read back strictly."""
+    """The rows as JSONL in the shared folder, compressed, read back strictly."""
     path = new_folder(rows.sparkSession, name)
-    rows.drop("__k").write.json(path)
+    rows.drop("__k").write.json(path, compression="gzip")
     return records.read_jsonl(rows.sparkSession, path)
 
 
@@ -81,8 +90,8 @@ def cut(c: DataFrame) -> DataFrame:
         WHEN 6 THEN ['ids', 'dataset', 'question', 'answer', 'caps', 'chain_counts', 'decoding', 'declared_prefix', 'seed_policy', 'exact_prefix', 'token_counts', 'chain_identity'] WHEN 7 THEN ['token_counts'] WHEN 8 THEN ['chain_identity'] WHEN 9 THEN ['caps', 'chain_counts'] END) AS rule FROM e WHERE k % 13 BETWEEN 1 AND 9""")
 def protocol_records(spark, sf_dir):
     """The whole protocol between three arms: independent A, B the exact prefix of C, with a fault of each kind."""
-    k, c = F.col("__k") % 13, run(spark, sf_dir, "c", LONG_CAP)
-    a = run(spark, sf_dir, "a", BASE_CAP)
+    problems = eligible(spark, sf_dir)
+    k, c, a = F.col("__k") % 13, run(problems, "c", LONG_CAP), run(problems, "a", BASE_CAP)
     same = F.transform("chains", lambda x, i: x.withField("request_seed", request_seed(F.lit(SEEDS["c"]), F.col("problem_id"), i)))
     a = a.withColumn("chains", F.when(k == 1, same).otherwise(F.col("chains")))
     a = a.withColumn("budget", F.when(k == 1, F.col("budget").withField("seed_policy.base_seed", F.lit(SEEDS["c"]).cast("long"))).when(k == 9, F.col("budget").withField("max_new_tokens", F.lit(BASE_CAP - 1))).otherwise(F.col("budget")))
@@ -99,7 +108,8 @@ def protocol_records(spark, sf_dir):
     UNION ALL SELECT 'a', CAST(count(*) + count(*) FILTER (WHERE k % 7 = 5) AS VARCHAR), 'row_count' FROM e HAVING count(*) FILTER (WHERE k % 7 = 5) > 0""")
 def file_validation(spark, sf_dir):
     """Files of a rerun: records, ids, budgets, numbers of rows, and what files tell of one problem."""
-    k, a, c = F.col("__k") % 7, run(spark, sf_dir, "a", BASE_CAP), run(spark, sf_dir, "c", LONG_CAP)
+    problems = eligible(spark, sf_dir)
+    k, a, c = F.col("__k") % 7, run(problems, "a", BASE_CAP), run(problems, "c", LONG_CAP)
     turned = F.transform("chains", lambda x, i: x.withField("chain_index", 1 - i))
     alike = F.transform("chains", lambda x: x.withField("request_seed", F.col("chains")[0]["request_seed"]))
     a = a.withColumn("chains", F.when(k == 1, F.slice("chains", 1, 1)).when(k == 2, turned).when(k == 4, alike).otherwise(F.col("chains")))
@@ -114,7 +124,7 @@ def file_validation(spark, sf_dir):
     SELECT outcome, count(*) AS n, any_value((SELECT count(*) FROM m WHERE outcome = 'valid')) AS n_kept FROM w GROUP BY outcome""")
 def resume_records(spark, sf_dir):
     """What a resumed run may keep of its file's lines: broken, foreign, faulty and repeated ones told apart."""
-    c = run(spark, sf_dir, "c", LONG_CAP)
+    c = run(eligible(spark, sf_dir), "c", LONG_CAP)
     k, chains = F.col("__k") % 9, F.col("chains")
     faulty = F.transform(chains, lambda x: x.withField("request_seed", x["request_seed"] - 1))
     rows = c.withColumn("chains", F.when(k == 2, F.slice("chains", 1, 1)).when(k == 6, faulty).otherwise(chains))
@@ -123,7 +133,7 @@ def resume_records(spark, sf_dir):
     text = F.to_json(F.struct(*[x for x in rows.columns if x != "__k"]))
     lines = rows.select(F.explode(F.when(k == 7, F.array(text, text)).when(k == 1, F.array(F.substring(text, 1, 40))).otherwise(F.array(text))).alias("value"))
     path = new_folder(spark, "resume")
-    lines.write.text(path)
+    lines.write.text(path, compression="gzip")
     problems = c.select("problem_id", F.col("__k").alias("position"), "dataset", "question", "answer", F.lit(None).cast("int").alias("math_level"))
     budget = {"max_new_tokens": LONG_CAP, "n_chains": CHAINS, "temperature": 0.5, "top_p": 0.9, "seed": SEEDS["c"]}
     policy = {"engine_seed": None, "request_seed": None, "base_seed": SEEDS["c"], "mode": "per_problem_per_chain_sha256"}
@@ -134,7 +144,7 @@ def resume_records(spark, sf_dir):
 @query(_SQL + """SELECT dataset, count(*) AS n_chains, count(*) FILTER (WHERE tokens > 35) AS n_cut, CAST(sum(least(tokens, 35)) AS BIGINT) AS tokens, count(*) FILTER (WHERE tokens >= 35) AS n_at_cap, CAST(count(*) FILTER (WHERE tokens <= 35) AS BIGINT) AS n_same_text FROM c WHERE s = 'O' GROUP BY dataset""")
 def prefix_runs(spark, sf_dir):
     """The extended run as it would have been at the base cap, from token ids that are stored, written and read back."""
-    c = written(run(spark, sf_dir, "c", LONG_CAP), "long")
+    c = written(run(eligible(spark, sf_dir), "c", LONG_CAP), "long")
     b = written(cut(c), "prefix")
     both = b.select("problem_id", "dataset", F.posexplode("chains").alias("i", "p")).join(c.select("problem_id", F.posexplode("chains").alias("i", "q")), ["problem_id", "i"])
     count = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
@@ -146,10 +156,11 @@ def prefix_runs(spark, sf_dir):
     SELECT dataset, count(DISTINCT k) AS n_records, CAST(sum(least(x, 35)) AS BIGINT) AS tokens_a, CAST(sum(least(z, 35)) AS BIGINT) AS tokens_b, CAST(sum(z) AS BIGINT) AS tokens_c, count(*) AS n_prefixes FROM p GROUP BY dataset""")
 def aligned_scan(spark, sf_dir):
     """Three single files in canonical order, read side by side without a shuffle."""
-    c = run(spark, sf_dir, "c", LONG_CAP)
+    problems = eligible(spark, sf_dir)
+    c = run(problems, "c", LONG_CAP)
     folder = new_folder(spark, "aligned")
     paths = {k: f"{folder}/{k}.jsonl" for k in "abc"}
-    for k, rows in (("a", run(spark, sf_dir, "a", BASE_CAP)), ("b", cut(c)), ("c", c)):
+    for k, rows in (("a", run(problems, "a", BASE_CAP)), ("b", cut(c)), ("c", c)):
         ledger.write_one(rows.drop("__k"), paths[k], "problem_id")
     rows = aligned.read_aligned(spark, records.RUN, ordered=True, **paths)
     tokens = lambda x: F.aggregate(x["chains"], F.lit(0), lambda s, y: s + y["token_count"])
