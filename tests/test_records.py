@@ -480,3 +480,20 @@ def test_protocol_shuffles_no_text(spark, monkeypatch):
     monkeypatch.setattr(integrity, "three_arms", lambda *arms: joined.extend(arms) or real(*arms))
     assert integrity.protocol_violations(a, recorded.cut(c), c, 35, 50).count() == 0
     assert len(joined) == 3 and all("text" not in d.schema["chains"].dataType.elementType.names for d in joined)
+
+
+def test_aligned_files_are_written_from_sorted_problems(spark, monkeypatch):
+    """The records themselves are neither sorted nor made a second time to sample ranges."""
+    from tokenlab.plans import recorded
+
+    orders, real = [], recorded.ledger.write_one
+    monkeypatch.setattr(recorded.ledger, "write_one", lambda rows, path, *order: orders.append(order) or real(rows, path, *order))
+    assert recorded.aligned_scan(spark, "/root/testdata/sf0.001").count() and orders == [()] * 3
+
+
+def test_lines_to_resume_are_written_compressed(spark, monkeypatch):
+    from tokenlab.plans import recorded
+
+    read, real = [], records.numbered_lines
+    monkeypatch.setattr(recorded.records, "numbered_lines", lambda s, path, schema: read.append(s.read.text(path).inputFiles()) or real(s, path, schema))
+    assert recorded.resume_records(spark, "/root/testdata/sf0.001").count() and read[0] and all(x.endswith(".gz") for x in read[0])

@@ -156,12 +156,13 @@ def prefix_runs(spark, sf_dir):
     SELECT dataset, count(DISTINCT k) AS n_records, CAST(sum(least(x, 35)) AS BIGINT) AS tokens_a, CAST(sum(least(z, 35)) AS BIGINT) AS tokens_b, CAST(sum(z) AS BIGINT) AS tokens_c, count(*) AS n_prefixes FROM p GROUP BY dataset""")
 def aligned_scan(spark, sf_dir):
     """Three single files in canonical order, read side by side without a shuffle."""
-    problems = eligible(spark, sf_dir)
+    # The small rows that runs are made from are sorted, not the records.
+    problems = eligible(spark, sf_dir).orderBy(F.concat(F.lit("o"), F.col("__k").cast("string")))
     c = run(problems, "c", LONG_CAP)
     folder = new_folder(spark, "aligned")
     paths = {k: f"{folder}/{k}.jsonl" for k in "abc"}
     for k, rows in (("a", run(problems, "a", BASE_CAP)), ("b", cut(c)), ("c", c)):
-        ledger.write_one(rows.drop("__k"), paths[k], "problem_id")
+        ledger.write_one(rows.drop("__k"), paths[k])
     rows = aligned.read_aligned(spark, records.RUN, ordered=True, **paths)
     tokens = lambda x: F.aggregate(x["chains"], F.lit(0), lambda s, y: s + y["token_count"])
     prefix = F.size(F.filter(F.zip_with("b.chains", "c.chains", lambda p, q: F.slice(q["token_ids"], 1, BASE_CAP) == p["token_ids"]), lambda x: x))
