@@ -497,3 +497,10 @@ def test_lines_to_resume_are_written_compressed(spark, monkeypatch):
     read, real = [], records.numbered_lines
     monkeypatch.setattr(recorded.records, "numbered_lines", lambda s, path, schema: read.append(s.read.text(path).inputFiles()) or real(s, path, schema))
     assert recorded.resume_records(spark, "/root/testdata/sf0.001").count() and read[0] and all(x.endswith(".gz") for x in read[0])
+
+
+def test_written_runs_are_made_once(spark):
+    from tokenlab.plans import votes
+
+    long = votes._written(spark, "/root/testdata/sf0.001", "O", 50)
+    assert long.count() and shuffles(long) == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as at
 from ..operators import vote
+from ..sources.tables import materialise
 from . import adapter, runs
 
 QUERIES, ORACLES = {}, {}
@@ -360,7 +361,8 @@ _FORMS = ("\\boxed{%s}", "\\boxed{%s^\\circ}", "about %s", "\\boxed{%s\\text{ cm
 
 
 def _written(spark, sf_dir, status: str, cap: int) -> DataFrame:
-    """The run of a line status: a chain beyond the cap ends early and without a box."""
+    """The run of a line status, in a table, as checks of ids and of fields read it too: a chain beyond the cap ends early
+    and without a box."""
     o = adapter.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), F.when(F.col("o_orderstatus") == "F", "gsm8k").otherwise("math").alias("dataset"), (F.col("o_custkey") % 50 + 1).cast("int").cast("string").alias("g"))
     o = o.select("problem_id", "dataset", F.lit(None).cast("int").alias("math_level"), F.lit("?").alias("question"), F.when(F.col("dataset") == "gsm8k", F.concat(F.lit("so #### "), "g")).otherwise(F.concat(F.lit("\\boxed{"), "g", F.lit("}"))).alias("answer"), "g")
     lines = adapter.table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status).groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.array_sort(F.collect_list(F.struct(*adapter.ORDER))).alias("lines"))
@@ -371,7 +373,7 @@ def _written(spark, sf_dir, status: str, cap: int) -> DataFrame:
         said = F.element_at(F.array(*[F.format_string(f, v) for f in _FORMS]), (x["l_suppkey"] % 5).cast("int") + 1)
         return F.struct(F.when(tokens > cap, F.concat(F.lit("about "), v)).otherwise(said).alias("text"), F.least(tokens, F.lit(cap)).alias("token_count"), F.when(tokens > cap, "length").otherwise("stop").alias("finish_reason"))
 
-    return o.join(lines, "problem_id").withColumn("chains", F.transform("lines", chain)).drop("lines", "g")
+    return materialise(o.join(lines, "problem_id").withColumn("chains", F.transform("lines", chain)).drop("lines", "g"), "run")
 
 
 @query(
