@@ -504,3 +504,10 @@ def test_written_runs_are_made_once(spark):
 
     long = votes._written(spark, "/root/testdata/sf0.001", "O", 50)
     assert long.count() and shuffles(long) == 0
+
+
+def test_duplicate_keys_are_one_aggregation(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (2, 1, "a"), (2, 1, "b"), (2, 1, None), (3, 1, None), (3, 1, None), (4, 1, "a"), (None, 1, "a"), (None, 1, "c")], "k long, l int, v string")
+    found = integrity.duplicate_keys(rows, "k", "l")
+    assert {(r["k"], r["n"], r["conflicting"]) for r in found.collect()} == {(1, 2, False), (2, 3, True), (3, 2, False), (None, 2, True)}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
