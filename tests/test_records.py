@@ -4,10 +4,11 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenlab.operators import evaluate, integrity, learn, text
+from tokenlab.operators import evaluate, forest, integrity, learn, text
 from tokenlab.plans import features
 from tokenlab.sources import engines, files, generate, records
 from tokenlab.streaming import runs
@@ -353,6 +354,38 @@ def test_equal_rows_train_a_logistic_model_once(spark, monkeypatch):
     learn.out_of_fold(many, ["x"], "label", "forest", k=3)
     assert seen["forest"] == [360] * 3
 
+def test_forests_cost_what_their_classes_do(spark):
+    """Rows repeated under other keys are more to draw from, but no more classes; a rerun grows the same trees."""
+    one = spark.range(240).select((F.col("id") % 12).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"), ((F.col("id") % 12 > 6) != (F.col("id") % 7 == 0)).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    many = one.crossJoin(spark.range(9)).drop("id")
+    made, real = [], forest.Forest.blocks
+
+    def blocks(self, tally, cuts, classes):
+        out = real(self, tally, cuts, classes)
+        made.append((classes, sum(int(n) for r in out.collect() for n in np.frombuffer(r["n"], np.int64))))
+        return out
+
+    assembled = lambda d: learn.VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(d)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(forest.Forest, "blocks", blocks)
+        patch.setattr(learn, "TREES", 20)
+        a, b, c = (learn.classifier("forest", 0).fit(assembled(d)) for d in (one, many, many.repartition(3)))
+    (few, n), (same, m), _ = made
+    assert few == same <= 120 and (n, m) == (240, 2160)
+    p = [r["probability"][1] for r in b.transform(assembled(many)).collect()]
+    y = [r["label"] for r in many.collect()]
+    assert np.mean([(v > 0.5) == (w > 0.5) for v, w in zip(p, y, strict=True)]) > 0.8
+    assert (b.feature == c.feature).all() and (b.chance == c.chance).all() and a.featureImportances[0] > a.featureImportances[1]
+
+
+def test_best_splits_hold_so_many_rows():
+    counts = np.zeros((2, 1, forest.BINS, 2))
+    counts[1, 0, 0], counts[1, 0, 1], counts[1, 0, 2] = (4, 0), (3, 0), (0, 6)
+    for least, want in ((5, (1, 0, 1, 7, 0, 0, 6)), (7, None)):
+        (row,) = forest.splits(3, counts, np.array([1.0, 2.0]), least).to_pylist()
+        assert row["tree"] == 3 and (row["gain"] < 0 if want is None else tuple(row[k] for k in ("node", "slot", "bin", "l0", "l1", "r0", "r1")) == want)
+
+
 def test_learning(spark):
     rows = spark.range(300).select(F.col("id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1)).alias("x"), F.rand(2).alias("z"), F.lit(1).alias("one"))
     folds = learn.stratified_folds(rows, "id", "label", 5)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialise
 from . import order
+from .forest import Forest
 
 #: Words that must not be in the names of features.
 BANNED = ("label", "long", "correct", "gold", "answer_key", "utility")
@@ -160,7 +164,7 @@ def _logistic(n: int, c: float, seed: int, iterations: int = 200, **columns):
 
 
 def _forest(n: int, c: float, seed: int, **columns):
-    return RandomForestClassifier(numTrees=TREES, maxDepth=8, minInstancesPerNode=5, seed=seed, **columns)
+    return Forest(TREES, 8, 5, seed, **columns)
 
 
 def _deep(n: int, c: float, seed: int, **columns):
@@ -185,7 +189,7 @@ def classifier(kind: str, n: int, c: float = 1.0, seed: int = 42):
 
 
 #: Classifiers that minimise a weighted sum over rows: equal rows may come as one, with their number as weight. Forests
-#: draw rows for each tree, so there they may not.
+#: draw rows for each tree, so there they may not; a Forest counts equal rows itself, and draws how many of them it takes.
 SUMMED = {"logistic"}
 
 
@@ -228,18 +232,17 @@ def out_of_fold(frame: DataFrame, features: list[str], label: str, kind: str = "
     """frame (with fold) and probability: every row scored by a model that didn't see its fold.
 
     The frame is worked out once, into a table; sizes and moments of all folds come from one aggregation of it, and so do
-    the tallies of equal rows that a SUMMED kind trains on.
+    the tallies of equal rows that a SUMMED kind trains on. Models of tallies are many short jobs, so the folds' are fitted
+    side by side.
     """
     leakage_guard(features)
     base = materialise(frame.withColumn("label", F.col(label).cast("double")), "folds")
     sums = scaling(base, features, "fold", "label").collect()
     train = tallied(base, features, kind, "fold")
-    out = None
-    for fold in range(k):
-        fitted = Fitted(train.filter(F.col("fold") != fold).drop("fold"), features, kind, [r for r in sums if r["fold"] != fold], seed)
-        scored = fitted.score(base.filter(F.col("fold") == fold))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    fit = lambda fold: Fitted(train.filter(F.col("fold") != fold).drop("fold"), features, kind, [r for r in sums if r["fold"] != fold], seed)
+    with ThreadPoolExecutor(k if kind in SUMMED | {"forest"} else 1) as pool:
+        models = list(pool.map(fit, range(k)))
+    return reduce(DataFrame.unionByName, [m.score(base.filter(F.col("fold") == fold)) for fold, m in enumerate(models)])
 
 
 def enough_groups(frame: DataFrame, group: str, label: str, k: int = 5) -> bool:
