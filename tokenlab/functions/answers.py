@@ -50,19 +50,33 @@ def _closed(rest: Column) -> Column:
         depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
         return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["n"] + F.char_length(part)).alias("n")))
 
-    end = F.aggregate(parts, start, step)
-    return F.element_at(F.transform(F.array(end), lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), e["n"] - 1))), 1)
+    return once(F.aggregate(parts, start, step), lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), e["n"] - 1)))
+
+
+# From the last box on, if its braces hold no other ones, or those no third ones.
+_LAST_BOX = r"(?s)^.*\\boxed\{([^{}]*+(?:\{[^{}]*+\}[^{}]*+){0,64}+)\}"
 
 
 def boxed(text: Column) -> Column:
     r"""verify.extract_boxed in built-in functions: the last \boxed{...} whose braces balance, without any \boxed{ the word
     after the last "\boxed "."""
     text = F.coalesce(text, F.lit(""))
-    parts = F.split(text, r"\\boxed\{")
-    after = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: i <= F.size(parts)), lambda i: stripped(_closed(F.array_join(F.slice(parts, i, F.size(parts)), "\\boxed{"))))
-    tails = F.split(text, r"\\boxed ")
-    word = F.try_element_at(F.split(stripped(F.element_at(tails, -1)), f"{BLANKS}+"), F.lit(1))
-    return F.when(F.size(parts) > 1, F.try_element_at(F.filter(after, lambda x: x.isNotNull()), F.lit(-1))).when(F.size(tails) > 1, F.nullif(word, F.lit("")))
+
+    def nested(parts: Column) -> Column:
+        after = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: stripped(_closed(F.array_join(F.slice(parts, i, F.size(parts)), "\\boxed{"))))
+        return F.try_element_at(F.filter(after, lambda x: x.isNotNull()), F.lit(-1))
+
+    def word(tails: Column) -> Column:
+        return F.when(F.size(tails) > 1, F.nullif(F.try_element_at(F.split(stripped(F.element_at(tails, -1)), f"{BLANKS}+"), F.lit(1)), F.lit("")))
+
+    # A box that the pattern reads is the last that balances, unless a later one balances that it can't read: then
+    # what follows it has an opened box that is closed, and the braces are counted.
+    def read(found: Column) -> Column:
+        later = F.substring(text, F.char_length(found) + 1, F.char_length(text))
+        flat = (found != "") & ~later.contains("\\boxed{")
+        return F.when(flat, stripped(F.regexp_extract(found, _LAST_BOX, 1))).otherwise(once(F.split(text, r"\\boxed\{"), nested))
+
+    return F.when(text.contains("\\boxed{"), once(F.regexp_extract(text, _LAST_BOX, 0), read)).when(text.contains("\\boxed "), once(F.split(text, r"\\boxed "), word))
 
 
 def normalised(text: Column) -> Column:

@@ -74,8 +74,9 @@ def boxed_extract(spark, sf_dir):
     """The last box whose braces balance."""
     t = adapter.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").cast("string").alias("q"), (F.col("l_linenumber") % 6).alias("form"))
     forms = ["\\boxed{1} or \\boxed{ %s }.", "so \\boxed{\\frac{1}{%s}}", "\\boxed {%s} it is", "\\boxed{%s} then \\boxed{open", "\\boxed{a} \\boxed{b%s} end", "nothing %s"]
-    text_of = F.element_at(F.array(*[F.format_string(f, "q") for f in forms]), F.col("form").cast("int") + 1)
-    t = t.withColumn("text", text_of)
+    # Each row makes the text of its own form only.
+    texts = [F.when(F.col("form") == i, F.concat(F.lit(a), "q", F.lit(b))) for i, (a, b) in enumerate(f.split("%s") for f in forms)]
+    t = t.withColumn("text", F.coalesce(*texts))
     return t.groupBy("form", answers.boxed(F.col("text")).alias("boxed"), answers.box_anywhere(F.col("text")).alias("anywhere"), answers.box_braced(F.col("text")).alias("braced")).agg(F.count(F.lit(1)).alias("n"))
 
 
