@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tokenlab.functions import answers
 from tokenlab.operators import evaluate, forest, integrity, learn, text
 from tokenlab.plans import features
 from tokenlab.sources import engines, files, generate, records
@@ -324,6 +325,24 @@ def test_text_features(spark):
 
 
 
+def test_long_lines_split_in_one_pass(spark):
+    """A line of 20 000 sentences is read once, by one pattern; with least_words 1 no blank begins a sentence."""
+    long = spark.createDataFrame([("a. b c\u00a0d. " * 20_000 + "e",), ("w " * 40_000,), ("A. b; c d",)], "t string")
+    cut = text.steps(F.col("t"))
+    assert "regexp_extract_all" in str(cut) and "aggregate(" not in str(cut)
+    assert [r["n"] for r in long.select(F.size(cut).alias("n")).collect()] == [20_001, 1, 1]
+    assert long.select(cut).first()[0][:2] == ["a. b c d."] * 2 and long.select(text.steps(F.col("t"), least_words=1)).collect()[2][0] == ["A.", "b;", "c d"]
+
+
+def test_boxes_without_braces_inside_are_read_by_one_pattern(spark, monkeypatch):
+    """Braces are counted part by part only where the pattern can't tell; splitting happens once for a text."""
+    texts = ["\\boxed{1} or \\boxed{ 7 }.", "\\boxed{\\frac{1}{2}}", "\\boxed{3} then \\boxed{open", "\\boxed{3} then \\boxed{a{b{c}}}", "\\boxed{a \\boxed{b}}", "\\boxed {x} y", "\\boxed{", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(answers.boxed(F.col("t"))).collect()] == ["7", "\\frac{1}{2}", "3", "a{b{c}}", "b", "{x}", None, None]
+    monkeypatch.setattr(answers, "_closed", lambda rest: F.raise_error(F.lit("braces were counted")).cast("string"))
+    assert [r[0] for r in frame.limit(2).select(answers.boxed(F.col("t"))).collect()] == ["7", "\\frac{1}{2}"]
+
+
 def test_equal_rows_train_a_logistic_model_once(spark, monkeypatch):
     """Rows repeated under other keys weigh more but are no more rows to train on; forests draw from all rows."""
     one = spark.range(60).select("id", (F.col("id") % 6).cast("double").alias("x"), ((F.col("id") % 6 + F.col("id") % 2 * 3) > 4).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import ASCII_BLANKS, BLANKS, cap_hit, is_ascii, stripped
+from ..functions.answers import ASCII_BLANKS, BLANKS, cap_hit, is_ascii, once, stripped
 from ..sources.records import require_same_ids
 
 # Fixed patterns of the question features.
@@ -144,18 +144,18 @@ def steps(text: Column, delimiter: str = "auto", least_words: int = 4) -> Column
     if delimiter != "auto":
         return parts(t, "\\Q" + delimiter + "\\E")
 
-    def sentences(words: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).rlike(r"[.?!;]\z"))
-        cuts = F.aggregate(ends, F.array(F.lit(0)), lambda c, i: F.when(i - F.element_at(c, -1) >= least_words, F.concat(c, F.array(i))).otherwise(c))
-        whole = F.transform(F.array(cuts), lambda c: F.when(F.element_at(c, -1) < F.size(words), F.concat(c, F.array(F.size(words)))).otherwise(c))[0]
-        return F.transform(F.array(whole), lambda c: F.transform(F.sequence(F.lit(2), F.size(c)), lambda j: F.array_join(F.slice(words, F.element_at(c, j - 1) + 1, F.element_at(c, j) - F.element_at(c, j - 1)), " ")))[0]
+    def sentences(x: Column) -> Column:
+        # One pass: words of the text with one blank between any two, up to the first that may end a sentence.
+        spaced = F.when(is_ascii(x), F.regexp_replace(x, f"{ASCII_BLANKS}+", " ")).otherwise(F.regexp_replace(x, f"{BLANKS}+", " "))
+        pattern = rf"(?s)(?:[^ ]++ ){{{least_words - 1}}}(?! ).*?[.?!;](?= |\z)|[^ ].*"
+        return once(F.regexp_extract_all(spaced, F.lit(pattern), F.lit(0)), lambda s: F.when(F.size(s) > 1, s).otherwise(F.array(x)))
 
     def split(x: Column) -> Column:
-        paragraphs, lines = parts(x, "\n\n"), parts(x, "\n")
-        by_word = F.transform(F.array(word_list(x)), sentences)[0]
-        return F.when(x == "", F.array().cast("array<string>")).when(F.size(paragraphs) > 1, paragraphs).when(F.size(lines) > 1, lines).when(F.size(by_word) > 1, by_word).otherwise(F.array(x))
+        lines = once(parts(x, "\n"), lambda p: F.when(F.size(p) > 1, p).otherwise(sentences(x)))
+        broken = once(parts(x, "\n\n"), lambda p: F.when(F.size(p) > 1, p).otherwise(lines))
+        return F.when(x == "", F.array().cast("array<string>")).when(x.contains("\n"), broken).otherwise(sentences(x))
 
-    return F.transform(F.array(stripped(F.replace(t, F.lit("\r\n"), F.lit("\n")))), split)[0]
+    return once(stripped(F.replace(t, F.lit("\r\n"), F.lit("\n"))), split)
 
 
 def snippet(text: Column, most: int = 900) -> Column:
