@@ -4,10 +4,11 @@ import json
 import os
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenlab.sources import aligned, ledger
+from tokenlab.sources import aligned, blocks, ledger
 
 SCHEMA = "problem_id string, v int, pad string"
 
@@ -102,3 +103,77 @@ def test_one_file_in_order(spark, tmp_path):
     assert os.listdir(tmp_path) == ["one.jsonl"]
     ledger.write_one(rows.limit(0), str(path))
     assert path.read_text() == ""
+
+
+def pack(path, block):
+    """A plain file in compressed blocks beside it."""
+    out = f"{path}{blocks.SUFFIX}"
+    with open(path, "rb") as f, open(out, "wb") as g:
+        g.writelines(data for data, _ in blocks.pack((line.rstrip(b"\n") for line in f), block))
+    return out
+
+
+@pytest.mark.parametrize("split,which", [(40, "abc"), (700, "abc"), (700, "ab"), (700, "c"), (64 << 20, "abc")])
+def test_compressed_files_are_read_side_by_side(spark, tmp_path, split, which):
+    """Blocks of one line, of some and of all; plain files beside them."""
+    ids = [f"p{i:04d}" for i in range(300)]
+    pads = {"a": lambda i: "y" * (i % 7), "b": lambda i: "é" * (i * 13 % 400), "c": lambda i: ""}
+    paths = {k: write(tmp_path / f"{k}.jsonl", ids, k, pad) for k, pad in pads.items()}
+    if split == 40:
+        ids, paths = ids[:9], {k: write(tmp_path / f"{k}.jsonl", ids[:9], k, pad) for k, pad in pads.items()}
+    paths |= {k: pack(paths[k], {"a": 500, "b": 1, "c": 9000}[k] if split > 40 else 1) for k in which}
+    rows = aligned.read_aligned(spark, SCHEMA, split=split, ordered=True, **paths)
+    got = rows.select("*", F.spark_partition_id().alias("part")).orderBy("record").collect()
+    assert [r["problem_id"] for r in got] == ids and [r["record"] for r in got] == list(range(len(ids)))
+    assert all(r[k]["v"] == i and r[k]["pad"] == k + pads[k](i) for i, r in enumerate(got) for k in "abc")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    parts = len({r["part"] for r in got})
+    # Of nine blocks of a line, cuts come behind the first line of all but the first.
+    assert parts == 8 if split == 40 else parts > 8 if split == 700 else parts == 1
+
+
+@pytest.mark.parametrize("split", [100, 64 << 20])
+def test_what_is_not_aligned_is_found_in_compressed_files(spark, tmp_path, split):
+    ids = [f"p{i:04d}" for i in range(12)]
+    file = lambda name, own: pack(write(tmp_path / f"{name}.jsonl", own, name), 90)
+    good = file("a", ids)
+    for name, other, said in [("moved", [*ids[:5], ids[6], ids[5], *ids[7:]], "different ids"), ("short", ids[:-1], "ends before record 11"), ("long", [*ids, "p9999"], "ends before record 12"), ("none", [*ids[:7], None, *ids[8:]], "record 7 of .* has no problem_id")]:
+        with pytest.raises(Exception, match=said):
+            aligned.read_aligned(spark, SCHEMA, split=split, a=good, b=file(name, other)).collect()
+    again = [*ids[:6], ids[5], *ids[6:]]
+    with pytest.raises(Exception, match="record 6 repeats"):
+        aligned.read_aligned(spark, SCHEMA, split=split, a=file("x", again), b=file("y", again)).collect()
+    empty = file("empty", [])
+    os.truncate(empty, 0)
+    assert aligned.read_aligned(spark, SCHEMA, split=split, a=empty, b=empty).collect() == []
+    with pytest.raises(Exception, match="ends before record 0"):
+        aligned.read_aligned(spark, SCHEMA, split=split, a=good, b=empty).collect()
+    os.truncate(good, os.path.getsize(good) - 3)
+    with pytest.raises(Exception, match="cut short"):
+        aligned.read_aligned(spark, SCHEMA, split=64 << 20, a=good, b=good).collect()
+    (tmp_path / "other.zst").write_bytes(b"no blocks in here, but more than the bytes of a head")
+    with pytest.raises(Exception, match="no block at byte 0"):
+        aligned.read_aligned(spark, SCHEMA, a=str(tmp_path / "other.zst")).collect()
+
+
+def test_one_compressed_file_in_order(spark, tmp_path):
+    """Any reader of zstd can read it; its parts are compressed too, and gone afterwards."""
+    path = tmp_path / "one.jsonl.zst"
+    rows = spark.range(0, 5000, 1, 8).select(F.col("id"), F.repeat(F.lit("é"), (F.col("id") % 9).cast("int")).alias("t")).orderBy(F.rand(3))
+    ledger.write_one(rows, str(path), "id")
+    with pa.input_stream(str(path), compression="zstd") as f:
+        got = [json.loads(line) for line in f.read().decode().splitlines()]
+    assert [r["id"] for r in got] == list(range(5000)) and got[8]["t"] == "é" * 8
+    assert os.listdir(tmp_path) == ["one.jsonl.zst"] and path.stat().st_size < 40_000
+    ledger.write_one(rows.limit(0), str(path))
+    assert path.read_bytes() == b""
+
+
+def test_blocks_are_found_in_any_range(tmp_path):
+    path = pack(write(tmp_path / "a.jsonl", [f"p{i}" for i in range(50)], "a"), 200)
+    with pa.OSFile(path) as f:
+        whole = list(blocks.heads(f, path, 0, f.size()))
+        assert len(whole) > 5 and sum(n for *_, n in whole) == 50 and whole[-1][1] == f.size()
+        for step in (1, 7, 61, 1000):
+            found = [x for at in range(0, f.size(), step) for x in blocks.heads(f, path, at, min(at + step, f.size()))]
+            assert found == whole

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -543,6 +544,32 @@ def test_aligned_files_are_written_from_sorted_problems(spark, monkeypatch):
     assert recorded.aligned_scan(spark, "/root/testdata/sf0.001").count() and orders == [()] * 3
 
 
+def test_aligned_files_take_a_tenth_of_their_lines(spark, monkeypatch):
+    """Each file is smaller on disk than a tenth of its lines."""
+    from tokenlab.plans import recorded
+
+    sizes, real = [], recorded.ledger.write_one
+
+    def spy(rows, path, *order):
+        real(rows, path, *order)
+        sizes.append((os.path.getsize(path.removeprefix("file://")), rows.agg(F.sum(F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0]))
+
+    monkeypatch.setattr(recorded.ledger, "write_one", spy)
+    assert recorded.aligned_scan(spark, "/root/testdata/sf0.001").count()
+    assert len(sizes) == 3 and all(0 < size < lines / 10 for size, lines in sizes)
+
+
+def test_line_items_are_shuffled_without_the_rest_of_their_order(spark, monkeypatch):
+    """And as they are, not in lists that are sorted and spilled before the shuffle."""
+    from tokenlab.plans import recorded
+
+    plans, real = [], recorded.materialise
+    monkeypatch.setattr(recorded, "materialise", lambda d, name: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d, name))
+    assert recorded.eligible(spark, "/root/testdata/sf0.001").count()
+    (plan,) = plans
+    assert "l_quantity" in plan and "RepartitionByExpression" in plan and not any(x in plan.split("Relation")[0] for x in ("l_extendedprice", "l_shipdate", "l_returnflag"))
+
+
 def test_lines_to_resume_are_written_compressed(spark, monkeypatch):
     from tokenlab.plans import recorded
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import request_seed
 from ..operators import integrity, plugins
-from ..sources import aligned, ledger, records
+from ..sources import aligned, blocks, ledger, records
 from ..sources.tables import materialise, new_folder
 from . import adapter, runs
 
@@ -48,8 +48,12 @@ def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The problems, in a table: __k, dataset and what the chains of a and c are made from.
 
     The line items are shuffled once, however many runs a query makes; of each order four pairs of numbers stay.
+    Line items that agree as far as the pair goes in their order give the same pair: the rest of the order is left out.
     """
-    lines = adapter.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("__k")).agg(F.array_sort(F.collect_list(F.struct(*adapter.ORDER, "l_linestatus"))).alias("lines"))
+    order = adapter.ORDER[: adapter.ORDER.index("l_quantity") + 1]
+    # Rows are dealt as they are: lists of a few of them would be sorted and spilled before the shuffle, and be no smaller.
+    rows = adapter.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("__k"), *order, "l_linestatus").repartition("__k")
+    lines = rows.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct(*order, "l_linestatus"))).alias("lines"))
     of = lambda s: F.filter("lines", lambda x: x["l_linestatus"] == s)
     first = lambda s: F.transform(F.slice(of(s), 1, CHAINS), lambda x: F.struct(x["l_quantity"].alias("l_quantity"), x["l_partkey"].alias("l_partkey")))
     own = lines.select("__k", first("F").alias("a"), first("O").alias("c")).filter((F.size("a") == CHAINS) & (F.size("c") == CHAINS))
@@ -155,12 +159,12 @@ def prefix_runs(spark, sf_dir):
 @query(_SQL + """, p AS (SELECT k, dataset, i, max(tokens) FILTER (WHERE s = 'F') AS x, max(tokens) FILTER (WHERE s = 'O') AS z FROM c GROUP BY ALL)
     SELECT dataset, count(DISTINCT k) AS n_records, CAST(sum(least(x, 35)) AS BIGINT) AS tokens_a, CAST(sum(least(z, 35)) AS BIGINT) AS tokens_b, CAST(sum(z) AS BIGINT) AS tokens_c, count(*) AS n_prefixes FROM p GROUP BY dataset""")
 def aligned_scan(spark, sf_dir):
-    """Three single files in canonical order, read side by side without a shuffle."""
+    """Three single files in canonical order, in compressed blocks, read side by side without a shuffle."""
     # The small rows that runs are made from are sorted, not the records.
     problems = eligible(spark, sf_dir).orderBy(F.concat(F.lit("o"), F.col("__k").cast("string")))
     c = run(problems, "c", LONG_CAP)
     folder = new_folder(spark, "aligned")
-    paths = {k: f"{folder}/{k}.jsonl" for k in "abc"}
+    paths = {k: f"{folder}/{k}.jsonl{blocks.SUFFIX}" for k in "abc"}
     for k, rows in (("a", run(problems, "a", BASE_CAP)), ("b", cut(c)), ("c", c)):
         ledger.write_one(rows.drop("__k"), paths[k])
     rows = aligned.read_aligned(spark, records.RUN, ordered=True, **paths)

@@ -1,8 +1,12 @@
-"""Aligned JSONL files read side by side: a data source that cuts all files at common records, without a shuffle."""
+"""Aligned JSONL files read side by side: a data source that cuts all files at common records, without a shuffle.
+
+Files are plain, or compressed in blocks (blocks.py) if their names end in .zst.
+"""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import blocks
 from .ledger import _uri
 
 #: Bytes of the first file for one partition, and bytes that are read together.
@@ -25,14 +30,14 @@ class Misaligned(ValueError):
 
 
 def _ranges(spark: SparkSession, paths: list[str], split: int) -> DataFrame:
-    """file (its number), block, start and end of all files, dealt to tasks."""
+    """file (its number), start and end of ranges of all files, dealt to tasks."""
     rows = []
     for i, path in enumerate(paths):
         store, own = fs.FileSystem.from_uri(path)
         size = store.get_file_info(own).size or 0
-        rows += [(i, b, b * split, min((b + 1) * split, size)) for b in range(-(-size // split))]
-    frame = spark.createDataFrame(rows, "file int, block long, start long, stop long")
-    return frame.repartition(max(1, len(rows)), "file", "block") if rows else frame
+        rows += [(i, start, min(start + split, size)) for start in range(0, size, split)]
+    frame = spark.createDataFrame(rows, "file int, start long, stop long")
+    return frame.repartition(max(1, len(rows)), "file", "start") if rows else frame
 
 
 def _line_ends(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
@@ -49,32 +54,47 @@ def _line_ends(path: str, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
 
 
 def splits(spark: SparkSession, paths: list[str], split: int = SPLIT) -> list[dict]:
-    """Where partitions begin: record number, and offset in each file. Bytes are read by tasks, twice at most.
+    """Where partitions begin: record number, and in each file an offset and the number of lines to pass over there.
 
     Tasks count the line ends of each block; the first file's blocks say at which records to cut, and tasks look for
-    these records' offsets within the one block of each other file that holds them. The driver sees a row per block.
+    these records' offsets within the one block of each other file that holds them. Bytes are read twice at most. Of
+    compressed files only the heads of blocks are read, and lines within a block are passed over by the reader. The
+    driver sees a row per block.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, block, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = sum(data.count(b"\n") for _, data in _line_ends(paths[file], start, stop))
-                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block]), pa.array([start]), pa.array([stop]), pa.array([n])], names=["file", "block", "start", "stop", "n"])
-
-    kind = "file int, block long, start long, stop long, n long"
-    counted = sorted(tuple(r) for r in _ranges(spark, paths, split).mapInArrow(count, kind).collect())
-    before, at = {}, {}
-    for file, block, start, stop, n in counted:
-        before[file, block] = at.get(file, 0)
-        at[file] = at.get(file, 0) + n
-    # A cut behind the first line end of each block of the first file but its first: records wanted in all files.
-    cuts = sorted({before[0, block] + 1 for file, block, *_, n in counted if file == 0 and block and n})
-    wanted = []
-    for file, block, start, stop, n in counted:
-        own = [c for c in cuts if before[file, block] < c <= before[file, block] + n]
-        if own:
-            wanted.append((file, before[file, block], start, stop, own))
-    out: dict[int, dict[int, int]] = {}
+            for file, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blocks.packed(paths[file]):
+                    store, own = fs.FileSystem.from_uri(paths[file])
+                    with store.open_input_file(own) as f:
+                        found = [(file, *x) for x in blocks.heads(f, paths[file], start, stop)]
+                else:
+                    found = [(file, start, stop, stop - start, sum(data.count(b"\n") for _, data in _line_ends(paths[file], start, stop)))]
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, x, strict=True)) for x in found], kind)
+
+    kind = pa.schema([("file", pa.int32()), *[(c, pa.int64()) for c in ("start", "stop", "bytes", "n")]])
+    counted = sorted(tuple(r) for r in _ranges(spark, paths, split).mapInArrow(count, "file int, start long, stop long, bytes long, n long").collect())
+    before, at = [], {}
+    for file, *_, n in counted:
+        before.append(at.get(file, 0))
+        at[file] = before[-1] + n
+    # A cut behind the first line end of blocks of the first file, `split` bytes of lines apart: records wanted in all files.
+    cuts, since = [], 0
+    for seen, (file, _, _, size, n) in zip(before, counted, strict=True):
+        if file == 0:
+            if since >= split and n:
+                cuts.append(seen + 1)
+                since = 0
+            since += size
+    wanted, out = [], {}
+    for seen, (file, start, stop, _, n) in zip(before, counted, strict=True):
+        own = cuts[bisect_right(cuts, seen) : bisect_right(cuts, seen + n)]
+        if blocks.packed(paths[file]):
+            for c in own:
+                out.setdefault(c, {})[file] = (start, c - seen)
+        elif own:
+            wanted.append((file, seen, start, stop, own))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +114,23 @@ def splits(spark: SparkSession, paths: list[str], split: int = SPLIT) -> list[di
     if wanted:
         frame = spark.createDataFrame(wanted, "file int, seen long, start long, stop long, own array<long>").repartition(len(wanted), "file", "start")
         for r in frame.mapInArrow(find, "file int, record long, offset long").collect():
-            out.setdefault(r["record"], {})[r["file"]] = r["offset"]
+            out.setdefault(r["record"], {})[r["file"]] = (r["offset"], 0)
     # A record that some file lacks is found by the reader, as the end of that file.
-    whole = [{"record": 0, "offsets": [0] * len(paths)}]
-    return whole + [{"record": c, "offsets": [out[c][i] for i in range(len(paths))]} for c in cuts if len(out.get(c, {})) == len(paths)]
+    whole = [{"record": 0, "offsets": [0] * len(paths), "over": [0] * len(paths)}]
+    return whole + [{"record": c, "offsets": [out[c][i][0] for i in range(len(paths))], "over": [out[c][i][1] for i in range(len(paths))]} for c in cuts if len(out.get(c, {})) == len(paths)]
 
 
 class _Partition(InputPartition):
-    def __init__(self, record: int, offsets: list[int], ends: list[int | None]):
-        self.record, self.offsets, self.ends = record, offsets, ends
+    """Where a partition begins; the offsets and the record at which the next one does, None for the last."""
+
+    def __init__(self, here: dict, after: dict | None):
+        self.record, self.offsets, self.over = here["record"], here["offsets"], here["over"]
+        self.ends = after["offsets"] if after else [None] * len(self.offsets)
+        self.rows = after["record"] - self.record if after else None
+
+    def lines(self, paths: list[str]) -> list[_Lines | _BlockLines]:
+        of = lambda path, start, over, stop: _BlockLines(path, start, over, self.rows) if blocks.packed(path) else _Lines(path, start, stop)
+        return [of(*x) for x in zip(paths, self.offsets, self.over, self.ends, strict=True)]
 
 
 class _Lines:
@@ -135,14 +163,39 @@ class _Lines:
         return self.lines[self.at - 1]
 
 
+class _BlockLines:
+    """The same of a file in blocks: what comes after `over` lines of the block at start, `rows` lines or all."""
+
+    def __init__(self, path: str, start: int, over: int, rows: int | None):
+        store, own = fs.FileSystem.from_uri(path)
+        self.file, self.path, self.left = store.open_input_file(own), path, rows
+        self.lines, self.at, self.before = [], 0, None
+        self.file.seek(start)
+        if over:
+            self.lines, self.at = blocks.unpack(self.file, path), over
+            self.before = self.lines[over - 1]
+
+    def next(self) -> bytes | None:
+        if self.left == 0:
+            return None
+        while self.at >= len(self.lines):
+            self.lines, self.at = blocks.unpack(self.file, self.path), 0
+            if self.lines is None:
+                self.lines = []
+                return None
+        if self.left is not None:
+            self.left -= 1
+        self.at += 1
+        return self.lines[self.at - 1]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.key, self.ordered = json.loads(options["paths"]), options["key"], options["ordered"] == "true"
         self.splits = json.loads(options["splits"])
 
     def partitions(self) -> list[InputPartition]:
-        ends = [s["offsets"] for s in self.splits[1:]] + [[None] * len(self.paths)]
-        return [_Partition(s["record"], s["offsets"], e) for s, e in zip(self.splits, ends, strict=True)]
+        return [_Partition(*x) for x in zip(self.splits, [*self.splits[1:], None], strict=True)]
 
     def _id(self, line: bytes, path: str, record: int) -> str:
         found = json.loads(line).get(self.key) if line.strip() else None
@@ -151,7 +204,7 @@ class _Reader(DataSourceReader):
         return str(found)
 
     def read(self, partition: _Partition) -> Iterator[pa.RecordBatch]:
-        files = [_Lines(*x) for x in zip(self.paths, partition.offsets, partition.ends, strict=True)]
+        files = partition.lines(self.paths)
         record, rows, seen = partition.record, [], set()
         last = self._id(files[0].before, files[0].path, record - 1) if files[0].before is not None else None
         while True:

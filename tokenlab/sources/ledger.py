@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from . import blocks
+
 #: Bytes that are copied together.
 CHUNK = 8 << 20
 #: Attempts to add a version beside other writers.
@@ -97,7 +99,7 @@ class _Part(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.batch = options["path"], options["batch"]
+        self.path, self.batch, self.packed = options["path"], options["batch"], options.get("packed") == "true"
 
     def write(self, iterator) -> WriterCommitMessage:
         """One part of lines, under a name that no other attempt has; it counts once a version lists it."""
@@ -106,11 +108,11 @@ class _Writer(DataSourceWriter):
         store, own = _store(self.path)
         store.create_dir(f"{own}/parts", recursive=True)
         name, rows, size = f"{uuid.uuid4().hex}.jsonl", 0, 0
-        with store.open_output_stream(f"{own}/parts/{name}") as f:
-            for row in iterator:
-                data = row[0].encode() + b"\n"
+        lines = (row[0].encode() for row in iterator)
+        with store.open_output_stream(f"{own}/parts/{name}", compression=None) as f:
+            for data, n in blocks.pack(lines) if self.packed else ((line + b"\n", 1) for line in lines):
                 f.write(data)
-                rows, size = rows + 1, size + len(data)
+                rows, size = rows + n, size + len(data)
         return _Part(name, rows, size, TaskContext.get().partitionId())
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -147,9 +149,13 @@ def append(rows: DataFrame, path: str, batch: str, nulls: bool = True) -> None:
     Attempts that are killed or repeated leave parts that no version lists; vacuum() removes them. nulls: whether fields
     that are null are written.
     """
+    _append(rows, path, batch, nulls)
+
+
+def _append(rows: DataFrame, path: str, batch: str, nulls: bool, packed: bool = False) -> None:
     rows.sparkSession.dataSource.register(Ledger)
     lines = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": str(not nulls).lower()}).alias("line"))
-    lines.write.format("ledger_jsonl").mode("append").options(path=_uri(path), batch=batch).save()
+    lines.write.format("ledger_jsonl").mode("append").options(path=_uri(path), batch=batch, packed=str(packed).lower()).save()
 
 
 def read(spark: SparkSession, path: str, schema, batches: list[str] | None = None) -> DataFrame:
@@ -174,14 +180,15 @@ def write_one(rows: DataFrame, path: str, *order: str, nulls: bool = True) -> No
 
     Parts are written in order through a ledger of their own. Their sizes tell where each belongs, so tasks write the
     parts side by side into one file; a rename puts it in place. A repeated task writes the same bytes to the same
-    place. For file systems that can be written at an offset (local and mounted ones); others are refused.
+    place. For file systems that can be written at an offset (local and mounted ones); others are refused. A path that
+    ends in .zst gets compressed blocks of lines.
     """
     spark, target = rows.sparkSession, _uri(path)
     store, own = _store(target)
     if not isinstance(store, fs.LocalFileSystem):
         raise ValueError(f"{path}: only a mounted file system can be written by many tasks at once")
     staged, part = f"{target}.{uuid.uuid4().hex[:8]}.parts", f"{own}.{uuid.uuid4().hex[:8]}.tmp"
-    append(rows.orderBy(*order) if order else rows, staged, "all", nulls)
+    _append(rows.orderBy(*order) if order else rows, staged, "all", nulls, blocks.packed(path))
     parts, at, places = manifest(staged)["batches"]["all"], 0, []
     for p in parts:
         places.append((f"{_store(staged)[1]}/parts/{p['name']}", at, p["bytes"]))
